@@ -1,0 +1 @@
+"""Empty on purpose: every input of the covered workload is a bounded table."""
