@@ -14,6 +14,8 @@ So rows are shuffled once, not once per replicate.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +26,19 @@ from .ranks import histogram, mean_rank, prefix_sums
 from .roc import discrimination_from
 
 PRIME = 2147483647
-# P(Poisson(1) <= k) * PRIME, rounded down; a draw below the k-th limit has weight <= k
-LIMITS = [790015084, 1580030168, 1975037711, 2106706892, 2139624187, 2146207646,
-          2147304889, 2147461638, 2147481231, 2147483408, 2147483626, 2147483645]
+
+
+def _poisson_limits(count: int = 12) -> list[int]:
+    """PRIME * P(Poisson(1) <= k), rounded down: a draw below the k-th has weight <= k."""
+    out, term, total = [], math.exp(-1.0), 0.0
+    for k in range(count):
+        total += term
+        out.append(int(total * PRIME))
+        term /= k + 1
+    return out
+
+
+LIMITS = _poisson_limits()
 CHUNK_ROWS = 65536
 REPLICATE_BLOCKS = 8
 
