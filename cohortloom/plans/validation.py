@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -564,24 +566,22 @@ def literature_delta(df: DataFrame) -> DataFrame:
         "percent_difference", percent_change(F.col("here"), F.col("published")))
 
 
-def plot_feeds(df: DataFrame, resamples: int = B) -> dict[str, DataFrame]:
-    """The tidy frames behind every figure."""
-    cohort = labelled_efficiency(df)
-    scatter = efficiency_cohort(df).select(SCORE, EFF24, RISK)
-    return {
-        "efficiency_raw": df.select("hadm_id", SCORE, RISK, EFF24, EFF72,
-                                    "icu_stay_ge_24h", "icu_stay_ge_72h"),
-        "efficiency_summary": summary_by_risk(df),
-        "forest": forest_table(df, resamples=resamples),
-        "interactions": interaction_tests(df),
-        "subgroups": subgroup_analysis(df, resamples),
-        "roc_q20": roc.roc_curve(cohort, SCORE, "low_q20").select(
-            "threshold", "fpr", "tpr"),
-        "score_distribution": df.select(SCORE, RISK, "hospital_expire_flag"),
-        "score_histogram": bin_counts(df, SCORE, 1.0, [RISK]),
-        "scatter": scatter,
-        "comparators": literature_delta(df),
-    }
+# the tidy frame behind every figure, built on demand
+PLOT_FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "efficiency_raw": lambda df: df.select(
+        "hadm_id", SCORE, RISK, EFF24, EFF72, "icu_stay_ge_24h", "icu_stay_ge_72h"),
+    "efficiency_summary": summary_by_risk,
+    "outcomes_by_risk": lambda df: outcomes_by_risk(df),
+    "forest": forest_table,
+    "interactions": interaction_tests,
+    "subgroups": subgroup_analysis,
+    "roc_q20": lambda df: roc.roc_curve(
+        labelled_efficiency(df), SCORE, "low_q20").select("threshold", "fpr", "tpr"),
+    "score_distribution": lambda df: df.select(SCORE, RISK, "hospital_expire_flag"),
+    "score_histogram": lambda df: bin_counts(df, SCORE, 1.0, [RISK]),
+    "scatter": lambda df: efficiency_cohort(df).select(SCORE, EFF24, RISK),
+    "comparators": literature_delta,
+}
 
 
 def outcomes_by_risk(df: DataFrame) -> DataFrame:

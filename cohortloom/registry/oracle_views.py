@@ -26,10 +26,18 @@ def first_match(text: str, pattern: str) -> str:
             f"THEN regexp_extract({text}, '{pattern}', 1) END")
 
 
-SECTION_A = r"(?is)Medications on Admission[:\s]*(.{0,1000})"
-SECTION_B = r"(?is)Preadmission Medication[^\n]*[:\s]*(.{0,1000})"
-SECTION = (f"split_part(COALESCE({first_match('text', SECTION_A)}, "
-           f"{first_match('text', SECTION_B)}), 'Discharge Medications', 1)")
+SECTION_A = r"Medications on Admission"
+SECTION_B = r"Preadmission Medication[^\n]*"
+
+
+def section_after(header: str) -> str:
+    """Up to 1,000 characters after a header; the header alone decides the match."""
+    return (f"CASE WHEN regexp_matches(text, '(?is){header}') THEN "
+            rf"left(regexp_extract(text, '(?is){header}[:\s]*(.*)', 1), 1000) END")
+
+
+SECTION = (f"split_part(COALESCE({section_after(SECTION_A)}, {section_after(SECTION_B)}), "
+           "'Discharge Medications', 1)")
 EF = ("TRY_CAST(COALESCE("
       + first_match("text", r"(?i)lvef[\s:=]+(\d+)") + ", "
       + first_match("text", r"(?i)(?:ef|ejection fraction)[\s:=]+(\d+)") + ", "

@@ -85,13 +85,13 @@ def export_analysis_cohort(d: Data) -> DataFrame:
        + sql_columns(["diuretic_efficiency_24h", "diuretic_efficiency_72h"])
        + ", icu_stay_ge_24h, icu_stay_ge_72h FROM final")
 def plot_feeds(d: Data) -> DataFrame:
-    return validation.plot_feeds(d.final)["efficiency_raw"]
+    return validation.PLOT_FEEDS["efficiency_raw"](d.final)
 
 
 @query("plot_feed_scatter", "SELECT total_score, "
        + sql_columns(["diuretic_efficiency_24h"]) + ", risk_category FROM eff24")
 def plot_feed_scatter(d: Data) -> DataFrame:
-    return validation.plot_feeds(d.final)["scatter"]
+    return validation.PLOT_FEEDS["scatter"](d.final)
 
 
 # --- filters and projections -------------------------------------------------------
