@@ -12,14 +12,14 @@ from .ranks import histogram, mean_rank, prefix_sums
 def _corr_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation by the t distribution with n - 2 degrees."""
     dof = n.cast("double") - 2
-    t = r * F.sqrt(dof / (1 - r * r))
+    t = r * F.sqrt(dof / F.nullif(1 - r * r, F.lit(0.0)))
     return F.when((n > 2) & (F.abs(r) < 1), t_two_sided(t, dof)).when(
         (n > 2) & r.isNotNull(), F.lit(0.0))
 
 
 def rank_sums(df: DataFrame, group: str, value: str, by: list[str] = (),
               weight: str | None = None) -> DataFrame:
-    """Per (by, group): n, centred rank sum and its square sum, and the tie term.
+    """Per (by, group): n, centred rank sum and its square sum, and tie terms.
 
     Ranks are those of ``value`` within ``by``, ties averaged, measured from their
     mean. One row per group level is all any rank statistic below needs.
@@ -34,11 +34,13 @@ def rank_sums(df: DataFrame, group: str, value: str, by: list[str] = (),
         F.sum("n").alias("n"),
         F.sum(n * d).alias("d_sum"),
         F.sum(n * d * d).alias("d_square"),
-        F.sum(n * (at * at - 1)).alias("tie_term"))
+        F.sum(n * (at * at - 1)).alias("tie_term"),
+        F.sum(n * at).alias("same_value"),
+        F.sum(n * n).alias("same_both"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (),
-             weight: str | None = None, bounded_x: bool = True,
+             weight: str | None = None, bounded_x: bool | None = True,
              p_value: bool = True) -> DataFrame:
     """Tie-averaged rank correlation per group: n, rho, p.
 
@@ -110,31 +112,14 @@ def c_index(df: DataFrame, score: str, outcome: str, bits: int, by: list[str] =
     by = list(by)
     cells = histogram(df, [*by, score, outcome], weight)
     concordant = ordered_pairs(cells, score, bits, outcome, by)
-
-    def same(columns: list[str], name: str) -> DataFrame:
-        """Half the squared group sizes: pairs equal in all the columns, plus n/2."""
-        sizes = cells.groupBy(*by, *columns).agg(F.sum("n").cast("double").alias("_n"))
-        return sizes.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_n")) / 2).alias(name))
-
     n = F.col("n").cast("double")
-    both = cells.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum(n) * F.sum(n) / 2).alias("_all"),
-        (F.sum(n * n) / 2).alias("_both"))
-    parts = [concordant, same([outcome], "_y"), same([score], "_s")]
-    return _combine(both, parts, by)
-
-
-def _combine(both: DataFrame, parts: list[DataFrame], by: list[str]) -> DataFrame:
-    # a constant key keeps the one-row frames of an ungrouped call on equi-joins
-    out = both if by else both.withColumn("_one", F.col("n") * 0)
-    for part in parts:
-        if by:
-            out = out.join(part, by, "left")
-        else:
-            name = part.columns[0]
-            out = out.withColumn(name, part.scalar())
-    permissible = F.col("_all") - F.col("_y")
-    ties = F.col("_s") - F.col("_both")
+    sizes = rank_sums(df, score, outcome, by, weight).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(n).alias("_n"), F.sum(n * n).alias("_s"),
+        F.sum("same_value").alias("_y"), F.sum("same_both").alias("_both"))
+    out = (sizes.join(concordant, by, "left") if by
+           else sizes.withColumn("pairs", concordant.scalar()))
+    permissible = (F.col("_n") * F.col("_n") - F.col("_y")) / 2
+    ties = (F.col("_s") - F.col("_both")) / 2
     value = (F.coalesce(F.col("pairs"), F.lit(0.0)) + ties / 2) / permissible
     return out.select(*by, "n", permissible.alias("permissible"),
                       F.when(permissible > 0, value).alias("c_index"))
@@ -158,7 +143,7 @@ def kruskal_from_sums(sums: DataFrame, by: list[str] = ()) -> DataFrame:
     """The rank test from per-group n, centred rank sum and tie term."""
     n = F.sum("n").cast("double")
     between = F.sum(F.col("d_sum") * F.col("d_sum") / F.col("n"))
-    ties = 1 - F.sum("tie_term") / (n * n * n - n)
+    ties = F.when(n > 1, 1 - F.sum("tie_term") / (n * n * n - n))
     out = sums.groupBy(*by).agg(
         F.sum("n").alias("n"), F.count("*").alias("groups"),
         F.when(ties > 0, 12 / (n * (n + 1)) * between / ties).alias("h"))
@@ -173,7 +158,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, first, by: list[str] = (
     n1 = F.sum(F.when(F.col(group) == first, F.col("n")).otherwise(0)).cast("double")
     d1 = F.sum(F.when(F.col(group) == first, F.col("d_sum")).otherwise(0.0))
     n2 = n - n1
-    ties = 1 - F.sum("tie_term") / (n * n * n - n)
+    ties = F.when(n > 1, 1 - F.sum("tie_term") / (n * n * n - n))
     sd = F.sqrt(n1 * n2 * (n + 1) / 12 * ties)
     out = sums.groupBy(*by).agg(
         F.sum("n").alias("n"), (d1 + n1 * n2 / 2).alias("u"),
@@ -201,10 +186,12 @@ def t_test(df: DataFrame, group: str, value: str, first, by: list[str] = (),
     v1, v2 = side("var", is_first), side("var", ~is_first)
     if equal_var:
         dof = n1 + n2 - 2
-        se = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1 / n1 + 1 / n2))
+        pooled = F.when(dof > 0, ((n1 - 1) * v1 + (n2 - 1) * v2) / dof)
+        se = F.sqrt(pooled * (1 / n1 + 1 / n2))
     else:
         a, b = v1 / n1, v2 / n2
-        dof = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
+        dof = F.when((a + b > 0) & (n1 > 1) & (n2 > 1),
+                     (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)))
         se = F.sqrt(a + b)
     out = m.groupBy(*by).agg(F.sum("n").alias("n"), dof.alias("dof"),
                              F.when(se > 0, gap / se).alias("t"))
@@ -223,9 +210,10 @@ def anova_f(df: DataFrame, group: str, value: str, by: list[str] = ()) -> DataFr
     within = F.sum((n - 1) * F.coalesce(F.col("var"), F.lit(0.0)))
     groups = F.count("*").cast("double")
     stat = (between / (groups - 1)) / (within / (total - groups))
+    usable = (groups > 1) & (total > groups) & (within > 0)
     out = m.groupBy(*by).agg(
         F.sum("n").alias("n"), F.count("*").alias("groups"),
-        F.when((groups > 1) & (within > 0), stat).alias("f"))
+        F.when(usable, stat).alias("f"))
     return out.withColumn("p", f_tail(
         F.col("f"), F.col("groups") - 1, F.col("n") - F.col("groups")))
 
@@ -272,14 +260,14 @@ def chi_square_cells(cells: DataFrame, row: str, column: str,
     # empty cells enter through the identity sum(o^2/e) - n
     plain = F.sum(n * n / e) - F.max(total)
     gap = F.greatest(F.max(F.abs(n - e)) - 0.5, F.lit(0.0))
-    inverse = F.max(total * total * total / (r * (total - r) * c * (total - c)))
+    others = r * (total - r) * c * (total - c)
+    inverse = F.max(F.when(others > 0, total * total * total / others))
     out = full.groupBy(*by).agg(
         F.max("total_n").alias("n"),
         ((F.count_distinct(F.col(row)) - 1) * (F.count_distinct(F.col(column)) - 1))
         .alias("dof"),
         F.greatest(plain, F.lit(0.0)).alias("_plain"),
-        F.when((F.min(total - r) > 0) & (F.min(total - c) > 0),
-               gap * gap * inverse).alias("_corrected"))
+        (gap * gap * inverse).alias("_corrected"))
     stat = F.when(F.col("dof") == 1, F.col("_corrected")).when(F.col("dof") > 1, F.col("_plain"))
     out = out.withColumn("chi2", stat)
     return out.select(*by, "n", "dof", "chi2", F.when(

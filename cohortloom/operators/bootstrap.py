@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .association import ordered_pairs
-from .ranks import histogram, mean_rank, prefix_sums
+from .ranks import histogram, is_small, mean_rank, prefix_sums
 from .roc import discrimination_from
 
 PRIME = 2147483647
@@ -43,28 +43,30 @@ CHUNK_ROWS = 65536
 REPLICATE_BLOCKS = 8
 
 
-def draw(row_id: Column, replicate: Column, seed: int) -> Column:
-    """Pseudo-random integer in [0, PRIME) by modular multiplying and squaring."""
+def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFrame:
+    """Adds ``w``, the Poisson(1) weight of each (row id, replicate).
+
+    A pseudo-random integer in [0, PRIME) comes from modular multiplying and squaring
+    and is looked up in the limits. Each step is a column of its own: used twice in the
+    next one, it would otherwise be computed again and again.
+    """
     p = F.lit(PRIME).cast("bigint")
-    a = F.pmod(row_id.cast("bigint"), p)
-    b = replicate.cast("bigint")
-    x = (a * 48271 + b * 69621 + seed) % p
-    x = (x * x + a) % p
-    x = (x * 16807 + b * 39373) % p
-    x = (x * x + b) % p
-    return (x * 48271 + 11) % p
-
-
-def poisson_weight(row_id: Column, replicate: Column, seed: int) -> Column:
-    x = draw(row_id, replicate, seed)
-    out = F.when(x < LIMITS[0], 0)
+    a, b = F.col("_a"), F.col(replicate).cast("bigint")
+    x = F.col("_x")
+    step = df.withColumn("_a", F.pmod(F.col(row_id).cast("bigint"), p))
+    step = step.withColumn("_x", (a * 48271 + b * 69621 + seed) % p)
+    step = step.withColumn("_x", (x * x + a) % p)
+    step = step.withColumn("_x", (x * 16807 + b * 39373) % p)
+    step = step.withColumn("_x", (x * x + b) % p)
+    step = step.withColumn("_x", (x * 48271 + 11) % p)
+    weight = F.when(x < LIMITS[0], 0)
     for k, limit in enumerate(LIMITS[1:], 1):
-        out = out.when(x < limit, k)
-    return out.otherwise(len(LIMITS))
+        weight = weight.when(x < limit, k)
+    return step.withColumn("w", weight.otherwise(len(LIMITS))).drop("_a", "_x")
 
 
 def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """The same weights as :func:`poisson_weight`, rows by replicates."""
+    """The same weights as :func:`add_weights`, rows by replicates."""
     a = np.mod(ids.astype(np.int64), PRIME)[:, None]
     b = replicates.astype(np.int64)[None, :]
     x = (a * 48271 + b * 69621 + seed) % PRIME
@@ -77,11 +79,16 @@ def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndar
 
 def replicated(df: DataFrame, row_id: str, columns: list[str], resamples: int,
                seed: int) -> DataFrame:
-    """Rows times replicates with weight ``w`` > 0; stays inside one generated loop."""
-    spread = df.select(row_id, *columns, F.explode(
-        F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    weighted = spread.withColumn("w", poisson_weight(F.col(row_id), F.col("b"), seed))
-    return weighted.filter(F.col("w") > 0).drop(row_id)
+    """Rows times replicates with their weight ``w``, inside one generated loop.
+
+    The narrow rows are dealt out evenly first: the thousandfold work that follows
+    must not hang on a few input files. Zero weights stay in; a filter on ``w`` would be
+    pushed below the steps that compute it and repeat them all.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(row_id, *columns).repartition(tasks, row_id)
+    spread = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    return add_weights(spread, row_id, "b", seed).drop(row_id)
 
 
 def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid: int = 50,
@@ -249,15 +256,74 @@ def chunk_totals(df: DataFrame, row_id: str, x: str, y: str, resamples: int, see
         "same_both": F.when(hot, w * w).otherwise(F.col("same_both"))})
 
 
+def _whole_group(pdf: pd.DataFrame, by: list[str], resamples: int, blocks: int, seed: int,
+                 concordance: bool) -> pd.DataFrame:
+    """Rank metrics of one group that fits a task, for one block of replicates."""
+    part = _chunk_part(pdf.assign(_chunk=0, _hot=0), by, resamples, blocks, seed, concordance)
+    table = part.pivot(index="_x", columns="b").fillna(0.0)
+    n = table["w"].to_numpy()
+    total = n.sum(axis=0)
+    shift = -(total + 1) / 2
+    first, second = table["first"].to_numpy(), table["second"].to_numpy()
+    d_sum = first + n * shift
+    d_square = (second + 2 * shift * first + n * shift * shift).sum(axis=0)
+    d = np.cumsum(n, axis=0) - (n - 1) / 2 + shift
+    spread = (n * d * d).sum(axis=0) * d_square
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rho = np.where(spread > 0, (d * d_sum).sum(axis=0) / np.sqrt(spread), np.nan)
+        permissible = (total * total - table["same_y"].to_numpy().sum(axis=0)) / 2
+        ties = ((n * n).sum(axis=0) - table["same_both"].to_numpy().sum(axis=0)) / 2
+        pairs = table["pairs"].to_numpy().sum(axis=0)
+        c = np.where(permissible > 0, (pairs + ties / 2) / permissible, np.nan)
+    out = pd.DataFrame({"b": table["w"].columns.astype("int32"), "spearman": rho, "c_index": c})
+    for key in by:
+        out[key] = pdf[key].iloc[0]
+    return out[[*by, "b", "spearman", "c_index"]]
+
+
+def small_rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
+                          seed: int, by: list[str], concordance: bool,
+                          blocks: int = REPLICATE_BLOCKS) -> DataFrame:
+    """:func:`rank_replicates` for groups that fit a task: one shuffle, one pass."""
+    blocks = min(blocks, resamples)
+    rows = df.dropna(subset=[*by, x, y]).select(
+        *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    keys = "".join(f"`{c}` {types[c]}, " for c in by)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _whole_group(pdf, by, resamples, blocks, seed, concordance)
+
+    found = rows.groupBy(*by, "_block").applyInPandas(
+        whole, f"{keys}b int, spearman double, c_index double")
+    out = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double"))
+                             for c in ("spearman", "c_index")})
+    return out if concordance else out.drop("c_index")
+
+
 def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
                     by: list[str] = (), concordance: bool = False, bits: int | None = None,
-                    chunk_rows: int = CHUNK_ROWS, blocks: int = REPLICATE_BLOCKS) -> DataFrame:
+                    small: bool | None = None, chunk_rows: int = CHUNK_ROWS,
+                    blocks: int = REPLICATE_BLOCKS) -> DataFrame:
     """by, b, spearman (and c_index): rank metrics of every replicate.
 
     ``x`` is a score with a bounded number of levels; for concordance an integer in
-    [0, 2**bits).
+    [0, 2**bits). A group goes to one task per block of replicates only if the planner
+    sizes the whole input as small (``small`` None); else it is cut into chunks.
     """
     by = list(by)
+    if is_small(df) if small is None else small:
+        return small_rank_replicates(df, row_id, x, y, resamples, seed, by, concordance, blocks)
+    return chunked_rank_replicates(df, row_id, x, y, resamples, seed, by, concordance, bits,
+                                   chunk_rows, blocks)
+
+
+def chunked_rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
+                            seed: int, by: list[str], concordance: bool, bits: int | None,
+                            chunk_rows: int, blocks: int) -> DataFrame:
+    """:func:`rank_replicates` for groups of any size."""
     totals = chunk_totals(df, row_id, x, y, resamples, seed, by, concordance,
                           chunk_rows, blocks)
     place = (F.col("_chunk") * 2 + F.col("_hot")).alias("_place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ranks import histogram, prefix_sums, quantile, quantile_aggregates, quantiles
 
 
-def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool = False,
+def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool | None = None,
              qs: dict[str, float] | None = None) -> DataFrame:
     """n, mean, sd, median, q1, q3, min, max (and adjusted skew) per group, exactly.
 
@@ -36,7 +36,7 @@ def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool = Fals
 
 
 def percentiles(df: DataFrame, value: str, points: list[float], by: list[str] = (),
-                bounded: bool = False) -> DataFrame:
+                bounded: bool | None = None) -> DataFrame:
     """Long form: by, percentile (0-100), value."""
     names = {f"_q{i}": p / 100 for i, p in enumerate(points)}
     wide = quantiles(df, value, names, by, bounded)

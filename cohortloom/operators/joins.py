@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_bucket, minus_days
+from .ranks import planned_bytes
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -16,11 +17,6 @@ def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; exact file sizes for a stored table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def broadcast_limit(df: DataFrame) -> int:
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}

@@ -2,7 +2,8 @@
 
 All order statistics here come from one helper, :func:`prefix_sums`, over a histogram
 (rows already reduced to distinct values). A histogram known to be small uses one
-window per group. Any other is cut by value into cells whose size does not depend on
+window per group. So does one whose input the planner sizes below
+``SMALL_BYTES`` (a stored table of that size, say). Any other is cut by value into cells whose size does not depend on
 the data's distribution: the position of a double inside its power of two gives a
 coarse and a fine key, totals are carried from coarse to fine to value, and no window
 ever sees more than one cell.
@@ -16,6 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE_BITS, FINE_BITS = 12, 32
+SMALL_BYTES = 8 << 20
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate: file sizes for stored tables, products for joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def is_small(df: DataFrame) -> bool:
+    """Small enough for one task to hold whole; joins of unknown size never are."""
+    return planned_bytes(df) <= SMALL_BYTES
 
 
 def value_key(value: Column, bits: int) -> Column:
@@ -40,25 +52,28 @@ def _window(keys: list[str]):
 
 
 def prefix_sums(hist: DataFrame, value: str, measures: list[str], by: list[str] = (),
-                bounded: bool = False) -> DataFrame:
+                bounded: bool | None = None) -> DataFrame:
     """Adds, per measure m: m_below (over smaller values), m_at (same value), m_total.
 
     ``hist`` may hold several rows per (by, value) but must be reduced to distinct
     rows, not raw data. ``by`` columns and ``value`` must not be NULL. ``bounded``
-    promises few distinct rows per group (a point score, a handful of labels).
+    promises few distinct rows per group (a point score, a handful of labels); None
+    asks the planner for the size, False always takes the distributed way.
     """
     by = list(by)
+    if bounded is None:
+        bounded = is_small(hist)
     if bounded:
         upto = _window(by).orderBy(value).rangeBetween(
             Window.unboundedPreceding, Window.currentRow)
         at = Window.partitionBy(*by, value)
         whole = _window(by)
-        out = hist
+        added = {}
         for m in measures:
-            out = (out.withColumn(f"{m}_at", F.sum(m).over(at))
-                   .withColumn(f"{m}_below", F.sum(m).over(upto) - F.col(f"{m}_at"))
-                   .withColumn(f"{m}_total", F.sum(m).over(whole)))
-        return out
+            added[f"{m}_at"] = F.sum(m).over(at)
+            added[f"{m}_below"] = F.sum(m).over(upto) - F.sum(m).over(at)
+            added[f"{m}_total"] = F.sum(m).over(whole)
+        return hist.withColumns(added)
 
     def strictly_before(keys: list[str], order: str):
         return _window(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,11 +99,11 @@ def prefix_sums(hist: DataFrame, value: str, measures: list[str], by: list[str]
         Window.unboundedPreceding, Window.currentRow)
     at = Window.partitionBy(*by, "_k1", "_k2", value)
     out = keyed.join(level2, [*by, "_k1", "_k2"])
+    added = {}
     for m in measures:
-        out = out.withColumn(f"{m}_at", F.sum(m).over(at))
-        out = out.withColumn(
-            f"{m}_below", F.col(f"_o2_{m}") + F.sum(m).over(cell) - F.col(f"{m}_at"))
-    return out.drop("_k1", "_k2", *[f"_o2_{m}" for m in measures])
+        added[f"{m}_at"] = F.sum(m).over(at)
+        added[f"{m}_below"] = F.col(f"_o2_{m}") + F.sum(m).over(cell) - F.sum(m).over(at)
+    return out.withColumns(added).drop("_k1", "_k2", *[f"_o2_{m}" for m in measures])
 
 
 def histogram(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
@@ -103,7 +118,7 @@ def mean_rank() -> Column:
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), out: str = "rank",
-                 bounded: bool = False) -> DataFrame:
+                 bounded: bool | None = None) -> DataFrame:
     """Every row with its tie-averaged rank. Rows with a NULL value get NULL."""
     by = list(by)
     ranks = prefix_sums(histogram(df, [*by, value]), value, ["n"], by, bounded)
@@ -130,7 +145,7 @@ def quantile_aggregates(value: str, quantiles: dict[str, float]) -> list[Column]
 
 
 def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (),
-              bounded: bool = False) -> DataFrame:
+              bounded: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group.
 
     ``bounded`` (few distinct values) uses the built-in percentile, whose state is one
@@ -141,7 +156,7 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (
         return df.groupBy(*by).agg(
             *_named(qs, lambda q: F.percentile(value, F.lit(float(q))).cast("double")))
     hist = histogram(df, [*by, value])
-    return prefix_sums(hist, value, ["n"], by).groupBy(*by).agg(
+    return prefix_sums(hist, value, ["n"], by, bounded).groupBy(*by).agg(
         *quantile_aggregates(value, qs))
 
 

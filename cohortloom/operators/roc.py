@@ -22,15 +22,16 @@ def _d(name: str) -> Column:
 
 
 def discrimination_from(hist: DataFrame, score: str, by: list[str] = (),
-                        bounded: bool = True) -> DataFrame:
+                        bounded: bool | None = True) -> DataFrame:
     """n, events, auroc, auprc per group; NULL where a class is missing."""
     summed = prefix_sums(hist, score, ["p", "q"], by, bounded)
     p, q = _d("p_total"), _d("q_total")
     # share of (event, non-event) pairs the score orders, ties one half
-    area = F.sum(_d("p") * (_d("q_below") + _d("q_at") / 2)) / F.max(p * q)
+    area = F.sum(_d("p") * (_d("q_below") + _d("q_at") / 2)) / F.nullif(F.max(p * q), F.lit(0.0))
     hits = p - _d("p_below")
     flagged = hits + q - _d("q_below")
-    precision = F.sum(F.when(flagged > 0, _d("p") * hits / flagged)) / F.max(p)
+    precision = (F.sum(F.when(flagged > 0, _d("p") * hits / flagged))
+                 / F.nullif(F.max(p), F.lit(0.0)))
     both = (F.max("p_total") > 0) & (F.max("q_total") > 0)
     return summed.groupBy(*by).agg(
         F.max(F.col("p_total") + F.col("q_total")).alias("n"),
@@ -39,13 +40,13 @@ def discrimination_from(hist: DataFrame, score: str, by: list[str] = (),
 
 
 def discrimination(df: DataFrame, score: str, event: str, by: list[str] = (),
-                   weight: str | None = None, bounded: bool = True) -> DataFrame:
+                   weight: str | None = None, bounded: bool | None = True) -> DataFrame:
     return discrimination_from(
         score_histogram(df, score, event, by, weight), score, by, bounded)
 
 
 def roc_curve(df: DataFrame, score: str, event: str, by: list[str] = (),
-              bounded: bool = True, min_rows: int = 0) -> DataFrame:
+              bounded: bool | None = True, min_rows: int = 0) -> DataFrame:
     """threshold, tp, fp, tpr, fpr for 'score >= threshold', plus the (0, 0) start.
 
     Every score value is a point (none is dropped as collinear); the start has a NULL
@@ -78,7 +79,7 @@ def youden(curve: DataFrame, by: list[str] = ()) -> DataFrame:
          - F.col("fp").cast("decimal(19,0)") * F.col("p_total").cast("decimal(19,0)"))
     best = F.max(F.struct(j.alias("_j"), "threshold", "tpr", "fpr")).alias("_b")
     return (curve.filter(F.col("threshold").isNotNull()).groupBy(*by).agg(best)
-            .select(*by, F.col("_b.threshold").alias("threshold"),
+            .filter(F.col("_b").isNotNull()).select(*by, F.col("_b.threshold").alias("threshold"),
                     F.col("_b.tpr").alias("sensitivity"),
                     (1 - F.col("_b.fpr")).alias("specificity"),
                     (F.col("_b.tpr") - F.col("_b.fpr")).alias("youden_j")))

@@ -10,8 +10,8 @@ from ..functions.numeric import risk_level
 from ..operators.association import chi_square, kruskal_wallis
 from ..operators.cutoffs import (best_candidate, candidate_grid, chi2_candidates,
                                  kruskal_candidates, quantile_cutoffs, tree_cutoffs)
-from ..operators.describe import at_or_below, describe, rates
-from ..operators.ranks import union
+from ..operators.describe import describe, rates
+from ..operators.ranks import quantiles, union
 from ..operators.roc import roc_curve, youden
 
 GRID = candidate_grid(*config.CUTOFF_RANGE)
@@ -23,11 +23,36 @@ def efficiency_cohort(df: DataFrame, hours: int = 24) -> DataFrame:
     return df.filter((F.col(f"icu_stay_ge_{hours}h") == 1) & (eff > 0))
 
 
+LABELS = {"low_q20": 0.20, "low_q25": 0.25, "below_p99": 0.99}
+
+
+def add_efficiency_labels(df: DataFrame) -> DataFrame:
+    """Adds per horizon: efficiency at or below its own 20 %, 25 % and 99 % quantile.
+
+    The labels are NULL outside the horizon's efficiency cohort. Each horizon's
+    quantiles come as one struct from one scalar subquery.
+    """
+    added = {}
+    for hours in (24, 72):
+        eff = f"diuretic_efficiency_{hours}h"
+        limits = quantiles(efficiency_cohort(df, hours), eff, LABELS)
+        df = df.withColumn(f"_t{hours}", limits.select(F.struct(*LABELS)).scalar())
+        inside = (F.col(f"icu_stay_ge_{hours}h") == 1) & (F.col(eff) > 0)
+        for name in LABELS:
+            low = F.col(eff) <= F.col(f"_t{hours}").getField(name)
+            added[f"{name}_{hours}h"] = F.when(inside, low.cast("int"))
+    return df.withColumns(added).drop("_t24", "_t72")
+
+
 def labelled_efficiency(df: DataFrame, hours: int = 24) -> DataFrame:
-    """Efficiency cohort with its lowest-fifth and lowest-quarter labels."""
-    eff = f"diuretic_efficiency_{hours}h"
-    cohort = efficiency_cohort(df, hours)
-    return at_or_below(at_or_below(cohort, eff, 0.20, "low_q20"), eff, 0.25, "low_q25")
+    """Efficiency cohort with low_q20, low_q25 and below_p99.
+
+    Uses stored labels if the table carries them, else derives them.
+    """
+    if f"low_q20_{hours}h" not in df.columns:
+        df = add_efficiency_labels(df)
+    return efficiency_cohort(df, hours).withColumnsRenamed(
+        {f"{name}_{hours}h": name for name in LABELS})
 
 
 def cutoff_summary(df: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from ..functions.numeric import (clip_upper, coerce_flag, level_order, percent_c
 from ..operators import association as assoc
 from ..operators import bootstrap as boot
 from ..operators import roc
-from ..operators.describe import (at_or_below, bin_counts, describe, effect_ratios,
-                                  label_below, rates)
+from ..operators.describe import bin_counts, describe, effect_ratios, rates
 from ..operators.filters import unpivot
-from ..operators.ranks import quantile, quantiles, union
+from ..operators.ranks import quantiles, union
 from .cutoffs import efficiency_cohort, labelled_efficiency
 
 ID, SCORE, RISK = "stay_id", "total_score", "risk_category"
@@ -85,44 +84,56 @@ def only_if(test: Column, columns: list[str]) -> dict[str, Column]:
     return {c: F.when(test, F.col(c)) for c in columns}
 
 
-def primary_metrics(df: DataFrame, hours: int = 24, resamples: int = B) -> DataFrame:
-    """Long form (metric, n, estimate, ci_low, ci_high, p) for one efficiency outcome."""
-    eff = f"diuretic_efficiency_{hours}h"
-    cohort = labelled_efficiency(df, hours).select(
-        ID, SCORE, eff, "low_q20", "low_q25").withColumn("cohort", F.lit(f"{hours}h"))
-    by = ["cohort"]
+def efficiency_rows(df: DataFrame, hours: list[int]) -> DataFrame:
+    """Labelled efficiency rows of several horizons as one long frame."""
+    return union([
+        labelled_efficiency(df, h).select(
+            ID, SCORE, RISK, "low_q20", "low_q25",
+            F.col(f"diuretic_efficiency_{h}h").alias("y"), F.lit(f"{h}h").alias("cohort"))
+        for h in hours])
+
 
-    def long(point: DataFrame, metric: str, name: str, reps: DataFrame, p: Column) -> DataFrame:
-        ci = boot.interval(reps, metric, by)
-        return point.join(ci, by).select(
-            "cohort", F.lit(name).alias("metric"), "n", F.col(metric).alias("estimate"),
-            "ci_low", "ci_high", p.alias("p"))
+def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B) -> DataFrame:
+    """cohort, metric, n, estimate, ci_low, ci_high, p of the efficiency outcomes.
 
-    no_p = F.lit(None).cast("double")
-    ranks = boot.rank_replicates(cohort, ID, SCORE, eff, resamples, SEED, by, True,
+    All horizons run together; replicates of all metrics meet in one long frame that is
+    cut into intervals once.
+    """
+    rows, by = efficiency_rows(df, list(hours)), ["cohort"]
+    keys, none = [*by, "metric"], F.lit(None).cast("double")
+    events = unpivot(rows, [ID, SCORE, "cohort"], ["low_q20", "low_q25"], "int",
+                     "metric", "event")
+    events = events.withColumn("metric", F.concat(F.lit("auroc_"), F.substring("metric", 5, 3)))
+
+    def point(frame: DataFrame, name: Column, value: str, p: Column) -> DataFrame:
+        return frame.select("cohort", name.alias("metric"), "n",
+                            F.col(value).alias("estimate"), p.alias("p"))
+
+    points = union([
+        point(assoc.spearman(rows, SCORE, "y", by), F.lit("spearman"), "rho", F.col("p")),
+        point(assoc.pearson(rows, SCORE, "y", by), F.lit("pearson"), "r", F.col("p")),
+        point(assoc.c_index(rows, SCORE, "y", config.SCORE_BITS, by), F.lit("c_index"),
+              "c_index", none),
+        point(roc.discrimination(events, SCORE, "event", keys), F.col("metric"), "auroc", none),
+    ])
+    ranks = boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True,
                                  config.SCORE_BITS)
-    rho = assoc.spearman(cohort, SCORE, eff, by).withColumnRenamed("rho", "spearman")
-    r = assoc.pearson(cohort, SCORE, eff, by).withColumnRenamed("r", "pearson")
-    frames = [
-        long(rho, "spearman", "spearman", ranks, F.col("p")),
-        long(r, "pearson", "pearson",
-             boot.pearson_replicates(cohort, ID, SCORE, eff, resamples, SEED, by), F.col("p")),
-        long(assoc.c_index(cohort, SCORE, eff, config.SCORE_BITS, by), "c_index", "c_index",
-             ranks, no_p),
-    ]
-    for label in ("low_q20", "low_q25"):
-        frames.append(long(
-            roc.discrimination(cohort, SCORE, label, by), "auroc", f"auroc_{label[4:]}",
-            boot.discrimination_replicates(cohort, ID, SCORE, label, resamples, SEED, by),
-            no_p))
-    return union(frames)
+    replicates = union([
+        unpivot(ranks, by, ["spearman", "c_index"], "double", "metric"),
+        unpivot(boot.pearson_replicates(rows, ID, SCORE, "y", resamples, SEED, by), by,
+                ["pearson"], "double", "metric"),
+        boot.discrimination_replicates(events, ID, SCORE, "event", resamples, SEED, keys)
+        .select(*keys, F.col("auroc").alias("value"))])
+    limits = boot.interval(replicates, "value", keys).drop("n_valid")
+    return points.join(limits, keys).select(
+        "cohort", "metric", "n", "estimate", "ci_low", "ci_high", "p")
 
 
 # --- subgroups ---------------------------------------------------------------------
 
 def subgroup_rows(df: DataFrame) -> DataFrame:
     """Labelled efficiency rows, once per subgroup variable, with the level's name."""
-    cohort = at_or_below(efficiency_cohort(df), EFF24, 0.20, "low_q20")
+    cohort = labelled_efficiency(df)
     columns = [v for v, _ in config.SUBGROUPS.values()]
     entries = []
     for name, (column, levels) in config.SUBGROUPS.items():
@@ -172,7 +183,7 @@ def interaction_tests(df: DataFrame, min_n: int = 30) -> DataFrame:
 
 
 def phenotype_rows(df: DataFrame) -> DataFrame:
-    cohort = at_or_below(efficiency_cohort(df), EFF24, 0.20, "low_q20")
+    cohort = labelled_efficiency(df)
     return (cohort.filter(F.col("hf_phenotype").isin(config.PHENOTYPES))
             .select(ID, SCORE, EFF24, "low_q20", F.col("hf_phenotype").alias("level")))
 
@@ -218,19 +229,15 @@ def rank_by_strength(df: DataFrame, min_n: int = 30) -> DataFrame:
 
 def scenario_rows(df: DataFrame) -> DataFrame:
     """Efficiency rows once per alternative cohort, labelled by the primary threshold."""
-    cohort = efficiency_cohort(df)
-    limit, p99 = quantile(cohort, EFF24, 0.20), quantile(cohort, EFF24, 0.99)
-    # scalar subqueries first, the multiplying explode after them
-    marked = (label_below(cohort, EFF24, limit, "low_q20")
-              .withColumn("_ordinary", F.col(EFF24) <= p99))
+    cohort = labelled_efficiency(df)
     tests = {
         "primary": F.lit(True),
         "exclude_ckd": F.col("chronic_advanced_ckd") == 0,
-        "exclude_outliers": F.col("_ordinary"),
+        "exclude_outliers": F.col("below_p99") == 1,
         "exclude_shock": F.col("cardiogenic_shock") == 0,
         "complete_ef": F.col("lvef").isNotNull(),
     }
-    return with_membership(marked, tests, "scenario").select(
+    return with_membership(cohort, tests, "scenario").select(
         ID, SCORE, EFF24, "low_q20", "scenario")
 
 
@@ -388,7 +395,7 @@ def rates_with_effects(df: DataFrame, event: str) -> DataFrame:
 
 def component_roc(df: DataFrame) -> DataFrame:
     """AUROC of the score and of its raw laboratory components for the lowest fifth."""
-    cohort = at_or_below(efficiency_cohort(df), EFF24, 0.20, "low_q20")
+    cohort = labelled_efficiency(df)
     rows = unpivot(cohort, [ID, "low_q20"], [SCORE, "creatinine", "bun", "ntprobnp"],
                    "double", "predictor", "value")
     out = roc.discrimination(rows, "value", "low_q20", ["predictor"], bounded=False)
@@ -504,36 +511,33 @@ def outcomes_table(df: DataFrame, resamples: int = B) -> DataFrame:
                     "p": none}
         return frame.select(*[{**defaults, **fields}[c].alias(c) for c in columns])
 
-    parts = []
-    for hours in (24, 72):
-        name = F.lit(f"efficiency_{hours}h")
-        parts.append(shaped(
-            primary_metrics(df, hours, resamples), section=name, metric=F.col("metric"),
-            value=F.col("estimate"), ci_low=F.col("ci_low"), ci_high=F.col("ci_high"),
-            p=F.col("p")))
-        eff = f"diuretic_efficiency_{hours}h"
-        parts.append(shaped(
-            assoc.kruskal_wallis(efficiency_cohort(df, hours), RISK, eff), section=name,
-            metric=F.lit("kruskal_h"), value=F.col("h"), p=F.col("p")))
+    name = F.concat(F.lit("efficiency_"), F.col("cohort"))
+    parts = [
+        shaped(primary_metrics(df, [24, 72], resamples), section=name,
+               metric=F.col("metric"), value=F.col("estimate"), ci_low=F.col("ci_low"),
+               ci_high=F.col("ci_high"), p=F.col("p")),
+        shaped(assoc.kruskal_wallis(efficiency_rows(df, [24, 72]), RISK, "y", ["cohort"]),
+               section=name, metric=F.lit("kruskal_h"), value=F.col("h"), p=F.col("p"))]
     summary = summary_by_risk(df)
     parts.append(shaped(
         summary, section=F.concat(F.lit("efficiency_"), F.col("timepoint")),
         metric=F.lit("median"), level=F.col(RISK), value=F.col("median"),
         ci_low=F.col("q1"), ci_high=F.col("q3")))
-    stays = df.filter(F.col("icu_stay_ge_24h") == 1)
-    for section, frame, event in (("resistance", stays, "diuretic_resistance"),
-                                  ("mortality", df, "hospital_expire_flag")):
-        tagged = frame.withColumn("_g", F.lit(section))
-        area = auroc_with_ci(tagged, event, ["_g"], resamples)
-        parts.append(shaped(
-            area, section=F.lit(section), metric=F.lit("auroc"), value=F.col("auroc"),
-            ci_low=F.col("auroc_ci_low"), ci_high=F.col("auroc_ci_high")))
-        parts.append(shaped(
-            assoc.chi_square(frame, RISK, event), section=F.lit(section),
-            metric=F.lit("chi_square"), value=F.col("chi2"), p=F.col("p")))
-        parts.append(shaped(
-            rates(frame, event, [RISK]), section=F.lit(section), metric=F.lit("rate"),
-            level=F.col(RISK), value=F.col("rate")))
+    # both binary outcomes as one long frame; resistance needs a full first day
+    resistant = F.when(F.col("icu_stay_ge_24h") == 1, F.col("diuretic_resistance"))
+    long = unpivot(
+        df.select(ID, SCORE, RISK, resistant.alias("resistance"),
+                  F.col("hospital_expire_flag").alias("mortality")),
+        [ID, SCORE, RISK], ["resistance", "mortality"], "int", "section", "event").dropna()
+    section, by = F.col("section"), ["section"]
+    parts += [
+        shaped(auroc_with_ci(long, "event", by, resamples), section=section,
+               metric=F.lit("auroc"), value=F.col("auroc"), ci_low=F.col("auroc_ci_low"),
+               ci_high=F.col("auroc_ci_high")),
+        shaped(assoc.chi_square(long, RISK, "event", by), section=section,
+               metric=F.lit("chi_square"), value=F.col("chi2"), p=F.col("p")),
+        shaped(rates(long, "event", ["section", RISK]), section=section,
+               metric=F.lit("rate"), level=F.col(RISK), value=F.col("rate"))]
     return union(parts)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.admission_features import admission_table
+from ..plans.cutoffs import add_efficiency_labels
 from ..plans.funnel import cohort_funnel
 from ..plans.outcomes import add_risk_category, enrich_outcomes
 from ..session import TableStore, tune
@@ -46,6 +47,10 @@ class Data:
         enriched = add_risk_category(enrich_outcomes(self.src, self.wide))
         return self.store.save(enriched, "final")
 
+    @cached_property
+    def _analysis(self) -> DataFrame:
+        return self.store.save(add_efficiency_labels(self.final), "analysis")
+
     def _stored(self, attribute: str, probe: Callable[[], str]):
         """A stored table; written again if its files have gone."""
         value = getattr(self, attribute)
@@ -68,6 +73,11 @@ class Data:
     def final(self) -> DataFrame:
         return self._stored("_final", lambda: self.store.path("final"))
 
+    @property
+    def analysis(self) -> DataFrame:
+        """The final cohort with the efficiency labels every analysis shares."""
+        return self._stored("_analysis", lambda: self.store.path("analysis"))
+
 
 _DATA: dict[tuple[str, str], Data] = {}
 
@@ -92,8 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(Data) -> DataFrame`` under a key, with its SQL twin."""
+def query(name: str, sql: str | None = None, **views: str):
+    """Register ``fn(Data) -> DataFrame`` under a key, with its SQL twin.
+
+    ``views`` names further subqueries the SQL text uses.
+    """
 
     def register(fn: Callable[[Data], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +115,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_clause(sql, {**VIEWS, **COHORT_VIEWS})
+            ORACLES[name] = with_clause(sql, {**VIEWS, **COHORT_VIEWS, **views})
         return fn
 
     return register

@@ -91,7 +91,7 @@ def plot_feeds(d: Data) -> DataFrame:
 @query("plot_feed_scatter", "SELECT total_score, "
        + sql_columns(["diuretic_efficiency_24h"]) + ", risk_category FROM eff24")
 def plot_feed_scatter(d: Data) -> DataFrame:
-    return validation.PLOT_FEEDS["scatter"](d.final)
+    return validation.PLOT_FEEDS["scatter"](d.analysis)
 
 
 # --- filters and projections -------------------------------------------------------
@@ -573,7 +573,7 @@ def histogram(d: Data) -> DataFrame:
 
 @query("quantile_label", f"SELECT stay_id, {r6('y', 'diuretic_efficiency_24h')}, low_q20, low_q25 FROM lab24")
 def quantile_label(d: Data) -> DataFrame:
-    return cutoff_plan.labelled_efficiency(d.final).select(
+    return cutoff_plan.labelled_efficiency(d.final).select(  # labels derived here
         "stay_id", "diuretic_efficiency_24h", "low_q20", "low_q25")
 
 

@@ -63,15 +63,12 @@ FRAMES = " UNION ALL ".join(
 
 
 def _eff(d: Data, hours: int = 24) -> DataFrame:
-    return cutoff_plan.labelled_efficiency(d.final, hours)
+    return cutoff_plan.labelled_efficiency(d.analysis, hours)
 
 
 def _both(d: Data) -> DataFrame:
     """24 h and 72 h efficiency rows in one long frame."""
-    return union([
-        _eff(d, h).select("stay_id", SCORE, RISK, "low_q20", "low_q25",
-                          F.col(f"diuretic_efficiency_{h}h").alias("y"),
-                          F.lit(f"{h}h").alias("cohort")) for h in (24, 72)])
+    return val.efficiency_rows(d.analysis, [24, 72])
 
 
 # --- association -------------------------------------------------------------------
@@ -124,7 +121,7 @@ def auroc_continuous(d: Data) -> DataFrame:
 
 @query("auprc", R(s.auprc(ALL, "total_score", "hospital_expire_flag", "cohort"), ["cohort"], ["auprc"]))
 def auprc(d: Data) -> DataFrame:
-    rows = d.final.withColumn("cohort", F.lit("all"))
+    rows = d.analysis.withColumn("cohort", F.lit("all"))
     return roc.discrimination(rows, SCORE, "hospital_expire_flag", ["cohort"]).select(
         "cohort", "auprc")
 
@@ -139,7 +136,7 @@ def roc_curve(d: Data) -> DataFrame:
 @query("plot_feed_roc", R(s.roc_points(E24, "total_score", "low_q20", "cohort"), [],
                           ["threshold", "tpr", "fpr"]))
 def plot_feed_roc(d: Data) -> DataFrame:
-    return val.PLOT_FEEDS["roc_q20"](d.final)
+    return val.PLOT_FEEDS["roc_q20"](d.analysis)
 
 
 @query("youden", R(s.youden(EBOTH, "total_score", "low_q20", "cohort"), ["cohort"],
@@ -151,7 +148,7 @@ def youden(d: Data) -> DataFrame:
 @query("argmax_row", R(s.youden(ALL, "total_score", "hospital_expire_flag", "cohort"), [],
                        ["threshold", "sensitivity", "specificity", "youden_j"]))
 def argmax_row(d: Data) -> DataFrame:
-    return roc.youden(roc.roc_curve(d.final, SCORE, "hospital_expire_flag"))
+    return roc.youden(roc.roc_curve(d.analysis, SCORE, "hospital_expire_flag"))
 
 
 @query("operating_point", R(s.operating_point(SHOCK, "total_score", "hospital_expire_flag", 13, "cohort"),
@@ -159,7 +156,7 @@ def argmax_row(d: Data) -> DataFrame:
 def operating_point(d: Data) -> DataFrame:
     tests = {"all": F.lit(True), "shock": F.col("cardiogenic_shock") == 1,
              "no_shock": F.col("cardiogenic_shock") == 0}
-    rows = val.with_membership(d.final, tests, "cohort")
+    rows = val.with_membership(d.analysis, tests, "cohort")
     return roc.operating_point(rows, SCORE, "hospital_expire_flag", 13, ["cohort"])
 
 
@@ -174,14 +171,14 @@ def kruskal_wallis(d: Data) -> DataFrame:
 @query("chi_square", R(s.chi_square(BINARY, "risk_category", "event", "outcome"),
                        ["outcome", "n", "dof"], ["chi2", "p"]))
 def chi_square(d: Data) -> DataFrame:
-    return assoc.chi_square(val.binary_rows(d.final), RISK, "event", ["outcome"])
+    return assoc.chi_square(val.binary_rows(d.analysis), RISK, "event", ["outcome"])
 
 
 @query("chi_square_yates", R(s.chi_square(BINARY.replace("risk_category", "gender AS risk_category"),
                                           "risk_category", "event", "outcome"),
                              ["outcome", "n", "dof"], ["chi2", "p"]))
 def chi_square_yates(d: Data) -> DataFrame:
-    rows = val.binary_rows(d.final.withColumn(RISK, F.col("gender")))
+    rows = val.binary_rows(d.analysis.withColumn(RISK, F.col("gender")))
     return assoc.chi_square(rows, RISK, "event", ["outcome"])
 
 
@@ -197,12 +194,12 @@ _INTERACTION = f"SELECT *, {s.normal_p('z')} AS p FROM ({_INTERACTION})"
 
 @query("interaction_tests", R(_INTERACTION, ["subgroup", "n_1", "n_2"], ["rho_1", "rho_2", "delta", "z", "p"]))
 def interaction_tests(d: Data) -> DataFrame:
-    return val.interaction_tests(d.final)
+    return val.interaction_tests(d.analysis)
 
 
 @query("fisher_z", R(_INTERACTION, ["subgroup"], ["z", "p"]))
 def fisher_z(d: Data) -> DataFrame:
-    return val.interaction_tests(d.final).select("subgroup", "z", "p")
+    return val.interaction_tests(d.analysis).select("subgroup", "z", "p")
 
 
 GROUPED = ("SELECT *, CASE WHEN hospital_expire_flag = 1 THEN 'Non-survivors' ELSE 'Survivors' END AS grp, "
@@ -218,7 +215,7 @@ def _long(variables: list[str], group: str, kind: str) -> str:
 def _numbers(d: Data, group, variables: list[str]) -> DataFrame:
     from ..operators.filters import unpivot
 
-    return unpivot(val.table_rows(d.final, group), ["group"], variables, "double")
+    return unpivot(val.table_rows(d.analysis, group), ["group"], variables, "double")
 
 
 @query("mean_rank_tests",
@@ -252,7 +249,7 @@ _TAILS = ("SELECT stay_id, 1 + total_score / 4.0::DOUBLE AS stat FROM final")
  {r6(s.t_p('stat', '100'), 't_100')}, {r6('power(1 + 2 * stat / 60, -30.0)', 'f_2_60')} FROM ({_TAILS})""")
 def p_value_functions(d: Data) -> DataFrame:
     stat = F.col("stat")
-    rows = d.final.select("stay_id", (1 + F.col(SCORE) / 4.0).alias("stat"))
+    rows = d.analysis.select("stay_id", (1 + F.col(SCORE) / 4.0).alias("stat"))
     return rows.select(
         "stay_id", "stat", tails.normal_two_sided(stat).alias("normal"),
         *[tails.chi2_tail(stat, F.lit(k)).alias(f"chi2_{k}") for k in (1, 2, 3)],
@@ -284,7 +281,7 @@ def _primary_sql(src: str) -> str:
 
 @query("bootstrap_ci", _primary_sql(E24))
 def bootstrap_ci(d: Data) -> DataFrame:
-    return val.primary_metrics(d.final, 24)
+    return val.primary_metrics(d.analysis)
 
 
 def _metrics_sql(src: str, by: str, event: str, y: str) -> tuple[str, str]:
@@ -312,12 +309,12 @@ SUBGROUP_SQL = _levels_sql(SUBGROUP, "subgroup, level")
 
 @query("subgroup_analysis", SUBGROUP_SQL)
 def subgroup_analysis(d: Data) -> DataFrame:
-    return val.subgroup_analysis(d.final)
+    return val.subgroup_analysis(d.analysis)
 
 
 @query("phenotype_subgroups", _levels_sql(PHENOTYPE, "level"))
 def phenotype_subgroups(d: Data) -> DataFrame:
-    return val.phenotype_subgroups(d.final)
+    return val.phenotype_subgroups(d.analysis)
 
 
 _FOREST = ("SELECT stay_id, total_score, y, 'Overall' AS level FROM lab24 UNION ALL "
@@ -334,13 +331,13 @@ FOREST_SQL = (
 
 @query("forest_table", FOREST_SQL)
 def forest_table(d: Data) -> DataFrame:
-    return val.forest_table(d.final)
+    return val.forest_table(d.analysis)
 
 
 @query("pin_row_first", f"SELECT {_POSITION} AS position, level, n, {r6('rho', 'rho')} FROM "
        f"({s.spearman(_FOREST, 'total_score', 'y', 'level')})")
 def pin_row_first(d: Data) -> DataFrame:
-    points = assoc.spearman(val.forest_rows(d.final), SCORE, EFF24, ["level"])
+    points = assoc.spearman(val.forest_rows(d.analysis), SCORE, EFF24, ["level"])
     return points.select(val.forest_order(F.col("level")).cast("int").alias("position"),
                          "level", "n", "rho").orderBy("position")
 
@@ -352,7 +349,7 @@ _RANKED = s.spearman(SUBGROUP, "total_score", "y", "subgroup, level")
 @query("rank_by_strength", f"SELECT subgroup, level, n, {r6('rho', 'rho')}, {_STRENGTH.format(v='rho')} AS strength "
        f"FROM ({_RANKED}) WHERE n >= 30")
 def rank_by_strength(d: Data) -> DataFrame:
-    return val.rank_by_strength(d.final)
+    return val.rank_by_strength(d.analysis)
 
 
 _BAND = "CASE WHEN auroc >= 0.7 THEN 'good' WHEN auroc >= 0.6 THEN 'moderate' ELSE 'poor' END"
@@ -361,7 +358,7 @@ _BAND = "CASE WHEN auroc >= 0.7 THEN 'good' WHEN auroc >= 0.6 THEN 'moderate' EL
 @query("strength_band", f"SELECT outcome, {r6('auroc', 'auroc')}, {_BAND} AS strength FROM "
        f"({s.auroc(BINARY, 'total_score', 'event', 'outcome')}) WHERE auroc IS NOT NULL")
 def strength_band(d: Data) -> DataFrame:
-    out = roc.discrimination(val.binary_rows(d.final), SCORE, "event", ["outcome"])
+    out = roc.discrimination(val.binary_rows(d.analysis), SCORE, "event", ["outcome"])
     return out.filter(F.col("auroc").isNotNull()).select(
         "outcome", "auroc", strength("area", F.col("auroc")).alias("strength"))
 
@@ -371,12 +368,12 @@ _SENS = f"SELECT r.*, u.events, u.auroc, u.auroc_ci_low, u.auroc_ci_high FROM ({
 _SENS_COLS = ["rho", "p", "rho_ci_low", "rho_ci_high", "auroc", "auroc_ci_low", "auroc_ci_high"]
 
 
-@query("sensitivity_runs", f"WITH sens AS ({_SENS}) SELECT scenario, n, CASE WHEN n >= 50 THEN events END AS events, "
+@query("sensitivity_runs", f"SELECT scenario, n, CASE WHEN n >= 50 THEN events END AS events, "
        + ", ".join(r6(f"CASE WHEN n >= 50 THEN {c} END", c) for c in _SENS_COLS) + ", "
        + ", ".join(r6(f"CASE WHEN n >= 50 THEN {c} END - (SELECT {c} FROM sens WHERE scenario = 'primary' AND n >= 50)", f"delta_{c}")
-                   for c in ("rho", "auroc")) + " FROM sens")
+                   for c in ("rho", "auroc")) + " FROM sens", sens=_SENS)
 def sensitivity_runs(d: Data) -> DataFrame:
-    return val.sensitivity_runs(d.final)
+    return val.sensitivity_runs(d.analysis)
 
 
 _SWEEP = f"{EFF_SWEEP} UNION ALL {OUT_SWEEP}"
@@ -387,7 +384,7 @@ _sweep_rho, _sweep_auc = _metrics_sql(_SWEEP, "kind, setting", "event", "thresho
        f"{r6('auroc_ci_high', 'auroc_ci_high')}, {r6('threshold', 'threshold')}, {r6('events * 100 / CAST(a.n AS DOUBLE)', 'prevalence')} "
        f"FROM ({_sweep_auc}) a JOIN (SELECT kind, setting, max(threshold) AS threshold FROM ({_SWEEP}) GROUP BY kind, setting) USING (kind, setting)")
 def threshold_sweep(d: Data) -> DataFrame:
-    return val.threshold_sweep(d.final)
+    return val.threshold_sweep(d.analysis)
 
 
 _ROBUST = f"SELECT * FROM ({SCENARIO}) WHERE scenario IN ('exclude_outliers', 'exclude_shock', 'complete_ef')"
@@ -397,7 +394,7 @@ _ROBUST = f"SELECT * FROM ({SCENARIO}) WHERE scenario IN ('exclude_outliers', 'e
  UNION ALL SELECT 'auroc', {r6('max(auroc) - min(auroc)', 'spread')} FROM ({s.auroc(_ROBUST, 'total_score', 'low_q20', 'scenario')})
  UNION ALL SELECT 'auroc_thresholds', {r6('max(auroc) - min(auroc)', 'spread')} FROM ({s.auroc(EFF_SWEEP, 'total_score', 'event', 'setting')})""")
 def robustness_spread(d: Data) -> DataFrame:
-    return val.robustness_spread(d.final)
+    return val.robustness_spread(d.analysis)
 
 
 # --- outcome panels ----------------------------------------------------------------
@@ -420,7 +417,7 @@ _ENOUGH = "a.n >= 50 AND a.events > 10 AND a.events < a.n - 10"
        + f" FROM ({_bin_auc}) a JOIN ({_wide_rates(BINARY, 'outcome', 'event')}) USING (outcome) "
        f"JOIN ({s.chi_square(BINARY, 'risk_category', 'event', 'outcome')}) x USING (outcome)")
 def binary_outcome_panel(d: Data) -> DataFrame:
-    return val.binary_outcome_panel(d.final)
+    return val.binary_outcome_panel(d.analysis)
 
 
 _stay_rho = _metrics_sql(STAYS, "outcome", "days", "days")[0]
@@ -433,7 +430,7 @@ _stay_rho = _metrics_sql(STAYS, "outcome", "days", "days")[0]
  avg(days) AS mean, stddev_samp(days) AS sd FROM ({STAYS}) GROUP BY 1, 2) l
  JOIN ({_stay_rho}) r USING (outcome) JOIN ({s.kruskal(STAYS, 'risk_category', 'days', 'outcome')}) k USING (outcome)""")
 def continuous_outcome_panel(d: Data) -> DataFrame:
-    return val.continuous_outcome_panel(d.final)
+    return val.continuous_outcome_panel(d.analysis)
 
 
 _M = "hospital_expire_flag"
@@ -452,7 +449,7 @@ _M_OK = "cohort = 'all' OR (a.events > 10 AND a.events < a.n)"
        f"JOIN ({s.youden(SHOCK, 'total_score', _M, 'cohort')}) y USING (cohort) "
        f"JOIN ({s.operating_point(SHOCK, 'total_score', _M, 13, 'cohort')}) o USING (cohort)")
 def mortality_panel(d: Data) -> DataFrame:
-    return val.mortality_panel(d.final)
+    return val.mortality_panel(d.analysis)
 
 
 @query("effect_ratios", f"""SELECT 'hospital_expire_flag' AS outcome, c.n, CAST(c.events AS BIGINT) AS events,
@@ -464,7 +461,7 @@ def mortality_panel(d: Data) -> DataFrame:
  JOIN (SELECT 'all' AS cohort, count(*) AS n, sum({_M}) AS events FROM final) c USING (cohort)
  JOIN ({s.chi_square(ALL, 'risk_category', _M, 'cohort')}) x USING (cohort)""")
 def effect_ratios(d: Data) -> DataFrame:
-    return val.rates_with_effects(d.final, "hospital_expire_flag")
+    return val.rates_with_effects(d.analysis, "hospital_expire_flag")
 
 
 _COMPONENTS = " UNION ALL ".join(
@@ -475,13 +472,13 @@ _COMPONENTS = " UNION ALL ".join(
 @query("component_roc", R(s.auroc(_COMPONENTS, "v", "low_q20", "predictor"),
                           ["predictor", "n", "events"], ["auroc"]))
 def component_roc(d: Data) -> DataFrame:
-    return val.component_roc(d.final)
+    return val.component_roc(d.analysis)
 
 
 @query("linear_fit", f"""SELECT {r6('regr_slope(least(y, 200), total_score)', 'slope')},
  {r6('regr_intercept(least(y, 200), total_score)', 'intercept')} FROM lab24""")
 def linear_fit(d: Data) -> DataFrame:
-    return val.scatter_fit(d.final)
+    return val.scatter_fit(d.analysis)
 
 
 # --- tables ------------------------------------------------------------------------
@@ -497,7 +494,7 @@ _SUMMARY = _summary(EBOTH.replace("cohort", "timepoint"), "y", "timepoint, risk_
 
 @query("summary_by_group", _SUMMARY)
 def summary_by_group(d: Data) -> DataFrame:
-    return val.summary_by_risk(d.final)
+    return val.summary_by_risk(d.analysis)
 
 
 def _baseline_sql(group: str, groups: int) -> str:
@@ -530,12 +527,12 @@ def _baseline_sql(group: str, groups: int) -> str:
 
 @query("baseline_table", _baseline_sql("grp", 2))
 def baseline_table(d: Data) -> DataFrame:
-    return val.baseline_table(d.final, "mortality")
+    return val.baseline_table(d.analysis, "mortality")
 
 
 @query("baseline_table_by_risk", _baseline_sql("risk_category", 3))
 def baseline_table_by_risk(d: Data) -> DataFrame:
-    return val.baseline_table(d.final, "risk")
+    return val.baseline_table(d.analysis, "risk")
 
 
 def _outcomes_sql() -> str:
@@ -563,7 +560,7 @@ def _outcomes_sql() -> str:
 
 @query("outcomes_table", _outcomes_sql())
 def outcomes_table(d: Data) -> DataFrame:
-    return val.outcomes_table(d.final)
+    return val.outcomes_table(d.analysis)
 
 
 _BY_RISK = f"""SELECT risk_category, {', '.join(r6(f"max({c}) FILTER (WHERE timepoint = '{t}')", f'eff_{t}_{c}') for t in ('24h', '72h') for c in ('median', 'q1', 'q3'))},
@@ -575,7 +572,7 @@ _BY_RISK = f"""SELECT risk_category, {', '.join(r6(f"max({c}) FILTER (WHERE time
 
 @query("outcomes_by_risk", _BY_RISK)
 def outcomes_by_risk(d: Data) -> DataFrame:
-    return val.outcomes_by_risk(d.final)
+    return val.outcomes_by_risk(d.analysis)
 
 
 _PUBLISHED = " UNION ALL ".join(
@@ -592,13 +589,13 @@ _HERE = (f"SELECT 'pearson_r' AS metric, r AS here FROM ({s.pearson(E24, 'total_
 @query("literature_delta", f"""SELECT metric, population, {r6('published', 'published')}, {r6('here', 'here')},
  {r6('(abs(here) - abs(published)) / abs(published) * 100', 'percent_difference')} FROM ({_PUBLISHED}) JOIN ({_HERE}) USING (metric)""")
 def literature_delta(d: Data) -> DataFrame:
-    return val.literature_delta(d.final)
+    return val.literature_delta(d.analysis)
 
 
 @query("resistance_agreement", f"""SELECT {r6('avg(CASE WHEN (urine_output_24h_ml <= 3000) = (diuretic_resistance = 1) THEN 1 ELSE 0 END) * 100', 'match_percent')},
  count(*) AS n FROM final""")
 def resistance_agreement(d: Data) -> DataFrame:
-    return val.resistance_agreement(d.final)
+    return val.resistance_agreement(d.analysis)
 
 
 # --- cut-offs ----------------------------------------------------------------------
@@ -666,7 +663,7 @@ _QUANT = " UNION ALL ".join(
 
 @query("quantile_cutoffs", _QUANT)
 def quantile_cutoffs(d: Data) -> DataFrame:
-    return cut.quantile_cutoffs(d.final, SCORE)
+    return cut.quantile_cutoffs(d.analysis, SCORE)
 
 
 _SUMMARY_CUTS = (
@@ -680,7 +677,7 @@ _SUMMARY_CUTS = (
 
 @query("cutoff_summary", R(_SUMMARY_CUTS, ["method", "outcome"], ["low", "high"]))
 def cutoff_summary(d: Data) -> DataFrame:
-    return cutoff_plan.cutoff_summary(d.final)
+    return cutoff_plan.cutoff_summary(d.analysis)
 
 
 def _framework_sql(table: str, timepoint: str) -> str:
@@ -692,7 +689,7 @@ def _framework_sql(table: str, timepoint: str) -> str:
 
 @query("framework_comparison", f"{_framework_sql('lab24', '24h')} UNION ALL {_framework_sql('lab72', '72h')}")
 def framework_comparison(d: Data) -> DataFrame:
-    return union([cutoff_plan.framework_efficiency(d.final, h) for h in (24, 72)])
+    return union([cutoff_plan.framework_efficiency(d.analysis, h) for h in (24, 72)])
 
 
 _FRAME_M = FRAMES.format(src="final")
@@ -702,17 +699,17 @@ _FRAME_M = FRAMES.format(src="final")
  (SELECT framework, level, count(*) AS n, sum({_M}) AS events, avg({_M}) * 100 AS rate FROM ({_FRAME_M}) GROUP BY 1, 2) m
  JOIN ({s.chi_square(_FRAME_M, 'level', _M, 'framework')}) x USING (framework)""")
 def framework_mortality(d: Data) -> DataFrame:
-    return cutoff_plan.framework_mortality(d.final)
+    return cutoff_plan.framework_mortality(d.analysis)
 
 
 @query("score_step_profile", f"SELECT total_score, count(*) AS n, {r6('median(y)', 'median')} FROM lab24 GROUP BY 1")
 def score_step_profile(d: Data) -> DataFrame:
-    return cutoff_plan.score_step_profile(d.final)
+    return cutoff_plan.score_step_profile(d.analysis)
 
 
 # --- pipelines ---------------------------------------------------------------------
 
 @query("cutoff_derivation", R(_SUMMARY_CUTS, ["method", "outcome"], ["low", "high"]))
 def cutoff_derivation(d: Data) -> DataFrame:
-    return cutoff_plan.cutoff_summary(d.final)
+    return cutoff_plan.cutoff_summary(d.analysis)
 

@@ -29,14 +29,16 @@ def integral(density: str, upper: str, steps: int = 2000) -> str:
 
 def normal_p(z: str) -> str:
     density = "exp(-[u] * [u] / 2) / sqrt(2 * pi())"
-    return f"greatest(1 - 2 * {integral(density, f'least(abs({z}), 12.0)')}, 0)"
+    value = integral(density, f"least(abs({z}), 12.0)")
+    return f"CASE WHEN {z} IS NOT NULL THEN greatest(1 - 2 * {value}, 0) END"
 
 
 def t_p(t: str, dof: str) -> str:
     nu = f"CAST({dof} AS DOUBLE)"
     front = f"exp(lgamma(({nu} + 1) / 2) - lgamma({nu} / 2)) / sqrt({nu} * pi())"
     density = f"power(1 + [u] * [u] / {nu}, -({nu} + 1) / 2)"
-    return f"greatest(1 - 2 * {front} * {integral(density, f'least(abs({t}), 12.0)')}, 0)"
+    value = integral(density, f"least(abs({t}), 12.0)")
+    return f"CASE WHEN {t} IS NOT NULL THEN greatest(1 - 2 * {front} * {value}, 0) END"
 
 
 def corr_p(r: str, n: str) -> str:
@@ -112,7 +114,7 @@ def roc_points(src: str, score: str, event: str, by: str) -> str:
 def youden(src: str, score: str, event: str, by: str) -> str:
     return (f"SELECT {by}, threshold, tpr AS sensitivity, 1 - fpr AS specificity, "
             f"tpr - fpr AS youden_j FROM ({roc_points(src, score, event, by)}) "
-            f"WHERE threshold IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {by} "
+            f"WHERE threshold IS NOT NULL AND p_total > 0 AND q_total > 0 QUALIFY row_number() OVER (PARTITION BY {by} "
             "ORDER BY CAST(tp AS HUGEINT) * q_total - CAST(fp AS HUGEINT) * p_total DESC, "
             "threshold DESC) = 1")
 

@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
     "ord": "SELECT *, (o_orderkey*7919)%10007 AS h FROM orders",
     "li": "SELECT *, (l_partkey*31+l_suppkey*7+l_linenumber*3)%9973 AS g FROM lineitem",
     "patients": "SELECT c_custkey AS subject_id, CASE WHEN c_custkey%2=0 THEN 'M' ELSE 'F' END AS gender, 18+c_custkey%73 AS anchor_age FROM customer",
-    "admissions": "SELECT o_orderkey AS hadm_id, o_custkey AS subject_id, o_orderdate + (h%24)*INTERVAL '1' HOUR + (h%60)*INTERVAL '1' MINUTE AS admittime, o_orderdate + (h%24+30+h%400)*INTERVAL '1' HOUR + ((h*7)%60)*INTERVAL '1' MINUTE AS dischtime, CASE WHEN h%8=0 THEN 1 ELSE 0 END AS hospital_expire_flag FROM ord",
+    "admissions": "SELECT o_orderkey AS hadm_id, o_custkey AS subject_id, o_orderdate + (h%24)*INTERVAL '1' HOUR + (h%60)*INTERVAL '1' MINUTE AS admittime, o_orderdate + (h%24+30+h%400)*INTERVAL '1' HOUR + ((h*7)%60)*INTERVAL '1' MINUTE AS dischtime, CASE WHEN h%9=0 THEN 1 ELSE 0 END AS hospital_expire_flag FROM ord",
     "icustays": f"""SELECT o_orderkey*10 AS stay_id, o_orderkey AS hadm_id, o_custkey AS subject_id, {_UNIT} AS first_careunit, o_orderdate + (h%24+h%5)*INTERVAL '1' HOUR + (h%60)*INTERVAL '1' MINUTE AS intime, o_orderdate + (h%24+h%5+4+h%150)*INTERVAL '1' HOUR + ((h*11)%60)*INTERVAL '1' MINUTE AS outtime FROM ord
 UNION ALL SELECT o_orderkey*10+1, o_orderkey, o_custkey, {_UNIT}, o_orderdate + 200*INTERVAL '1' HOUR, o_orderdate + (230+h%90)*INTERVAL '1' HOUR FROM ord WHERE h%10=3""",
     "icd_book": "SELECT * FROM (VALUES (0,'I5021',10),(1,'I5023',10),(2,'I5031',10),(3,'I5033',10),(4,'J810',10),(5,'42821',9),(6,'42833',9),(7,'I10',10),(8,'I110',10),(9,'4019',9),(10,'I480',10),(11,'42731',9),(12,'R570',10),(13,'78551',9),(14,'N186',10),(15,'5854',9),(16,'I509',10),(17,'4280',9),(18,'E119',10),(19,'I5021',9),(20,'R571',10),(21,'N184',10),(22,'J449',10),(23,'Z992',10)) AS t(k,icd_code,icd_version)",
@@ -81,13 +81,21 @@ def with_clause(sql: str, views: dict[str, str], extra: dict[str, str] | None =
 
 
 def overlay_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """The stand-in tables of one scale folder, as lazy frames."""
-    files = {
-        name: f"SELECT * FROM parquet.`{sf_dir.rstrip('/')}/{name}.parquet`"
-        for name in BASE_TABLES
-    }
+    """The stand-in tables of one scale folder, as lazy frames resolved once each."""
+    files = {name: f"SELECT * FROM {{{name}}}" for name in BASE_TABLES}
+    base: dict[str, DataFrame] = {}
+    views: dict[str, DataFrame] = {}
+
+    def file(name: str) -> DataFrame:
+        if name not in base:
+            base[name] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return base[name]
 
     def read(name: str) -> DataFrame:
-        return spark.sql(with_clause(f"SELECT * FROM {name}", VIEWS, files))
+        if name not in views:
+            sql = with_clause(f"SELECT * FROM {name}", VIEWS, files)
+            used = {n: file(n) for n in BASE_TABLES if f"{{{n}}}" in sql}
+            views[name] = spark.sql(sql, **used)
+        return views[name]
 
     return Sources(read)
