@@ -17,12 +17,15 @@ LANCZOS = [
     -176.61502916214059, 12.507343278686905, -0.13857109526572012,
     9.9843695780195716e-6, 1.5056327351493116e-7,
 ]
-STEPS = 300
 TINY = 1e-300
+# beyond this many degrees of freedom the t distribution is taken as normal
+NORMAL_FROM = 1e6
 
 
-def _steps(n: int) -> Column:
-    return F.sequence(F.lit(1), F.lit(n))
+def _steps(size: Column) -> Column:
+    """Iterations: convergence takes on the order of the square root of the size."""
+    count = F.least(F.lit(60.0) + 6.0 * F.sqrt(size), F.lit(8000.0))
+    return F.sequence(F.lit(1), F.ceil(count).cast("int"))
 
 
 def _guard(x: Column) -> Column:
@@ -39,7 +42,7 @@ def log_gamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
 
 
-def _lentz(start: Column, pair) -> Column:
+def _lentz(start: Column, size: Column, pair) -> Column:
     """Modified Lentz evaluation; ``pair(i)`` gives the i-th numerator, denominator."""
     state = F.struct(start.alias("h"), start.alias("c"), F.lit(0.0).alias("d"))
 
@@ -49,7 +52,7 @@ def _lentz(start: Column, pair) -> Column:
         c = _guard(b + a / acc["c"])
         return F.struct((acc["h"] * c * d).alias("h"), c.alias("c"), d.alias("d"))
 
-    return F.aggregate(_steps(STEPS), state, step)["h"]
+    return F.aggregate(_steps(size), state, step)["h"]
 
 
 def upper_gamma(a: Column, x: Column) -> Column:
@@ -63,10 +66,10 @@ def upper_gamma(a: Column, x: Column) -> Column:
         return F.struct((acc["s"] + t).alias("s"), t.alias("t"))
 
     lower = front * F.aggregate(
-        _steps(STEPS), F.struct(first.alias("s"), first.alias("t")), term)["s"]
+        _steps(a), F.struct(first.alias("s"), first.alias("t")), term)["s"]
     # continued fraction for the upper part, used for large x
     start = _guard(x + 1.0 - a)
-    fraction = _lentz(start, lambda i: (-i * (i - a), x + 2.0 * i + 1.0 - a))
+    fraction = _lentz(start, a, lambda i: (-i * (i - a), x + 2.0 * i + 1.0 - a))
     upper = front / fraction
     return (F.when(x <= 0, F.lit(1.0)).when(x < a + 1.0, 1.0 - lower).otherwise(upper))
 
@@ -81,7 +84,7 @@ def lower_beta(a: Column, b: Column, x: Column) -> Column:
             odd = -(p + m) * (p + q + m) * u / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
             return F.when(i % 2.0 == 0.0, even).otherwise(odd), F.lit(1.0)
 
-        return F.lit(1.0) / _lentz(F.lit(1.0), pair)
+        return F.lit(1.0) / _lentz(F.lit(1.0), F.greatest(p, q), pair)
 
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b)
                   + a * F.log(x) + b * F.log(1.0 - x))
@@ -104,7 +107,9 @@ def normal_two_sided(z: Column) -> Column:
 def t_two_sided(t: Column, df: Column) -> Column:
     """2 * P(T > |t|)."""
     df = df.cast("double")
-    return F.when(t.isNotNull(), lower_beta(df / 2.0, F.lit(0.5), df / (df + t * t)))
+    exact = lower_beta(df / 2.0, F.lit(0.5), df / (df + t * t))
+    return (F.when(t.isNull(), F.lit(None).cast("double"))
+            .when(df > NORMAL_FROM, normal_two_sided(t)).otherwise(exact))
 
 
 def f_tail(stat: Column, df1: Column, df2: Column) -> Column:

@@ -51,18 +51,18 @@ def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFr
     next one, it would otherwise be computed again and again.
     """
     p = F.lit(PRIME).cast("bigint")
-    a, b = F.col("_a"), F.col(replicate).cast("bigint")
-    x = F.col("_x")
-    step = df.withColumn("_a", F.pmod(F.col(row_id).cast("bigint"), p))
-    step = step.withColumn("_x", (a * 48271 + b * 69621 + seed) % p)
-    step = step.withColumn("_x", (x * x + a) % p)
-    step = step.withColumn("_x", (x * 16807 + b * 39373) % p)
-    step = step.withColumn("_x", (x * x + b) % p)
-    step = step.withColumn("_x", (x * 48271 + 11) % p)
+    a, b = F.col("_rid"), F.col(replicate).cast("bigint")
+    x = F.col("_draw")
+    step = df.withColumn("_rid", F.pmod(F.col(row_id).cast("bigint"), p))
+    step = step.withColumn("_draw", (a * 48271 + b * 69621 + seed) % p)
+    step = step.withColumn("_draw", (x * x + a) % p)
+    step = step.withColumn("_draw", (x * 16807 + b * 39373) % p)
+    step = step.withColumn("_draw", (x * x + b) % p)
+    step = step.withColumn("_draw", (x * 48271 + 11) % p)
     weight = F.when(x < LIMITS[0], 0)
     for k, limit in enumerate(LIMITS[1:], 1):
         weight = weight.when(x < limit, k)
-    return step.withColumn("w", weight.otherwise(len(LIMITS))).drop("_a", "_x")
+    return step.withColumn("w", weight.otherwise(len(LIMITS))).drop("_rid", "_draw")
 
 
 def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:

@@ -241,17 +241,18 @@ def anova_f(d: Data) -> DataFrame:
                          ["variable"])
 
 
-_TAILS = ("SELECT stay_id, 1 + total_score / 4.0::DOUBLE AS stat FROM final")
+_TAILS = "SELECT total_score, count(*) AS n, 1 + total_score / 4.0::DOUBLE AS stat FROM final GROUP BY total_score"
 
 
-@query("p_value_functions", f"""SELECT stay_id, {r6('stat', 'stat')}, {r6(s.normal_p('stat'), 'normal')},
+@query("p_value_functions", f"""SELECT total_score, n, {r6('stat', 'stat')}, {r6(s.normal_p('stat'), 'normal')},
  {r6(s.chi2_p('stat', '1'), 'chi2_1')}, {r6('exp(-stat / 2)', 'chi2_2')}, {r6(s.chi2_p('stat', '3'), 'chi2_3')},
  {r6(s.t_p('stat', '100'), 't_100')}, {r6('power(1 + 2 * stat / 60, -30.0)', 'f_2_60')} FROM ({_TAILS})""")
 def p_value_functions(d: Data) -> DataFrame:
     stat = F.col("stat")
-    rows = d.analysis.select("stay_id", (1 + F.col(SCORE) / 4.0).alias("stat"))
+    rows = d.analysis.groupBy(SCORE).agg(F.count("*").alias("n")).withColumn(
+        "stat", 1 + F.col(SCORE) / 4.0)
     return rows.select(
-        "stay_id", "stat", tails.normal_two_sided(stat).alias("normal"),
+        SCORE, "n", "stat", tails.normal_two_sided(stat).alias("normal"),
         *[tails.chi2_tail(stat, F.lit(k)).alias(f"chi2_{k}") for k in (1, 2, 3)],
         tails.t_two_sided(stat, F.lit(100)).alias("t_100"),
         tails.f_tail(stat, F.lit(2), F.lit(60)).alias("f_2_60"))
