@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_bucket, minus_days
-from .ranks import planned_bytes
+from .ranks import planned_bytes, union
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -56,16 +56,18 @@ def left_star(base: DataFrame, features: list[tuple[DataFrame, str | list[str]]]
 
 def priority_coalesce(base: DataFrame, sources: list[tuple[DataFrame, str]], on: str,
                       value: str, label: str) -> DataFrame:
-    """First non-missing value over ranked sources, with the source's name."""
-    out = base
-    parts = []
-    for i, (df, name) in enumerate(sources):
-        out = out.join(df.select(on, F.col(value).alias(f"_v{i}")), on, "left")
-        parts.append((F.col(f"_v{i}"), name))
-    tags = [F.when(v.isNotNull(), F.lit(name)) for v, name in parts]
-    return (out.withColumn(value, F.coalesce(*[v for v, _ in parts]))
-            .withColumn(label, F.coalesce(*tags))
-            .drop(*[f"_v{i}" for i in range(len(parts))]))
+    """First non-missing value over ranked sources, with the source's name.
+
+    The sources meet in one narrow frame first, so the base is joined once however many
+    there are.
+    """
+    ranked = union([
+        df.select(on, F.lit(i).alias("_rank"), F.col(value), F.lit(name).alias(label))
+        for i, (df, name) in enumerate(sources)])
+    best = (ranked.filter(F.col(value).isNotNull()).groupBy(on)
+            .agg(F.min(F.struct("_rank", value, label)).alias("_best"))
+            .select(on, f"_best.{value}", f"_best.{label}"))
+    return base.join(best, on, "left")
 
 
 def lookback_keys(index: DataFrame, history: DataFrame, person: str, event: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -11,7 +11,7 @@ from ..functions.numeric import (any_flag, filtration_rate, flag, low_output, or
                                  phenotype, safe_ratio)
 from ..functions.text import any_of, daily_dose, first_pattern, mentions, unnegated_mention
 from ..operators.features import (distinct_flag, first_values, item_factor, key_flags,
-                                  windowed_sums)
+                                  windowed_sums, within)
 from ..operators.filters import code_match, plausible_range
 from ..operators.joins import (bridge, extract_for_keys, left_star, lookback_keys,
                                priority_coalesce, semi)
@@ -151,15 +151,29 @@ def iv_doses(src: Sources, stays: DataFrame, mode: str, empty=None) -> DataFrame
         {"iv_diuretic_dose_24h_mg": 24, "iv_diuretic_dose_72h_mg": 72}, mode, empty=empty)
 
 
-def infusion_flags(src: Sources, stays: DataFrame) -> DataFrame:
+def infusion_features(src: Sources, stays: DataFrame) -> DataFrame:
+    """Doses and drug-group flags per stay from one scan of the infusion events.
+
+    A dose is NULL for a stay without any event of its drugs, 0 if all of them lie
+    outside the horizon.
+    """
+    item, time, start = F.col("itemid"), F.col("starttime"), F.col("icu_intime")
+    diuretic = list(config.IV_DIURETIC_FACTORS)
     groups = {"vasopressor_use": config.VASOPRESSOR_ITEMS,
               "dobutamine_use": config.DOBUTAMINE_ITEMS,
               "milrinone_use": config.MILRINONE_ITEMS}
-    item = F.col("itemid")
-    every = sorted({i for items in groups.values() for i in items})
-    events = semi(src.table("inputevents", "stay_id", "itemid").filter(item.isin(every)),
-                  stays.select("stay_id").distinct(), "stay_id")
-    return key_flags(events, "stay_id", {n: item.isin(i) for n, i in groups.items()})
+    every = sorted({i for items in [diuretic, *groups.values()] for i in items})
+    events = src.table("inputevents").filter(item.isin(every)).join(
+        stays.select("stay_id", "icu_intime").distinct(), "stay_id")
+    amount = F.col("amount") * item_factor(item, config.IV_DIURETIC_FACTORS)
+
+    def dose(hours: int) -> Column:
+        counted = F.when(within(time, start, hours, "up_to"), amount).otherwise(0.0)
+        return F.sum(F.when(item.isin(diuretic), counted))
+
+    return events.groupBy("stay_id").agg(
+        *[dose(h).alias(f"iv_diuretic_dose_{h}h_mg") for h in (24, 72)],
+        *[F.max(flag(item.isin(items))).alias(name) for name, items in groups.items()])
 
 
 def device_stays(src: Sources, items: list[int], name: str) -> DataFrame:
@@ -238,8 +252,7 @@ def admission_table(src: Sources, cohort: DataFrame) -> DataFrame:
         (prior.withColumn("prior_hf_hospitalization_12mo", F.lit(1)), "hadm_id"),
         (note_features(src, keys), "hadm_id"),
         (urine_up_to(src, cohort), "stay_id"),
-        (iv_doses(src, cohort, "up_to", empty=0.0), "stay_id"),
-        (infusion_flags(src, cohort), "stay_id"),
+        (infusion_features(src, cohort), "stay_id"),
         (support, "stay_id"),
         (ventilated_stays(src), "stay_id"),
     ])
@@ -247,13 +260,12 @@ def admission_table(src: Sources, cohort: DataFrame) -> DataFrame:
                              "dbp_source")
     wide = wide.join(people, "subject_id")
 
-    zero = ["hx_hypertension", "afib_from_icd", "afib_from_ed", "afib_from_icu",
-            "prior_hf_hospitalization_12mo", "cs_from_icd", "cs_from_nlp", "esrd",
-            "chronic_advanced_ckd", "vasopressor_use", "dobutamine_use",
+    zero = ["hx_hypertension", "hx_diabetes", "afib_from_icd", "afib_from_ed",
+            "afib_from_icu", "prior_hf_hospitalization_12mo", "cs_from_icd", "cs_from_nlp",
+            "esrd", "chronic_advanced_ckd", "vasopressor_use", "dobutamine_use",
             "milrinone_use", "invasive_vent"]
-    wide = wide.withColumns({c: or_zero(F.col(c)) for c in zero})
     wide = wide.withColumns({
-        "hx_diabetes": or_zero(F.col("hx_diabetes")),
+        **{c: or_zero(F.col(c)) for c in zero},
         "hx_atrial_fibrillation": any_flag(
             [F.col(c) for c in ("afib_from_icd", "afib_from_ed", "afib_from_icu")]),
         "cardiogenic_shock": any_flag([F.col("cs_from_icd"), F.col("cs_from_nlp")]),

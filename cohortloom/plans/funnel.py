@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.text import mentions, section
 from ..operators.features import first_row
-from ..operators.filters import category_allowlist, code_match, require_not_null
+from ..operators.filters import category_allowlist, codeset_filter, require_not_null
 from ..operators.joins import semi
 from ..session import lazy
 from ..sources.tables import Sources
@@ -24,21 +24,24 @@ def stays_with_admission(src: Sources) -> DataFrame:
     return stays.join(admissions, "hadm_id")
 
 
-def coded_admissions(src: Sources, codes, top: int | None = None) -> DataFrame:
-    """Distinct admissions with a code of the set, optionally in the top positions."""
-    columns = ["hadm_id", "icd_code", "icd_version"] + (["seq_num"] if top else [])
-    dx = src.table("diagnoses_icd", *columns).filter(
-        code_match(F.col("icd_code"), F.col("icd_version"), codes))
-    if top:
-        dx = dx.filter(F.col("seq_num") <= top)
-    return dx.select("hadm_id").distinct()
+def coded_admissions(src: Sources, codes) -> DataFrame:
+    """Distinct admissions with a code of the set."""
+    dx = src.table("diagnoses_icd", "hadm_id", "icd_code", "icd_version")
+    return codeset_filter(dx, "icd_code", "icd_version", codes).select("hadm_id").distinct()
+
+
+STAY_COLUMNS = ["stay_id", "hadm_id", "subject_id", "first_careunit", "icu_intime",
+                "icu_outtime", "admittime", "dischtime", "hospital_expire_flag"]
+POSITION = "acute_hf_position"
 
 
 def step1(src: Sources) -> DataFrame:
-    coded = coded_admissions(src, config.CODE_SETS["acute_hf"])
-    columns = ["stay_id", "hadm_id", "subject_id", "first_careunit", "icu_intime",
-               "icu_outtime", "admittime", "dischtime", "hospital_expire_flag"]
-    return semi(stays_with_admission(src), coded, "hadm_id").select(*columns).distinct()
+    """Coded stays. The best position of a matching code rides along for step 5."""
+    codes = codeset_filter(src.table("diagnoses_icd"), "icd_code", "icd_version",
+                           config.CODE_SETS["acute_hf"])
+    best = codes.groupBy("hadm_id").agg(F.min("seq_num").alias(POSITION))
+    return (stays_with_admission(src).join(best, "hadm_id")
+            .select(*STAY_COLUMNS, POSITION).distinct())
 
 
 def step2(df: DataFrame) -> DataFrame:
@@ -66,10 +69,9 @@ def step4(df: DataFrame, src: Sources) -> DataFrame:
     return df.join(section_notes(src), "hadm_id").select(*df.columns, "med_section")
 
 
-def step5(df: DataFrame, src: Sources) -> DataFrame:
-    leading = coded_admissions(
-        src, config.CODE_SETS["acute_hf"], top=config.TOP_DIAGNOSIS_POSITION)
-    return semi(require_not_null(df, "med_section"), leading, "hadm_id").distinct()
+def step5(df: DataFrame) -> DataFrame:
+    leading = F.col(POSITION) <= config.TOP_DIAGNOSIS_POSITION
+    return require_not_null(df.filter(leading), "med_section").drop(POSITION).distinct()
 
 
 def step6(df: DataFrame, src: Sources) -> DataFrame:
@@ -101,7 +103,7 @@ def cohort_funnel(src: Sources, save=lazy) -> dict[str, DataFrame]:
     df = keep("step2", step2(df))
     df = keep("step3", step3(df, src))
     df = keep("step4", step4(df, src))
-    df = keep("step5", step5(df, src))
+    df = keep("step5", step5(df))
     df = keep("step6", step6(df, src))
     keep("step7", step7(df))
     return steps

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,32 +50,36 @@ class Data:
     def _analysis(self) -> DataFrame:
         return self.store.save(add_efficiency_labels(self.final), "analysis")
 
-    def _stored(self, attribute: str, probe: Callable[[], str]):
+    def _written(self, name: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{self.store.path(name)}/_SUCCESS")
+        files = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return files.exists(marker)
+
+    def _stored(self, attribute: str, name: str):
         """A stored table; written again if its files have gone."""
         value = getattr(self, attribute)
-        try:
-            self.spark.read.parquet(probe())
-        except AnalysisException:
+        if not self._written(name):
             del self.__dict__[attribute]
             value = getattr(self, attribute)
         return value
 
     @property
     def steps(self) -> dict[str, DataFrame]:
-        return self._stored("_steps", lambda: self.store.path("step7"))
+        return self._stored("_steps", "step7")
 
     @property
     def wide(self) -> DataFrame:
-        return self._stored("_wide", lambda: self.store.path("admission"))
+        return self._stored("_wide", "admission")
 
     @property
     def final(self) -> DataFrame:
-        return self._stored("_final", lambda: self.store.path("final"))
+        return self._stored("_final", "final")
 
     @property
     def analysis(self) -> DataFrame:
         """The final cohort with the efficiency labels every analysis shares."""
-        return self._stored("_analysis", lambda: self.store.path("analysis"))
+        return self._stored("_analysis", "analysis")
 
 
 _DATA: dict[tuple[str, str], Data] = {}

@@ -336,7 +336,7 @@ def trim_above_quantile(d: Data) -> DataFrame:
 
 @query("inner_equi_chain", f"SELECT {ov.STAY_COLUMNS} FROM step1")
 def inner_equi_chain(d: Data) -> DataFrame:
-    return funnel.step1(d.src)
+    return funnel.step1(d.src).select(*funnel.STAY_COLUMNS)
 
 
 @query("semi_via_distinct", """SELECT i.stay_id, i.hadm_id FROM icustays i
