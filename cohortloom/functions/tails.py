@@ -2,6 +2,8 @@
 
 They act on one-row-per-test frames, so the iterations (a higher-order ``aggregate``
 over a short sequence) cost nothing that matters, and no Python worker is needed.
+Arguments are bound with :func:`_let` before they are used many times over: written out
+in full, the expressions would grow faster than the planner can handle.
 """
 
 from __future__ import annotations
@@ -32,14 +34,24 @@ def _guard(x: Column) -> Column:
     return F.when(F.abs(x) < TINY, F.lit(TINY)).otherwise(x)
 
 
+def _let(body, *values: Column) -> Column:
+    """``body`` of the values, each evaluated once (a one-element transform)."""
+    bound = F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(
+        F.array(bound), lambda r: body(*[r[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def log_gamma(x: Column) -> Column:
     """Log gamma for x >= 0.5."""
-    z = x - 1.0
-    series = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], 1):
-        series = series + F.lit(c) / (z + F.lit(float(i)))
-    t = z + 7.5
-    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+    def body(z: Column) -> Column:
+        series = F.lit(LANCZOS[0])
+        for i, c in enumerate(LANCZOS[1:], 1):
+            series = series + F.lit(c) / (z + F.lit(float(i)))
+        t = z + 7.5
+        return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+    return _let(body, x - 1.0)
 
 
 def _lentz(start: Column, size: Column, pair) -> Column:
@@ -47,51 +59,64 @@ def _lentz(start: Column, size: Column, pair) -> Column:
     state = F.struct(start.alias("h"), start.alias("c"), F.lit(0.0).alias("d"))
 
     def step(acc: Column, i: Column) -> Column:
+        def update(h, c, d, a, b):
+            new_d = F.lit(1.0) / _guard(b + a * d)
+            new_c = _guard(b + a / c)
+            return F.struct((h * new_c * new_d).alias("h"), new_c.alias("c"), new_d.alias("d"))
+
         a, b = pair(i.cast("double"))
-        d = F.lit(1.0) / _guard(b + a * acc["d"])
-        c = _guard(b + a / acc["c"])
-        return F.struct((acc["h"] * c * d).alias("h"), c.alias("c"), d.alias("d"))
+        return _let(update, acc["h"], acc["c"], acc["d"], a, b)
 
     return F.aggregate(_steps(size), state, step)["h"]
 
 
 def upper_gamma(a: Column, x: Column) -> Column:
     """Regularized upper incomplete gamma Q(a, x)."""
-    front = F.exp(a * F.log(x) - x - log_gamma(a))
-    # series for the lower part, used for small x
-    first = F.lit(1.0) / a
 
-    def term(acc: Column, i: Column) -> Column:
-        t = acc["t"] * x / (a + i.cast("double"))
-        return F.struct((acc["s"] + t).alias("s"), t.alias("t"))
+    def body(a: Column, x: Column) -> Column:
+        front = F.exp(a * F.log(x) - x - log_gamma(a))
+
+        def term(acc: Column, i: Column) -> Column:
+            t = acc["t"] * x / (a + i.cast("double"))
+            return F.struct((acc["s"] + t).alias("s"), t.alias("t"))
+
+        # series for the lower part, used for small x
+        first = F.lit(1.0) / a
+        lower = front * F.aggregate(
+            _steps(a), F.struct(first.alias("s"), first.alias("t")), term)["s"]
+        # continued fraction for the upper part, used for large x
+        upper = front / _lentz(
+            _guard(x + 1.0 - a), a, lambda i: (-i * (i - a), x + 2.0 * i + 1.0 - a))
+        return (F.when(x <= 0, F.lit(1.0)).when(x < a + 1.0, 1.0 - lower).otherwise(upper))
+
+    return _let(body, a, x)
 
-    lower = front * F.aggregate(
-        _steps(a), F.struct(first.alias("s"), first.alias("t")), term)["s"]
-    # continued fraction for the upper part, used for large x
-    start = _guard(x + 1.0 - a)
-    fraction = _lentz(start, a, lambda i: (-i * (i - a), x + 2.0 * i + 1.0 - a))
-    upper = front / fraction
-    return (F.when(x <= 0, F.lit(1.0)).when(x < a + 1.0, 1.0 - lower).otherwise(upper))
+
+def _beta_fraction(p: Column, q: Column, u: Column) -> Column:
+    def pair(i: Column):
+        m = F.floor(i / 2.0).cast("double")
+        even = m * (q - m) * u / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
+        odd = -(p + m) * (p + q + m) * u / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
+        return F.when(i % 2.0 == 0.0, even).otherwise(odd), F.lit(1.0)
+
+    return F.lit(1.0) / _lentz(F.lit(1.0), F.greatest(p, q), pair)
 
 
 def lower_beta(a: Column, b: Column, x: Column) -> Column:
     """Regularized incomplete beta I_x(a, b)."""
 
-    def fraction(p: Column, q: Column, u: Column) -> Column:
-        def pair(i: Column):
-            m = F.floor(i / 2.0).cast("double")
-            even = m * (q - m) * u / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
-            odd = -(p + m) * (p + q + m) * u / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
-            return F.when(i % 2.0 == 0.0, even).otherwise(odd), F.lit(1.0)
+    def body(a: Column, b: Column, x: Column) -> Column:
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+                      + a * F.log(x) + b * F.log(1.0 - x))
+        # the fraction converges on one side of the mean; the other side is mirrored
+        direct = x < (a + 1.0) / (a + b + 2.0)
+        p, q = F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a)
+        u = F.when(direct, x).otherwise(1.0 - x)
+        part = _let(lambda f, p, q, u: f * _beta_fraction(p, q, u) / p, front, p, q, u)
+        return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
+                .when(direct, part).otherwise(1.0 - part))
 
-        return F.lit(1.0) / _lentz(F.lit(1.0), F.greatest(p, q), pair)
-
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b)
-                  + a * F.log(x) + b * F.log(1.0 - x))
-    direct = front * fraction(a, b, x) / a
-    mirrored = 1.0 - front * fraction(b, a, 1.0 - x) / b
-    inside = F.when(x < (a + 1.0) / (a + b + 2.0), direct).otherwise(mirrored)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+    return _let(body, a, b, x)
 
 
 def chi2_tail(stat: Column, df: Column) -> Column:
@@ -106,14 +131,20 @@ def normal_two_sided(z: Column) -> Column:
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """2 * P(T > |t|)."""
-    df = df.cast("double")
-    exact = lower_beta(df / 2.0, F.lit(0.5), df / (df + t * t))
-    return (F.when(t.isNull(), F.lit(None).cast("double"))
-            .when(df > NORMAL_FROM, normal_two_sided(t)).otherwise(exact))
+
+    def body(t: Column, df: Column) -> Column:
+        exact = lower_beta(df / 2.0, F.lit(0.5), df / (df + t * t))
+        return (F.when(t.isNull() | df.isNull(), F.lit(None).cast("double"))
+                .when(df > NORMAL_FROM, normal_two_sided(t)).otherwise(exact))
+
+    return _let(body, t, df)
 
 
 def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
     """P(F > stat)."""
-    df1, df2 = df1.cast("double"), df2.cast("double")
-    return F.when(stat.isNotNull(),
-                  lower_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * stat)))
+
+    def body(stat: Column, df1: Column, df2: Column) -> Column:
+        return F.when(stat.isNotNull(), lower_beta(
+            df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * stat)))
+
+    return _let(body, stat, df1, df2)
