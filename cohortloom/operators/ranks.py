@@ -43,8 +43,10 @@ def value_key(value: Column, bits: int) -> Column:
     scaled = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
     place = F.floor(scaled * F.lit(float(2 ** bits))).cast("bigint")
     key = (exponent + F.lit(1100)).cast("bigint") * F.lit(2 ** (bits + 2)) + place
-    return (F.when(value > 0, key).when(value < 0, -key)
-            .otherwise(F.lit(0).cast("bigint")))
+    # never NULL in the planner's eyes: joins on the key then add no filter of their own,
+    # and the branches of one histogram keep the same plan and share its exchange
+    return F.coalesce(F.when(value > 0, key).when(value < 0, -key),
+                      F.lit(0).cast("bigint"))
 
 
 def _window(keys: list[str]):
@@ -109,7 +111,8 @@ def prefix_sums(hist: DataFrame, value: str, measures: list[str], by: list[str]
 def histogram(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """Distinct rows with their count (or summed weight) ``n``; NULL rows dropped."""
     count = F.sum(weight) if weight else F.count("*")
-    return df.dropna(subset=columns).groupBy(*columns).agg(count.alias("n"))
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return df.filter(present).groupBy(*columns).agg(count.alias("n"))
 
 
 def mean_rank() -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ def score_histogram(df: DataFrame, score: str, event: str, by: list[str] = (),
                     weight: str | None = None) -> DataFrame:
     """Events ``p`` and non-events ``q`` at each score value; NULLs dropped."""
     w = F.col(weight) if weight else F.lit(1)
-    return (df.dropna(subset=[*by, score, event]).groupBy(*by, score)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, score, event]])
+    return (df.filter(present).groupBy(*by, score)
             .agg(F.sum(F.col(event) * w).cast("bigint").alias("p"),
                  F.sum((1 - F.col(event)) * w).cast("bigint").alias("q")))
 
