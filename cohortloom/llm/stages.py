@@ -3,26 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
-from .common import keep_rows, prepare
+from . import exact_dedup, mixing, pieces, simhash
+from . import quality as classifier
+from .common import keep_rows, prepare, read_table
+from .registry import PIECE_MODEL, vocabulary
+
+#: Columns of the documents table, which all stages but the last return.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = read_table(prepare(spark), sf_dir, "labels")
+    return classifier.score_documents(docs, labels, COLUMNS).filter("accepted").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: the one with the largest doc_id."""
     prepare(spark)
-    return keep_rows(docs, exact_dedup.exact_groups(docs).filter("kept"))
+    return keep_rows(docs.select(*COLUMNS), exact_dedup.exact_groups(docs).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each SimHash component stays: the one with the smallest doc_id."""
-    from pyspark.sql import functions as F
-
     prepare(spark)
-    groups = simhash.simhash_groups(docs)
-    first = groups.groupBy("component_id").agg(
+    first = simhash.simhash_groups(docs).groupBy("component_id").agg(
         F.min(F.struct("doc_id", "text_sha256")).alias("first")).select("first.*")
-    return keep_rows(docs, first)
+    return keep_rows(docs.select(*COLUMNS), first)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, in order of training position."""
+    prepare(spark)
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
-quality = mix = encode = None
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every row."""
+    return pieces.encode_documents(docs, vocabulary(PIECE_MODEL))
