@@ -60,6 +60,20 @@ def test_lost_table_is_written_again(spark, data):
     assert own.steps["step7"].count() == n
 
 
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_every_document_is_in_exactly_one_note(spark, scale):
+    from pyspark.sql import functions as F
+
+    from cohortloom.sources.overlay import overlay_sources
+
+    folder = f"/root/testdata/sf{scale}"
+    notes = overlay_sources(spark, folder).table("discharge").filter("note_id > 0")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    assert notes.count() == docs.count()
+    whole = docs.join(notes.withColumnRenamed("text", "note"), docs.doc_id * 10 + 1 == notes.note_id)
+    assert whole.filter(F.startswith("note", "text")).count() == docs.count()
+
+
 def test_text_is_dropped_before_a_shuffled_join(spark, data):
     notes = data.table("discharge")
     keys = data.table("admissions", "hadm_id")  # a join's output: size unknown
