@@ -20,13 +20,13 @@ LANCZOS = [
     9.9843695780195716e-6, 1.5056327351493116e-7,
 ]
 TINY = 1e-300
-# beyond this many degrees of freedom the t distribution is taken as normal
-NORMAL_FROM = 1e6
+# from this size on, gamma quotients come from Stirling's series
+STIRLING_FROM = 50.0
 
 
 def _steps(size: Column) -> Column:
     """Iterations: convergence takes on the order of the square root of the size."""
-    count = F.least(F.lit(60.0) + 6.0 * F.sqrt(size), F.lit(8000.0))
+    count = F.lit(60.0) + 6.0 * F.sqrt(size)
     return F.sequence(F.lit(1), F.ceil(count).cast("int"))
 
 
@@ -54,6 +54,24 @@ def log_gamma(x: Column) -> Column:
     return _let(body, x - 1.0)
 
 
+def log_gamma_quotient(a: Column, b: Column) -> Column:
+    """log(gamma(a + b) / (gamma(a) gamma(b))) without cancellation where one side is large."""
+
+    def body(a: Column, b: Column) -> Column:
+        large, small = F.greatest(a, b), F.least(a, b)
+        total = large + small
+
+        def rest(z: Column) -> Column:
+            return 1 / (12.0 * z) - 1 / (360.0 * z * z * z) + 1 / (1260.0 * F.pow(z, F.lit(5.0)))
+
+        growth = ((large - 0.5) * F.log1p(small / large) + small * F.log(total) - small
+                  + rest(total) - rest(large))
+        plain = log_gamma(total) - log_gamma(large)
+        return F.when(large >= STIRLING_FROM, growth).otherwise(plain) - log_gamma(small)
+
+    return _let(body, a, b)
+
+
 def _lentz(start: Column, size: Column, pair) -> Column:
     """Modified Lentz evaluation; ``pair(i)`` gives the i-th numerator, denominator."""
     state = F.struct(start.alias("h"), start.alias("c"), F.lit(0.0).alias("d"))
@@ -102,21 +120,22 @@ def _beta_fraction(p: Column, q: Column, u: Column) -> Column:
     return F.lit(1.0) / _lentz(F.lit(1.0), F.greatest(p, q), pair)
 
 
-def lower_beta(a: Column, b: Column, x: Column) -> Column:
-    """Regularized incomplete beta I_x(a, b)."""
+def lower_beta(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Regularized incomplete beta I_x(a, b); ``y`` is 1 - x, exact where x is near 1."""
 
-    def body(a: Column, b: Column, x: Column) -> Column:
-        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b)
-                      + a * F.log(x) + b * F.log(1.0 - x))
+    def body(a: Column, b: Column, x: Column, y: Column) -> Column:
+        log_x = F.when(x > 0.5, F.log1p(-y)).otherwise(F.log(x))
+        log_y = F.when(y > 0.5, F.log1p(-x)).otherwise(F.log(y))
+        front = F.exp(log_gamma_quotient(a, b) + a * log_x + b * log_y)
         # the fraction converges on one side of the mean; the other side is mirrored
         direct = x < (a + 1.0) / (a + b + 2.0)
         p, q = F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a)
-        u = F.when(direct, x).otherwise(1.0 - x)
+        u = F.when(direct, x).otherwise(y)
         part = _let(lambda f, p, q, u: f * _beta_fraction(p, q, u) / p, front, p, q, u)
-        return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
+        return (F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0))
                 .when(direct, part).otherwise(1.0 - part))
 
-    return _let(body, a, b, x)
+    return _let(body, a, b, x, y)
 
 
 def chi2_tail(stat: Column, df: Column) -> Column:
@@ -133,9 +152,9 @@ def t_two_sided(t: Column, df: Column) -> Column:
     """2 * P(T > |t|)."""
 
     def body(t: Column, df: Column) -> Column:
-        exact = lower_beta(df / 2.0, F.lit(0.5), df / (df + t * t))
-        return (F.when(t.isNull() | df.isNull(), F.lit(None).cast("double"))
-                .when(df > NORMAL_FROM, normal_two_sided(t)).otherwise(exact))
+        square = t * t
+        return F.when(t.isNotNull() & df.isNotNull(), lower_beta(
+            df / 2.0, F.lit(0.5), df / (df + square), square / (df + square)))
 
     return _let(body, t, df)
 
@@ -145,6 +164,6 @@ def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
 
     def body(stat: Column, df1: Column, df2: Column) -> Column:
         return F.when(stat.isNotNull(), lower_beta(
-            df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * stat)))
+            df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * stat), df1 * stat / (df2 + df1 * stat)))
 
     return _let(body, stat, df1, df2)

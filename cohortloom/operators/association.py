@@ -40,12 +40,12 @@ def rank_sums(df: DataFrame, group: str, value: str, by: list[str] = (),
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (),
-             weight: str | None = None, bounded_x: bool | None = True,
+             weight: str | None = None, bounded_x: bool = False,
              p_value: bool = True) -> DataFrame:
     """Tie-averaged rank correlation per group: n, rho, p.
 
-    ``x`` is the side with fewer distinct values (a score); set ``bounded_x`` False if
-    it too may hold any number of them.
+    ``x`` is the side with fewer distinct values; ``bounded_x`` declares it a score of few
+    levels.
     """
     by = list(by)
     levels = rank_sums(df, x, y, by, weight)
@@ -87,7 +87,10 @@ def ordered_pairs(cells: DataFrame, index: str, bits: int, y: str,
     rows with digit 0. Each digit is an ordinary prefix sum; no pair is ever formed.
     """
     by = list(by)
-    i = F.col(index).cast("int")
+    inside = (F.col(index) >= 0) & (F.col(index) < 2 ** bits) & (
+        F.floor(F.col(index)) == F.col(index))
+    outside = F.raise_error(F.lit(f"index is not an integer in [0, 2**{bits})"))
+    i = F.when(inside, F.col(index).cast("int")).otherwise(outside.cast("int"))
     digits = F.sequence(F.lit(0), F.lit(bits - 1))
     split = (cells.select(*by, y, "n", i.alias("_i"), F.explode(digits).alias("_digit"))
              .withColumn("_head", F.expr("shiftright(_i, _digit + 1)"))

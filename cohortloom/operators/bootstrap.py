@@ -4,8 +4,8 @@ A row's weight in replicate b depends only on its id, b and the seed, so any tas
 recompute it: no resample is ever drawn centrally or stored, and a lost executor's
 work repeats exactly. The weight is whole-number arithmetic that plain SQL can repeat.
 
-Metrics that need class counts or moments (AUROC, AUPRC, Pearson) add weights up per
-replicate on the map side; only (replicate, score level) sums are shuffled. Metrics on
+Metrics that need class counts only (AUROC, AUPRC) draw one weight per (score, class) cell
+and replicate. Moments (Pearson) add row weights up per replicate on the map side. Metrics on
 ranks of a continuous outcome (Spearman, concordance) cut the rows once into chunks of
 consecutive outcome values. A chunk works out its own part for a block of replicates
 with array operations; positions between chunks follow from the chunks' weight totals.
@@ -22,25 +22,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .association import ordered_pairs
-from .ranks import histogram, is_small, mean_rank, prefix_sums
+from .ranks import histogram, mean_rank, prefix_sums
 from .roc import discrimination_from
 
 PRIME = 2147483647
 
 
-def _poisson_limits(count: int = 12) -> list[int]:
-    """PRIME * P(Poisson(1) <= k), rounded down: a draw below the k-th has weight <= k."""
-    out, term, total = [], math.exp(-1.0), 0.0
+def _poisson_limits(mean: float = 1.0, count: int = 12) -> list[int]:
+    """PRIME * P(Poisson(mean) <= k), rounded down: a draw below the k-th has weight <= k.
+
+    Weights from ``count`` on are rarer than one draw in PRIME where the list ends.
+    """
+    out, term, total = [], math.exp(-mean), 0.0
     for k in range(count):
         total += term
         out.append(int(total * PRIME))
-        term /= k + 1
+        term *= mean / (k + 1)
     return out
 
 
 LIMITS = _poisson_limits()
-CHUNK_ROWS = 65536
-REPLICATE_BLOCKS = 8
+#: Limits of the sum of n weights, for n from 1 on; larger sums go by the normal draw.
+CELL_LIMITS = [_poisson_limits(float(n), 13 + 6 * n) for n in range(1, 17)]
+CHUNK_ROWS = 16384
 
 
 def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFrame:
@@ -53,7 +57,8 @@ def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFr
     p = F.lit(PRIME).cast("bigint")
     a, b = F.col("_rid"), F.col(replicate).cast("bigint")
     x = F.col("_draw")
-    step = df.withColumn("_rid", F.pmod(F.col(row_id).cast("bigint"), p))
+    rid = F.col(row_id).cast("bigint")
+    step = df.withColumn("_rid", F.pmod(rid + F.shiftright(rid, 31) * 40692, p))
     step = step.withColumn("_draw", (a * 48271 + b * 69621 + seed) % p)
     step = step.withColumn("_draw", (x * x + a) % p)
     step = step.withColumn("_draw", (x * 16807 + b * 39373) % p)
@@ -67,7 +72,8 @@ def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFr
 
 def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """The same weights as :func:`add_weights`, rows by replicates."""
-    a = np.mod(ids.astype(np.int64), PRIME)[:, None]
+    ids = ids.astype(np.int64)
+    a = np.mod(ids + (ids >> 31) * 40692, PRIME)[:, None]
     b = replicates.astype(np.int64)[None, :]
     x = (a * 48271 + b * 69621 + seed) % PRIME
     x = (x * x + a) % PRIME
@@ -111,17 +117,54 @@ def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid:
         n.alias("n_valid"))
 
 
-def discrimination_replicates(df: DataFrame, row_id: str, score: str, event: str,
-                              resamples: int, seed: int, by: list[str] = (),
-                              bounded: bool = True) -> DataFrame:
-    """by, b, auroc, auprc; replicates lacking a class have NULL."""
+def cell_key(columns: list[str]) -> Column:
+    """A whole number below 2**28 that stands for a cell, from its columns as text."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("bigint")
+
+
+def add_cell_weights(cells: DataFrame, key: str, count: str, replicate: str,
+                     seed: int) -> DataFrame:
+    """Adds ``w``, the summed weight of ``count`` rows of a cell in a replicate.
+
+    The sum of n independent Poisson(1) weights is Poisson(n): up to 16 by its own limits,
+    beyond by a normal draw with the correction for its skew.
+    """
+    p = F.lit(PRIME).cast("bigint")
+    a, b, x = F.col(key), F.col(replicate).cast("bigint"), F.col("_draw")
+    step = cells.withColumn("_draw", (a * 48271 + b * 69621 + seed) % p)
+    step = step.withColumn("_draw", (x * x + a) % p)
+    step = step.withColumn("_draw", (x * 16807 + b * 39373) % p)
+    step = step.withColumn("_first", (x * x + b) % p)
+    step = step.withColumn("_draw", (F.col("_first") * F.col("_first") + F.col("_first") * 16807 + a) % p)
+    step = step.withColumn("_draw", (x * 48271 + 11) % p)
+    n = F.col(count).cast("double")
+    z = (F.sqrt(-2.0 * F.log((F.col("_first") + 1).cast("double") / PRIME))
+         * F.cos(x.cast("double") * (2 * math.pi / PRIME)))
+    step = step.withColumn("_z", z)
+    z = F.col("_z")
+    many = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * z + (z * z - 1) / 6))
+    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in CELL_LIMITS])
+    few = F.size(F.filter(F.get(table, F.col(count).cast("int") - 1), lambda t: t <= F.col("_draw")))
+    return step.withColumn("w", F.when(F.col(count) <= len(CELL_LIMITS), few.cast("bigint"))
+                           .otherwise(many.cast("bigint"))).drop("_draw", "_first", "_z")
+
+
+def discrimination_replicates(df: DataFrame, score: str, event: str, resamples: int,
+                              seed: int, by: list[str] = (), bounded: bool = False) -> DataFrame:
+    """by, b, auroc, auprc; replicates lacking a class have NULL.
+
+    Both depend on the rows of each (score, event) cell only, so a replicate draws one
+    weight per cell: the work is cells times replicates, however many rows there are.
+    """
     by = list(by)
-    rows = replicated(df.dropna(subset=[*by, score, event]), row_id,
-                      [*by, score, event], resamples, seed)
+    cells = histogram(df, [*by, score, event])
+    keyed = cells.withColumn("_cell", cell_key([*by, score, event]))
+    spread = keyed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    rows = add_cell_weights(spread, "_cell", "n", "b", seed)
     e, w = F.col(event), F.col("w")
     hist = rows.groupBy(*by, "b", score).agg(
-        F.sum(e * w).cast("bigint").alias("p"),
-        F.sum((1 - e) * w).cast("bigint").alias("q"))
+        F.sum(e * w).cast("bigint").alias("p"), F.sum((1 - e) * w).cast("bigint").alias("q"))
     return discrimination_from(hist, score, [*by, "b"], bounded)
 
 
@@ -147,14 +190,13 @@ def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: in
     return rows.groupBy(*by, "b").agg(F.when(spread > 0, cov / F.sqrt(spread)).alias("pearson"))
 
 
-def _chunk_part(pdf: pd.DataFrame, by: list[str], resamples: int, blocks: int,
-                seed: int, concordance: bool) -> pd.DataFrame:
+def _chunk_part(pdf: pd.DataFrame, by: list[str], resamples: int, seed: int,
+                concordance: bool) -> pd.DataFrame:
     """One chunk's weight totals and within-chunk rank sums per level and replicate."""
     pdf = pdf.sort_values("_y", kind="stable")
     y, level = pdf["_y"].to_numpy(), pdf["_x"].to_numpy()
     ids = pdf["_id"].to_numpy()
-    block = int(pdf["_block"].iloc[0])
-    replicates = np.arange(1, resamples + 1)[block::blocks]
+    replicates = np.arange(1, resamples + 1)
     levels, place = np.unique(level, return_inverse=True)
     starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
     tie = np.cumsum(np.r_[True, y[1:] != y[:-1]]) - 1
@@ -202,7 +244,7 @@ def _chunk_part(pdf: pd.DataFrame, by: list[str], resamples: int, blocks: int,
 
 
 def chunked_rows(df: DataFrame, row_id: str, x: str, y: str, by: list[str],
-                 chunk_rows: int, blocks: int) -> DataFrame:
+                 chunk_rows: int) -> DataFrame:
     """Rows with their chunk of consecutive ``y`` values, none much over the size.
 
     A value tied across more than a chunk closes its chunk as a part of its own
@@ -218,26 +260,27 @@ def chunked_rows(df: DataFrame, row_id: str, x: str, y: str, by: list[str],
         F.ceil(F.col("n") / F.lit(chunk_rows)).cast("bigint").alias("_parts"))
     salt = F.when(F.col("_hot") == 1, F.pmod("_id", "_parts")).otherwise(F.lit(0))
     return (rows.join(places, [*by, "_y"])
-            .withColumn("_salt", salt.cast("bigint")).drop("_parts")
-            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+            .withColumn("_salt", salt.cast("bigint")).drop("_parts"))
 
 
 def chunk_totals(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
                  by: list[str] = (), concordance: bool = False,
-                 chunk_rows: int = CHUNK_ROWS, blocks: int = REPLICATE_BLOCKS) -> DataFrame:
-    """by, chunk, level, replicate: weight totals and within-chunk sums."""
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """by, chunk, level, replicate: weight totals and within-chunk sums.
+
+    Each row is shuffled to its chunk once; the replicates are a loop inside.
+    """
     by = list(by)
-    blocks = min(blocks, resamples)
-    rows = chunked_rows(df, row_id, x, y, by, chunk_rows, blocks)
+    rows = chunked_rows(df, row_id, x, y, by, chunk_rows)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     keys = ", ".join(f"`{c}` {types[c]}" for c in [*by, "_chunk", "_hot"])
     schema = (f"{keys}, _x double, b int, w double, first double, second double, "
               "pairs double, same_y double, same_both double")
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chunk_part(pdf, by, resamples, blocks, seed, concordance)
+        return _chunk_part(pdf, by, resamples, seed, concordance)
 
-    found = rows.groupBy(*by, "_chunk", "_hot", "_salt", "_block").applyInPandas(part, schema)
+    found = rows.groupBy(*by, "_chunk", "_hot", "_salt").applyInPandas(part, schema)
     sums = ["w", "first", "second", "pairs", "same_y", "same_both"]
     merged = found.groupBy(*by, "_chunk", "_hot", "_x", "b").agg(
         *[F.sum(c).alias(c) for c in sums])
@@ -256,76 +299,16 @@ def chunk_totals(df: DataFrame, row_id: str, x: str, y: str, resamples: int, see
         "same_both": F.when(hot, w * w).otherwise(F.col("same_both"))})
 
 
-def _whole_group(pdf: pd.DataFrame, by: list[str], resamples: int, blocks: int, seed: int,
-                 concordance: bool) -> pd.DataFrame:
-    """Rank metrics of one group that fits a task, for one block of replicates."""
-    part = _chunk_part(pdf.assign(_chunk=0, _hot=0), by, resamples, blocks, seed, concordance)
-    table = part.pivot(index="_x", columns="b").fillna(0.0)
-    n = table["w"].to_numpy()
-    total = n.sum(axis=0)
-    shift = -(total + 1) / 2
-    first, second = table["first"].to_numpy(), table["second"].to_numpy()
-    d_sum = first + n * shift
-    d_square = (second + 2 * shift * first + n * shift * shift).sum(axis=0)
-    d = np.cumsum(n, axis=0) - (n - 1) / 2 + shift
-    spread = (n * d * d).sum(axis=0) * d_square
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rho = np.where(spread > 0, (d * d_sum).sum(axis=0) / np.sqrt(spread), np.nan)
-        permissible = (total * total - table["same_y"].to_numpy().sum(axis=0)) / 2
-        ties = ((n * n).sum(axis=0) - table["same_both"].to_numpy().sum(axis=0)) / 2
-        pairs = table["pairs"].to_numpy().sum(axis=0)
-        c = np.where(permissible > 0, (pairs + ties / 2) / permissible, np.nan)
-    out = pd.DataFrame({"b": table["w"].columns.astype("int32"), "spearman": rho, "c_index": c})
-    for key in by:
-        out[key] = pdf[key].iloc[0]
-    return out[[*by, "b", "spearman", "c_index"]]
-
-
-def small_rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
-                          seed: int, by: list[str], concordance: bool,
-                          blocks: int = REPLICATE_BLOCKS) -> DataFrame:
-    """:func:`rank_replicates` for groups that fit a task: one shuffle, one pass."""
-    blocks = min(blocks, resamples)
-    rows = df.dropna(subset=[*by, x, y]).select(
-        *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
-        F.col(y).cast("double").alias("_y"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    keys = "".join(f"`{c}` {types[c]}, " for c in by)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _whole_group(pdf, by, resamples, blocks, seed, concordance)
-
-    found = rows.groupBy(*by, "_block").applyInPandas(
-        whole, f"{keys}b int, spearman double, c_index double")
-    out = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double"))
-                             for c in ("spearman", "c_index")})
-    return out if concordance else out.drop("c_index")
-
-
 def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
                     by: list[str] = (), concordance: bool = False, bits: int | None = None,
-                    small: bool | None = None, chunk_rows: int = CHUNK_ROWS,
-                    blocks: int = REPLICATE_BLOCKS) -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """by, b, spearman (and c_index): rank metrics of every replicate.
 
     ``x`` is a score with a bounded number of levels; for concordance an integer in
-    [0, 2**bits). A group goes to one task per block of replicates only if the planner
-    sizes the whole input as small (``small`` None); else it is cut into chunks.
+    [0, 2**bits). Groups of any size: their rows are cut into chunks.
     """
     by = list(by)
-    if is_small(df) if small is None else small:
-        return small_rank_replicates(df, row_id, x, y, resamples, seed, by, concordance, blocks)
-    return chunked_rank_replicates(df, row_id, x, y, resamples, seed, by, concordance, bits,
-                                   chunk_rows, blocks)
-
-
-def chunked_rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
-                            seed: int, by: list[str], concordance: bool, bits: int | None,
-                            chunk_rows: int, blocks: int) -> DataFrame:
-    """:func:`rank_replicates` for groups of any size."""
-    totals = chunk_totals(df, row_id, x, y, resamples, seed, by, concordance,
-                          chunk_rows, blocks)
+    totals = chunk_totals(df, row_id, x, y, resamples, seed, by, concordance, chunk_rows)
     place = (F.col("_chunk") * 2 + F.col("_hot")).alias("_place")
     chunks = totals.groupBy(*by, "b", place).agg(F.sum("w").alias("_whole"))
     before = Window.partitionBy(*by, "b").orderBy("_place").rowsBetween(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import histogram, prefix_sums, quantile, quantile_aggregates, quantiles
 
+GRID_STEP = 1 << 16
 
-def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool | None = None,
+
+def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool = False,
              qs: dict[str, float] | None = None) -> DataFrame:
     """n, mean, sd, median, q1, q3, min, max (and adjusted skew) per group, exactly.
 
@@ -36,7 +38,7 @@ def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool | None
 
 
 def percentiles(df: DataFrame, value: str, points: list[float], by: list[str] = (),
-                bounded: bool | None = None) -> DataFrame:
+                bounded: bool = False) -> DataFrame:
     """Long form: by, percentile (0-100), value."""
     names = {f"_q{i}": p / 100 for i, p in enumerate(points)}
     wide = quantiles(df, value, names, by, bounded)
@@ -70,18 +72,23 @@ def cohort_overview(df: DataFrame, subject: str, event: str, value: str) -> Data
 def frequency_table(df: DataFrame, value: str) -> DataFrame:
     """Count, percent and cumulative percent for every integer between min and max.
 
-    Built on the value's histogram (a bounded integer score): values that do not occur
-    are filled in with 0.
+    Built on the value's histogram: values that do not occur are filled in with 0, in
+    runs of ``GRID_STEP`` that are dealt over the tasks.
     """
     hist = histogram(df, [value])
-    span = hist.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("total"))
-    grid = span.select(F.explode(F.sequence("lo", "hi")).alias(value), "total")
+    span = hist.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    step = F.lit(GRID_STEP).cast("bigint")
+    starts = span.select(F.explode(F.sequence(
+        F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), step)).alias("_from"), "hi")
+    ends = F.least(F.col("_from") + step - 1, F.col("hi").cast("bigint"))
+    grid = (starts.withColumn("_to", ends).repartition("_from")
+            .select(F.explode(F.sequence("_from", "_to")).alias("_v"))
+            .select(F.col("_v").cast(hist.schema[value].dataType).alias(value)))
     filled = grid.join(hist, value, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    running = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("total").cast("double")
-    return filled.select(
+    total = F.col("n_total").cast("double")
+    return prefix_sums(filled, value, ["n"]).select(
         value, F.col("n").cast("bigint").alias("n"), (F.col("n") * 100 / total).alias("percent"),
-        (F.sum("n").over(running) * 100 / total).alias("cumulative_percent"))
+        ((F.col("n_below") + F.col("n_at")) * 100 / total).alias("cumulative_percent"))
 
 
 def bin_counts(df: DataFrame, value: str, width: float = 1.0, by: list[str] = ()) -> DataFrame:

@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_bucket, minus_days
-from .ranks import planned_bytes, union
+from .ranks import union
+
+
+#: Bytes that a broadcast key takes, with its share of the hash table.
+KEY_BYTES = 32
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -30,11 +34,12 @@ def extract_for_keys(texts: DataFrame, keys: DataFrame, on: str,
                      extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Extract narrow columns from wide text rows of the wanted keys.
 
-    Wide text must never be shuffled. If the (unique) keys fit the broadcast limit,
-    rows are dropped before the extraction; otherwise the extraction runs at the
+    Wide text must never be shuffled. If the (unique) keys, counted, fit the broadcast
+    limit, rows are dropped before the extraction; otherwise the extraction runs at the
     scan and only its narrow result takes part in the shuffled join.
     """
-    if planned_bytes(keys) <= broadcast_limit(keys):
+    most = broadcast_limit(keys) // KEY_BYTES
+    if keys.select(on).limit(most + 1).count() <= most:
         return extract(texts.join(F.broadcast(keys), on, "left_semi"))
     return extract(texts).join(keys, on)
 

@@ -1,12 +1,11 @@
 """Ordered running totals, ranks and exact quantiles without a one-task window.
 
 All order statistics here come from one helper, :func:`prefix_sums`, over a histogram
-(rows already reduced to distinct values). A histogram known to be small uses one
-window per group. So does one whose input the planner sizes below
-``SMALL_BYTES`` (a stored table of that size, say). Any other is cut by value into cells whose size does not depend on
-the data's distribution: the position of a double inside its power of two gives a
-coarse and a fine key, totals are carried from coarse to fine to value, and no window
-ever sees more than one cell.
+(rows already reduced to distinct values). A histogram is cut by value into cells whose
+size does not depend on the data's distribution: the position of a double inside its power
+of two gives a coarse and a fine key, totals are carried from coarse to fine to value, and
+no window ever sees more than one cell. Only a caller who declares few distinct values
+(a point score, a handful of labels) gets one window per group instead.
 """
 
 from __future__ import annotations
@@ -17,17 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE_BITS, FINE_BITS = 12, 32
-SMALL_BYTES = 8 << 20
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate: file sizes for stored tables, products for joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def is_small(df: DataFrame) -> bool:
-    """Small enough for one task to hold whole; joins of unknown size never are."""
-    return planned_bytes(df) <= SMALL_BYTES
 
 
 def value_key(value: Column, bits: int) -> Column:
@@ -54,17 +42,14 @@ def _window(keys: list[str]):
 
 
 def prefix_sums(hist: DataFrame, value: str, measures: list[str], by: list[str] = (),
-                bounded: bool | None = None) -> DataFrame:
+                bounded: bool = False) -> DataFrame:
     """Adds, per measure m: m_below (over smaller values), m_at (same value), m_total.
 
     ``hist`` may hold several rows per (by, value) but must be reduced to distinct
     rows, not raw data. ``by`` columns and ``value`` must not be NULL. ``bounded``
-    promises few distinct rows per group (a point score, a handful of labels); None
-    asks the planner for the size, False always takes the distributed way.
+    promises few distinct rows per group (a point score, a handful of labels).
     """
     by = list(by)
-    if bounded is None:
-        bounded = is_small(hist)
     if bounded:
         upto = _window(by).orderBy(value).rangeBetween(
             Window.unboundedPreceding, Window.currentRow)
@@ -121,7 +106,7 @@ def mean_rank() -> Column:
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), out: str = "rank",
-                 bounded: bool | None = None) -> DataFrame:
+                 bounded: bool = False) -> DataFrame:
     """Every row with its tie-averaged rank. Rows with a NULL value get NULL."""
     by = list(by)
     ranks = prefix_sums(histogram(df, [*by, value]), value, ["n"], by, bounded)
@@ -148,7 +133,7 @@ def quantile_aggregates(value: str, quantiles: dict[str, float]) -> list[Column]
 
 
 def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (),
-              bounded: bool | None = None) -> DataFrame:
+              bounded: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group.
 
     ``bounded`` (few distinct values) uses the built-in percentile, whose state is one

@@ -25,7 +25,7 @@ def _d(name: str) -> Column:
 
 
 def discrimination_from(hist: DataFrame, score: str, by: list[str] = (),
-                        bounded: bool | None = True) -> DataFrame:
+                        bounded: bool = False) -> DataFrame:
     """n, events, auroc, auprc per group; NULL where a class is missing."""
     summed = prefix_sums(hist, score, ["p", "q"], by, bounded)
     p, q = _d("p_total"), _d("q_total")
@@ -43,13 +43,13 @@ def discrimination_from(hist: DataFrame, score: str, by: list[str] = (),
 
 
 def discrimination(df: DataFrame, score: str, event: str, by: list[str] = (),
-                   weight: str | None = None, bounded: bool | None = True) -> DataFrame:
+                   weight: str | None = None, bounded: bool = False) -> DataFrame:
     return discrimination_from(
         score_histogram(df, score, event, by, weight), score, by, bounded)
 
 
 def roc_curve(df: DataFrame, score: str, event: str, by: list[str] = (),
-              bounded: bool | None = True, min_rows: int = 0) -> DataFrame:
+              bounded: bool = False, min_rows: int = 0) -> DataFrame:
     """threshold, tp, fp, tpr, fpr for 'score >= threshold', plus the (0, 0) start.
 
     Every score value is a point (none is dropped as collinear); the start has a NULL

@@ -68,7 +68,7 @@ def cutoff_summary(df: DataFrame) -> DataFrame:
                             high.cast("double").alias("high"), F.lit(outcome).alias("outcome"))
 
     nothing = F.lit(None)
-    best_j = youden(roc_curve(cohort, score, "low_q20"))
+    best_j = youden(roc_curve(cohort, score, "low_q20", bounded=True))
     chi2 = best_candidate(chi2_candidates(cohort, score, "low_q20", GRID), "chi2")
     rank = best_candidate(kruskal_candidates(cohort, score, eff, GRID), "h")
     tree = tree_cutoffs(cohort, score, "low_q20", config.TREE_MIN_LEAF)

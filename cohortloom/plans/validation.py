@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def subcohort_tests() -> dict[str, Column]:
         "no_advanced_ckd": F.col("chronic_advanced_ckd") == 0,
     }
 
+# the point score has few levels
+spearman = partial(assoc.spearman, bounded_x=True)
+discrimination = partial(roc.discrimination, bounded=True)
+roc_curve = partial(roc.roc_curve, bounded=True)
+
 
 def subcohorts(df: DataFrame) -> dict[str, DataFrame]:
     return {name: df.filter(test) for name, test in subcohort_tests().items()}
@@ -65,7 +71,7 @@ def subcohort_summary(df: DataFrame) -> DataFrame:
 # --- one metric with its interval -------------------------------------------------
 
 def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int = B) -> DataFrame:
-    point = assoc.spearman(df, SCORE, outcome, by)
+    point = spearman(df, SCORE, outcome, by)
     reps = boot.rank_replicates(df, ID, SCORE, outcome, resamples, SEED, by)
     ci = boot.interval(reps, "spearman", by).select(
         *by, F.col("ci_low").alias("rho_ci_low"), F.col("ci_high").alias("rho_ci_high"))
@@ -73,8 +79,8 @@ def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int
 
 
 def auroc_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
-    point = roc.discrimination(df, SCORE, event, by).select(*by, "n", "events", "auroc")
-    reps = boot.discrimination_replicates(df, ID, SCORE, event, resamples, SEED, by)
+    point = discrimination(df, SCORE, event, by).select(*by, "n", "events", "auroc")
+    reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by, True)
     ci = boot.interval(reps, "auroc", by).select(
         *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
     return point.join(ci, by, "left")
@@ -110,11 +116,11 @@ def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B)
                             F.col(value).alias("estimate"), p.alias("p"))
 
     points = union([
-        point(assoc.spearman(rows, SCORE, "y", by), F.lit("spearman"), "rho", F.col("p")),
+        point(spearman(rows, SCORE, "y", by), F.lit("spearman"), "rho", F.col("p")),
         point(assoc.pearson(rows, SCORE, "y", by), F.lit("pearson"), "r", F.col("p")),
         point(assoc.c_index(rows, SCORE, "y", config.SCORE_BITS, by), F.lit("c_index"),
               "c_index", none),
-        point(roc.discrimination(events, SCORE, "event", keys), F.col("metric"), "auroc", none),
+        point(discrimination(events, SCORE, "event", keys), F.col("metric"), "auroc", none),
     ])
     ranks = boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True,
                                  config.SCORE_BITS)
@@ -122,7 +128,7 @@ def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B)
         unpivot(ranks, by, ["spearman", "c_index"], "double", "metric"),
         unpivot(boot.pearson_replicates(rows, ID, SCORE, "y", resamples, SEED, by), by,
                 ["pearson"], "double", "metric"),
-        boot.discrimination_replicates(events, ID, SCORE, "event", resamples, SEED, keys)
+        boot.discrimination_replicates(events, SCORE, "event", resamples, SEED, keys, True)
         .select(*keys, F.col("auroc").alias("value"))])
     limits = boot.interval(replicates, "value", keys).drop("n_valid")
     return points.join(limits, keys).select(
@@ -165,7 +171,7 @@ def subgroup_analysis(df: DataFrame, resamples: int = B) -> DataFrame:
 
 def interaction_tests(df: DataFrame, min_n: int = 30) -> DataFrame:
     """Difference of the two levels' correlations per subgroup variable."""
-    points = assoc.spearman(subgroup_rows(df), SCORE, EFF24, ["subgroup", "level"])
+    points = spearman(subgroup_rows(df), SCORE, EFF24, ["subgroup", "level"])
     points = points.filter(F.col("n") >= min_n)
     firsts = [next(iter(levels.values())) for _, levels in config.SUBGROUPS.values()]
     is_first = F.col("level").isin(firsts)
@@ -218,7 +224,7 @@ def forest_table(df: DataFrame, min_n: int = 30, resamples: int = B) -> DataFram
 
 def rank_by_strength(df: DataFrame, min_n: int = 30) -> DataFrame:
     """Subgroup levels by falling strength of the correlation."""
-    points = assoc.spearman(subgroup_rows(df), SCORE, EFF24, ["subgroup", "level"])
+    points = spearman(subgroup_rows(df), SCORE, EFF24, ["subgroup", "level"])
     points = points.filter(F.col("n") >= min_n)
     return points.select("subgroup", "level", "n", "rho",
                          strength("correlation", F.col("rho")).alias("strength")).orderBy(
@@ -302,9 +308,9 @@ def robustness_spread(df: DataFrame) -> DataFrame:
     """
     rows = scenario_rows(df).filter(
         F.col("scenario").isin("exclude_outliers", "exclude_shock", "complete_ef"))
-    rho = assoc.spearman(rows, SCORE, EFF24, ["scenario"]).select(F.col("rho").alias("v"))
-    auc = roc.discrimination(rows, SCORE, "low_q20", ["scenario"])
-    sweep = roc.discrimination(efficiency_thresholds(df), SCORE, "event", ["quantile"])
+    rho = spearman(rows, SCORE, EFF24, ["scenario"]).select(F.col("rho").alias("v"))
+    auc = discrimination(rows, SCORE, "low_q20", ["scenario"])
+    sweep = discrimination(efficiency_thresholds(df), SCORE, "event", ["quantile"])
 
     def spread(frame: DataFrame, value: str, name: str) -> DataFrame:
         return frame.agg((F.max(value) - F.min(value)).alias("spread")).select(
@@ -362,13 +368,13 @@ def mortality_panel(df: DataFrame, resamples: int = B) -> DataFrame:
              "no_shock": F.col("cardiogenic_shock") == 0}
     rows = with_membership(df, tests, "cohort").select(ID, SCORE, event, "cohort")
     by = ["cohort"]
-    point = roc.discrimination(rows, SCORE, event, by)
-    reps = boot.discrimination_replicates(rows, ID, SCORE, event, resamples, SEED, by)
+    point = discrimination(rows, SCORE, event, by)
+    reps = boot.discrimination_replicates(rows, SCORE, event, resamples, SEED, by, True)
     area = boot.interval(reps, "auroc", by).select(
         "cohort", F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
     precision = boot.interval(reps, "auprc", by).select(
         "cohort", F.col("ci_low").alias("auprc_ci_low"), F.col("ci_high").alias("auprc_ci_high"))
-    best = roc.youden(roc.roc_curve(rows, SCORE, event, by), by)
+    best = roc.youden(roc_curve(rows, SCORE, event, by), by)
     stated = roc.operating_point(rows, SCORE, event, config.HIGH_RISK_CUT, by).select(
         "cohort", F.col("sensitivity").alias("sensitivity_13"),
         F.col("specificity").alias("specificity_13"))
@@ -398,7 +404,7 @@ def component_roc(df: DataFrame) -> DataFrame:
     cohort = labelled_efficiency(df)
     rows = unpivot(cohort, [ID, "low_q20"], [SCORE, "creatinine", "bun", "ntprobnp"],
                    "double", "predictor", "value")
-    out = roc.discrimination(rows, "value", "low_q20", ["predictor"], bounded=False)
+    out = roc.discrimination(rows, "value", "low_q20", ["predictor"])
     return out.filter(F.col("n") >= 10).select("predictor", "n", "events", "auroc")
 
 
@@ -560,9 +566,9 @@ def literature_delta(df: DataFrame) -> DataFrame:
 
     here = union([
         one(assoc.pearson(cohort, SCORE, EFF24), "r", "pearson_r"),
-        one(roc.discrimination(cohort, SCORE, "low_q20"), "auroc", "auroc_q20"),
-        one(roc.discrimination(cohort, SCORE, "low_q25"), "auroc", "auroc_q25"),
-        one(roc.discrimination(stays, SCORE, "diuretic_resistance"), "auroc", "auroc_dr")])
+        one(discrimination(cohort, SCORE, "low_q20"), "auroc", "auroc_q20"),
+        one(discrimination(cohort, SCORE, "low_q25"), "auroc", "auroc_q25"),
+        one(discrimination(stays, SCORE, "diuretic_resistance"), "auroc", "auroc_dr")])
     published = unpivot(reference_values(df.sparkSession), ["population"],
                         ["pearson_r", "auroc_q20", "auroc_q25", "auroc_dr"], "double",
                         "metric", "published").dropna()
@@ -579,7 +585,7 @@ PLOT_FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "forest": forest_table,
     "interactions": interaction_tests,
     "subgroups": subgroup_analysis,
-    "roc_q20": lambda df: roc.roc_curve(
+    "roc_q20": lambda df: roc_curve(
         labelled_efficiency(df), SCORE, "low_q20").select("threshold", "fpr", "tpr"),
     "score_distribution": lambda df: df.select(SCORE, RISK, "hospital_expire_flag"),
     "score_histogram": lambda df: bin_counts(df, SCORE, 1.0, [RISK]),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from ..sources.overlay import VIEWS, overlay_sources, with_clause
 from .oracle_views import COHORT_VIEWS
 
 DIGITS = 6
+#: P-values: below the first, three decimals of the leading digits; below the second, zero.
+SMALL_P, LEAST_P, P_DIGITS = 1e-3, 1e-250, 3
+P_COLUMNS = {"p", "normal", "chi2_1", "chi2_2", "chi2_3", "t_100", "f_2_60"}
 
 
 class Data:
@@ -51,10 +55,11 @@ class Data:
         return self.store.save(add_efficiency_labels(self.final), "analysis")
 
     def _written(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.store.path(name)}/_SUCCESS")
-        files = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return files.exists(marker)
+        try:
+            self.spark.read.parquet(self.store.path(name))
+        except AnalysisException:
+            return False
+        return True
 
     def _stored(self, attribute: str, name: str):
         """A stored table; written again if its files have gone."""
@@ -92,13 +97,32 @@ def data_for(spark: SparkSession, sf_dir: str) -> Data:
     return _DATA[key]
 
 
+def is_probability(name: str) -> bool:
+    """Columns that hold p-values, by name; they keep their size through the logarithm."""
+    return name in P_COLUMNS or name.startswith("p_")
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to a fixed number of digits, so sums in another order compare equal."""
+    """Doubles to a fixed number of digits, so sums in another order compare equal.
+
+    P-values below ``SMALL_P`` come with so many decimals that their leading digits show.
+    """
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-    # adding 0.0 turns a negative zero into zero
-    return df.select(*[
-        (F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0)).alias(c) if c in doubles
-        else F.col(f"`{c}`") for c in df.columns])
+
+    def value(c: str):
+        v = F.col(f"`{c}`")
+        if not is_probability(c):
+            # adding 0.0 turns a negative zero into zero
+            return F.round(v, DIGITS) + F.lit(0.0)
+        power = F.floor(F.log10(v))
+        head = F.round(v / F.pow(F.lit(10.0), power), P_DIGITS)
+        # as text: the double of a rounded number depends on how it is put together
+        return F.when(v >= SMALL_P, F.round(v, DIGITS) + F.lit(0.0)).when(v > LEAST_P, F.concat(
+            head.cast("decimal(10,3)").cast("string"), F.lit("e"),
+            power.cast("string")).cast("double")).when(v.isNotNull(), F.lit(0.0))
+
+    return df.select(*[value(c).alias(c) if c in doubles else F.col(f"`{c}`")
+                       for c in df.columns])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,4 +150,10 @@ def query(name: str, sql: str | None = None, **views: str):
 
 def r6(expression: str, alias: str) -> str:
     """SQL: a double rounded like :func:`rounded`, named."""
+    if is_probability(alias):
+        v = f"CAST({expression} AS DOUBLE)"
+        power = f"CAST(floor(log10({v})) AS INT)"
+        return (f"CASE WHEN {v} >= {SMALL_P} THEN round({v}, {DIGITS}) + 0.0 WHEN {v} > {LEAST_P} THEN "
+                f"CAST(CAST(CAST(round({v} / power(10.0, {power}), {P_DIGITS}) AS DECIMAL(10,3)) AS VARCHAR) "
+                f"|| 'e' || CAST({power} AS VARCHAR) AS DOUBLE) WHEN {v} IS NOT NULL THEN 0.0 END AS {alias}")
     return f"round(CAST({expression} AS DOUBLE), {DIGITS}) + 0.0 AS {alias}"

@@ -75,7 +75,7 @@ def _both(d: Data) -> DataFrame:
 
 @query("spearman", R(s.spearman(EBOTH, "total_score", "y", "cohort"), ["cohort", "n"], ["rho", "p"]))
 def spearman(d: Data) -> DataFrame:
-    return assoc.spearman(_both(d), SCORE, "y", ["cohort"])
+    return val.spearman(_both(d), SCORE, "y", ["cohort"])
 
 
 @query("spearman_events", R(s.spearman(
@@ -102,7 +102,7 @@ def c_index(d: Data) -> DataFrame:
 @query("auroc", R(s.auroc(EBOTH, "total_score", "low_q20", "cohort"), ["cohort", "n", "events"],
                   ["auroc"]))
 def auroc(d: Data) -> DataFrame:
-    return roc.discrimination(_both(d), SCORE, "low_q20", ["cohort"]).drop("auprc")
+    return val.discrimination(_both(d), SCORE, "low_q20", ["cohort"]).drop("auprc")
 
 
 @query("auroc_continuous", R(s.auroc(
@@ -115,14 +115,13 @@ def auroc_continuous(d: Data) -> DataFrame:
     labs = d.table("chemistry", "hadm_id", "bun").join(
         stays_with_admission(d.src).select("hadm_id", "first_careunit", "hospital_expire_flag"),
         "hadm_id")
-    return roc.discrimination(labs, "bun", "hospital_expire_flag", ["first_careunit"],
-                              bounded=False).drop("auprc")
+    return roc.discrimination(labs, "bun", "hospital_expire_flag", ["first_careunit"]).drop("auprc")
 
 
 @query("auprc", R(s.auprc(ALL, "total_score", "hospital_expire_flag", "cohort"), ["cohort"], ["auprc"]))
 def auprc(d: Data) -> DataFrame:
     rows = d.analysis.withColumn("cohort", F.lit("all"))
-    return roc.discrimination(rows, SCORE, "hospital_expire_flag", ["cohort"]).select(
+    return val.discrimination(rows, SCORE, "hospital_expire_flag", ["cohort"]).select(
         "cohort", "auprc")
 
 
@@ -130,7 +129,7 @@ def auprc(d: Data) -> DataFrame:
                       ["cohort", "tp", "fp", "p_total", "q_total"], ["threshold", "tpr", "fpr"]))
 def roc_curve(d: Data) -> DataFrame:
     rows = _eff(d).withColumn("cohort", F.lit("24h"))
-    return roc.roc_curve(rows, SCORE, "low_q20", ["cohort"], min_rows=10)
+    return val.roc_curve(rows, SCORE, "low_q20", ["cohort"], min_rows=10)
 
 
 @query("plot_feed_roc", R(s.roc_points(E24, "total_score", "low_q20", "cohort"), [],
@@ -142,13 +141,13 @@ def plot_feed_roc(d: Data) -> DataFrame:
 @query("youden", R(s.youden(EBOTH, "total_score", "low_q20", "cohort"), ["cohort"],
                    ["threshold", "sensitivity", "specificity", "youden_j"]))
 def youden(d: Data) -> DataFrame:
-    return roc.youden(roc.roc_curve(_both(d), SCORE, "low_q20", ["cohort"]), ["cohort"])
+    return roc.youden(val.roc_curve(_both(d), SCORE, "low_q20", ["cohort"]), ["cohort"])
 
 
 @query("argmax_row", R(s.youden(ALL, "total_score", "hospital_expire_flag", "cohort"), [],
                        ["threshold", "sensitivity", "specificity", "youden_j"]))
 def argmax_row(d: Data) -> DataFrame:
-    return roc.youden(roc.roc_curve(d.analysis, SCORE, "hospital_expire_flag"))
+    return roc.youden(val.roc_curve(d.analysis, SCORE, "hospital_expire_flag"))
 
 
 @query("operating_point", R(s.operating_point(SHOCK, "total_score", "hospital_expire_flag", 13, "cohort"),
@@ -276,7 +275,7 @@ def _primary_sql(src: str) -> str:
         part(s.c_index(src, x, y, by), "c_index", "c_index", s.boot_c_index(src, x, y, by), "c_index", none)]
     for label in ("low_q20", "low_q25"):
         parts.append(part(s.auroc(src, x, label, by), "auroc", f"auroc_{label[4:]}",
-                          s.boot_auroc(src, x, label, by), "auroc", none))
+                          s.boot_auroc(src, x, label, by, tag=f"'auroc_{label[4:]}'"), "auroc", none))
     return " UNION ALL ".join(parts)
 
 
@@ -338,7 +337,7 @@ def forest_table(d: Data) -> DataFrame:
 @query("pin_row_first", f"SELECT {_POSITION} AS position, level, n, {r6('rho', 'rho')} FROM "
        f"({s.spearman(_FOREST, 'total_score', 'y', 'level')})")
 def pin_row_first(d: Data) -> DataFrame:
-    points = assoc.spearman(val.forest_rows(d.analysis), SCORE, EFF24, ["level"])
+    points = val.spearman(val.forest_rows(d.analysis), SCORE, EFF24, ["level"])
     return points.select(val.forest_order(F.col("level")).cast("int").alias("position"),
                          "level", "n", "rho").orderBy("position")
 
@@ -359,7 +358,7 @@ _BAND = "CASE WHEN auroc >= 0.7 THEN 'good' WHEN auroc >= 0.6 THEN 'moderate' EL
 @query("strength_band", f"SELECT outcome, {r6('auroc', 'auroc')}, {_BAND} AS strength FROM "
        f"({s.auroc(BINARY, 'total_score', 'event', 'outcome')}) WHERE auroc IS NOT NULL")
 def strength_band(d: Data) -> DataFrame:
-    out = roc.discrimination(val.binary_rows(d.analysis), SCORE, "event", ["outcome"])
+    out = val.discrimination(val.binary_rows(d.analysis), SCORE, "event", ["outcome"])
     return out.filter(F.col("auroc").isNotNull()).select(
         "outcome", "auroc", strength("area", F.col("auroc")).alias("strength"))
 

@@ -7,7 +7,7 @@ bootstrap from the same whole-number row weights.
 from __future__ import annotations
 
 from .. import config
-from ..operators.bootstrap import LIMITS, PRIME
+from ..operators.bootstrap import CELL_LIMITS, LIMITS, PRIME
 from .base import r6
 
 B, SEED = config.BOOTSTRAP_RESAMPLES, config.BOOTSTRAP_SEED
@@ -18,27 +18,31 @@ def avg_rank(value: str, by: str) -> str:
             f"+ (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0::DOUBLE)")
 
 
-def integral(density: str, upper: str, steps: int = 2000) -> str:
-    """Simpson's rule for the density in u over [0, upper]."""
-    h = f"({upper} / {steps}.0::DOUBLE)"
-    terms = (f"list_transform(range(0, {steps + 1}), lambda i: "
-             f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
-             f"* {density.replace('[u]', f'(i * {h})')})")
+def tail_integral(density: str, steps: int = 4000) -> str:
+    """Integral of a density in u from [x] to infinity, by Simpson's rule in v = x + v / (1 - v).
+
+    The upper end of v is 1, where the densities used here vanish.
+    """
+    h = f"(1.0::DOUBLE / {steps})"
+    inner = density.replace("[u]", f"([x] + i * {h} / (1 - i * {h}))")
+    terms = (f"list_transform(range(0, {steps}), lambda i: "
+             f"(CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+             f"* ({inner}) / ((1 - i * {h}) * (1 - i * {h})))")
     return f"(list_sum({terms}) * {h} / 3)"
 
 
 def normal_p(z: str) -> str:
-    density = "exp(-[u] * [u] / 2) / sqrt(2 * pi())"
-    value = integral(density, f"least(abs({z}), 12.0)")
-    return f"CASE WHEN {z} IS NOT NULL THEN greatest(1 - 2 * {value}, 0) END"
+    """Scaled by the density at the end of the tail, so that small ones keep their digits."""
+    value = tail_integral("exp(-([u] - [x]) * ([u] + [x]) / 2)").replace("[x]", f"abs({z})")
+    return f"CASE WHEN {z} IS NOT NULL THEN 2 * {value} * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) END"
 
 
 def t_p(t: str, dof: str) -> str:
     nu = f"CAST({dof} AS DOUBLE)"
     front = f"exp(lgamma(({nu} + 1) / 2) - lgamma({nu} / 2)) / sqrt({nu} * pi())"
     density = f"power(1 + [u] * [u] / {nu}, -({nu} + 1) / 2)"
-    value = integral(density, f"least(abs({t}), 12.0)")
-    return f"CASE WHEN {t} IS NOT NULL THEN greatest(1 - 2 * {front} * {value}, 0) END"
+    value = tail_integral(density).replace("[x]", f"abs({t})")
+    return f"CASE WHEN {t} IS NOT NULL THEN 2 * {front} * {value} END"
 
 
 def corr_p(r: str, n: str) -> str:
@@ -49,8 +53,9 @@ def chi2_p(x: str, dof: str) -> str:
     """Closed forms for one to six degrees of freedom."""
     root = normal_p(f"sqrt({x})")
     e = f"exp(-({x}) / 2)"
+    odd = f"sqrt(2 * ({x}) / pi()) * {e}"
     return (f"CASE {dof} WHEN 1 THEN {root} WHEN 2 THEN {e} "
-            f"WHEN 3 THEN {root} + sqrt(2 * ({x}) / pi()) * {e} "
+            f"WHEN 3 THEN {root} + {odd} WHEN 5 THEN {root} + {odd} * (1 + ({x}) / 3) "
             f"WHEN 4 THEN {e} * (1 + ({x}) / 2) "
             f"WHEN 6 THEN {e} * (1 + ({x}) / 2 + ({x}) * ({x}) / 8) END")
 
@@ -196,7 +201,7 @@ def anova(src: str, group: str, y: str, by: str) -> str:
 def replicates(src: str, columns: str, resamples: int = B, seed: int = SEED,
                row_id: str = "stay_id") -> str:
     p = PRIME
-    text = (f"SELECT {columns}, {row_id} % {p} AS a_, CAST(b AS BIGINT) AS b "
+    text = (f"SELECT {columns}, ({row_id} + ({row_id} >> 31) * 40692) % {p} AS a_, CAST(b AS BIGINT) AS b "
             f"FROM ({src}) JOIN (SELECT unnest(range(1, {resamples + 1})) AS b) ON TRUE")
     text = f"SELECT *, (a_ * 48271 + b * 69621 + {seed}) % {p} AS x1 FROM ({text})"
     text = f"SELECT *, (x1 * x1 + a_) % {p} AS x2 FROM ({text})"
@@ -213,12 +218,32 @@ def interval(values: str, metric: str, by: str, low: str = "ci_low", high: str =
             f"count({metric}) AS n_valid FROM ({values}) GROUP BY {by}")
 
 
-def boot_auroc(src: str, score: str, event: str, by: str, resamples: int = B) -> str:
-    """by, b, auroc, auprc."""
-    rows = replicates(f"SELECT * FROM ({src}) WHERE {event} IS NOT NULL AND {score} IS NOT NULL",
-                      f"{by}, {score}, {event}", resamples)
-    hist = (f"SELECT {by}, b, {score} AS s, sum(w * {event}) AS p, sum(w * (1 - {event})) AS q "
-            f"FROM ({rows}) WHERE w > 0 GROUP BY {by}, b, s")
+def cell_weights(cells: str, resamples: int = B, seed: int = SEED) -> str:
+    """Cells (cell_, n) times replicates with the summed weight of their rows."""
+    p = PRIME
+    text = (f"SELECT *, CAST(r AS BIGINT) AS b FROM ({cells}) "
+            f"JOIN (SELECT unnest(range(1, {resamples + 1})) AS r) ON TRUE")
+    text = f"SELECT *, (cell_ * 48271 + b * 69621 + {seed}) % {p} AS x1 FROM ({text})"
+    text = f"SELECT *, (x1 * x1 + cell_) % {p} AS x2 FROM ({text})"
+    text = f"SELECT *, (x2 * 16807 + b * 39373) % {p} AS x3 FROM ({text})"
+    text = f"SELECT *, (x3 * x3 + b) % {p} AS x4 FROM ({text})"
+    text = f"SELECT *, (x4 * x4 + x4 * 16807 + cell_) % {p} AS x5 FROM ({text})"
+    text = f"SELECT *, (x5 * 48271 + 11) % {p} AS x6 FROM ({text})"
+    text = (f"SELECT *, sqrt(-2 * ln((x4 + 1)::DOUBLE / {p})) * cos(x6::DOUBLE * 2 * pi() / {p}) "
+            f"AS z FROM ({text})")
+    return (f"SELECT *, CASE WHEN n <= {len(CELL_LIMITS)} "
+            f"THEN len(list_filter({CELL_LIMITS}[n], lambda t: t <= x6)) "
+            f"ELSE greatest(0, round(n + sqrt(n) * z + (z * z - 1) / 6)) END AS w FROM ({text})")
+
+
+def boot_auroc(src: str, score: str, event: str, by: str, resamples: int = B, tag: str = "NULL") -> str:
+    """by, b, auroc, auprc; ``tag`` is one more part of a cell's name."""
+    names = ", ".join(f"CAST({c.strip()} AS VARCHAR)" for c in [*by.split(","), tag, score, event])
+    cells = (f"SELECT {by}, {score} AS s, {event} AS e, count(*) AS n, "
+             f"CAST('0x' || substr(md5(concat_ws('|', {names})), 1, 7) AS BIGINT) AS cell_ "
+             f"FROM ({src}) WHERE {event} IS NOT NULL AND {score} IS NOT NULL GROUP BY {by}, {score}, {event}")
+    hist = (f"SELECT {by}, b, s, sum(w * e) AS p, sum(w * (1 - e)) AS q "
+            f"FROM ({cell_weights(cells, resamples)}) WHERE w > 0 GROUP BY {by}, b, s")
     win = f"OVER (PARTITION BY {by}, b ORDER BY s DESC)"
     run = (f"SELECT *, sum(p) {win} AS tp, sum(q) {win} AS fp, sum(p) OVER (PARTITION BY {by}, b) AS pt, "
            f"sum(q) OVER (PARTITION BY {by}, b) AS qt FROM ({hist})")

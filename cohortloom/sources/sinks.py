@@ -27,14 +27,21 @@ def replace_columns(base: DataFrame, update: DataFrame, on: str) -> DataFrame:
 def swap_table(df: DataFrame, table: str, folder: str) -> None:
     """Replace a catalog table that ``df`` itself may read from.
 
-    The new version is written to its own folder first; only then does the table
-    name move to it, so a failure leaves the old version in place.
+    The new version is written to its own folder first; then the table's location moves
+    to it in one catalog change, so readers always find the old version or the new one.
     """
     spark: SparkSession = df.sparkSession
     path = f"{folder.rstrip('/')}/{table.replace('.', '_')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+        return
+    known = {f.name.lower() for f in spark.table(table).schema.fields}
+    added = [f for f in df.schema.fields if f.name.lower() not in known]
+    if added:
+        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({names})")
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -137,11 +137,10 @@ def test_weights_agree_and_are_poisson(spark):
     assert big.mean(axis=0).std() * math.sqrt(20000) == pytest.approx(1, abs=0.25)
 
 
-@pytest.mark.parametrize("how", [{"small": True}, {"small": False},
-                                 {"small": False, "chunk_rows": 40}])
+@pytest.mark.parametrize("how", [{}, {"chunk_rows": 40}])
 def test_rank_replicates_equal_brute_force(df, data, how):
     """Also with chunks far smaller than the tied third of all rows."""
-    out = boot.rank_replicates(df, "id", "s", "y", 6, 42, ["g"], True, 5, blocks=2, **how)
+    out = boot.rank_replicates(df, "id", "s", "y", 6, 42, ["g"], True, 5, **how)
     got = out.toPandas().set_index(["g", "b"])
     w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 7), 42).astype(int)
     for g in ("a", "b"):
@@ -153,14 +152,56 @@ def test_rank_replicates_equal_brute_force(df, data, how):
             assert got.loc[(g, b)].c_index == pytest.approx(pairs(p), abs=1e-10)
 
 
-def test_discrimination_replicates_equal_brute_force(df, data):
-    got = boot.discrimination_replicates(df, "id", "s", "e", 5, 42).toPandas().set_index("b")
-    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 6), 42).astype(int)
-    for b in range(1, 6):
-        p = data.loc[data.index.repeat(w[:, b - 1])]
+def test_cell_weights_are_poisson_sums(spark):
+    """Mean and spread of the summed weights, for small and large cells."""
+    cells = spark.createDataFrame([(i * 977, n) for n in (1, 7, 16, 17, 400) for i in range(40)],
+                                  "cell long, n long")
+    rows = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    found = boot.add_cell_weights(rows, "cell", "n", "b", 42).groupBy("n").agg(
+        F.avg("w").alias("mean"), F.variance("w").alias("var"), F.min("w").alias("low")).collect()
+    for r in found:
+        assert r["mean"] == pytest.approx(r.n, rel=0.02) and r["var"] == pytest.approx(r.n, rel=0.05)
+        assert r.low >= 0
+
+
+def test_discrimination_spread_matches_resampling(df, data):
+    reps = boot.discrimination_replicates(df, "s", "e", 600, 42)
+    ci = boot.interval(reps, "auroc").first()
+    rng, drawn = np.random.default_rng(1), []
+    for _ in range(600):
+        p = data.iloc[rng.integers(0, len(data), len(data))]
         r, pos = p.s.rank(), p.e.sum()
-        want = (r[p.e == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(p) - pos))
-        assert got.loc[b].auroc == pytest.approx(want, abs=1e-12)
+        drawn.append((r[p.e == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(p) - pos)))
+    low, high = np.percentile(drawn, [2.5, 97.5])
+    assert abs(ci.ci_low - low) < 0.02 and abs(ci.ci_high - high) < 0.02
+
+
+def test_row_ids_beyond_the_modulus_differ(spark):
+    ids = np.array([5, 5 + boot.PRIME, 5 + 2 * boot.PRIME])
+    w = boot.weight_matrix(ids, np.arange(1, 200), 42)
+    assert (w[0] != w[1]).any() and (w[1] != w[2]).any()
+    rows = spark.createDataFrame([(int(i),) for i in ids], "id long").withColumn("k", F.col("id"))
+    grid = boot.replicated(rows, "id", ["k"], 199, 42).toPandas().pivot(
+        index="k", columns="b", values="w").sort_index()
+    assert (grid.to_numpy() == w).all()
+
+
+def test_concordance_refuses_an_index_out_of_range(spark):
+    rows = spark.createDataFrame([(40, 1.0), (8, 2.0)], "s int, y double")
+    assert assoc.c_index(rows, "s", "y", 6).first().c_index == 1.0
+    with pytest.raises(Exception, match="not an integer in"):
+        assoc.c_index(rows, "s", "y", 5).collect()
+
+
+def test_tails_agree_at_any_size(spark):
+    row = spark.range(1).select(
+        *[tails.f_tail(F.lit(3.8414588206941236), F.lit(1), F.lit(float(d))).alias(f"f{i}")
+          for i, d in enumerate((4e6, 1e9, 1e10))],
+        *[tails.t_two_sided(F.lit(1.959963984540054), F.lit(float(d))).alias(f"t{i}")
+          for i, d in enumerate((4e6, 1e9, 1e10))]).first()
+    for i in range(3):
+        assert row[f"f{i}"] == pytest.approx(0.05, abs=1e-7)
+        assert row[f"t{i}"] == pytest.approx(row[f"f{i}"], abs=1e-10)
 
 
 def test_interval_guard(spark):
