@@ -15,6 +15,7 @@ So rows are shuffled once, not once per replicate.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -168,6 +169,18 @@ def discrimination_replicates(df: DataFrame, score: str, event: str, resamples:
     return discrimination_from(hist, score, [*by, "b"], bounded)
 
 
+def bootstrap(df: DataFrame, metric: Callable[[DataFrame, list[str]], DataFrame], row_id: str,
+              columns: list[str], resamples: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """Interval of any metric: ``metric(rows, keys)`` gives one ``value`` per key.
+
+    ``rows`` hold the ``columns`` and the weight ``w`` of each row in each replicate; ``keys``
+    are the groups and the replicate. The metric must be an aggregation over weighted rows.
+    """
+    by = list(by)
+    rows = replicated(df.dropna(subset=[*by, *columns]), row_id, [*by, *columns], resamples, seed)
+    return interval(metric(rows, [*by, "b"]), "value", by)
+
+
 def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
                        seed: int, by: list[str] = ()) -> DataFrame:
     """by, b, pearson from weighted moments about the groups' plain means."""

@@ -85,6 +85,33 @@ def cutoff_summary(df: DataFrame) -> DataFrame:
     ])
 
 
+def mortality_cutoffs(df: DataFrame) -> DataFrame:
+    """The candidate pair with the largest independence statistic for deaths, full cohort."""
+    return best_candidate(
+        chi2_candidates(df, "total_score", "hospital_expire_flag", GRID), "chi2")
+
+
+def cutoff_derivation(df: DataFrame) -> DataFrame:
+    """All derived cuts, and for each risk scheme its cuts with its test statistics."""
+    none = F.lit(None).cast("double")
+    derived = cutoff_summary(df).unionByName(mortality_cutoffs(df).select(
+        F.lit("chi_square").alias("method"), F.col("low").cast("double").alias("low"),
+        (F.col("high") + 1).cast("double").alias("high"), F.lit("mortality").alias("outcome")))
+    derived = derived.withColumns({"statistic": none, "p": none})
+    tested = framework_efficiency(df).select("framework", F.lit("continuous").alias("outcome"),
+                                             F.col("h").alias("statistic"), "p").distinct()
+    tested = tested.unionByName(framework_mortality(df).select(
+        "framework", F.lit("mortality").alias("outcome"), F.col("chi2").alias("statistic"),
+        "p").distinct())
+    cuts = F.create_map(*[x for name, (low, high) in config.RISK_FRAMEWORKS.items() for x in
+                          (F.lit(name), F.struct(F.lit(float(low)).alias("low"),
+                                                 F.lit(float(high + 1)).alias("high")))])
+    tested = tested.withColumn("_c", cuts[F.col("framework")]).select(
+        F.concat(F.lit("scheme "), F.col("framework")).alias("method"), "_c.low", "_c.high",
+        "outcome", "statistic", "p")
+    return derived.unionByName(tested)
+
+
 def with_frameworks(df: DataFrame) -> DataFrame:
     """Every row once per risk scheme, with that scheme's level."""
     options = F.array(*[

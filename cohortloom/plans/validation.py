@@ -244,7 +244,7 @@ def scenario_rows(df: DataFrame) -> DataFrame:
         "complete_ef": F.col("lvef").isNotNull(),
     }
     return with_membership(cohort, tests, "scenario").select(
-        ID, SCORE, EFF24, "low_q20", "scenario")
+        ID, SCORE, EFF24, "low_q20", "low_q25", "scenario")
 
 
 def sensitivity_runs(df: DataFrame, min_n: int = 50, resamples: int = B) -> DataFrame:
@@ -259,6 +259,13 @@ def sensitivity_runs(df: DataFrame, min_n: int = 50, resamples: int = B) -> Data
     return with_deltas(metrics)
 
 
+def sensitivity_quarter(df: DataFrame, min_n: int = 50, resamples: int = B) -> DataFrame:
+    """Events, AUROC and interval for the lowest quarter per alternative cohort."""
+    out = auroc_with_ci(scenario_rows(df), "low_q25", ["scenario"], resamples)
+    return out.withColumns(only_if(F.col("n") >= min_n, [
+        "events", "auroc", "auroc_ci_low", "auroc_ci_high"]))
+
+
 def with_deltas(metrics: DataFrame) -> DataFrame:
     """Adds the change of rho and AUROC from the primary scenario (a few rows)."""
     primary = metrics.filter(F.col("scenario") == "primary")
@@ -367,22 +374,37 @@ def mortality_panel(df: DataFrame, resamples: int = B) -> DataFrame:
     tests = {"all": F.lit(True), "shock": F.col("cardiogenic_shock") == 1,
              "no_shock": F.col("cardiogenic_shock") == 0}
     rows = with_membership(df, tests, "cohort").select(ID, SCORE, event, "cohort")
-    by = ["cohort"]
+    out = event_panel(rows, event, ["cohort"], resamples)
+    enough = (F.col("cohort") == "all") | (
+        (F.col("events") > 10) & (F.col("events") < F.col("n")))
+    return out.withColumns(only_if(enough, [
+        "auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"]))
+
+
+def event_panel(rows: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
+    """AUROC and AUPRC with intervals, best threshold, and the stated cut, per group."""
     point = discrimination(rows, SCORE, event, by)
     reps = boot.discrimination_replicates(rows, SCORE, event, resamples, SEED, by, True)
     area = boot.interval(reps, "auroc", by).select(
-        "cohort", F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
+        *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
     precision = boot.interval(reps, "auprc", by).select(
-        "cohort", F.col("ci_low").alias("auprc_ci_low"), F.col("ci_high").alias("auprc_ci_high"))
+        *by, F.col("ci_low").alias("auprc_ci_low"), F.col("ci_high").alias("auprc_ci_high"))
     best = roc.youden(roc_curve(rows, SCORE, event, by), by)
     stated = roc.operating_point(rows, SCORE, event, config.HIGH_RISK_CUT, by).select(
-        "cohort", F.col("sensitivity").alias("sensitivity_13"),
+        *by, F.col("sensitivity").alias("sensitivity_13"),
         F.col("specificity").alias("specificity_13"))
-    enough = (F.col("cohort") == "all") | (
-        (F.col("events") > 10) & (F.col("events") < F.col("n")))
-    out = point.join(area, by).join(precision, by).join(best, by, "left").join(stated, by)
-    return out.withColumns(only_if(enough, [
-        "auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"]))
+    return point.join(area, by).join(precision, by).join(best, by, "left").join(stated, by)
+
+
+def resistance_panel(df: DataFrame, resamples: int = B) -> DataFrame:
+    """The low-output outcome on stays of a full day: discrimination, cuts, high against low."""
+    event = "diuretic_resistance"
+    rows = df.filter(F.col("icu_stay_ge_24h") == 1).withColumn("cohort", F.lit("stay_24h"))
+    panel = event_panel(rows.select(ID, SCORE, event, "cohort"), event, ["cohort"], resamples)
+    ratio = rates_with_effects(rows, event).select(
+        F.lit("stay_24h").alias("cohort"), "rate_low", "rate_high",
+        F.col("ratio_high_low").alias("risk_ratio"), "chi2", "p")
+    return panel.join(ratio, "cohort")
 
 
 def rates_with_effects(df: DataFrame, event: str) -> DataFrame:

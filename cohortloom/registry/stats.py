@@ -705,11 +705,3 @@ def framework_mortality(d: Data) -> DataFrame:
 @query("score_step_profile", f"SELECT total_score, count(*) AS n, {r6('median(y)', 'median')} FROM lab24 GROUP BY 1")
 def score_step_profile(d: Data) -> DataFrame:
     return cutoff_plan.score_step_profile(d.analysis)
-
-
-# --- pipelines ---------------------------------------------------------------------
-
-@query("cutoff_derivation", R(_SUMMARY_CUTS, ["method", "outcome"], ["low", "high"]))
-def cutoff_derivation(d: Data) -> DataFrame:
-    return cutoff_plan.cutoff_summary(d.analysis)
-
