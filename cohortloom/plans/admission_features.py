@@ -104,14 +104,14 @@ def prior_admissions(src: Sources, cohort: DataFrame, days: int = 365) -> DataFr
                          "dischtime", days)
 
 
-def note_facts(notes: DataFrame) -> DataFrame:
-    """Per note: ejection fraction (if the note speaks of it) and the shock mention."""
+def note_facts(notes: DataFrame, *more: Column) -> DataFrame:
+    """Per note: ejection fraction (if the note speaks of it), the shock mention, ``more``."""
     text = F.col("text")
     speaks = mentions(text, config.EF_MENTIONS)
     ef = first_pattern(text, config.EF_PATTERNS).try_cast("bigint")
     shock = unnegated_mention(text, config.SHOCK_MENTION, config.SHOCK_NEGATED)
     return notes.select("hadm_id", "charttime", "note_id", speaks.alias("speaks_ef"),
-                        F.when(speaks, ef).alias("ef"), shock.alias("shock"))
+                        F.when(speaks, ef).alias("ef"), shock.alias("shock"), *more)
 
 
 def first_note_values(facts: DataFrame) -> DataFrame:
@@ -130,9 +130,13 @@ def first_note_values(facts: DataFrame) -> DataFrame:
         "cs_from_nlp")
 
 
-def note_features(src: Sources, admissions: DataFrame) -> DataFrame:
-    facts = extract_for_keys(src.table("discharge"), admissions, "hadm_id", note_facts)
-    return first_note_values(facts)
+def note_features(src: Sources, admissions: DataFrame,
+                  notes: DataFrame | None = None) -> DataFrame:
+    """First note values; from ``notes`` if their facts were extracted already."""
+    if notes is not None:
+        return first_note_values(semi(notes, admissions, "hadm_id"))
+    return first_note_values(
+        extract_for_keys(src.table("discharge"), admissions, "hadm_id", note_facts))
 
 
 def urine_up_to(src: Sources, stays: DataFrame) -> DataFrame:
@@ -229,9 +233,13 @@ FINAL_COLUMNS = [
 ]
 
 
-def admission_table(src: Sources, cohort: DataFrame) -> DataFrame:
+def admission_table(src: Sources, cohort: DataFrame,
+                    notes: DataFrame | None = None) -> DataFrame:
     """The 72-column table over a cohort with one stay per admission.
 
+    ``notes`` are the note facts that the funnel extracted; without them the notes of the
+    cohort's admissions are read here.
+
     Every source is reduced to one row per key before it meets the cohort, so no join
     multiplies rows. Admission-keyed features come first and stay-keyed ones after
     them: the cohort changes its partitioning once.
@@ -250,7 +258,7 @@ def admission_table(src: Sources, cohort: DataFrame) -> DataFrame:
         (distinct_flag(ed_rhythm, "hadm_id", "afib_from_ed"), "hadm_id"),
         (distinct_flag(icu_rhythm, "hadm_id", "afib_from_icu"), "hadm_id"),
         (prior.withColumn("prior_hf_hospitalization_12mo", F.lit(1)), "hadm_id"),
-        (note_features(src, keys), "hadm_id"),
+        (note_features(src, keys, notes), "hadm_id"),
         (urine_up_to(src, cohort), "stay_id"),
         (infusion_features(src, cohort), "stay_id"),
         (support, "stay_id"),

@@ -11,9 +11,10 @@ from .. import config
 from ..functions.text import mentions, section
 from ..operators.features import first_row
 from ..operators.filters import category_allowlist, codeset_filter, require_not_null
-from ..operators.joins import semi
+from ..operators.joins import extract_for_keys, semi
 from ..session import lazy
 from ..sources.tables import Sources
+from .admission_features import note_facts
 
 
 def stays_with_admission(src: Sources) -> DataFrame:
@@ -53,20 +54,28 @@ def step3(df: DataFrame, src: Sources) -> DataFrame:
     return semi(df, tested.select("hadm_id").distinct(), "hadm_id")
 
 
-def section_notes(src: Sources) -> DataFrame:
-    """One row per note that mentions the section: its admission and the section.
+def note_columns(notes: DataFrame) -> DataFrame:
+    """All that any later step wants from a note, in one pass over its text.
 
-    Filter and extraction sit at the scan, so at most 1,000 characters per note
-    travel further.
+    Extraction sits at the scan, so at most 1,000 characters per note travel further.
     """
+    text = F.col("text")
+    speaks = mentions(text, config.SECTION_MENTIONS)
+    found = section(text, config.SECTION_PATTERNS, config.SECTION_END)
+    return note_facts(notes, speaks.alias("speaks_section"),
+                      F.when(speaks, found).alias("med_section"))
+
+
+def section_notes(src: Sources) -> DataFrame:
+    """One row per note that mentions the section: its admission and the section."""
     notes = src.table("discharge", "hadm_id", "text").filter(
         mentions(F.col("text"), config.SECTION_MENTIONS))
     return notes.select("hadm_id", section(
         F.col("text"), config.SECTION_PATTERNS, config.SECTION_END).alias("med_section"))
 
 
-def step4(df: DataFrame, src: Sources) -> DataFrame:
-    return df.join(section_notes(src), "hadm_id").select(*df.columns, "med_section")
+def step4(df: DataFrame, notes: DataFrame) -> DataFrame:
+    return df.join(notes, "hadm_id").select(*df.columns, "med_section")
 
 
 def step5(df: DataFrame) -> DataFrame:
@@ -86,23 +95,40 @@ def step7(df: DataFrame) -> DataFrame:
     return first_row(df, "hadm_id", ["icu_intime", "stay_id", "med_section"])
 
 
-def cohort_funnel(src: Sources, save=lazy) -> dict[str, DataFrame]:
+class Funnel(dict[str, DataFrame]):
+    """The steps by name, and the facts of the notes they read (if those were stored)."""
+
+    notes: DataFrame | None = None
+
+
+#: Steps worth a table of their own; the others are cheap filters of the one before.
+STORED_STEPS = ("step1", "step3", "step7")
+
+
+def cohort_funnel(src: Sources, save=lazy) -> Funnel:
     """All seven steps by name.
 
     With the default each step is a lazy frame over the previous one; pass
-    ``TableStore.save`` to write every step, after which later steps start from a
-    table of known size.
+    ``TableStore.save`` to write the steps that others start from. The notes of the
+    admissions left by then are read once, for this funnel and for later features.
     """
-    steps: dict[str, DataFrame] = {}
+    steps = Funnel()
 
     def keep(name: str, df: DataFrame) -> DataFrame:
-        steps[name] = save(df, name)
+        steps[name] = save(df, name) if name in STORED_STEPS else df
         return steps[name]
 
     df = keep("step1", step1(src))
     df = keep("step2", step2(df))
     df = keep("step3", step3(df, src))
-    df = keep("step4", step4(df, src))
+    if save is lazy:
+        notes = section_notes(src)
+    else:
+        keys = df.select("hadm_id").distinct()
+        steps.notes = save(extract_for_keys(
+            src.table("discharge"), keys, "hadm_id", note_columns), "notes")
+        notes = steps.notes.filter("speaks_section").select("hadm_id", "med_section")
+    df = keep("step4", step4(df, notes))
     df = keep("step5", step5(df))
     df = keep("step6", step6(df, src))
     keep("step7", step7(df))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.admission_features import admission_table
 from ..plans.cutoffs import add_efficiency_labels
-from ..plans.funnel import cohort_funnel
+from ..plans.funnel import Funnel, cohort_funnel
 from ..plans.outcomes import add_risk_category, enrich_outcomes
 from ..session import TableStore, tune
 from ..sources.overlay import VIEWS, overlay_sources, with_clause
@@ -38,12 +38,13 @@ class Data:
         return TableStore(self.spark)
 
     @cached_property
-    def _steps(self) -> dict[str, DataFrame]:
+    def _steps(self) -> Funnel:
         return cohort_funnel(self.src, self.store.save)
 
     @cached_property
     def _wide(self) -> DataFrame:
-        return self.store.save(admission_table(self.src, self.steps["step7"]), "admission")
+        return self.store.save(admission_table(
+            self.src, self.steps["step7"], self.steps.notes), "admission")
 
     @cached_property
     def _final(self) -> DataFrame:
@@ -70,7 +71,7 @@ class Data:
         return value
 
     @property
-    def steps(self) -> dict[str, DataFrame]:
+    def steps(self) -> Funnel:
         return self._stored("_steps", "step7")
 
     @property

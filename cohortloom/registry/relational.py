@@ -739,7 +739,7 @@ def cohort_funnel(d: Data) -> DataFrame:
 
 @query("feature_table", f"SELECT {sql_columns(WIDE_COLUMNS)} FROM wide")
 def feature_table(d: Data) -> DataFrame:
-    return wide_plan.admission_table(d.src, d.steps["step7"])
+    return wide_plan.admission_table(d.src, d.steps["step7"], d.steps.notes)
 
 
 @query("outcome_enrichment", FINAL_SQL)

@@ -74,6 +74,50 @@ def test_every_document_is_in_exactly_one_note(spark, scale):
     assert whole.filter(F.startswith("note", "text")).count() == docs.count()
 
 
+def test_notes_are_read_once(data):
+    """The feature table starts from stored note facts; no plan reads a note text again."""
+    from cohortloom.plans import admission_features as features
+
+    reads = []
+    src = SimpleNamespace(table=lambda name, *c: reads.append(name) or data.src.table(name, *c))
+    features.admission_table(src, data.steps["step7"], data.steps.notes)
+    assert "discharge" not in reads and "inputevents" in reads
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import functions as F
+from cohortloom.operators import bootstrap as boot
+from cohortloom.session import build_session
+spark = build_session("local[2]", "foreign", **{{"spark.sql.shuffle.partitions": "2"}})
+rows = spark.range(200).select("id", (F.col("id") % 7).alias("s"), (F.col("id") * 37 % 101).alias("y"))
+print("REPLICATES", boot.rank_replicates(rows, "id", "s", "y", 20, 42).count())
+"""
+
+
+def test_python_tasks_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=repo)], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=300)
+    assert "REPLICATES 20" in done.stdout, done.stderr[-2000:]
+
+
+def test_swap_keeps_the_name(spark, tmp_path):
+    """A table is replaced by a frame that reads it, with a new column."""
+    folder = str(tmp_path)
+    spark.sql("DROP TABLE IF EXISTS swap_me")
+    sinks.swap_table(spark.range(3).selectExpr("id", "id * 2 AS a"), "swap_me", folder)
+    sinks.swap_table(spark.table("swap_me").selectExpr("id", "a + 1 AS a", "id AS b"), "swap_me", folder)
+    assert [tuple(r) for r in spark.table("swap_me").orderBy("id").select("id", "a", "b").collect()] == [
+        (0, 1, 0), (1, 3, 1), (2, 5, 2)]
+    spark.sql("DROP TABLE swap_me")
+
+
 def test_text_is_dropped_before_a_shuffled_join(spark, data):
     notes = data.table("discharge")
     keys = data.table("admissions", "hadm_id")  # a join's output: size unknown
