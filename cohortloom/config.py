@@ -202,8 +202,8 @@ OUTCOME_COLUMNS = [
 ]
 # Published comparators: (population, n, pearson_r, auroc_q20, auroc_q25, auroc_dr)
 COMPARATORS = [
-    ("Trial derivation", 794, None, 0.87, None, None),
-    ("Trial validation", 707, None, 0.84, None, None),
-    ("Diuretic combination trial", 220, -0.18, None, 0.70, None),
-    ("Ward patients", 317, -0.40, None, None, 0.631),
+    ("ROSE/CARRESS/ATHENA", 794, None, 0.87, None, None),
+    ("DOSE/ESCAPE", 707, None, 0.84, None, None),
+    ("CLOROTIC", 220, -0.18, None, 0.70, None),
+    ("Floor", 317, -0.40, None, None, 0.631),
 ]
