@@ -60,6 +60,11 @@ def flat_text(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends - ends[0]
 
 
+def strings(array: pa.Array) -> list[str]:
+    """Python strings of an array without nulls, converted at once."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES
                 ) -> Iterator[pa.RecordBatch]:
     """The batch in slices of whole rows with at most ``limit`` bytes of text (or one row)."""

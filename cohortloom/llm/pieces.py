@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, prepare, text_blocks
+from .common import flat_text, prepare, strings, text_blocks
 
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -301,7 +301,7 @@ class TextEncoder:
             self._forget()
         segments, bounds = self._segments(texts)
         coded = segments.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         fresh = [w for w in words if w not in self.codes]
         if fresh:
             known = len(self.codes)

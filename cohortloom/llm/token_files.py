@@ -17,6 +17,7 @@ lie in any store that Spark reaches, and a lost task leaves nothing behind.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -30,18 +31,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import prepare, text_blocks
+from .common import prepare, strings, text_blocks
 from .ordering import by_id_range
 
 BLOCK = 256
 PERCENTILE = 0.95
 #: Text bytes of a segment; a longer text makes a longer segment.
 SEGMENT_BYTES = 4 << 20
+#: Text bytes of a task's id range; a larger range meets fewer words anew.
+RANGE_BYTES = 48 << 20
 #: Segments of a file.
 SEGMENTS = 8
 _HEAD = "<4sIIIQII"
 #: Words a task remembers with their ids before it starts anew.
-WORDS = 500_000
+WORDS = 600_000
+#: Lower-case letters that stand alone in any normal form, and marks that never join a letter.
+LETTERS, MARKS = "[a-zß-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -172,11 +177,12 @@ class WordEncoder:
 
     Valid for byte-pair tokenizers that never join what ASCII white space separates, fold
     A-Z, and mark the last piece of a word. A word is a run without ASCII white space; a last
-    run of [.,!] after plain letters is a word of its own. Words of plain letters are encoded
+    run of marks after plain letters is a word of its own. Words of plain letters are encoded
     as one text, which is much faster, and told apart by the mark; all others one by one.
     """
 
     def __init__(self, model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model.decode())
@@ -192,36 +198,45 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of words of plain letters."""
-        texts = [" ".join(words[lo:lo + 1000]) for lo in range(0, len(words), 1000)]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(f.ids, np.uint32) for f in found])
+        parts = [self.tokenizer.encode_batch_fast(
+            [" ".join(words[lo:lo + 1000])], add_special_tokens=False)[0].ids
+            for lo in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in parts])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             return self._others(words)
         return ids, np.diff(ends, prepend=0)
 
     def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [f.ids for f in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [f.ids for lo in range(0, len(words), 1000) for f in
+                 self.tokenizer.encode_batch_fast(words[lo:lo + 1000], add_special_tokens=False)]
         return (np.array([i for f in found for i in f], np.uint32),
                 np.array([len(f) for f in found], np.int64))
 
     def _codes(self, words: list[str]) -> np.ndarray:
         """Numbers of distinct words; new ones are encoded."""
-        codes = list(map(self.words.get, words))
-        new = [w for w, c in zip(words, codes, strict=True) if c is None]
-        if new:
-            plain = pc.match_substring_regex(pa.array(new), "^[a-zà-öø-ÿ]+$").to_pylist()
-            kinds = ([w for w, p in zip(new, plain, strict=True) if p],
-                     [w for w, p in zip(new, plain, strict=True) if not p])
-            for encode, part in zip((self._plain, self._others), kinds, strict=True):
-                if part:
-                    known = len(self.words)
-                    self.words.update(zip(part, range(known, known + len(part)), strict=True))
-                    ids, counts = encode(part)
-                    self.ids = np.concatenate([self.ids, ids])
-                    self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-            codes = list(map(self.words.__getitem__, words))
-        return np.array(codes, np.int64)
+        get, known = self.words.get, len(self.words)
+        codes = np.array([get(w, -1) for w in words], np.int64)
+        at = np.flatnonzero(codes < 0)
+        if at.size:
+            new = [words[i] for i in at.tolist()]
+            codes[at] = np.arange(known, known + at.size)
+            self.words.update(zip(new, range(known, known + at.size), strict=True))
+            plain = pc.match_substring_regex(pa.array(new), f"^{LETTERS}+$").to_numpy(False)
+            order, ids, counts = [], [], []
+            for encode, mine in ((self._plain, plain), (self._others, ~plain)):
+                if mine.any():
+                    order.append(np.flatnonzero(mine))
+                    got = encode([new[i] for i in order[-1].tolist()])
+                    ids.append(got[0])
+                    counts.append(got[1])
+            order, counts = np.argsort(np.concatenate(order)), np.concatenate(counts)
+            starts = (np.cumsum(counts) - counts)[order]
+            self.ids = np.concatenate([
+                self.ids, _gather(np.concatenate(ids), starts, counts[order])])
+            self.starts = np.concatenate([
+                self.starts, self.starts[-1] + np.cumsum(counts[order])])
+        return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the number of ids of each."""
@@ -235,10 +250,10 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = flat.dictionary_encode()
         words = coded.dictionary
-        split = pc.extract_regex(words, r"^(?P<head>[a-z]+)(?P<tail>[.,!]*)$")
+        split = pc.extract_regex(words, f"^(?P<head>{LETTERS}+)(?P<tail>{MARKS}*)$")
         heads = pc.coalesce(pc.struct_field(split, 0), words).dictionary_encode()
         tails = pc.fill_null(pc.struct_field(split, 1), "").dictionary_encode()
-        pairs = np.stack([self._codes(x.dictionary.to_pylist())[x.indices.to_numpy()]
+        pairs = np.stack([self._codes(strings(x.dictionary))[x.indices.to_numpy()]
                           for x in (heads, tails)], axis=1)
         sizes = np.diff(self.starts)
         # ids of the distinct words of this block, then of all words
@@ -296,7 +311,7 @@ def _segments(model: bytes, end_id: int, segment_bytes: int):
 def write_token_files(docs: DataFrame, model: bytes, path: str, end_id: int = 2,
                       segment_bytes: int = SEGMENT_BYTES) -> None:
     """Encode every text (null: empty), append ``end_id``, write files in ascending id order."""
-    ordered = by_id_range(docs, closing=False)
+    ordered = by_id_range(docs, closing=False, range_bytes=RANGE_BYTES)
     payload = ordered.select("part", "doc_id", "text").mapInArrow(
         _segments(model, end_id, segment_bytes), "payload binary")
     # the text writer puts a value's bytes down as they are, here those of a segment
