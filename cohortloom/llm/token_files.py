@@ -39,12 +39,12 @@ PERCENTILE = 0.95
 #: Text bytes of a segment; a longer text makes a longer segment.
 SEGMENT_BYTES = 4 << 20
 #: Text bytes of a task's id range; a larger range meets fewer words anew.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 24 << 20
 #: Segments of a file.
 SEGMENTS = 8
 _HEAD = "<4sIIIQII"
 #: Words a task remembers with their ids before it starts anew.
-WORDS = 600_000
+WORDS = 250_000
 #: Lower-case letters that stand alone in any normal form, and marks that never join a letter.
 LETTERS, MARKS = "[a-zß-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
@@ -290,7 +290,7 @@ def _segments(model: bytes, end_id: int, segment_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
 
         for whole in batches:
-            for batch in text_blocks(whole, "text", segment_bytes):
+            for batch in text_blocks(whole, "text", 1 << 20):
                 ids, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]), end_id, np.uint32)
