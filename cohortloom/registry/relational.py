@@ -354,7 +354,7 @@ def exists_semi(d: Data) -> DataFrame:
 @query("one_to_many_notes", f"""SELECT i.stay_id, n.hadm_id, n.med_section FROM icustays i
  JOIN (SELECT hadm_id, {ov.SECTION} AS med_section FROM discharge WHERE {ov.SPEAKS_SECTION}) n ON n.hadm_id = i.hadm_id""")
 def one_to_many_notes(d: Data) -> DataFrame:
-    return funnel.step4(d.table("icustays", "stay_id", "hadm_id"), d.src)
+    return funnel.step4(d.table("icustays", "stay_id", "hadm_id"), funnel.section_notes(d.src))
 
 
 @query("left_enrich_star", f"""SELECT a.hadm_id, {r6('l.creatinine', 'creatinine')}, {r6('l.bun', 'bun')},
