@@ -18,7 +18,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, flat_text, prepare, stored, text_blocks
@@ -168,25 +168,53 @@ def links(prints: DataFrame, bits: int = 4, members: int = MEMBERS) -> DataFrame
             .mapInArrow(_links(bits), "a long, b long").distinct())
 
 
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """One stored row per row of ``docs`` (doc_id, text): doc_id, print, text_sha256."""
+    return stored(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .mapInArrow(_fingerprints(shingle), "doc_id long, print long, text_sha256 string"))
+
+
+def rooted(rows: DataFrame, first: Column, bits: int = 4, members: int = MEMBERS) -> DataFrame:
+    """One row per distinct fingerprint of ``rows``: print, its least ``first``, root.
+
+    ``root`` is a fingerprint that names the component, whatever ids its rows have.
+    """
+    distinct = stored(rows.groupBy("print").agg(F.min(first).alias("first")))
+    roots = components(links(distinct.select("print"), bits, members))
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", "first", F.coalesce("root", "print").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, bits: int = 4,
                    members: int = MEMBERS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id, text_sha256.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``bits`` bits.
     Null and wordless texts have fingerprint zero, which links like any other. Null ids never
-    are component ids unless a component has no other (then it is null). Repeated rows share
-    a fingerprint. An empty table gives an empty result; further columns are ignored.
+    are component ids unless a component has no other (then it is null). Components that share
+    a smallest doc_id, or have none, share the component id; ``component_heads`` tells them
+    apart. Repeated rows share a fingerprint. An empty table gives an empty result; further
+    columns are ignored.
     """
     prepare(docs.sparkSession)
-    rows = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_fingerprints(shingle), "doc_id long, print long, text_sha256 string"))
-    distinct = stored(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("print"), bits, members))
-    grouped = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "first_id", F.coalesce("root", "print").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rows = fingerprints(docs, shingle)
+    grouped = rooted(rows, F.col("doc_id"), bits, members)
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("print", "component_id")
     return rows.join(named, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id", "text_sha256")
+
+
+def component_heads(docs: DataFrame, shingle: int = 4, bits: int = 4,
+                    members: int = MEMBERS) -> DataFrame:
+    """One row per component of ``docs`` (doc_id, text): doc_id, text_sha256 of its first row.
+
+    The first row has the smallest doc_id, null last, then the smallest digest.
+    """
+    prepare(docs.sparkSession)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    return (rooted(fingerprints(docs, shingle), first, bits, members)
+            .groupBy("root").agg(F.min("first").alias("first"))
+            .select("first.doc_id", "first.text_sha256"))

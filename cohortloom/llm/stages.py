@@ -27,11 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component stays: the one with the smallest doc_id."""
+    """One row of each SimHash component stays: the one with the smallest doc_id, null last."""
     prepare(spark)
-    first = simhash.simhash_groups(docs).groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "text_sha256")).alias("first")).select("first.*")
-    return keep_rows(docs.select(*COLUMNS), first)
+    return keep_rows(docs.select(*COLUMNS), simhash.component_heads(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

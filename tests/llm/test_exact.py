@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+import corpus_pipeline
 from cohortloom.llm import (components, exact_dedup, licenses, mixing, pieces, registry, simhash,
-                            sketches, token_files, url_filter)
+                            sketches, stages, token_files, url_filter)
 from cohortloom.llm.common import read_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -99,6 +100,35 @@ def test_links_reach_everything_near(spark, members):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_near_keeps_one_row_per_component(spark, whole, monkeypatch, tmp_path):
+    """Several null ids, and repeated ids of different texts, are components of their own."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(12)]
+    spaced = [t.replace(" ", "  ") for t in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (None, spaced[1]), (None, None), (None, " "),
+            (7, texts[2]), (7, texts[3]), (7, spaced[3]), (9, texts[4]), (None, spaced[4]),
+            (5, texts[5]), (5, texts[6]), (6, spaced[6]), (4, spaced[6] + " "), (8, texts[7]),
+            (2, ""), (7, "x"), (7, "y")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    if whole:
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [
+            ("exact dedup", stages.exact), ("SimHash near-dedup", stages.near)])
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    else:
+        found = stages.near(spark, docs, "").collect()
+    prints = {t or "": brute_print(t or "") for _, t in rows}
+    roots, heads = brute_components(set(prints.values()), 4), {}
+    for d, t in rows:
+        row = (d is None, d or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "")
+        root = roots[prints[t or ""]]
+        heads[root] = min(heads.get(root, row), row)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in found) == sorted(
+        (none, d, t) for none, d, _, t in heads.values())
+
+
 def test_forest_is_small():
     members = np.unique(np.random.default_rng(1).integers(0, 2**14, 3000).astype(np.uint64))
     child, parent = simhash.forest(members, 4)
