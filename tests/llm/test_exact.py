@@ -417,6 +417,50 @@ def test_rules_and_models(spark):
         assert r.verdict == wanted
 
 
+def test_url_scores_are_exact_with_many_contexts(spark):
+    """More keys than a hashed table of 2**18 counters holds apart; plain counts are the truth."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_"
+
+    def url(host):
+        return f"http://{host}/" + "".join(rng.choice(letters) for _ in range(60))
+
+    urls = [url(f"a{i % 5}.com") for i in range(600)] + [
+        f"http://b.net/es/{url('x')[9:]}" for _ in range(600)] + [url("c.org") for _ in range(20)]
+    urls += urls[:40] + ["", None]
+    found = url_filter.judge_urls(spark.createDataFrame(
+        list(enumerate(urls)), "page_id long, url string")).collect()
+    held = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").filter(
+        "pmod(xxhash64(url, 'calibrate'), 5) = 0").collect()}
+    plain, width = [defaultdict(int), defaultdict(int)], url_filter.ORDER
+
+    def pad(text):
+        return bytes([2] * width) + text.encode() + bytes([3])
+
+    for text in urls:
+        best = brute_rule(text)[2]
+        if best and text not in held:
+            data, table = pad(text), plain[best[1] == "allow"]
+            for i in range(width, len(data)):
+                for order in range(width + 1):
+                    table[data[i - order:i], order] += 1
+                    table[data[i - order:i], data[i], order] += 1
+    assert sum(map(len, plain)) > 1 << 18
+    for r in found:
+        if urls[r.page_id] is None:
+            assert r.llr == 0
+            continue
+        data, total = pad(urls[r.page_id]), 0.0
+        for i in range(width, len(data)):
+            p = [1 / url_filter.ALPHABET] * 2
+            for order in range(width + 1):
+                p = [(t[data[i - order:i], data[i], order] + url_filter.PRIOR * q)
+                     / (t[data[i - order:i], order] + url_filter.PRIOR)
+                     for t, q in zip(plain, p, strict=True)]
+            total += np.log(p[1]) - np.log(p[0])
+        assert r.llr == pytest.approx(total / (len(data) - width), abs=1e-9)
+
+
 def test_markov_scores_match_plain_counts(monkeypatch):
     good = ["http://good.org/a/b", "http://good.org/c", "http://fine.org/a"] * 4
     bad = ["http://bad.biz/z/z", "http://worse.biz/qq"] * 4
