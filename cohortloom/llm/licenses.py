@@ -1,7 +1,7 @@
 """Licence scan: canonical texts looked up by digest, JVM side only.
 
-A text is brought to a canonical form: A to Z and all other letters lower-case, lines that
-only state a copyright dropped, punctuation and layout reduced to single spaces, equivalent
+A text is brought to a canonical form: A to Z and all other letters lower-case, statements
+of a copyright that open a line dropped, punctuation and layout reduced to single spaces, equivalent
 spellings made one. The digest of an entire canonical text is then joined with the digests
 of known licences. Entire texts are whole documents and single lines, so both a licence file
 and a licence notice on a line of its own are found, never a mere mention inside a line.
@@ -84,12 +84,30 @@ KNOWN = (
 )
 
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n(©]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+_YEAR = r"(?:[0-9]{4}|[<\[{(](?:year|yyyy)s?[>\]})])"
+_MARK = r"(?:copyright|\(c\)|©)"
+_END = r"(?=\n|$)"
+#: Words after which 'copyright' is prose of a licence, and words that open its next sentence.
+_PROSE = (r"(?:notices?|holders?|owners?|ownership|licen[sc]es?|licensed|laws?|interests?|rights?|"
+          r"statements?|protection|treat(?:y|ies)|disclaimers?|status|act|infringement|permission|"
+          r"and|or|in|of|to|is|are|on|for|the|as|that|this|which|with|may|must|shall)")
+_NEXT = (r"(?:licensed|released|distributed|redistribution|permission|spdx|mit license|isc license|"
+         r"(?:the|this) (?:software|work|project|program|file|library|source|code))")
+#: A copyright statement that opens a line: mark and year (or two marks), and its holder up to
+#: the line end or the next sentence; 'copyright' and a short holder that fills the line; 'all
+#: rights reserved'. The twin's wider COPYRIGHT_LINE drops the whole line.
+STATEMENT = (
+    r"(^|\n)[^\p{L}\p{N}\n(©]*(?:"
+    rf"(?:{_MARK}(?:[ \t:]*{_MARK})*[ \t,:]*{_YEAR}|copyright[ \t:]*(?:\(c\)|©)|©)"
+    rf"[^\n]*?(?:[.;,]?[ \t]+all rights reserved\b)?(?:{_END}|(?=[.;,]+[ \t]+{_NEXT}\b))"
+    rf"|copyright[ \t]+(?!{_PROSE}\b)[^\s]+(?:[ \t]+[^\s]+){{0,7}}[ \t\r]*{_END}"
+    rf"|all rights reserved(?:[^\p{{L}}\p{{N}}\n]*{_END}|(?=[.;,]+[ \t]+{_NEXT}\b)))")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text; its words are separated by single spaces."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    text = F.regexp_replace(F.lower(text), STATEMENT, "\n")
     text = F.trim(F.regexp_replace(text, NOT_WORD, " "))
     for other, one in EQUIVALENT:
         text = F.replace(text, F.lit(other), F.lit(one))

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -326,6 +327,28 @@ def test_licences_in_other_dress(spark):
     assert found[6].line_licenses is None
 
 
+def test_licences_survive_any_wrapping(spark):
+    """A line that begins with 'copyright' is dropped only if it states one."""
+    rows, wanted = [], []
+    for name, text in licenses.KNOWN:
+        for width in (9, 20, 33, 48, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 76, 100):
+            paragraphs = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")]
+            for head in ("", "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n",
+                         "Copyright Some Body <a@b.org>\n\n", "(c) 2020 X. "):
+                rows.append(head + "\n\n".join(paragraphs))
+                wanted.append(name)
+    rows += ["the above\ncopyright notice and this permission notice", "Copyright Somebody\n",
+             "(c) You must retain this.", "ISC\n(c) 2020 X. Licensed under the MIT License."]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(
+        list(enumerate(rows)), "doc_id long, text string")).collect()}
+    lost = [rows[i] for i, name in enumerate(wanted)
+            if found[i].text_license != name and "(c) 2020 X. " not in rows[i]]
+    assert lost == []
+    assert found[len(rows) - 1].line_licenses == "MIT"
+    one_line = {rows[i]: found[i].text_license for i in range(len(wanted))}
+    assert one_line["(c) 2020 X. Licensed under the MIT License."] == "MIT"
+
+
 # mixing ----------------------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(5, 2, 1), repeats=3):
