@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (exact_dedup, language_id, licenses, mixing, pieces, quality, simhash, sketches,
-               token_files, url_filter)
+from . import (exact_dedup, jaccard_join, language_id, licenses, mixing, pieces, quality, simhash,
+               sketches, token_files, url_filter)
 from .common import prepare, read_table
 
 #: Names of the public vocabulary files that the queries use.
@@ -63,10 +63,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(prepare(spark), sf_dir, "pages"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read_table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_document_fingerprints, op4_license_scan,
     op5_simhash_near_dedup, op6_token_files, op7_sentencepiece, op8_exact_dedup, op9_mixing,
-    op10_url_filter)}
+    op10_url_filter, op11_jaccard_join)}
 
 ORACLES = {
     "op4_license_scan": licenses.oracle(),
