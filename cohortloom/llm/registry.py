@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (exact_dedup, jaccard_join, language_id, licenses, mixing, pieces, quality, simhash,
-               sketches, token_files, url_filter)
+from . import (conversations, exact_dedup, jaccard_join, language_id, licenses, mixing, pieces,
+               quality, simhash, sketches, token_files, url_filter)
 from .common import prepare, read_table
 
 #: Names of the public vocabulary files that the queries use.
@@ -67,10 +67,15 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(prepare(spark), sf_dir, "conversations")
+    return conversations.repaired_conversations(rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_document_fingerprints, op4_license_scan,
     op5_simhash_near_dedup, op6_token_files, op7_sentencepiece, op8_exact_dedup, op9_mixing,
-    op10_url_filter, op11_jaccard_join)}
+    op10_url_filter, op11_jaccard_join, op12_conversation_repair)}
 
 ORACLES = {
     "op4_license_scan": licenses.oracle(),
@@ -79,4 +84,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_conversation_repair": conversations.oracle(),
 }
