@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (conversations, exact_dedup, jaccard_join, language_id, licenses, mixing, pieces,
-               quality, simhash, sketches, token_files, url_filter)
+               quality, simhash, sketches, token_files, url_filter, whitening)
 from .common import prepare, read_table
 
 #: Names of the public vocabulary files that the queries use.
@@ -72,10 +72,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_conversations(rows)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(prepare(spark), sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_document_fingerprints, op4_license_scan,
     op5_simhash_near_dedup, op6_token_files, op7_sentencepiece, op8_exact_dedup, op9_mixing,
-    op10_url_filter, op11_jaccard_join, op12_conversation_repair)}
+    op10_url_filter, op11_jaccard_join, op12_conversation_repair,
+    op13_embedding_whitening)}
 
 ORACLES = {
     "op4_license_scan": licenses.oracle(),
