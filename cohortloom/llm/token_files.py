@@ -19,6 +19,8 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +45,9 @@ RANGE_BYTES = 24 << 20
 #: Segments of a file.
 SEGMENTS = 8
 _HEAD = "<4sIIIQII"
-#: Words a task remembers with their ids before it starts anew.
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 2 << 20
+#: Words a worker process remembers with their ids before it starts anew.
 WORDS = 250_000
 #: Lower-case letters that stand alone in any normal form, and marks that never join a letter.
 LETTERS, MARKS = "[a-zß-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
@@ -146,12 +150,30 @@ class Segment:
         return self.blocks(lo, hi).ravel()[first - lo * self.block:last - lo * self.block]
 
 
+def _head(data: bytes, at: int) -> tuple:
+    magic, *fields = struct.unpack_from(_HEAD, data, at)
+    if magic != b"PFR1":
+        raise ValueError("not a token segment")
+    return tuple(fields)
+
+
+def segment_totals(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(part, sequence, tokens) of every segment; only heads, widths and counts are read."""
+    at = 0
+    while at < len(data):
+        part, sequence, docs, tokens, block, blocks = _head(data, at)
+        at += struct.calcsize(_HEAD) + docs * 13 + blocks * 4
+        width = np.frombuffer(data, "u1", blocks, at)
+        late = np.frombuffer(data, "<u2", blocks, at + blocks)
+        at += blocks * 11 + int(width.astype(np.int64).sum()) * block // 8
+        at += int(late.astype(np.int64).sum()) * 6 + 1
+        yield part, sequence, tokens
+
+
 def read_segments(data: bytes) -> Iterator[Segment]:
     at = 0
     while at < len(data):
-        magic, part, sequence, docs, tokens, block, blocks = struct.unpack_from(_HEAD, data, at)
-        if magic != b"PFR1":
-            raise ValueError("not a token segment")
+        part, sequence, docs, tokens, block, blocks = _head(data, at)
         at += struct.calcsize(_HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -186,7 +208,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model.decode())
-        suffix = json.loads(model)["model"]["end_of_word_suffix"]
+        spec = json.loads(model)
+        suffix = spec["model"]["end_of_word_suffix"]
+        # plain letters are in normal form already, and a space is all that parts them
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"},
+            *[p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]]}
+        self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec))
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
@@ -198,7 +227,7 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of words of plain letters."""
-        parts = [self.tokenizer.encode_batch_fast(
+        parts = [self.plain_tokenizer.encode_batch_fast(
             [" ".join(words[lo:lo + 1000])], add_special_tokens=False)[0].ids
             for lo in range(0, len(words), 1000)]
         ids = np.concatenate([np.array(x, np.uint32) for x in parts])
@@ -266,6 +295,19 @@ class WordEncoder:
         return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
+def worker_encoder(model: bytes) -> WordEncoder:
+    """The worker process's encoder of a model; it outlives the task with the words it knows.
+
+    A function that travels by value gets new globals in every task, so the encoder is kept
+    in a module of its own. A process holds the last model only.
+    """
+    held = sys.modules.setdefault("token_file_encoders", types.ModuleType("token_file_encoders"))
+    key = zlib.crc32(model), len(model)
+    if getattr(held, "key", None) != key:
+        held.encoder, held.key = WordEncoder(model), key
+    return held.encoder
+
+
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``values`` at ``starts`` of ``sizes``, end to end."""
     ends = np.cumsum(sizes)
@@ -277,7 +319,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 def _segments(model: bytes, end_id: int, segment_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordEncoder(model), 0
+        encoder, sequence = worker_encoder(model), 0
         held: list[tuple] = []
         size = 0
 
@@ -290,7 +332,7 @@ def _segments(model: bytes, end_id: int, segment_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
 
         for whole in batches:
-            for batch in text_blocks(whole, "text", 1 << 20):
+            for batch in text_blocks(whole, "text", ENCODE_BYTES):
                 ids, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]), end_id, np.uint32)
@@ -339,7 +381,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            rows = [(s.part, s.sequence, s.tokens) for s in read_segments(content.as_buffer())]
+            rows = list(segment_totals(content.as_buffer()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in

@@ -520,3 +520,20 @@ def test_markov_scores_match_plain_counts(monkeypatch):
             total += logs[1] - logs[0]
         assert got == pytest.approx(total / (len(data) - width), abs=1e-3)
     assert model.score(pa.array(["http://good.org/a", "http://bad.biz/q"])).tolist()[0] > 0
+
+
+def test_segment_totals_skip_what_they_do_not_read():
+    rng = np.random.default_rng(3)
+    parts = []
+    for k, n in enumerate((0, 1, 700, 5000)):
+        ids = rng.integers(0, 49_000, n).astype(np.uint32)
+        parts.append(token_files.write_segment(4, k, [1, None][:min(n, 2)],
+                                               np.array([n - 1, 1][:min(n, 2)]), ids) + b"\n")
+    data = b"".join(parts)
+    whole = [(s.part, s.sequence, s.tokens) for s in token_files.read_segments(data)]
+    assert list(token_files.segment_totals(data)) == whole == [(4, 0, 0), (4, 1, 1), (4, 2, 700), (4, 3, 5000)]
+
+
+def test_worker_keeps_its_encoder():
+    model = registry.vocabulary(registry.WORD_MODEL)
+    assert token_files.worker_encoder(model) is token_files.worker_encoder(model)
