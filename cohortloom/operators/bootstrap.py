@@ -1,78 +1,62 @@
-"""Percentile bootstrap intervals with deterministic Poisson(1) row weights.
-
-A row's weight in replicate b depends only on its id, b and the seed, so any task can
-recompute it: no resample is ever drawn centrally or stored, and a lost executor's
-work repeats exactly. The weight is whole-number arithmetic that plain SQL can repeat.
-
-Metrics that need class counts only (AUROC, AUPRC) draw one weight per (score, class) cell
-and replicate. Moments (Pearson) add row weights up per replicate on the map side. Metrics on
-ranks of a continuous outcome (Spearman, concordance) cut the rows once into chunks of
-consecutive outcome values. A chunk works out its own part for a block of replicates
-with array operations; positions between chunks follow from the chunks' weight totals.
-So rows are shuffled once, not once per replicate.
+"""Percentile bootstrap intervals from mergeable replicate vectors.
+
+A row's weight in replicate b is a Poisson(1) number that depends only on its id, b and the
+seed, so any task can recompute it: no resample is ever drawn centrally or stored, and a
+lost executor's work repeats exactly. The weight is whole-number arithmetic that plain SQL
+can repeat, and a row weighs the same in every metric.
+
+No row is multiplied by the replicates. A task turns its rows into state vectors with one
+entry per replicate, adds them up per group, and hands on one state per group; states of
+the same group merge in one exchange. A metric is a way to update, merge and finish a state
+(:class:`Metric`): class counts per score value for AUROC and AUPRC, moments for Pearson, or
+whatever a caller hands in.
+
+Metrics on ranks of a continuous outcome (Spearman, concordance) range the rows once by
+outcome. A task streams its range and keeps running totals, so its state holds ranks counted
+from the range's start; what lies before it is added when the ranges' states meet. A value
+tied across ranges is handed on by itself, as totals only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .association import ordered_pairs
-from .ranks import histogram, mean_rank, prefix_sums
-from .roc import discrimination_from
-
 PRIME = 2147483647
+#: Weights that are held at a time (rows times replicates), and bytes of open states.
+WEIGHTS, STATE_BYTES = 4_000_000, 96 << 20
+#: Rows of a range that are worked on together, and replicates that are finished together.
+RANGE_ROWS, BLOCK = 4096, 50
 
 
-def _poisson_limits(mean: float = 1.0, count: int = 12) -> list[int]:
-    """PRIME * P(Poisson(mean) <= k), rounded down: a draw below the k-th has weight <= k.
+def _poisson_limits(count: int = 12) -> list[int]:
+    """PRIME * P(Poisson(1) <= k), rounded down: a draw below the k-th has weight <= k.
 
     Weights from ``count`` on are rarer than one draw in PRIME where the list ends.
     """
-    out, term, total = [], math.exp(-mean), 0.0
+    out, term, total = [], math.exp(-1.0), 0.0
     for k in range(count):
         total += term
         out.append(int(total * PRIME))
-        term *= mean / (k + 1)
+        term /= k + 1
     return out
 
 
 LIMITS = _poisson_limits()
-#: Limits of the sum of n weights, for n from 1 on; larger sums go by the normal draw.
-CELL_LIMITS = [_poisson_limits(float(n), 13 + 6 * n) for n in range(1, 17)]
-CHUNK_ROWS = 16384
 
 
-def add_weights(df: DataFrame, row_id: str, replicate: str, seed: int) -> DataFrame:
-    """Adds ``w``, the Poisson(1) weight of each (row id, replicate).
+def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights, rows by replicates.
 
-    A pseudo-random integer in [0, PRIME) comes from modular multiplying and squaring
-    and is looked up in the limits. Each step is a column of its own: used twice in the
-    next one, it would otherwise be computed again and again.
+    A pseudo-random integer in [0, PRIME) comes from modular multiplying and squaring and is
+    looked up in the limits.
     """
-    p = F.lit(PRIME).cast("bigint")
-    a, b = F.col("_rid"), F.col(replicate).cast("bigint")
-    x = F.col("_draw")
-    rid = F.col(row_id).cast("bigint")
-    step = df.withColumn("_rid", F.pmod(rid + F.shiftright(rid, 31) * 40692, p))
-    step = step.withColumn("_draw", (a * 48271 + b * 69621 + seed) % p)
-    step = step.withColumn("_draw", (x * x + a) % p)
-    step = step.withColumn("_draw", (x * 16807 + b * 39373) % p)
-    step = step.withColumn("_draw", (x * x + b) % p)
-    step = step.withColumn("_draw", (x * 48271 + 11) % p)
-    weight = F.when(x < LIMITS[0], 0)
-    for k, limit in enumerate(LIMITS[1:], 1):
-        weight = weight.when(x < limit, k)
-    return step.withColumn("w", weight.otherwise(len(LIMITS))).drop("_rid", "_draw")
-
-
-def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """The same weights as :func:`add_weights`, rows by replicates."""
     ids = ids.astype(np.int64)
     a = np.mod(ids + (ids >> 31) * 40692, PRIME)[:, None]
     b = replicates.astype(np.int64)[None, :]
@@ -84,20 +68,6 @@ def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndar
     return np.searchsorted(np.asarray(LIMITS), x, side="right").astype(np.float64)
 
 
-def replicated(df: DataFrame, row_id: str, columns: list[str], resamples: int,
-               seed: int) -> DataFrame:
-    """Rows times replicates with their weight ``w``, inside one generated loop.
-
-    The narrow rows are dealt out evenly first: the thousandfold work that follows
-    must not hang on a few input files. Zero weights stay in; a filter on ``w`` would be
-    pushed below the steps that compute it and repeat them all.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(row_id, *columns).repartition(tasks, row_id)
-    spread = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    return add_weights(spread, row_id, "b", seed).drop(row_id)
-
-
 def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid: int = 50,
              strict: bool = False, level: float = 0.95) -> DataFrame:
     """Percentile interval over the valid replicates of each group.
@@ -118,245 +88,400 @@ def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid:
         n.alias("n_valid"))
 
 
-def cell_key(columns: list[str]) -> Column:
-    """A whole number below 2**28 that stands for a cell, from its columns as text."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("bigint")
+# --- mergeable states ----------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Metric:
+    """A bootstrap metric as a mergeable state.
 
-def add_cell_weights(cells: DataFrame, key: str, count: str, replicate: str,
-                     seed: int) -> DataFrame:
-    """Adds ``w``, the summed weight of ``count`` rows of a cell in a replicate.
-
-    The sum of n independent Poisson(1) weights is Poisson(n): up to 16 by its own limits,
-    beyond by a normal draw with the correction for its skew.
+    ``update(columns, w)`` turns rows (a dict of arrays) and their weights (rows by
+    replicates) into a state of ``size`` numbers per replicate (an array of that many rows);
+    ``merge`` joins two states and must not care about order. ``finish(cells, states)`` gets
+    all cells of a group, ascending (their key columns as arrays, their states stacked), and
+    gives one array over replicates per output; not-a-number means no value.
     """
-    p = F.lit(PRIME).cast("bigint")
-    a, b, x = F.col(key), F.col(replicate).cast("bigint"), F.col("_draw")
-    step = cells.withColumn("_draw", (a * 48271 + b * 69621 + seed) % p)
-    step = step.withColumn("_draw", (x * x + a) % p)
-    step = step.withColumn("_draw", (x * 16807 + b * 39373) % p)
-    step = step.withColumn("_first", (x * x + b) % p)
-    step = step.withColumn("_draw", (F.col("_first") * F.col("_first") + F.col("_first") * 16807 + a) % p)
-    step = step.withColumn("_draw", (x * 48271 + 11) % p)
-    n = F.col(count).cast("double")
-    z = (F.sqrt(-2.0 * F.log((F.col("_first") + 1).cast("double") / PRIME))
-         * F.cos(x.cast("double") * (2 * math.pi / PRIME)))
-    step = step.withColumn("_z", z)
-    z = F.col("_z")
-    many = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * z + (z * z - 1) / 6))
-    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in CELL_LIMITS])
-    few = F.size(F.filter(F.get(table, F.col(count).cast("int") - 1), lambda t: t <= F.col("_draw")))
-    return step.withColumn("w", F.when(F.col(count) <= len(CELL_LIMITS), few.cast("bigint"))
-                           .otherwise(many.cast("bigint"))).drop("_draw", "_first", "_z")
-
-
-def discrimination_replicates(df: DataFrame, score: str, event: str, resamples: int,
-                              seed: int, by: list[str] = (), bounded: bool = False) -> DataFrame:
-    """by, b, auroc, auprc; replicates lacking a class have NULL.
 
-    Both depend on the rows of each (score, event) cell only, so a replicate draws one
-    weight per cell: the work is cells times replicates, however many rows there are.
+    columns: tuple[str, ...]
+    size: int
+    update: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
+    finish: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add
+    outputs: tuple[str, ...] = ("value",)
+    cells: tuple[str, ...] = ()
+
+
+def _area(cells: dict[str, np.ndarray], states: np.ndarray) -> dict[str, np.ndarray]:
+    score, event = (cells[c] for c in ("_score", "_event"))
+    levels, at = np.unique(score, return_inverse=True)
+    p, q = np.zeros((2, levels.size, states.shape[2]))
+    np.add.at(p, at, states[:, 0] * event[:, None])
+    np.add.at(q, at, states[:, 0] * (1 - event[:, None]))
+    positives, negatives = p.sum(axis=0), q.sum(axis=0)
+    hits = positives - np.cumsum(p, axis=0) + p
+    flagged = hits + negatives - np.cumsum(q, axis=0) + q
+    with np.errstate(divide="ignore", invalid="ignore"):
+        area = (p * (np.cumsum(q, axis=0) - q / 2)).sum(axis=0) / (positives * negatives)
+        precision = np.where(flagged > 0, p * hits / flagged, 0.0).sum(axis=0) / positives
+    both = (positives > 0) & (negatives > 0)
+    return {"auroc": np.where(both, area, np.nan), "auprc": np.where(both, precision, np.nan)}
+
+
+#: AUROC and AUPRC of a score with few levels: weight per (score, event) cell.
+DISCRIMINATION = Metric((), 1, lambda columns, w: w.sum(axis=0)[None], _area,
+                        outputs=("auroc", "auprc"), cells=("_score", "_event"))
+
+
+def _moments(columns: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Per replicate: weight, both means, and products about them."""
+    x, y = columns["_x"][:, None], columns["_y"][:, None]
+    n = w.sum(axis=0)
+    safe = np.where(n > 0, n, 1.0)
+    mx, my = (w * x).sum(axis=0) / safe, (w * y).sum(axis=0) / safe
+    u, v = x - mx, y - my
+    return np.stack([n, mx, my, (w * u * u).sum(axis=0), (w * u * v).sum(axis=0),
+                     (w * v * v).sum(axis=0)])
+
+
+def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = a[0] + b[0]
+    safe = np.where(n > 0, n, 1.0)
+    dx, dy, both = b[1] - a[1], b[2] - a[2], a[0] * b[0] / safe
+    return np.stack([n, (a[0] * a[1] + b[0] * b[1]) / safe, (a[0] * a[2] + b[0] * b[2]) / safe,
+                     a[3] + b[3] + both * dx * dx, a[4] + b[4] + both * dx * dy,
+                     a[5] + b[5] + both * dy * dy])
+
+
+def _correlation(cells: dict[str, np.ndarray], states: np.ndarray) -> dict[str, np.ndarray]:
+    _, _, _, xx, xy, yy = states[0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"pearson": np.where(xx * yy > 0, xy / np.sqrt(xx * yy), np.nan)}
+
+
+#: Pearson correlation from moments about the running means.
+PEARSON = Metric(("_x", "_y"), 6, _moments, _correlation, _merge_moments, ("pearson",))
+
+
+def _key_schema(rows: DataFrame, keys: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return "".join(f"`{k}` {types[k]}, " for k in keys)
+
+
+def _by_group(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    if not keys:
+        yield (), np.arange(len(pdf))
+        return
+    for key, rows in pdf.groupby(keys, sort=False, dropna=False).indices.items():
+        yield (key if isinstance(key, tuple) else (key,)), rows
+
+
+def _updates(metric: Metric, keys: list[str], resamples: int, seed: int):
+    """Rows to one state per group and task; open states are bounded, the rest goes out early."""
+    numbers = np.arange(1, resamples + 1)
+
+    def out(states: dict) -> pd.DataFrame:
+        frame = pd.DataFrame(list(states), columns=keys) if keys else pd.DataFrame(index=range(1))
+        frame["state"] = [s.tobytes() for s in states.values()]
+        return frame
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, np.ndarray] = {}
+        step = max(1, WEIGHTS // resamples)
+        for whole in frames:
+            for at in range(0, len(whole), step):
+                pdf = whole.iloc[at:at + step]
+                ids, place = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
+                w = weight_matrix(ids, numbers, seed)
+                columns = {c: pdf[c].to_numpy() for c in metric.columns}
+                for key, rows in _by_group(pdf, keys):
+                    new = metric.update({c: v[rows] for c, v in columns.items()}, w[place[rows]])
+                    states[key] = metric.merge(states[key], new) if key in states else new
+                if len(states) * metric.size * resamples * 8 > STATE_BYTES:
+                    yield out(states)
+                    states = {}
+        if states:
+            yield out(states)
+
+    return run
+
+
+def _finishes(metric: Metric, by: list[str], resamples: int):
+    """States sorted by group and cell to one row per group and replicate."""
+    cells = list(metric.cells)
+
+    def out(key: tuple, found: dict) -> pd.DataFrame:
+        names = {c: np.array([k[i] for k in found]) for i, c in enumerate(cells)}
+        values = metric.finish(names, np.stack(list(found.values())))
+        frame = pd.DataFrame({"b": np.arange(1, resamples + 1, dtype=np.int32)})
+        for c, v in zip(by, key, strict=True):
+            frame[c] = v
+        for name in metric.outputs:
+            frame[name] = values[name]
+        return frame[[*by, "b", *metric.outputs]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, found = None, {}
+        for pdf in frames:
+            groups = list(zip(*[pdf[c] for c in by], strict=True)) if by else [()] * len(pdf)
+            parts = list(zip(*[pdf[c] for c in cells], strict=True)) if cells else [()] * len(pdf)
+            for key, cell, raw in zip(groups, parts, pdf["state"], strict=True):
+                if found and key != now:
+                    yield out(now, found)
+                    found = {}
+                now, state = key, np.frombuffer(raw).reshape(metric.size, resamples)
+                found[cell] = metric.merge(found[cell], state) if cell in found else state
+        if found:
+            yield out(now, found)
+
+    return run
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def replicates(df: DataFrame, metric: Metric, row_id: str, resamples: int, seed: int,
+               by: list[str] = ()) -> DataFrame:
+    """by, b and the metric's outputs: one row per group and replicate, NULL without a value.
+
+    ``df`` must hold the metric's columns and cells. The narrow rows are dealt by id, so the
+    thousandfold work does not hang on a few files and a row that belongs to many groups
+    draws its weights once.
     """
     by = list(by)
-    cells = histogram(df, [*by, score, event])
-    keyed = cells.withColumn("_cell", cell_key([*by, score, event]))
-    spread = keyed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    rows = add_cell_weights(spread, "_cell", "n", "b", seed)
-    e, w = F.col(event), F.col("w")
-    hist = rows.groupBy(*by, "b", score).agg(
-        F.sum(e * w).cast("bigint").alias("p"), F.sum((1 - e) * w).cast("bigint").alias("q"))
-    return discrimination_from(hist, score, [*by, "b"], bounded)
-
-
-def bootstrap(df: DataFrame, metric: Callable[[DataFrame, list[str]], DataFrame], row_id: str,
-              columns: list[str], resamples: int, seed: int, by: list[str] = ()) -> DataFrame:
-    """Interval of any metric: ``metric(rows, keys)`` gives one ``value`` per key.
-
-    ``rows`` hold the ``columns`` and the weight ``w`` of each row in each replicate; ``keys``
-    are the groups and the replicate. The metric must be an aggregation over weighted rows.
+    keys = [*by, *metric.cells]
+    rows = df.select(F.col(row_id).cast("bigint").alias("_id"), *keys, *metric.columns).dropna()
+    schema = _key_schema(rows, keys)
+    states = (rows.repartition(_tasks(df), "_id").sortWithinPartitions("_id").mapInPandas(
+        _updates(metric, keys, resamples, seed), f"{schema}state binary"))
+    met = states.repartition(*by) if by else states.repartition(1)
+    found = (met.sortWithinPartitions(*keys) if keys else met).mapInPandas(
+        _finishes(metric, by, resamples), f"{_key_schema(rows, by)}b int, "
+        + ", ".join(f"{c} double" for c in metric.outputs))
+    # pandas has no NULL for doubles
+    return found.select(*by, "b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in metric.outputs])
+
+
+def bootstrap(df: DataFrame, metric: Metric, row_id: str, resamples: int, seed: int,
+              by: list[str] = ()) -> DataFrame:
+    """Interval of any metric with a single output per group."""
+    name, = metric.outputs
+    return interval(replicates(df, metric, row_id, resamples, seed, by), name, list(by))
+
+
+def discrimination_replicates(df: DataFrame, score: str, event: str, resamples: int, seed: int,
+                              by: list[str] = (), row_id: str = "stay_id") -> DataFrame:
+    """by, b, auroc, auprc; replicates lacking a class have NULL.
+
+    For a score of few levels: a group's state is a vector per score value and class.
     """
-    by = list(by)
-    rows = replicated(df.dropna(subset=[*by, *columns]), row_id, [*by, *columns], resamples, seed)
-    return interval(metric(rows, [*by, "b"]), "value", by)
+    rows = df.withColumns({"_score": F.col(score).cast("double"), "_event": F.col(event).cast("int")})
+    return replicates(rows, DISCRIMINATION, row_id, resamples, seed, by)
+
+
+def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
+                       by: list[str] = ()) -> DataFrame:
+    rows = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
+    return replicates(rows, PEARSON, row_id, resamples, seed, by)
+
+
+# --- ranks ---------------------------------------------------------------------------
+
+#: Vectors of a part: weight, rank sum, rank square sum, pairs, and squared weights of ties
+#: within a level and (on the first level only) over all levels.
+_SUMS = ("w", "first", "second", "pairs", "same_both", "same_y")
+
+
+@dataclass
+class _Group:
+    """Running state of one group in a range: totals so far and sums from the range's start."""
+
+    resamples: int
+    low: float | None = None
+    levels: dict[float, np.ndarray] = field(default_factory=dict)
+
+    def level(self, x: float) -> np.ndarray:
+        if x not in self.levels:
+            self.levels[x] = np.zeros((len(_SUMS), self.resamples))
+        return self.levels[x]
+
+    def totals(self) -> np.ndarray:
+        return sum((v[0] for v in self.levels.values()), np.zeros(self.resamples))
+
+    def add(self, x: np.ndarray, tie: np.ndarray, y: np.ndarray, w: np.ndarray,
+            concordance: bool) -> None:
+        """Rows of whole tied values (``tie`` numbers them), ascending, after all rows so far."""
+        if self.low is None:
+            self.low = float(y[0])
+        starts = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
+        at = np.cumsum(np.r_[True, tie[1:] != tie[:-1]]) - 1
+        tied = np.add.reduceat(w, starts, axis=0)
+        rank = (self.totals() + np.cumsum(tied, axis=0) - (tied - 1) / 2)[at]
+        names, place = np.unique(x, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        first_rows = np.searchsorted(place[order], np.arange(names.size))
+        own = w[order]
+        ranked = own * rank[order]
+        total = np.add.reduceat(own, first_rows, axis=0)
+        first = np.add.reduceat(ranked, first_rows, axis=0)
+        second = np.add.reduceat(ranked * rank[order], first_rows, axis=0)
+        higher_rows = np.zeros_like(tied)
+        for i in range(names.size - 1, -1, -1):
+            sums = self.level(names[i])
+            if concordance:
+                before = sum((v[0] for z, v in self.levels.items() if z > names[i]),
+                             np.zeros(self.resamples))
+                mine = np.add.reduceat(np.where((place == i)[:, None], w, 0.0), starts, axis=0)
+                sums[3] += (mine * (before + np.cumsum(higher_rows, axis=0) - higher_rows)).sum(axis=0)
+                sums[4] += (mine * mine).sum(axis=0)
+                higher_rows += mine
+        for i, name in enumerate(names):
+            self.level(name)[:3] += (total[i], first[i], second[i])
+        self.level(names[0])[5] += (tied * tied).sum(axis=0)
 
 
-def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
-                       seed: int, by: list[str] = ()) -> DataFrame:
-    """by, b, pearson from weighted moments about the groups' plain means."""
-    by = list(by)
-    both = df.dropna(subset=[*by, x, y]).select(
-        row_id, *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    if by:
-        means = both.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-        both = both.join(means, by)
-    else:
-        both = (both.withColumn("_mx", both.agg(F.avg("_x")).scalar())
-                .withColumn("_my", both.agg(F.avg("_y")).scalar()))
-    centred = both.select(row_id, *by, (F.col("_x") - F.col("_mx")).alias("_x"),
-                          (F.col("_y") - F.col("_my")).alias("_y"))
-    rows = replicated(centred, row_id, [*by, "_x", "_y"], resamples, seed)
-    w, u, v = F.col("w").cast("double"), F.col("_x"), F.col("_y")
-    n, su, sv = F.sum(w), F.sum(w * u), F.sum(w * v)
-    cov = F.sum(w * u * v) - su * sv / n
-    spread = (F.sum(w * u * u) - su * su / n) * (F.sum(w * v * v) - sv * sv / n)
-    return rows.groupBy(*by, "b").agg(F.when(spread > 0, cov / F.sqrt(spread)).alias("pearson"))
-
-
-def _chunk_part(pdf: pd.DataFrame, by: list[str], resamples: int, seed: int,
-                concordance: bool) -> pd.DataFrame:
-    """One chunk's weight totals and within-chunk rank sums per level and replicate."""
-    pdf = pdf.sort_values("_y", kind="stable")
-    y, level = pdf["_y"].to_numpy(), pdf["_x"].to_numpy()
-    ids = pdf["_id"].to_numpy()
-    replicates = np.arange(1, resamples + 1)
-    levels, place = np.unique(level, return_inverse=True)
-    starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-    tie = np.cumsum(np.r_[True, y[1:] != y[:-1]]) - 1
-    order = np.argsort(place, kind="stable")
-    level_starts = np.searchsorted(place[order], np.arange(len(levels)))
-    hot = bool(pdf["_hot"].iloc[0])
-
-    def per_level(values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[order], level_starts, axis=0)
-
-    parts = []
-    step = max(1, 4_000_000 // max(1, len(y)))
-    for at in range(0, len(replicates), step):
-        reps = replicates[at:at + step]
-        w = weight_matrix(ids, reps, seed)
-        total = per_level(w)
-        zero = np.zeros_like(total)
-        first, second, pairs, same_y, same_both = zero, zero, zero, zero, zero
-        if not hot:
-            tied = np.add.reduceat(w, starts, axis=0)
-            below = np.cumsum(tied, axis=0) - tied
-            rank = (below + (tied + 1) / 2)[tie]
-            first, second = per_level(w * rank), per_level(w * rank * rank)
-            same_y = np.zeros_like(total)
-            same_y[0] = (tied * tied).sum(axis=0)
-            if concordance:
-                pairs, same_both = np.zeros_like(total), np.zeros_like(total)
-                higher = np.zeros_like(tied)
-                for i in range(len(levels) - 1, -1, -1):
-                    mine = np.add.reduceat(np.where((place == i)[:, None], w, 0.0), starts,
-                                           axis=0)
-                    pairs[i] = (mine * (np.cumsum(higher, axis=0) - higher)).sum(axis=0)
-                    same_both[i] = (mine * mine).sum(axis=0)
-                    higher += mine
-        shape = total.shape
-        parts.append(pd.DataFrame({
-            "_x": np.repeat(levels, shape[1]), "b": np.tile(reps, shape[0]).astype("int32"),
-            "w": total.ravel(), "first": first.ravel(), "second": second.ravel(),
-            "pairs": pairs.ravel(), "same_y": same_y.ravel(),
-            "same_both": same_both.ravel()}))
-    out = pd.concat(parts, ignore_index=True)
-    for key in [*by, "_chunk", "_hot"]:
-        out[key] = pdf[key].iloc[0]
-    return out[[*by, "_chunk", "_hot", *parts[0].columns]]
-
-
-def chunked_rows(df: DataFrame, row_id: str, x: str, y: str, by: list[str],
-                 chunk_rows: int) -> DataFrame:
-    """Rows with their chunk of consecutive ``y`` values, none much over the size.
-
-    A value tied across more than a chunk closes its chunk as a part of its own
-    (``_hot``) and is dealt over salts by row id: of such a part only weight totals
-    are needed.
-    """
-    rows = df.dropna(subset=[*by, x, y]).select(
-        *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
-        F.col(y).cast("double").alias("_y"))
-    places = prefix_sums(histogram(rows, [*by, "_y"]), "_y", ["n"], by).select(
-        *by, "_y", F.floor(F.col("n_below") / F.lit(chunk_rows)).cast("bigint").alias("_chunk"),
-        (F.col("n") > chunk_rows).cast("int").alias("_hot"),
-        F.ceil(F.col("n") / F.lit(chunk_rows)).cast("bigint").alias("_parts"))
-    salt = F.when(F.col("_hot") == 1, F.pmod("_id", "_parts")).otherwise(F.lit(0))
-    return (rows.join(places, [*by, "_y"])
-            .withColumn("_salt", salt.cast("bigint")).drop("_parts"))
+def _as_rows(key: tuple, group: _Group, y: float, tied: bool, resamples: int) -> list[tuple]:
+    return [(*key, int(at // BLOCK), y, tied, float(x), sums[:, at:at + BLOCK].tobytes())
+            for x, sums in group.levels.items() for at in range(0, resamples, BLOCK)]
 
 
-def chunk_totals(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
-                 by: list[str] = (), concordance: bool = False,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """by, chunk, level, replicate: weight totals and within-chunk sums.
+def _ranges(by: list[str], resamples: int, seed: int, concordance: bool):
+    """Rows of one range, sorted by outcome, to the parts of each group.
 
-    Each row is shuffled to its chunk once; the replicates are a loop inside.
+    A group's first and last tied value go out as parts of their own, since they may go on
+    in the neighbouring ranges; the last one is held as totals while rows still come in.
     """
-    by = list(by)
-    rows = chunked_rows(df, row_id, x, y, by, chunk_rows)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    keys = ", ".join(f"`{c}` {types[c]}" for c in [*by, "_chunk", "_hot"])
-    schema = (f"{keys}, _x double, b int, w double, first double, second double, "
-              "pairs double, same_y double, same_both double")
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chunk_part(pdf, by, resamples, seed, concordance)
-
-    found = rows.groupBy(*by, "_chunk", "_hot", "_salt").applyInPandas(part, schema)
-    sums = ["w", "first", "second", "pairs", "same_y", "same_both"]
-    merged = found.groupBy(*by, "_chunk", "_hot", "_x", "b").agg(
-        *[F.sum(c).alias(c) for c in sums])
-    # a hot part is one tied value: its sums follow from its totals
-    whole = F.sum("w").over(Window.partitionBy(*by, "_chunk", "_hot", "b"))
-    rank = (whole + 1) / 2
-    hot, w = F.col("_hot") == 1, F.col("w")
-    lead = F.row_number().over(
-        Window.partitionBy(*by, "_chunk", "_hot", "b").orderBy("_x")) == 1
-    return merged.withColumns({
-        "_whole": whole,
-        "first": F.when(hot, w * rank).otherwise(F.col("first")),
-        "second": F.when(hot, w * rank * rank).otherwise(F.col("second")),
-        "same_y": F.when(hot, F.when(lead, whole * whole).otherwise(0.0))
-        .otherwise(F.col("same_y")),
-        "same_both": F.when(hot, w * w).otherwise(F.col("same_both"))})
+    names = [*by, "_block", "_place", "_tied", "_x", "state"]
+    numbers = np.arange(1, resamples + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner: dict[tuple, _Group] = {}
+        open_ties: dict[tuple, tuple[float, _Group, bool]] = {}
+
+        def close(key: tuple) -> list[tuple]:
+            """A tied value has ended: a part of its own if it was the first, else an inner one."""
+            y, totals, was_first = open_ties.pop(key)
+            if was_first:
+                return _as_rows(key, totals, y, True, resamples)
+            group = inner.setdefault(key, _Group(resamples))
+            xs = np.array(sorted(totals.levels))
+            w = np.stack([totals.levels[x][0] for x in xs])
+            group.add(xs, np.zeros(xs.size, int), np.full(xs.size, y), w, concordance)
+            return []
+
+        for whole in frames:
+            for lo in range(0, len(whole), RANGE_ROWS):
+                pdf = whole.iloc[lo:lo + RANGE_ROWS]
+                ids, place = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
+                xs, ys = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+                out: list[tuple] = []
+                weights = weight_matrix(ids, numbers, seed)
+                for key, rows in _by_group(pdf, by):
+                    rows = np.sort(rows)  # ascending by outcome, as they came
+                    x, y, w = xs[rows], ys[rows], weights[place[rows]]
+                    values, tie = np.unique(y, return_inverse=True)
+                    ends = np.searchsorted(tie, np.arange(values.size), "right")
+                    begin, done = 0, 0
+                    fresh = key not in open_ties and key not in inner
+                    if key in open_ties and open_ties[key][0] == values[0]:
+                        begin, done = ends[0], 1
+                        _add_totals(open_ties[key][1], x[:begin], w[:begin])
+                    if done == values.size:
+                        continue
+                    if key in open_ties:
+                        out += close(key)
+                    if fresh and values.size > 1:
+                        totals = _Group(resamples)
+                        _add_totals(totals, x[:ends[0]], w[:ends[0]])
+                        out += _as_rows(key, totals, float(values[0]), True, resamples)
+                        begin, done = ends[0], 1
+                    last = ends[-2] if values.size > 1 else 0
+                    if last > begin:
+                        group = inner.setdefault(key, _Group(resamples))
+                        group.add(x[begin:last], tie[begin:last], y[begin:last], w[begin:last],
+                                  concordance)
+                    totals = _Group(resamples)
+                    _add_totals(totals, x[last:], w[last:])
+                    open_ties[key] = float(values[-1]), totals, fresh and values.size == 1
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+        out = []
+        for key, (y, totals, _) in open_ties.items():
+            out += _as_rows(key, totals, y, True, resamples)
+        for key, group in inner.items():
+            out += _as_rows(key, group, group.low, False, resamples)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def _add_totals(group: _Group, x: np.ndarray, w: np.ndarray) -> None:
+    for name in np.unique(x):
+        group.level(name)[0] += w[x == name].sum(axis=0)
+
+
+def _rank_metrics(pdf: pd.DataFrame, by: list[str], concordance: bool) -> pd.DataFrame:
+    """All parts of a group and block of replicates to the metrics of each replicate."""
+    levels, x = np.unique(pdf["_x"].to_numpy(), return_inverse=True)
+    # parts in order of outcome; equal tied values are one part
+    keys = list(zip(pdf["_place"], ~pdf["_tied"], strict=True))
+    names = sorted(set(keys))
+    part = np.array([{k: i for i, k in enumerate(names)}[k] for k in keys])
+    vectors = np.stack([np.frombuffer(s).reshape(len(_SUMS), -1) for s in pdf["state"]])
+    width = vectors.shape[2]
+    sums = np.zeros((len(_SUMS), len(names), levels.size, width))
+    for k in range(len(_SUMS)):
+        np.add.at(sums[k], (part, x), vectors[:, k])
+    w, first, second, pairs, same_both, same_y = sums
+    whole = w.sum(axis=1)
+    tied = np.array([not inner for _, inner in names])[:, None, None]
+    middle = (whole[:, None] + 1) / 2  # every row of a tied value has its mean rank
+    first = np.where(tied, w * middle, first)
+    second = np.where(tied, w * middle * middle, second)
+    tied_y = np.where(tied[:, 0], whole * whole, same_y.sum(axis=1)).sum(axis=0)
+    tied_both = np.where(tied, w * w, same_both).sum(axis=(0, 1))
+    n = whole.sum(axis=0)
+    shift = (np.cumsum(whole, axis=0) - whole - (n + 1) / 2)[:, None]
+    d_sum = (first + w * shift).sum(axis=0)
+    d_square = (second + 2 * shift * first + w * shift * shift).sum(axis=(0, 1))
+    size = w.sum(axis=0)
+    rank = np.cumsum(size, axis=0) - (size - 1) / 2 - (n + 1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = (size * rank * rank).sum(axis=0) * d_square
+        rho = np.where(spread > 0, (rank * d_sum).sum(axis=0) / np.sqrt(spread), np.nan)
+        out = {"b": int(pdf["_block"].iloc[0]) * BLOCK + np.arange(1, width + 1), "spearman": rho}
+        if concordance:
+            below = np.cumsum(w, axis=0) - w  # per part and level: weight in earlier parts
+            higher = below.sum(axis=1, keepdims=True) - np.cumsum(below, axis=1)
+            ordered = pairs.sum(axis=(0, 1)) + (w * higher).sum(axis=(0, 1))
+            permissible = (n * n - tied_y) / 2
+            ties = ((size * size).sum(axis=0) - tied_both) / 2
+            out["c_index"] = np.where(permissible > 0, (ordered + ties / 2) / permissible, np.nan)
+    frame = pd.DataFrame(out)
+    for c in by:
+        frame[c] = pdf[c].iloc[0]
+    return frame[[*by, *out]]
 
 
 def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
-                    by: list[str] = (), concordance: bool = False, bits: int | None = None,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """by, b, spearman (and c_index): rank metrics of every replicate.
+                    by: list[str] = (), concordance: bool = False) -> DataFrame:
+    """by, b, spearman (and c_index, high ``x`` with low ``y``): rank metrics of every replicate.
 
-    ``x`` is a score with a bounded number of levels; for concordance an integer in
-    [0, 2**bits). Groups of any size: their rows are cut into chunks.
+    ``x`` is a score with a bounded number of levels. The rows of all groups are ranged by
+    outcome together, equal outcomes by row id, so a value that a third of the rows share is
+    spread too; a row that belongs to many groups meets its weights once.
     """
     by = list(by)
-    totals = chunk_totals(df, row_id, x, y, resamples, seed, by, concordance, chunk_rows)
-    place = (F.col("_chunk") * 2 + F.col("_hot")).alias("_place")
-    chunks = totals.groupBy(*by, "b", place).agg(F.sum("w").alias("_whole"))
-    before = Window.partitionBy(*by, "b").orderBy("_place").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = chunks.select(
-        *by, "b", "_place",
-        F.coalesce(F.sum("_whole").over(before), F.lit(0.0)).alias("_off"),
-        F.sum("_whole").over(Window.partitionBy(*by, "b")).alias("_n"))
-    rows = totals.withColumn("_place", place).join(offsets, [*by, "b", "_place"])
-    # rank = offset + rank inside the chunk, measured from the mean rank
-    shift = F.col("_off") - (F.col("_n") + 1) / 2
-    w, first, second = F.col("w"), F.col("first"), F.col("second")
-    levels = rows.groupBy(*by, "b", "_x").agg(
-        F.sum("w").alias("n"),
-        F.sum(first + w * shift).alias("d_sum"),
-        F.sum(second + 2 * shift * first + w * shift * shift).alias("d_square"),
-        F.sum("pairs").alias("pairs"), F.sum("same_y").alias("same_y"),
-        F.sum("same_both").alias("same_both"))
-    ranked = prefix_sums(levels, "_x", ["n"], [*by, "b"], bounded=True).withColumn(
-        "_d", mean_rank() - (F.col("n_total") + 1) / 2)
-    n, d = F.col("n"), F.col("_d")
-    spread = F.sum(n * d * d) * F.sum("d_square")
-    out = ranked.groupBy(*by, "b").agg(
-        F.when(spread > 0, F.sum(d * F.col("d_sum")) / F.sqrt(spread)).alias("spearman"),
-        F.max("n_total").alias("_all"), F.sum("pairs").alias("_pairs"),
-        F.sum("same_y").alias("_y"), F.sum("same_both").alias("_both"),
-        F.sum(n * n).alias("_s"))
-    if not concordance:
-        return out.select(*by, "b", "spearman")
-    # pairs from different chunks: the chunk's place stands for the outcome
-    cells = totals.groupBy(*by, "b", F.col("_x").cast("int").alias("_x"), place).agg(
-        F.sum("w").alias("n"))
-    apart = ordered_pairs(cells, "_x", bits, "_place", [*by, "b"])
-    out = out.join(apart, [*by, "b"])
-    permissible = (F.col("_all") * F.col("_all") - F.col("_y")) / 2
-    ties = (F.col("_s") - F.col("_both")) / 2
-    value = (F.col("_pairs") + F.col("pairs") + ties / 2) / permissible
-    return out.select(*by, "b", "spearman", F.when(permissible > 0, value).alias("c_index"))
+    rows = df.dropna(subset=[*by, x, y]).select(
+        *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"))
+    keys = _key_schema(rows, by)
+    dealt = rows.repartitionByRange(_tasks(df), "_y", "_id").sortWithinPartitions("_y", "_id")
+    parts = dealt.mapInPandas(
+        _ranges(by, resamples, seed, concordance),
+        f"{keys}_block int, _place double, _tied boolean, _x double, state binary")
+    metrics = ["spearman", "c_index"] if concordance else ["spearman"]
+    found = parts.groupBy(*by, "_block").applyInPandas(
+        lambda pdf: _rank_metrics(pdf, by, concordance),
+        f"{keys}b int, " + ", ".join(f"{m} double" for m in metrics))
+    return found.select(*by, "b", *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics])

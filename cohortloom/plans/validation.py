@@ -80,7 +80,7 @@ def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int
 
 def auroc_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
     point = discrimination(df, SCORE, event, by).select(*by, "n", "events", "auroc")
-    reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by, True)
+    reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by)
     ci = boot.interval(reps, "auroc", by).select(
         *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
     return point.join(ci, by, "left")
@@ -122,13 +122,12 @@ def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B)
               "c_index", none),
         point(discrimination(events, SCORE, "event", keys), F.col("metric"), "auroc", none),
     ])
-    ranks = boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True,
-                                 config.SCORE_BITS)
+    ranks = boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True)
     replicates = union([
         unpivot(ranks, by, ["spearman", "c_index"], "double", "metric"),
         unpivot(boot.pearson_replicates(rows, ID, SCORE, "y", resamples, SEED, by), by,
                 ["pearson"], "double", "metric"),
-        boot.discrimination_replicates(events, SCORE, "event", resamples, SEED, keys, True)
+        boot.discrimination_replicates(events, SCORE, "event", resamples, SEED, keys)
         .select(*keys, F.col("auroc").alias("value"))])
     limits = boot.interval(replicates, "value", keys).drop("n_valid")
     return points.join(limits, keys).select(
@@ -384,7 +383,7 @@ def mortality_panel(df: DataFrame, resamples: int = B) -> DataFrame:
 def event_panel(rows: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
     """AUROC and AUPRC with intervals, best threshold, and the stated cut, per group."""
     point = discrimination(rows, SCORE, event, by)
-    reps = boot.discrimination_replicates(rows, SCORE, event, resamples, SEED, by, True)
+    reps = boot.discrimination_replicates(rows, SCORE, event, resamples, SEED, by)
     area = boot.interval(reps, "auroc", by).select(
         *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
     precision = boot.interval(reps, "auprc", by).select(

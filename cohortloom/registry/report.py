@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +83,12 @@ def cutoff_derivation(d: Data) -> DataFrame:
     return cutoff_plan.cutoff_derivation(d.analysis)
 
 
-def _weighted_rate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        (F.sum(F.col("hospital_expire_flag") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0)))
-        .alias("value"))
+#: The death rate as a metric of a caller's own: weighted deaths over weights.
+DEATH_RATE = boot.Metric(
+    ("hospital_expire_flag",), 2,
+    lambda columns, w: np.stack([columns["hospital_expire_flag"] @ w, w.sum(axis=0)]),
+    lambda cells, states: {"value": np.divide(
+        states[0, 0], states[0, 1], out=np.full(states.shape[2], np.nan), where=states[0, 1] > 0)})
 
 
 _RATE = ("SELECT risk_category, b, sum(hospital_expire_flag * w) / CAST(nullif(sum(w), 0) AS DOUBLE) AS value FROM ("
@@ -97,8 +100,8 @@ _RATE = ("SELECT risk_category, b, sum(hospital_expire_flag * w) / CAST(nullif(s
                             ["ci_low", "ci_high"]))
 def metric_callback(d: Data) -> DataFrame:
     """The bootstrap with a metric handed in: the death rate per risk level."""
-    return boot.bootstrap(d.analysis, _weighted_rate, val.ID, ["hospital_expire_flag"],
-                          config.BOOTSTRAP_RESAMPLES, config.BOOTSTRAP_SEED, [val.RISK])
+    return boot.bootstrap(d.analysis, DEATH_RATE, val.ID, config.BOOTSTRAP_RESAMPLES,
+                          config.BOOTSTRAP_SEED, [val.RISK])
 
 
 _REFERENCE = " UNION ALL ".join(

@@ -7,7 +7,7 @@ bootstrap from the same whole-number row weights.
 from __future__ import annotations
 
 from .. import config
-from ..operators.bootstrap import CELL_LIMITS, LIMITS, PRIME
+from ..operators.bootstrap import LIMITS, PRIME
 from .base import r6
 
 B, SEED = config.BOOTSTRAP_RESAMPLES, config.BOOTSTRAP_SEED
@@ -218,32 +218,13 @@ def interval(values: str, metric: str, by: str, low: str = "ci_low", high: str =
             f"count({metric}) AS n_valid FROM ({values}) GROUP BY {by}")
 
 
-def cell_weights(cells: str, resamples: int = B, seed: int = SEED) -> str:
-    """Cells (cell_, n) times replicates with the summed weight of their rows."""
-    p = PRIME
-    text = (f"SELECT *, CAST(r AS BIGINT) AS b FROM ({cells}) "
-            f"JOIN (SELECT unnest(range(1, {resamples + 1})) AS r) ON TRUE")
-    text = f"SELECT *, (cell_ * 48271 + b * 69621 + {seed}) % {p} AS x1 FROM ({text})"
-    text = f"SELECT *, (x1 * x1 + cell_) % {p} AS x2 FROM ({text})"
-    text = f"SELECT *, (x2 * 16807 + b * 39373) % {p} AS x3 FROM ({text})"
-    text = f"SELECT *, (x3 * x3 + b) % {p} AS x4 FROM ({text})"
-    text = f"SELECT *, (x4 * x4 + x4 * 16807 + cell_) % {p} AS x5 FROM ({text})"
-    text = f"SELECT *, (x5 * 48271 + 11) % {p} AS x6 FROM ({text})"
-    text = (f"SELECT *, sqrt(-2 * ln((x4 + 1)::DOUBLE / {p})) * cos(x6::DOUBLE * 2 * pi() / {p}) "
-            f"AS z FROM ({text})")
-    return (f"SELECT *, CASE WHEN n <= {len(CELL_LIMITS)} "
-            f"THEN len(list_filter({CELL_LIMITS}[n], lambda t: t <= x6)) "
-            f"ELSE greatest(0, round(n + sqrt(n) * z + (z * z - 1) / 6)) END AS w FROM ({text})")
-
-
-def boot_auroc(src: str, score: str, event: str, by: str, resamples: int = B, tag: str = "NULL") -> str:
-    """by, b, auroc, auprc; ``tag`` is one more part of a cell's name."""
-    names = ", ".join(f"CAST({c.strip()} AS VARCHAR)" for c in [*by.split(","), tag, score, event])
-    cells = (f"SELECT {by}, {score} AS s, {event} AS e, count(*) AS n, "
-             f"CAST('0x' || substr(md5(concat_ws('|', {names})), 1, 7) AS BIGINT) AS cell_ "
-             f"FROM ({src}) WHERE {event} IS NOT NULL AND {score} IS NOT NULL GROUP BY {by}, {score}, {event}")
+def boot_auroc(src: str, score: str, event: str, by: str, resamples: int = B) -> str:
+    """by, b, auroc, auprc from the summed row weights per score and class."""
+    rows = replicates(f"SELECT * FROM ({src}) WHERE {event} IS NOT NULL AND {score} IS NOT NULL",
+                      f"{by}, {score} AS s, {event} AS e", resamples)
+    rows = rows.replace(f"SELECT {by}, {score} AS s, {event} AS e, b, CASE", f"SELECT {by}, s, e, b, CASE")
     hist = (f"SELECT {by}, b, s, sum(w * e) AS p, sum(w * (1 - e)) AS q "
-            f"FROM ({cell_weights(cells, resamples)}) WHERE w > 0 GROUP BY {by}, b, s")
+            f"FROM ({rows}) WHERE w > 0 GROUP BY {by}, b, s")
     win = f"OVER (PARTITION BY {by}, b ORDER BY s DESC)"
     run = (f"SELECT *, sum(p) {win} AS tp, sum(q) {win} AS fp, sum(p) OVER (PARTITION BY {by}, b) AS pt, "
            f"sum(q) OVER (PARTITION BY {by}, b) AS qt FROM ({hist})")

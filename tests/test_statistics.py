@@ -125,26 +125,31 @@ def test_tails(spark):
 
 # --- bootstrap ---------------------------------------------------------------------
 
-def test_weights_agree_and_are_poisson(spark):
-    ids = spark.range(0, 300).select((F.col("id") * 10).alias("id"))
-    rows = boot.replicated(ids.withColumn("k", F.col("id")), "id", ["k"], 40, 42).toPandas()
-    mine = boot.weight_matrix(np.arange(300) * 10, np.arange(1, 41), 42)
-    grid = rows.pivot(index="k", columns="b", values="w").sort_index()
-    assert (grid.to_numpy() == mine).all()
+def test_weights_are_poisson():
     big = boot.weight_matrix(np.arange(20000) * 10, np.arange(1, 101), 42)
     assert abs(big.mean() - 1) < 0.01 and abs(big.var() - 1) < 0.01
     assert abs(np.corrcoef(big[:, 0], big[:, 1])[0, 1]) < 0.03
     assert big.mean(axis=0).std() * math.sqrt(20000) == pytest.approx(1, abs=0.25)
-
-
-@pytest.mark.parametrize("how", [{}, {"chunk_rows": 40}])
-def test_rank_replicates_equal_brute_force(df, data, how):
-    """Also with chunks far smaller than the tied third of all rows."""
-    out = boot.rank_replicates(df, "id", "s", "y", 6, 42, ["g"], True, 5, **how)
-    got = out.toPandas().set_index(["g", "b"])
-    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 7), 42).astype(int)
+    shares = np.bincount(big.astype(int).ravel(), minlength=5)[:5] / big.size
+    assert shares == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(5)], abs=0.002)
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+@pytest.mark.parametrize("tasks", ["1", "5"])
+def test_rank_replicates_equal_brute_force(spark, df, data, monkeypatch, rows, tasks):
+    """Also with pieces far smaller than the tied third of all rows, in one range or many."""
+    monkeypatch.setattr(boot, "RANGE_ROWS", rows)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        out = boot.rank_replicates(df, "id", "s", "y", 60, 42, ["g"], True)
+        got = out.toPandas().set_index(["g", "b"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(got) == 120
+    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 61), 42).astype(int)
     for g in ("a", "b"):
-        for b in (1, 4, 6):
+        for b in (1, 4, 50, 51, 60):
             p = data.loc[data.index.repeat(w[:, b - 1])]
             p = p[p.g == g]
             assert got.loc[(g, b)].spearman == pytest.approx(
@@ -152,20 +157,56 @@ def test_rank_replicates_equal_brute_force(df, data, how):
             assert got.loc[(g, b)].c_index == pytest.approx(pairs(p), abs=1e-10)
 
 
-def test_cell_weights_are_poisson_sums(spark):
-    """Mean and spread of the summed weights, for small and large cells."""
-    cells = spark.createDataFrame([(i * 977, n) for n in (1, 7, 16, 17, 400) for i in range(40)],
-                                  "cell long, n long")
-    rows = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(500))))
-    found = boot.add_cell_weights(rows, "cell", "n", "b", 42).groupBy("n").agg(
-        F.avg("w").alias("mean"), F.variance("w").alias("var"), F.min("w").alias("low")).collect()
-    for r in found:
-        assert r["mean"] == pytest.approx(r.n, rel=0.02) and r["var"] == pytest.approx(r.n, rel=0.05)
-        assert r.low >= 0
+def brute_area(p):
+    r, pos = p.s.rank(), p.e.sum()
+    order = np.sort(p.s.unique())[::-1]
+    hits = np.array([((p.s >= t) & (p.e == 1)).sum() for t in order])
+    flagged = np.array([(p.s >= t).sum() for t in order])
+    return ((r[p.e == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(p) - pos)),
+            (np.diff(hits, prepend=0) / pos * hits / flagged).sum())
+
+
+def test_states_equal_brute_force(spark, df, data):
+    """Every replicate of the mergeable metrics, a group per level, rows of a cell beyond any table."""
+    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 31), 42).astype(int)
+    areas = boot.discrimination_replicates(df, "s", "e", 30, 42, ["g"], "id").toPandas()
+    linear = boot.pearson_replicates(df, "id", "s", "y", 30, 42).toPandas().set_index("b")
+    few = boot.discrimination_replicates(df.filter("e = 0"), "s", "e", 5, 42, [], "id").toPandas()
+    assert len(areas) == 60 and len(linear) == 30 and few.auroc.isna().all() and len(few) == 5
+    areas = areas.set_index(["g", "b"])
+    for b in (1, 9, 30):
+        p = data.loc[data.index.repeat(w[:, b - 1])]
+        assert linear.loc[b].pearson == pytest.approx(p.s.corr(p.y), abs=1e-12)
+        for g in ("a", "b"):
+            area, precision = brute_area(p[p.g == g])
+            assert areas.loc[(g, b)].auroc == pytest.approx(area, abs=1e-12)
+            assert areas.loc[(g, b)].auprc == pytest.approx(precision, abs=1e-12)
+
+
+def test_states_go_out_early_and_meet_again(spark, df, monkeypatch):
+    rows = df.select("id", F.col("s").cast("double").alias("_x"), F.col("y").alias("_y"), "s")
+    whole = boot.replicates(rows, boot.PEARSON, "id", 20, 42, ["s"]).toPandas()
+    monkeypatch.setattr(boot, "STATE_BYTES", 5000)
+    monkeypatch.setattr(boot, "WEIGHTS", 200)
+    parts = boot.replicates(rows, boot.PEARSON, "id", 20, 42, ["s"]).toPandas()
+    merged = whole.merge(parts, on=["s", "b"])
+    assert len(merged) == len(whole) == len(parts)
+    assert (merged.pearson_x.isna() == merged.pearson_y.isna()).all()
+    assert np.allclose(merged.pearson_x.fillna(0), merged.pearson_y.fillna(0))
+
+
+def test_a_metric_of_ones_own(spark, df, data):
+    mean = boot.Metric(("y",), 2, lambda c, w: np.stack([c["y"] @ w, w.sum(axis=0)]),
+                       lambda cells, states: {"value": states[0, 0] / states[0, 1]})
+    got = boot.bootstrap(df, mean, "id", 200, 42).first()
+    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 201), 42)
+    drawn = data.y.to_numpy() @ w / w.sum(axis=0)
+    assert [got.ci_low, got.ci_high] == pytest.approx(np.percentile(drawn, [2.5, 97.5]))
+    assert got.n_valid == 200
 
 
 def test_discrimination_spread_matches_resampling(df, data):
-    reps = boot.discrimination_replicates(df, "s", "e", 600, 42)
+    reps = boot.discrimination_replicates(df, "s", "e", 600, 42, [], "id")
     ci = boot.interval(reps, "auroc").first()
     rng, drawn = np.random.default_rng(1), []
     for _ in range(600):
@@ -176,14 +217,10 @@ def test_discrimination_spread_matches_resampling(df, data):
     assert abs(ci.ci_low - low) < 0.02 and abs(ci.ci_high - high) < 0.02
 
 
-def test_row_ids_beyond_the_modulus_differ(spark):
+def test_row_ids_beyond_the_modulus_differ():
     ids = np.array([5, 5 + boot.PRIME, 5 + 2 * boot.PRIME])
     w = boot.weight_matrix(ids, np.arange(1, 200), 42)
     assert (w[0] != w[1]).any() and (w[1] != w[2]).any()
-    rows = spark.createDataFrame([(int(i),) for i in ids], "id long").withColumn("k", F.col("id"))
-    grid = boot.replicated(rows, "id", ["k"], 199, 42).toPandas().pivot(
-        index="k", columns="b", values="w").sort_index()
-    assert (grid.to_numpy() == w).all()
 
 
 def test_concordance_refuses_an_index_out_of_range(spark):
