@@ -1,16 +1,16 @@
-"""Tail probabilities as plain column expressions.
+"""Tail probabilities as SQL functions of the session.
 
-They act on one-row-per-test frames, so the iterations (a higher-order ``aggregate``
-over a short sequence) cost nothing that matters, and no Python worker is needed.
-Arguments are bound with :func:`_let` before they are used many times over: written out
-in full, the expressions would grow faster than the planner can handle.
+They act on one-row-per-test frames, so the iterations (a higher-order ``aggregate`` over a
+short sequence) cost nothing that matters, and no Python worker is needed. The functions are
+registered once per session; a tail is then one call, however large its formula, which keeps
+plans with many tests quick to put together. Their arguments are bound before use.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Lanczos coefficients (g = 7, n = 9) of the log gamma function
@@ -19,151 +19,120 @@ LANCZOS = [
     -176.61502916214059, 12.507343278686905, -0.13857109526572012,
     9.9843695780195716e-6, 1.5056327351493116e-7,
 ]
-TINY = 1e-300
+TINY = "1e-300D"
 # from this size on, gamma quotients come from Stirling's series
 STIRLING_FROM = 50.0
 
 
-def _steps(size: Column) -> Column:
+def _steps(size: str) -> str:
     """Iterations: convergence takes on the order of the square root of the size."""
-    count = F.lit(60.0) + 6.0 * F.sqrt(size)
-    return F.sequence(F.lit(1), F.ceil(count).cast("int"))
-
-
-def _guard(x: Column) -> Column:
-    return F.when(F.abs(x) < TINY, F.lit(TINY)).otherwise(x)
-
-
-def _let(body, *values: Column) -> Column:
-    """``body`` of the values, each evaluated once (a one-element transform)."""
-    bound = F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
-    return F.transform(
-        F.array(bound), lambda r: body(*[r[f"v{i}"] for i in range(len(values))]))[0]
-
-
-def log_gamma(x: Column) -> Column:
-    """Log gamma for x >= 0.5."""
-
-    def body(z: Column) -> Column:
-        series = F.lit(LANCZOS[0])
-        for i, c in enumerate(LANCZOS[1:], 1):
-            series = series + F.lit(c) / (z + F.lit(float(i)))
-        t = z + 7.5
-        return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
-
-    return _let(body, x - 1.0)
-
-
-def log_gamma_quotient(a: Column, b: Column) -> Column:
-    """log(gamma(a + b) / (gamma(a) gamma(b))) without cancellation where one side is large."""
-
-    def body(a: Column, b: Column) -> Column:
-        large, small = F.greatest(a, b), F.least(a, b)
-        total = large + small
-
-        def rest(z: Column) -> Column:
-            return 1 / (12.0 * z) - 1 / (360.0 * z * z * z) + 1 / (1260.0 * F.pow(z, F.lit(5.0)))
-
-        growth = ((large - 0.5) * F.log1p(small / large) + small * F.log(total) - small
-                  + rest(total) - rest(large))
-        plain = log_gamma(total) - log_gamma(large)
-        return F.when(large >= STIRLING_FROM, growth).otherwise(plain) - log_gamma(small)
-
-    return _let(body, a, b)
-
-
-def _lentz(start: Column, size: Column, pair) -> Column:
-    """Modified Lentz evaluation; ``pair(i)`` gives the i-th numerator, denominator."""
-    state = F.struct(start.alias("h"), start.alias("c"), F.lit(0.0).alias("d"))
-
-    def step(acc: Column, i: Column) -> Column:
-        def update(h, c, d, a, b):
-            new_d = F.lit(1.0) / _guard(b + a * d)
-            new_c = _guard(b + a / c)
-            return F.struct((h * new_c * new_d).alias("h"), new_c.alias("c"), new_d.alias("d"))
-
-        a, b = pair(i.cast("double"))
-        return _let(update, acc["h"], acc["c"], acc["d"], a, b)
-
-    return F.aggregate(_steps(size), state, step)["h"]
-
-
-def upper_gamma(a: Column, x: Column) -> Column:
-    """Regularized upper incomplete gamma Q(a, x)."""
-
-    def body(a: Column, x: Column) -> Column:
-        front = F.exp(a * F.log(x) - x - log_gamma(a))
-
-        def term(acc: Column, i: Column) -> Column:
-            t = acc["t"] * x / (a + i.cast("double"))
-            return F.struct((acc["s"] + t).alias("s"), t.alias("t"))
-
-        # series for the lower part, used for small x
-        first = F.lit(1.0) / a
-        lower = front * F.aggregate(
-            _steps(a), F.struct(first.alias("s"), first.alias("t")), term)["s"]
-        # continued fraction for the upper part, used for large x
-        upper = front / _lentz(
-            _guard(x + 1.0 - a), a, lambda i: (-i * (i - a), x + 2.0 * i + 1.0 - a))
-        return (F.when(x <= 0, F.lit(1.0)).when(x < a + 1.0, 1.0 - lower).otherwise(upper))
-
-    return _let(body, a, x)
-
-
-def _beta_fraction(p: Column, q: Column, u: Column) -> Column:
-    def pair(i: Column):
-        m = F.floor(i / 2.0).cast("double")
-        even = m * (q - m) * u / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
-        odd = -(p + m) * (p + q + m) * u / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
-        return F.when(i % 2.0 == 0.0, even).otherwise(odd), F.lit(1.0)
-
-    return F.lit(1.0) / _lentz(F.lit(1.0), F.greatest(p, q), pair)
-
-
-def lower_beta(a: Column, b: Column, x: Column, y: Column) -> Column:
-    """Regularized incomplete beta I_x(a, b); ``y`` is 1 - x, exact where x is near 1."""
-
-    def body(a: Column, b: Column, x: Column, y: Column) -> Column:
-        log_x = F.when(x > 0.5, F.log1p(-y)).otherwise(F.log(x))
-        log_y = F.when(y > 0.5, F.log1p(-x)).otherwise(F.log(y))
-        front = F.exp(log_gamma_quotient(a, b) + a * log_x + b * log_y)
-        # the fraction converges on one side of the mean; the other side is mirrored
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        p, q = F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a)
-        u = F.when(direct, x).otherwise(y)
-        part = _let(lambda f, p, q, u: f * _beta_fraction(p, q, u) / p, front, p, q, u)
-        return (F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0))
-                .when(direct, part).otherwise(1.0 - part))
-
-    return _let(body, a, b, x, y)
+    return f"sequence(1, cast(ceil(60 + 6 * sqrt({size})) AS INT))"
+
+
+def _guard(x: str) -> str:
+    return f"if(abs({x}) < {TINY}, {TINY}, {x})"
+
+
+def _bind(body: str, name: str, **values: str) -> str:
+    """``body`` of ``name``'s fields, each evaluated once (a one-element transform)."""
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"transform(array(named_struct({fields})), {name} -> {body})[0]"
+
+
+def _lentz(start: str, size: str, a: str, b: str) -> str:
+    """Modified Lentz evaluation; ``a`` and ``b`` are numerator and denominator of step k."""
+    last = _bind("named_struct('h', q.h * q.c * q.d, 'c', q.c, 'd', q.d)", "q", h="p.h",
+                 c=_guard("p.b + p.a / p.c"), d=f"1D / {_guard('p.b + p.a * p.d')}")
+    step = _bind(last, "p", h="s.h", c="s.c", d="s.d", a=a, b=b)
+    return (f"aggregate({_steps(size)}, named_struct('h', {start}, 'c', {start}, 'd', 0D), "
+            f"(s, k) -> {step}).h")
+
+
+def _stirling(z: str) -> str:
+    return f"(1 / (12 * {z}) - 1 / (360 * {z} * {z} * {z}) + 1 / (1260 * pow({z}, 5)))"
+
+
+_SERIES = " + ".join([f"{LANCZOS[0]!r}D", *[f"{c!r}D / (x + {i - 1})" for i, c in
+                                           enumerate(LANCZOS) if i]])
+_M = "floor(k / 2)"
+_EVEN = f"{_M} * (q - {_M}) * u / ((p + 2 * {_M} - 1) * (p + 2 * {_M}))"
+_ODD = f"-(p + {_M}) * (p + q + {_M}) * u / ((p + 2 * {_M}) * (p + 2 * {_M} + 1))"
+
+#: name: (arguments, body); a later one may call those before it.
+FUNCTIONS = {
+    # log gamma for x >= 0.5
+    "loom_log_gamma": ("x", f"{0.5 * math.log(2 * math.pi)!r}D + (x - 0.5D) * ln(x + 6.5D) - (x + 6.5D) "
+                            f"+ ln({_SERIES})"),
+    # log(gamma(a + b) / (gamma(a) gamma(b))) without cancellation where one side is large
+    "loom_sorted_quotient": (
+        "large, small",
+        f"if(large >= {STIRLING_FROM}D, (large - 0.5D) * log1p(small / large) + small * ln(large + small) "
+        f"- small + {_stirling('(large + small)')} - {_stirling('large')}, "
+        "loom_log_gamma(large + small) - loom_log_gamma(large)) - loom_log_gamma(small)"),
+    "loom_gamma_quotient": ("a, b", "loom_sorted_quotient(greatest(a, b), least(a, b))"),
+    # regularized upper incomplete gamma: a series for small x, a continued fraction for large
+    "loom_gamma_part": (
+        "a, x, front",
+        f"CASE WHEN x <= 0 THEN 1D WHEN x < a + 1 THEN 1 - front * aggregate({_steps('a')}, "
+        "named_struct('s', 1 / a, 't', 1 / a), (s, k) -> named_struct("
+        "'s', s.s + s.t * x / (a + k), 't', s.t * x / (a + k))).s "
+        f"ELSE front / {_lentz(_guard('(x + 1 - a)'), 'a', '-k * (k - a)', 'x + 2 * k + 1 - a')} END"),
+    "loom_upper_gamma": ("a, x", "loom_gamma_part(a, x, exp(a * ln(x) - x - loom_log_gamma(a)))"),
+    "loom_beta_part": ("front, p, q, u", "front / p / " + _lentz(
+        "1D", "greatest(p, q)", f"if(k % 2 = 0, {_EVEN}, {_ODD})", "1D")),
+    # regularized incomplete beta; y is 1 - x, exact where x is near 1. The fraction converges
+    # on one side of the mean; the other side is mirrored.
+    "loom_beta_sides": (
+        "a, b, x, y, front, direct",
+        "CASE WHEN x <= 0 THEN 0D WHEN y <= 0 THEN 1D WHEN direct > 0 THEN loom_beta_part(front, a, b, x) "
+        "ELSE 1 - loom_beta_part(front, b, a, y) END"),
+    "loom_lower_beta": (
+        "a, b, x, y",
+        "loom_beta_sides(a, b, x, y, exp(loom_gamma_quotient(a, b) + a * if(x > 0.5D, log1p(-y), ln(x)) "
+        "+ b * if(y > 0.5D, log1p(-x), ln(y))), if(x < (a + 1) / (a + b + 2), 1D, 0D))"),
+    "loom_chi2_tail": ("stat, df", "loom_upper_gamma(df / 2, stat / 2)"),
+    "loom_normal_two_sided": ("z", "if(z IS NOT NULL, loom_upper_gamma(0.5D, z * z / 2), NULL)"),
+    "loom_t_two_sided": (
+        "t, df", "if(t IS NOT NULL AND df IS NOT NULL, loom_lower_beta(df / 2, 0.5D, df / (df + t * t), "
+                 "t * t / (df + t * t)), NULL)"),
+    "loom_f_tail": (
+        "stat, df1, df2",
+        "if(stat IS NOT NULL, loom_lower_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * stat), "
+        "df1 * stat / (df2 + df1 * stat)), NULL)"),
+}
+_MARK = "cohortloom.tails"
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions known to a session, once."""
+    if spark.conf.get(_MARK, None) == "1":
+        return
+    for name, (arguments, body) in FUNCTIONS.items():
+        typed = ", ".join(f"{a.strip()} DOUBLE" for a in arguments.split(","))
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({typed}) RETURNS DOUBLE RETURN {body}")
+    spark.conf.set(_MARK, "1")
+
+
+def _call(name: str, *arguments: Column) -> Column:
+    register(SparkSession.active())
+    return F.call_function(name, *[a.cast("double") for a in arguments])
 
 
 def chi2_tail(stat: Column, df: Column) -> Column:
     """P(chi-square with df degrees of freedom > stat)."""
-    return upper_gamma(df.cast("double") / 2.0, stat / 2.0)
+    return _call("loom_chi2_tail", stat, df)
 
 
 def normal_two_sided(z: Column) -> Column:
     """2 * P(N(0,1) > |z|), from the chi-square with one degree of freedom."""
-    return F.when(z.isNotNull(), upper_gamma(F.lit(0.5), z * z / 2.0))
+    return _call("loom_normal_two_sided", z)
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """2 * P(T > |t|)."""
-
-    def body(t: Column, df: Column) -> Column:
-        square = t * t
-        return F.when(t.isNotNull() & df.isNotNull(), lower_beta(
-            df / 2.0, F.lit(0.5), df / (df + square), square / (df + square)))
-
-    return _let(body, t, df)
+    return _call("loom_t_two_sided", t, df)
 
 
 def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
     """P(F > stat)."""
-
-    def body(stat: Column, df1: Column, df2: Column) -> Column:
-        return F.when(stat.isNotNull(), lower_beta(
-            df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * stat), df1 * stat / (df2 + df1 * stat)))
-
-    return _let(body, stat, df1, df2)
+    return _call("loom_f_tail", stat, df1, df2)
