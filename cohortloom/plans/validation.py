@@ -70,6 +70,9 @@ def subcohort_summary(df: DataFrame) -> DataFrame:
 
 # --- one metric with its interval -------------------------------------------------
 
+AREAS = ["auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"]
+
+
 def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int = B) -> DataFrame:
     point = spearman(df, SCORE, outcome, by)
     reps = boot.rank_replicates(df, ID, SCORE, outcome, resamples, SEED, by)
@@ -78,12 +81,37 @@ def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int
     return point.join(ci, by, "left")
 
 
-def auroc_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
-    point = discrimination(df, SCORE, event, by).select(*by, "n", "events", "auroc")
+def areas_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B,
+                  cells: DataFrame | None = None) -> DataFrame:
+    """n, events and both areas with intervals; ``cells`` (score, event, n) save a pass."""
+    point = (discrimination(df, SCORE, event, by) if cells is None
+             else discrimination(cells, SCORE, event, by, weight="n"))
     reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by)
-    ci = boot.interval(reps, "auroc", by).select(
-        *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
-    return point.join(ci, by, "left")
+    # both areas of a group share their replicates, read once
+    long = unpivot(reps, [*by, "b"], ["auroc", "auprc"], "double", "area", "value")
+    limits = boot.interval(long, "value", [*by, "area"])
+    wide = limits.groupBy(*by).agg(*[
+        F.max(F.when(F.col("area") == area, F.col(f"ci_{end}"))).alias(f"{area}_ci_{end}")
+        for area in ("auroc", "auprc") for end in ("low", "high")])
+    return point.join(wide, by, "left").select(*by, "n", "events", *AREAS)
+
+
+class Metrics:
+    """Estimates with intervals that the panels ask for by name, each worked out on its own."""
+
+    def __init__(self, resamples: int = B):
+        self.resamples = resamples
+
+    def rho(self, panel: str, rows: DataFrame, outcome: str, by: list[str]) -> DataFrame:
+        """n, rho, p and interval per group."""
+        return spearman_with_ci(rows, outcome, by, self.resamples)
+
+    def areas(self, panel: str, rows: DataFrame, event: str, by: list[str]) -> DataFrame:
+        """n, events, AUROC and AUPRC with intervals per group."""
+        return areas_with_ci(rows, event, by, self.resamples)
+
+
+DIRECT = Metrics()
 
 
 def only_if(test: Column, columns: list[str]) -> dict[str, Column]:
@@ -151,21 +179,21 @@ def subgroup_rows(df: DataFrame) -> DataFrame:
             .filter(F.col("level").isNotNull()))
 
 
-def level_metrics(rows: DataFrame, by: list[str], min_n: int = 30,
-                  resamples: int = B) -> DataFrame:
+def level_metrics(panel: str, rows: DataFrame, by: list[str], metrics: Metrics,
+                  min_n: int = 30) -> DataFrame:
     """rho and AUROC with intervals per level; small levels are left out.
 
     AUROC needs more than five events and five non-events.
     """
-    rho = spearman_with_ci(rows, EFF24, by, resamples).filter(F.col("n") >= min_n)
-    auc = auroc_with_ci(rows, "low_q20", by, resamples)
+    rho = metrics.rho(panel, rows, EFF24, by).filter(F.col("n") >= min_n)
+    auc = metrics.areas(panel, rows, "low_q20", by)
     enough = (F.col("events") > 5) & (F.col("events") < F.col("n") - 5)
-    auc = auc.withColumns(only_if(enough, ["auroc", "auroc_ci_low", "auroc_ci_high"]))
-    return rho.join(auc.drop("n"), by)
+    area = only_if(enough, ["auroc", "auroc_ci_low", "auroc_ci_high"])
+    return rho.join(auc.select(*by, "events", *[c.alias(n) for n, c in area.items()]), by)
 
 
-def subgroup_analysis(df: DataFrame, resamples: int = B) -> DataFrame:
-    return level_metrics(subgroup_rows(df), ["subgroup", "level"], resamples=resamples)
+def subgroup_analysis(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
+    return level_metrics("subgroups", subgroup_rows(df), ["subgroup", "level"], metrics)
 
 
 def interaction_tests(df: DataFrame, min_n: int = 30) -> DataFrame:
@@ -193,8 +221,8 @@ def phenotype_rows(df: DataFrame) -> DataFrame:
             .select(ID, SCORE, EFF24, "low_q20", F.col("hf_phenotype").alias("level")))
 
 
-def phenotype_subgroups(df: DataFrame, resamples: int = B) -> DataFrame:
-    return level_metrics(phenotype_rows(df), ["level"], resamples=resamples)
+def phenotype_subgroups(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
+    return level_metrics("phenotypes", phenotype_rows(df), ["level"], metrics)
 
 
 def forest_rows(df: DataFrame) -> DataFrame:
@@ -212,9 +240,9 @@ def forest_order(level: Column) -> Column:
     return level_order(level, names + config.PHENOTYPES)
 
 
-def forest_table(df: DataFrame, min_n: int = 30, resamples: int = B) -> DataFrame:
+def forest_table(df: DataFrame, min_n: int = 30, metrics: Metrics = DIRECT) -> DataFrame:
     """Overall first, then every level in its given order: n, rho, interval."""
-    table = spearman_with_ci(forest_rows(df), EFF24, ["level"], resamples)
+    table = metrics.rho("forest", forest_rows(df), EFF24, ["level"])
     return (table.filter(F.col("n") >= min_n)
             .select(forest_order(F.col("level")).cast("int").alias("position"), "level", "n",
                     "rho", "rho_ci_low", "rho_ci_high")
@@ -246,23 +274,22 @@ def scenario_rows(df: DataFrame) -> DataFrame:
         ID, SCORE, EFF24, "low_q20", "low_q25", "scenario")
 
 
-def sensitivity_runs(df: DataFrame, min_n: int = 50, resamples: int = B) -> DataFrame:
+def sensitivity_runs(df: DataFrame, min_n: int = 50, metrics: Metrics = DIRECT) -> DataFrame:
     """rho and AUROC per alternative cohort and their change from the primary one."""
     rows, by = scenario_rows(df), ["scenario"]
-    metrics = spearman_with_ci(rows, EFF24, by, resamples).join(
-        auroc_with_ci(rows, "low_q20", by, resamples).drop("n"), by)
-    enough = F.col("n") >= min_n
-    metrics = metrics.withColumns(only_if(enough, [
-        "rho", "p", "rho_ci_low", "rho_ci_high", "events", "auroc", "auroc_ci_low",
-        "auroc_ci_high"]))
-    return with_deltas(metrics)
+    area = ["events", "auroc", "auroc_ci_low", "auroc_ci_high"]
+    runs = metrics.rho("scenarios", rows, EFF24, by).join(
+        metrics.areas("scenarios", rows, "low_q20", by).select(*by, *area), by)
+    return with_deltas(runs.withColumns(only_if(
+        F.col("n") >= min_n, ["rho", "p", "rho_ci_low", "rho_ci_high", *area])))
 
 
-def sensitivity_quarter(df: DataFrame, min_n: int = 50, resamples: int = B) -> DataFrame:
+def sensitivity_quarter(df: DataFrame, min_n: int = 50, metrics: Metrics = DIRECT) -> DataFrame:
     """Events, AUROC and interval for the lowest quarter per alternative cohort."""
-    out = auroc_with_ci(scenario_rows(df), "low_q25", ["scenario"], resamples)
-    return out.withColumns(only_if(F.col("n") >= min_n, [
-        "events", "auroc", "auroc_ci_low", "auroc_ci_high"]))
+    columns = ["events", "auroc", "auroc_ci_low", "auroc_ci_high"]
+    out = metrics.areas("scenarios_quarter", scenario_rows(df), "low_q25", ["scenario"])
+    return out.select("scenario", "n", *columns).withColumns(
+        only_if(F.col("n") >= min_n, columns))
 
 
 def with_deltas(metrics: DataFrame) -> DataFrame:
@@ -287,8 +314,8 @@ def efficiency_thresholds(df: DataFrame) -> DataFrame:
     return cohort.withColumn("_t", packed).select(ID, SCORE, F.inline(options))
 
 
-def threshold_sweep(df: DataFrame, resamples: int = B) -> DataFrame:
-    """Events, prevalence and AUROC at each efficiency quantile and output limit."""
+def threshold_rows(df: DataFrame) -> DataFrame:
+    """Rows once per efficiency quantile and per output limit: kind, setting, threshold, event."""
     eff = efficiency_thresholds(df).select(
         ID, SCORE, F.lit("efficiency").alias("kind"), "threshold",
         F.col("quantile").alias("setting"), "event")
@@ -299,11 +326,16 @@ def threshold_sweep(df: DataFrame, resamples: int = B) -> DataFrame:
         for t in config.OUTPUT_LIMITS_ML])
     low = (df.filter(F.col("icu_stay_ge_24h") == 1)
            .select(ID, SCORE, F.lit("output").alias("kind"), F.inline(options)))
-    by = ["kind", "setting"]
-    rows = union([eff, low])
-    metrics = auroc_with_ci(rows, "event", by, resamples)
+    return union([eff, low])
+
+
+def threshold_sweep(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
+    """Events, prevalence and AUROC at each efficiency quantile and output limit."""
+    rows, by = threshold_rows(df), ["kind", "setting"]
+    area = metrics.areas("thresholds", rows, "event", by).select(
+        *by, "n", "events", "auroc", "auroc_ci_low", "auroc_ci_high")
     limits = rows.groupBy(*by).agg(F.max("threshold").alias("threshold"))
-    return metrics.join(limits, by).withColumn(
+    return area.join(limits, by).withColumn(
         "prevalence", F.col("events") * 100 / F.col("n").cast("double"))
 
 
@@ -334,10 +366,10 @@ def binary_rows(df: DataFrame, outcomes: list[str] = config.BINARY_OUTCOMES) ->
     return long.withColumn("event", coerce_flag(F.col("event"))).dropna(subset=["event"])
 
 
-def binary_outcome_panel(df: DataFrame, resamples: int = B) -> DataFrame:
+def binary_outcome_panel(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
     """Per outcome: n, events, prevalence, AUROC, rate per risk level, test, ratio."""
     rows, by = binary_rows(df), ["outcome"]
-    auc = auroc_with_ci(rows, "event", by, resamples)
+    auc = metrics.areas("binary", rows, "event", by).drop("auprc", "auprc_ci_low", "auprc_ci_high")
     enough = ((F.col("n") >= 50) & (F.col("events") > 10)
               & (F.col("events") < F.col("n") - 10))
     auc = auc.withColumns(only_if(enough, ["auroc", "auroc_ci_low", "auroc_ci_high"]))
@@ -351,12 +383,16 @@ def binary_outcome_panel(df: DataFrame, resamples: int = B) -> DataFrame:
                                  F.col("rate_high") / F.col("rate_low"))})
 
 
-def continuous_outcome_panel(df: DataFrame, resamples: int = B) -> DataFrame:
-    """Stay lengths: rho with interval, rank test, summary per risk level."""
-    rows = unpivot(df.dropna(subset=[SCORE, RISK]), [ID, SCORE, RISK],
+def stay_rows(df: DataFrame) -> DataFrame:
+    """One row per stay and length measure: outcome, days."""
+    return unpivot(df.dropna(subset=[SCORE, RISK]), [ID, SCORE, RISK],
                    config.STAY_LENGTHS, "double", "outcome", "days").dropna(subset=["days"])
-    by = ["outcome"]
-    rho = spearman_with_ci(rows, "days", by, resamples).withColumnRenamed("n", "n_all")
+
+
+def continuous_outcome_panel(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
+    """Stay lengths: rho with interval, rank test, summary per risk level."""
+    rows, by = stay_rows(df), ["outcome"]
+    rho = metrics.rho("stays", rows, "days", by).withColumnRenamed("n", "n_all")
     test = assoc.kruskal_wallis(rows, RISK, "days", by).select(
         "outcome", "h", F.col("p").alias("p_kruskal"))
     levels = describe(rows, "days", ["outcome", RISK]).select(
@@ -364,42 +400,42 @@ def continuous_outcome_panel(df: DataFrame, resamples: int = B) -> DataFrame:
     return levels.join(rho, by).join(test, by)
 
 
-def mortality_panel(df: DataFrame, resamples: int = B) -> DataFrame:
+def mortality_rows(df: DataFrame) -> DataFrame:
+    """All stays, and those with and without shock, as cohorts of the death outcome."""
+    tests = {"all": F.lit(True), "shock": F.col("cardiogenic_shock") == 1,
+             "no_shock": F.col("cardiogenic_shock") == 0}
+    return with_membership(df, tests, "cohort").select(ID, SCORE, "hospital_expire_flag", "cohort")
+
+
+def mortality_panel(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
     """AUROC and AUPRC overall and by shock, with the threshold statistics.
 
     Shock groups need more than ten deaths and both outcomes.
     """
-    event = "hospital_expire_flag"
-    tests = {"all": F.lit(True), "shock": F.col("cardiogenic_shock") == 1,
-             "no_shock": F.col("cardiogenic_shock") == 0}
-    rows = with_membership(df, tests, "cohort").select(ID, SCORE, event, "cohort")
-    out = event_panel(rows, event, ["cohort"], resamples)
+    out = event_panel("mortality", mortality_rows(df), "hospital_expire_flag", ["cohort"], metrics)
     enough = (F.col("cohort") == "all") | (
         (F.col("events") > 10) & (F.col("events") < F.col("n")))
-    return out.withColumns(only_if(enough, [
-        "auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"]))
+    return out.withColumns(only_if(enough, AREAS))
 
 
-def event_panel(rows: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
+def event_panel(panel: str, rows: DataFrame, event: str, by: list[str], metrics: Metrics) -> DataFrame:
     """AUROC and AUPRC with intervals, best threshold, and the stated cut, per group."""
-    point = discrimination(rows, SCORE, event, by)
-    reps = boot.discrimination_replicates(rows, SCORE, event, resamples, SEED, by)
-    area = boot.interval(reps, "auroc", by).select(
-        *by, F.col("ci_low").alias("auroc_ci_low"), F.col("ci_high").alias("auroc_ci_high"))
-    precision = boot.interval(reps, "auprc", by).select(
-        *by, F.col("ci_low").alias("auprc_ci_low"), F.col("ci_high").alias("auprc_ci_high"))
     best = roc.youden(roc_curve(rows, SCORE, event, by), by)
     stated = roc.operating_point(rows, SCORE, event, config.HIGH_RISK_CUT, by).select(
         *by, F.col("sensitivity").alias("sensitivity_13"),
         F.col("specificity").alias("specificity_13"))
-    return point.join(area, by).join(precision, by).join(best, by, "left").join(stated, by)
+    return metrics.areas(panel, rows, event, by).join(best, by, "left").join(stated, by)
+
 
+def resistance_rows(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("icu_stay_ge_24h") == 1).withColumn("cohort", F.lit("stay_24h"))
 
-def resistance_panel(df: DataFrame, resamples: int = B) -> DataFrame:
+
+def resistance_panel(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
     """The low-output outcome on stays of a full day: discrimination, cuts, high against low."""
-    event = "diuretic_resistance"
-    rows = df.filter(F.col("icu_stay_ge_24h") == 1).withColumn("cohort", F.lit("stay_24h"))
-    panel = event_panel(rows.select(ID, SCORE, event, "cohort"), event, ["cohort"], resamples)
+    event, rows = "diuretic_resistance", resistance_rows(df)
+    panel = event_panel("resistance", rows.select(ID, SCORE, event, "cohort"), event, ["cohort"],
+                        metrics)
     ratio = rates_with_effects(rows, event).select(
         F.lit("stay_24h").alias("cohort"), "rate_low", "rate_high",
         F.col("ratio_high_low").alias("risk_ratio"), "chi2", "p")
@@ -528,7 +564,16 @@ def baseline_table(df: DataFrame, by: str = "mortality") -> DataFrame:
     return body.join(baseline_tests(df, group, first, groups), "variable", "left")
 
 
-def outcomes_table(df: DataFrame, resamples: int = B) -> DataFrame:
+def section_rows(df: DataFrame) -> DataFrame:
+    """Both binary outcomes as one long frame; resistance needs a full first day."""
+    resistant = F.when(F.col("icu_stay_ge_24h") == 1, F.col("diuretic_resistance"))
+    return unpivot(
+        df.select(ID, SCORE, RISK, resistant.alias("resistance"),
+                  F.col("hospital_expire_flag").alias("mortality")),
+        [ID, SCORE, RISK], ["resistance", "mortality"], "int", "section", "event").dropna()
+
+
+def outcomes_table(df: DataFrame, metrics: Metrics = DIRECT) -> DataFrame:
     """Long outcome table: section, metric, level, value, interval, p; all computed."""
     columns = ["section", "metric", "level", "value", "ci_low", "ci_high", "p"]
     none = F.lit(None).cast("double")
@@ -540,7 +585,7 @@ def outcomes_table(df: DataFrame, resamples: int = B) -> DataFrame:
 
     name = F.concat(F.lit("efficiency_"), F.col("cohort"))
     parts = [
-        shaped(primary_metrics(df, [24, 72], resamples), section=name,
+        shaped(primary_metrics(df, [24, 72], metrics.resamples), section=name,
                metric=F.col("metric"), value=F.col("estimate"), ci_low=F.col("ci_low"),
                ci_high=F.col("ci_high"), p=F.col("p")),
         shaped(assoc.kruskal_wallis(efficiency_rows(df, [24, 72]), RISK, "y", ["cohort"]),
@@ -550,15 +595,9 @@ def outcomes_table(df: DataFrame, resamples: int = B) -> DataFrame:
         summary, section=F.concat(F.lit("efficiency_"), F.col("timepoint")),
         metric=F.lit("median"), level=F.col(RISK), value=F.col("median"),
         ci_low=F.col("q1"), ci_high=F.col("q3")))
-    # both binary outcomes as one long frame; resistance needs a full first day
-    resistant = F.when(F.col("icu_stay_ge_24h") == 1, F.col("diuretic_resistance"))
-    long = unpivot(
-        df.select(ID, SCORE, RISK, resistant.alias("resistance"),
-                  F.col("hospital_expire_flag").alias("mortality")),
-        [ID, SCORE, RISK], ["resistance", "mortality"], "int", "section", "event").dropna()
-    section, by = F.col("section"), ["section"]
+    long, section, by = section_rows(df), F.col("section"), ["section"]
     parts += [
-        shaped(auroc_with_ci(long, "event", by, resamples), section=section,
+        shaped(metrics.areas("sections", long, "event", by), section=section,
                metric=F.lit("auroc"), value=F.col("auroc"), ci_low=F.col("auroc_ci_low"),
                ci_high=F.col("auroc_ci_high")),
         shaped(assoc.chi_square(long, RISK, "event", by), section=section,

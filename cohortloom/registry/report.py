@@ -124,39 +124,53 @@ def plot_feed_distribution(d: Data) -> DataFrame:
     return val.PLOT_FEEDS["score_distribution"](d.analysis)
 
 
-def _part(key: str, section: str, metric: str, level: str, value: str, low: str = "NULL",
-          high: str = "NULL", p: str = "NULL") -> str:
-    return (f"SELECT '{section}' AS section, '{metric}' AS metric, {level} AS level, "
+def _part(key: str, section: str, level: str, where: str = "", **metrics: tuple) -> str:
+    """A panel's twin as long rows, each metric as (value, low, high, p)."""
+    parts = []
+    for metric, columns in metrics.items():
+        value, low, high, p = (*columns, *["NULL"] * (4 - len(columns)))
+        parts.append(
+            f"SELECT '{section}' AS section, '{metric}' AS metric, {level} AS level, "
             f"CAST({value} AS DOUBLE) AS value, CAST({low} AS DOUBLE) AS ci_low, "
-            f"CAST({high} AS DOUBLE) AS ci_high, CAST({p} AS DOUBLE) AS p FROM ({ORACLES[key]})")
+            f"CAST({high} AS DOUBLE) AS ci_high, CAST({p} AS DOUBLE) AS p FROM panel")
+    return (f"SELECT * FROM (WITH panel AS MATERIALIZED ({ORACLES[key]}) "
+            f"{' UNION ALL '.join(parts)}) {where}")
 
 
-_SUB = "subgroup || ': ' || level"
+_SUB, _RISK = "subgroup || ': ' || level", "outcome || ': ' || risk_category"
+_RHO, _AUROC = ("rho", "rho_ci_low", "rho_ci_high"), ("auroc", "auroc_ci_low", "auroc_ci_high")
+_CUT = {c: (c,) for c in ("threshold", "sensitivity_13", "specificity_13")}
 _REPORT = " UNION ALL ".join([
     f"SELECT section, metric, level, value, ci_low, ci_high, p FROM ({ORACLES['outcomes_table']})",
-    _part("subgroup_analysis", "subgroups", "rho", _SUB, "rho", "rho_ci_low", "rho_ci_high"),
-    _part("subgroup_analysis", "subgroups", "auroc", _SUB, "auroc", "auroc_ci_low", "auroc_ci_high"),
-    _part("interaction_tests", "interaction", "delta", "subgroup", "delta", p="p"),
-    _part("sensitivity_runs", "sensitivity", "rho", "scenario", "rho", "rho_ci_low", "rho_ci_high", "p"),
-    _part("sensitivity_runs", "sensitivity", "auroc", "scenario", "auroc", "auroc_ci_low", "auroc_ci_high"),
-    _part("sensitivity_quarter", "sensitivity", "auroc_q25", "scenario", "auroc", "auroc_ci_low",
-          "auroc_ci_high"),
-    _part("robustness_spread", "sensitivity", "spread", "measure", "spread"),
-    _part("mortality_panel", "mortality", "auprc", "cohort", "auprc", "auprc_ci_low", "auprc_ci_high"),
-    _part("mortality_panel", "mortality", "sensitivity_13", "cohort", "sensitivity_13"),
-    _part("mortality_panel", "mortality", "specificity_13", "cohort", "specificity_13"),
-    _part("resistance_panel", "resistance", "youden", "cohort", "threshold"),
-    _part("resistance_panel", "resistance", "sensitivity_13", "cohort", "sensitivity_13"),
-    _part("resistance_panel", "resistance", "specificity_13", "cohort", "specificity_13"),
-    _part("resistance_panel", "resistance", "risk_ratio", "cohort", "risk_ratio", p="p"),
-    _part("binary_outcome_panel", "binary outcomes", "auroc", "outcome", "auroc", "auroc_ci_low",
-          "auroc_ci_high", "p"),
-    _part("component_roc", "components", "auroc", "predictor", "auroc"),
-    _part("literature_delta", "literature", "percent_difference", "population || ': ' || metric",
-          "percent_difference"),
+    _part("baseline_table", "baseline", "concat_ws(': ', variable, \"group\", level)",
+          "WHERE value IS NOT NULL", mean=("mean", "NULL", "NULL", "p"), sd=("sd",),
+          median=("median", "q1", "q3"), percent=("percent", "NULL", "NULL", "p"), n=("n",),
+          n_missing=("n_missing",)),
+    _part("subgroup_analysis", "subgroups", _SUB, rho=(*_RHO, "p"), auroc=_AUROC),
+    _part("interaction_tests", "interaction", "subgroup", delta=("delta", "NULL", "NULL", "p")),
+    _part("phenotype_subgroups", "phenotypes", "level", rho=(*_RHO, "p"), auroc=_AUROC),
+    _part("forest_table", "forest", "level", rho=_RHO, position=("position",)),
+    _part("sensitivity_runs", "sensitivity", "scenario", rho=(*_RHO, "p"), auroc=_AUROC,
+          delta_rho=("delta_rho",), delta_auroc=("delta_auroc",)),
+    _part("sensitivity_quarter", "sensitivity", "scenario", auroc_q25=_AUROC),
+    _part("threshold_sweep", "thresholds", "kind || ': ' || setting", auroc=_AUROC,
+          threshold=("threshold",), prevalence=("prevalence",)),
+    _part("robustness_spread", "sensitivity", "measure", spread=("spread",)),
+    _part("mortality_panel", "mortality", "cohort", auroc=_AUROC,
+          auprc=("auprc", "auprc_ci_low", "auprc_ci_high"), **_CUT),
+    _part("resistance_panel", "resistance", "cohort", auroc=_AUROC,
+          risk_ratio=("risk_ratio", "NULL", "NULL", "p"), **_CUT),
+    _part("binary_outcome_panel", "binary outcomes", "outcome", auroc=(*_AUROC, "p"),
+          prevalence=("prevalence",), ratio=("ratio_high_low",)),
+    _part("continuous_outcome_panel", "stay lengths", _RISK, median=("median", "q1", "q3"),
+          mean=("mean",), rho=(*_RHO, "p"), h=("h", "NULL", "NULL", "p_kruskal")),
+    _part("component_roc", "components", "predictor", auroc=("auroc",)),
+    _part("linear_fit", "scatter", "CAST(NULL AS VARCHAR)", slope=("slope",), intercept=("intercept",)),
+    _part("literature_delta", "literature", "population || ': ' || metric",
+          percent_difference=("percent_difference",)),
 ])
 
 
 @query("validation_report", _REPORT)
 def validation_report(d: Data) -> DataFrame:
-    return report.validation_report(d.analysis)
+    return report.validation_report(d.analysis, d.store)
