@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 
 import corpus_pipeline
@@ -327,26 +328,105 @@ def test_licences_in_other_dress(spark):
     assert found[6].line_licenses is None
 
 
+def plain_canonical(text):
+    """The canonical form by the ``regex`` library."""
+    text = regex.sub("(?m)" + licenses.STATEMENT, r"\1\2", text.lower())
+    text = regex.sub(licenses.NOT_WORD, " ", text).strip(" ")
+    for other, one in licenses.EQUIVALENT:
+        text = text.replace(other, one)
+    return text
+
+
+def plain_scan(text):
+    """(licence of the text, licences of its lines, number of such lines) without prefilter."""
+    known = {}
+    for name, whole in licenses.KNOWN:
+        key = plain_canonical(whole)
+        known[key] = min(name, known.get(key, name))
+    lines = [known[c] for c in map(plain_canonical, (text or "").split("\n")) if c in known]
+    return known.get(plain_canonical(text or "")), ",".join(sorted(set(lines))) or None, len(lines)
+
+
+def scans(spark, texts):
+    found = licenses.scan_licenses(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: (r.text_license, r.line_licenses, r.n_license_lines) for r in found}
+
+
 def test_licences_survive_any_wrapping(spark):
-    """A line that begins with 'copyright' is dropped only if it states one."""
+    """A line that begins with 'copyright' is dropped only if it states one; every id has a text."""
     rows, wanted = [], []
     for name, text in licenses.KNOWN:
         for width in (9, 20, 33, 48, 60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 76, 100):
-            paragraphs = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")]
+            paragraphs = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False)
+                          for p in text.split("\n\n")]
             for head in ("", "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n",
                          "Copyright Some Body <a@b.org>\n\n", "(c) 2020 X. "):
                 rows.append(head + "\n\n".join(paragraphs))
                 wanted.append(name)
-    rows += ["the above\ncopyright notice and this permission notice", "Copyright Somebody\n",
-             "(c) You must retain this.", "ISC\n(c) 2020 X. Licensed under the MIT License."]
-    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(
-        list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = scans(spark, rows)
     lost = [rows[i] for i, name in enumerate(wanted)
-            if found[i].text_license != name and "(c) 2020 X. " not in rows[i]]
+            if found[i][0] != name and "(c) 2020 X. " not in rows[i]]
     assert lost == []
-    assert found[len(rows) - 1].line_licenses == "MIT"
-    one_line = {rows[i]: found[i].text_license for i in range(len(wanted))}
-    assert one_line["(c) 2020 X. Licensed under the MIT License."] == "MIT"
+    assert {n for n, t in licenses.KNOWN if len(t) > 70} == {n for n, _ in licenses.KNOWN}
+
+
+STATEMENTS = [
+    ("Copyright infringers will be sued\nReleased under the MIT License.", None),
+    ("Copyright The Regents of the University of California in Berkeley and others\n"
+     "Released under the MIT License.", None),
+    ("Copyright The Regents of the University of California in Berkeley and others, 1983-1990\n"
+     "Released under the MIT License.", "MIT"),
+    ("(c) You must retain this.\nReleased under the MIT License.", None),
+    ("(c) 2020 X. Licensed under the MIT License.", "MIT"),
+    ("© Somebody\r\nAll Rights Reserved.\r\nReleased under the MIT Licence.\r\n", "MIT"),
+    ("Copyright (C) A. All rights reserved; Licensed under the MIT License.", "MIT"),
+    ("All rights reserved. Released under the MIT License.", "MIT"),
+    ("All rights reserved by nobody\nReleased under the MIT License.", None),
+    ("the above\ncopyright notice and this permission notice", None),
+    ("Copyright <a@b.org>, and\n * copyright [yyyy] someone\nLICENCED under CC BY 4.0", "CC-BY-4.0"),
+    ("Copyright holders\nMIT License\n\n" + licenses._MIT, None),
+    ("ISC\n(c) 2020 X. Licensed under the MIT License.", None), ("", None), ("\n\n", None)]
+
+
+def test_copyright_statements(spark):
+    found = scans(spark, [t for t, _ in STATEMENTS])
+    for i, (text, name) in enumerate(STATEMENTS):
+        assert found[i][0] == name == plain_scan(text)[0], text
+
+
+def test_licence_query_and_twin_state_one_rule(spark, tmp_path):
+    """Query, SQL twin and a plain program agree on texts made of statements and notices."""
+    import duckdb
+
+    rng = random.Random(8)
+    pieces = [t for t, _ in STATEMENTS[:12]] + [
+        "Copyright", "copyright 1999", "(c)", "©", "all rights reserved", "Sub License", "licence",
+        "Released under the MIT License.", "\x0b", "Permission 2020.", "This Work", "\u2028", "é\u0301",
+        "Licensed under the BSD 2-Clause Licence", "a@b", "SPDX-License-Identifier: ISC", "İ", "ﬁ"]
+    texts = [t for t, _ in STATEMENTS] + [
+        "".join(rng.choice(pieces) + rng.choice(["\n", " ", "\n\n", ". ", ", "])
+                for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = scans(spark, texts)
+    assert found == {i: plain_scan(t) for i, t in enumerate(texts)}
+    frame.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    rows = con.execute(licenses.oracle())
+    names = [c[0] for c in rows.description]
+    twin = {r["doc_id"]: (r["text_license"], r["line_licenses"], r["n_license_lines"])
+            for r in (dict(zip(names, r, strict=True)) for r in rows.fetchall())}
+    assert twin == found
+
+
+def test_needles_are_in_every_spelling():
+    words = licenses.needles([plain_canonical(t) for _, t in licenses.KNOWN])
+    assert "" not in words and {"licensed", "licenced"} <= set(words)
+    for _, text in licenses.KNOWN:
+        for spelling in (text, text.replace("icense", "icence")):
+            assert any(w in spelling.lower() for w in words)
+    assert licenses.needles(["copyright holder", "a b"]) == [""]
 
 
 # mixing ----------------------------------------------------------------------------------
