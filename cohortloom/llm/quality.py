@@ -1,32 +1,35 @@
 """Quality classifier by co-training two views of a document.
 
 The content view sees the text's byte trigrams (hashed, square roots of shares); the metadata
-view sees source, language, size and layout counts. Each is a logistic regression. In every
-round each view labels the pool documents it is sure of, as many good and bad ones as the
-labelled rows suggest, and hands them to the other view's training rows. Both are calibrated
-on a labelled fifth that they never train on, and combined there; the combination scores all
-documents.
+view sees source, language, size and layout counts. Each is a logistic regression, fitted on a
+bounded sample of labelled documents. In every round each view scores all unlabelled documents
+in Spark; of those it is sure of, the surest of every source come first, as many good and bad
+ones as the labelled rows suggest, and join the other view's training rows. Both views are
+calibrated on a labelled fifth that they never train on, and combined there; the combination
+scores all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_text, prepare, text_blocks
+from .common import flat_text, id_key, prepare, stored, text_blocks
 
-#: Labelled documents and unlabelled pool documents that the classifier is fitted on, about.
-LABELLED, POOL = 4000, 3000
-ROUNDS, SURE, PER_ROUND = 4, 0.95, 300
+#: Labelled documents that the classifier is fitted on at most; the unlabelled are all scored.
+LABELLED = 4000
+#: Rounds of exchange, certainty of a pseudo-label, and pseudo-labels a view gives in a round.
+ROUNDS, SURE, PER_ROUND = 3, 0.95, 300
 #: Probability of good quality from which a document is accepted: only clear cases go.
 ACCEPT = 0.25
 TRIGRAMS_LOG2 = 11
-SOURCES, LANGUAGES = 16, 8
 _KINDS = 7
 
 
@@ -54,15 +57,31 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+@dataclass(frozen=True)
+class Names:
+    """Sources and languages of the fitting sample; all others share one place, nulls another."""
+
+    sources: tuple[str, ...]
+    languages: tuple[str, ...]
+
+    @staticmethod
+    def places(column: pa.Array, known: tuple[str, ...]) -> np.ndarray:
+        """One-hot rows: a known value's place, then one for others, then one for null."""
+        found = pc.index_in(column, pa.array(known, pa.string())).to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(found.astype(float)), len(known), found).astype(np.int64)
+        place[column.is_null().to_numpy(zero_copy_only=False)] = len(known) + 1
+        return np.eye(len(known) + 2, dtype=np.float32)[place]
+
+
 def metadata_view(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, lang: np.ndarray
                   ) -> np.ndarray:
-    """Source and language (hashed, one-hot), size, shares of byte kinds, line and word sizes."""
+    """Source and language (one-hot rows), size, shares of byte kinds, line and word sizes."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
     kinds = np.bincount(owner * _KINDS + _kinds()[data], minlength=n * _KINDS).reshape(n, _KINDS)
     total = np.maximum(sizes, 1)
-    out = [np.eye(SOURCES)[source], np.eye(LANGUAGES)[lang], np.log1p(sizes)[:, None] / 10,
+    out = [source, lang, np.log1p(sizes)[:, None] / 10,
            3 * np.sqrt(kinds / total[:, None]),
            np.log1p(sizes / (kinds[:, 4] + 1))[:, None] / 5,
            np.log1p(sizes / (kinds[:, 3] + 1))[:, None] / 3]
@@ -116,114 +135,199 @@ class Views:
         return _sigmoid(np.column_stack([logits, self.mix.score(logits)]))
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, labels: np.ndarray, fold: np.ndarray
-             ) -> Views:
-    """Fit on rows with label 0 or 1 (fold < 4), a pool with label -1, calibrate on fold 4."""
-    views = [content, metadata]
-    train = np.flatnonzero((labels >= 0) & (fold < 4))
-    test = np.flatnonzero((labels >= 0) & (fold == 4))
-    pool = np.flatnonzero(labels < 0)
-    given = [dict(zip(train.tolist(), labels[train].tolist(), strict=True)) for _ in views]
-    models = [Logistic(np.zeros(x.shape[1], np.float32)) for x in views]
+@dataclass
+class Handed:
+    """Documents that a view is sure of: key, features of both views, pseudo-label."""
+
+    keys: list
+    content: np.ndarray
+    metadata: np.ndarray
+    values: np.ndarray
+
+
+def quotas(share: float) -> dict[int, int]:
+    """Pseudo-labels of a round by class, in the proportion of the labelled rows."""
+    return {1: max(1, int(PER_ROUND * share)), 0: max(1, int(PER_ROUND * (1 - share)))}
 
-    def fit(k: int) -> None:
-        rows = np.fromiter(given[k], np.int64)
-        models[k].fit(views[k][rows], np.array([given[k][r] for r in rows.tolist()], np.float32))
 
+def co_train(content: np.ndarray, metadata: np.ndarray, labels: np.ndarray, fold: np.ndarray,
+             confident: Callable[[list[Logistic], float], list[Handed]]) -> Views:
+    """Fit on labelled rows (fold < 4), calibrate on fold 4.
+
+    ``confident(models, share)`` gives, for each view, the unlabelled documents it is sure of.
+    """
+    train, test = np.flatnonzero(fold < 4), np.flatnonzero(fold == 4)
+    rows = [[content[train]], [metadata[train]]]
+    answers = [[labels[train].astype(np.float32)] for _ in rows]
+    seen: list[set] = [set(), set()]
+    models = [Logistic(np.zeros(x.shape[1], np.float32)) for x in (content, metadata)]
     share = float(labels[train].mean())
     for step in range(ROUNDS + 1):
-        for k in (0, 1):
-            fit(k)
-        if step == ROUNDS or not pool.size:
+        for model, x, y in zip(models, rows, answers, strict=True):
+            model.fit(np.concatenate(x), np.concatenate(y))
+        if step == ROUNDS:
             break
-        for k in (0, 1):
-            p = _sigmoid(models[k].score(views[k][pool]))
-            for value, sure, most in ((1, p, share), (0, 1 - p, 1 - share)):
-                order = pool[np.argsort(-sure, kind="stable")[:max(1, int(PER_ROUND * most))]]
-                confident = set(pool[sure >= SURE].tolist())
-                for row in order.tolist():
-                    if row in confident:
-                        given[1 - k].setdefault(row, value)
+        for k, handed in enumerate(confident(models, share)):
+            other = 1 - k
+            new = [i for i, key in enumerate(handed.keys) if key not in seen[other]]
+            seen[other].update(handed.keys)
+            rows[other].append((handed.metadata if k == 0 else handed.content)[new])
+            answers[other].append(handed.values[new].astype(np.float32))
     test = test if len(set(labels[test].tolist())) == 2 else train
     scales, y = [], labels[test].astype(np.float32)
-    for k in (0, 1):
-        raw = models[k].score(views[k][test])[:, None]
+    for k, view in enumerate((content, metadata)):
+        raw = models[k].score(view[test])[:, None]
         spread = float(raw.std()) or 1.0
         fit_line = Logistic(np.ones(1, np.float32)).fit(raw / spread, y, 1e-3, 300)
         scales.append((float(fit_line.weights[0]) / spread, fit_line.bias))
     out = Views(models[0], models[1], scales, Logistic(np.full(2, 0.5, np.float32)))
-    logits = out.calibrated([models[k].score(views[k][test]) for k in (0, 1)])
+    logits = out.calibrated([models[0].score(content[test]), models[1].score(metadata[test])])
     out.mix.fit(logits / 4, y, 1e-3, 300)
     out.mix.weights = out.mix.weights / 4
     return out
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _features(batch: pa.RecordBatch, names: Names) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat_text(batch.column("text"))
-    source = batch.column("source_slot").to_numpy()
-    lang = batch.column("lang_slot").to_numpy()
-    return content_view(data, offsets), metadata_view(data, offsets, source, lang)
+    return content_view(data, offsets), metadata_view(
+        data, offsets, names.places(batch.column("source"), names.sources),
+        names.places(batch.column("lang"), names.languages))
+
+
+def _feature_rows(names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_blocks(whole, "text"):
+                content, metadata = _features(batch, names)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_key"),
+                     pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()),
+                     pa.array([x.tobytes() for x in metadata], pa.binary())],
+                    ["row_key", "content", "metadata"])
 
+    return run
+
+
+def _sure_rows(models: list[Logistic], names: Names):
+    """Documents to (row_key, doc_id, source, view, value, sure) of the views that are sure."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_blocks(whole, "text"):
+                for view, x in enumerate(_features(batch, names)):
+                    p = _sigmoid(models[view].score(x)).astype(float)
+                    sure = np.maximum(p, 1 - p)
+                    at = np.flatnonzero(sure >= SURE)
+                    own = [batch.column(c).take(pa.array(at)) for c in ("row_key", "doc_id", "source")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(np.full(at.size, view, np.int32)),
+                         pa.array((p[at] >= 0.5).astype(np.int32)), pa.array(sure[at])],
+                        ["row_key", "doc_id", "source", "view", "value", "sure"])
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in text_blocks(whole, "text"):
-            content, metadata = _features(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("fold"),
-                 pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()),
-                 pa.array([x.tobytes() for x in metadata], pa.binary())],
-                ["label", "fold", "content", "metadata"])
+    return run
 
 
-def _scores(views: Views, names: list[str]):
+def _scores(views: Views, names: Names, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_blocks(whole, "text"):
-                p = views.probabilities(*_features(batch)).astype(float)
+                p = views.probabilities(*_features(batch, names)).astype(float)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in names], *[pa.array(p[:, i]) for i in range(3)]],
-                    [*names, "content_score", "metadata_score", "score"])
+                    [*[batch.column(c) for c in kept], *[pa.array(p[:, i]) for i in range(3)]],
+                    [*kept, "content_score", "metadata_score", "score"])
 
     return run
 
 
 def _prepared(docs: DataFrame, *more) -> DataFrame:
-    def slot(column: str, n: int):
-        return F.pmod(F.xxhash64(F.coalesce(F.col(column), F.lit(""))), F.lit(n)).cast("int")
-
     return docs.select(*more, F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                       slot("source", SOURCES).alias("source_slot"),
-                       slot("lang", LANGUAGES).alias("lang_slot"))
+                       F.col("source").cast("string"), F.col("lang").cast("string"))
 
 
-def fit_views(docs: DataFrame, labels: DataFrame) -> Views | None:
-    """The classifier from a bounded sample of labelled and other documents; None without both classes.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Texts with a key of (doc_id, text); rows that repeat share it."""
+    key = F.xxhash64(id_key(), F.coalesce(F.col("text"), F.lit(""))).alias("row_key")
+    return _prepared(docs, key, F.col("doc_id").cast("long").alias("doc_id"))
 
-    Labels (doc_id, quality) of an id that disagree count as bad; null ones are ignored.
+
+def _feature_frame(texts: DataFrame, names: Names) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Features of a bounded number of rows by key."""
+    found = texts.mapInArrow(_feature_rows(names), "row_key long, content binary, metadata binary")
+    return {r.row_key: (np.frombuffer(r.content, np.float16).astype(np.float32),
+                        np.frombuffer(r.metadata, np.float32)) for r in found.collect()}
+
+
+def _one_each(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row per key of a bounded list, repeats added up where they are read."""
+    first = F.min(F.struct("text", "source", "lang")).alias("row")
+    return texts.join(F.broadcast(keys), "row_key", "left_semi").groupBy("row_key").agg(first).select(
+        "row_key", "row.*")
+
+
+def confident_documents(docs: DataFrame, labelled: DataFrame, names: Names
+                        ) -> Callable[[list[Logistic], float], list[Handed]]:
+    """The exchange over all documents without a label (``labelled`` has their doc_id).
+
+    Within each view and class the surest document of every source comes first, then every
+    second one, and so on up to the quota, so a rare source takes part however many documents
+    the others have. Only narrow rows of sure documents move; of a source no more than the
+    quota leave a task's partial ranking.
     """
-    clean = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+    texts = _keyed(docs)
+
+    def confident(models: list[Logistic], share: float) -> list[Handed]:
+        most = quotas(share)
+        sure = texts.mapInArrow(_sure_rows(models, names), (
+            "row_key long, doc_id long, source string, view int, value int, sure double"))
+        free = sure.join(labelled, "doc_id", "left_anti").dropDuplicates(["row_key", "view"])
+        source = Window.partitionBy("view", "value", "source").orderBy(F.desc("sure"), "row_key")
+        ranked = free.withColumn("place", F.row_number().over(source)).filter(
+            F.col("place") <= PER_ROUND)
+        picks = [ranked.filter((F.col("view") == view) & (F.col("value") == value)).orderBy(
+            "place", F.desc("sure"), "row_key").limit(most[value])
+            for view in (0, 1) for value in (0, 1)]
+        chosen = stored(reduce(DataFrame.union, picks).select("row_key", "view", "value"))
+        rows = sorted((r.view, r.row_key, r.value) for r in chosen.collect())
+        features = _feature_frame(_one_each(texts, chosen.select("row_key").distinct()), names)
+        out = []
+        for view in (0, 1):
+            own = [(key, value) for v, key, value in rows if v == view]
+            width = [len(x) for x in next(iter(features.values()))] if features else [0, 0]
+            out.append(Handed([key for key, _ in own], *[
+                np.array([features[key][k] for key, _ in own], np.float32).reshape(-1, width[k])
+                for k in (0, 1)], np.array([value for _, value in own])))
+        return out
+
+    return confident
+
+
+def fit_views(docs: DataFrame, labels: DataFrame) -> tuple[Views, Names] | None:
+    """The classifier and its known names; None without labelled documents of both classes.
+
+    It is fitted on at most LABELLED labelled documents, picked by a hash of their id: of an id
+    that several texts have, the least text. Labels (doc_id, quality) of an id that disagree
+    count as bad; null ones are ignored.
+    """
+    clean = labels.filter("doc_id is not null and quality is not null").groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").cast("int").alias("label"))
-    n_labels, n_docs = clean.count(), docs.count()
-    if not n_labels:
-        return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
-    chosen = clean.filter(draw < LABELLED / n_labels).limit(2 * LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang").join(
-        F.broadcast(chosen), "doc_id", "left").filter(
-        F.col("label").isNotNull() | (draw < POOL / max(1, n_docs)))
-    rows = rows.limit(4 * (LABELLED + POOL))
+    draw = F.xxhash64(F.col("doc_id"), F.lit("quality"))
+    chosen = stored(clean.orderBy(draw, "doc_id").limit(LABELLED))
+    least = F.min(F.struct("text", "row_key", "source", "lang")).alias("row")
+    rows = stored(_keyed(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+        least).select("doc_id", "label", "row.*"))
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5)).cast("int")
-    rows = _prepared(rows, F.coalesce("label", F.lit(-1)).alias("label"),
-                     F.coalesce(fold, F.lit(0)).alias("fold"))
-    found = sorted(tuple(r) for r in rows.mapInArrow(
-        _feature_rows, "label int, fold int, content binary, metadata binary").collect())
-    if not found or len({r[0] for r in found if r[0] >= 0 and r[1] < 4}) < 2:
+    found = sorted((tuple(r) for r in rows.select("row_key", "label", fold, "source", "lang").collect()),
+                   key=lambda r: r[:3])
+    if len({r[1] for r in found if r[2] < 4}) < 2:
         return None
-    content = np.stack([np.frombuffer(r[2], np.float16) for r in found]).astype(np.float32)
-    metadata = np.stack([np.frombuffer(r[3], np.float32) for r in found])
-    return co_train(content, metadata, np.array([r[0] for r in found]),
-                    np.array([r[1] for r in found]))
+    names = Names(tuple(sorted({r[3] for r in found if r[3] is not None})),
+                  tuple(sorted({r[4] for r in found if r[4] is not None})))
+    features = _feature_frame(rows.select("row_key", "text", "source", "lang"), names)
+    content, metadata = (np.stack([features[r[0]][k] for r in found]) for k in (0, 1))
+    views = co_train(content, metadata, np.array([r[1] for r in found]),
+                     np.array([r[2] for r in found]),
+                     confident_documents(docs, clean.select("doc_id"), names))
+    return views, names
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)
@@ -231,13 +335,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     """The ``keep`` columns of every row with content_score, metadata_score, score, accepted.
 
     Scores are probabilities of good quality; a row is accepted from ACCEPT on. Null text is
-    empty, null source and language are a value of their own. Without labels of both classes
-    there is nothing to reject by: all scores are 1. Rows stay in place; an empty table gives
-    an empty result; columns outside ``keep`` are ignored.
+    empty, null source and language are a value of their own, those that no labelled document
+    has are one value together. Very long texts are read whole. Repeated rows get equal scores;
+    documents that a view is equally sure of count in the order of a hash of id and text.
+    Without labels of both classes there is nothing to reject by: all scores are 1. Rows stay
+    in place; an empty table gives an empty result; columns outside ``keep`` are ignored.
     """
     prepare(docs.sparkSession)
-    views = fit_views(docs, labels)
-    if views is None:
+    fitted = fit_views(docs, labels)
+    if fitted is None:
         out = docs.select(*keep, *[F.lit(1.0).alias(c) for c in
                                    ("content_score", "metadata_score", "score")])
     else:
@@ -245,7 +351,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
         names = [f"kept_{i}" for i in range(len(keep))]
         rows = _prepared(docs, *kept)
         schema = ", ".join(f"{n} {t}" for n, t in rows.select(*names).dtypes)
-        out = rows.mapInArrow(_scores(views, names), schema + (
+        out = rows.mapInArrow(_scores(*fitted, names), schema + (
             ", content_score double, metadata_score double, score double"))
         out = out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
     return out.withColumn("accepted", F.col("score") >= ACCEPT)

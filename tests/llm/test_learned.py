@@ -87,12 +87,81 @@ def test_views_teach_each_other():
     truth = rng.integers(0, 2, n)
     content = (rng.standard_normal((n, 5)) + 2 * truth[:, None]).astype(np.float32)
     metadata = (rng.standard_normal((n, 5)) + 2 * truth[:, None]).astype(np.float32)
-    labels = np.where(np.arange(n) < 60, truth, -1)
-    views = quality.co_train(content, metadata, labels, np.arange(n) % 5)
+
+    def confident(models, share):
+        out = []
+        for model, view in zip(models, (content, metadata), strict=True):
+            p = quality._sigmoid(model.score(view[60:]))
+            rows = []
+            for value, sure in ((1, p), (0, 1 - p)):
+                order = np.argsort(-sure, kind="stable")[:quality.quotas(share)[value]]
+                rows += [(i + 60, value) for i in order if sure[i] >= quality.SURE]
+            keys = [i for i, _ in rows]
+            out.append(quality.Handed(keys, content[keys], metadata[keys], np.array([v for _, v in rows])))
+        return out
+
+    views = quality.co_train(content[:60], metadata[:60], truth[:60], np.arange(60) % 5, confident)
     p = views.probabilities(content, metadata)
     assert np.mean((p[60:, 2] > 0.5) == truth[60:]) > 0.97
 
 
+def exchange_rows(spark):
+    """Two sources of very different size, labelled rows in between, repeats and odd rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(700):
+        good = rng.random() < 0.6
+        words = ["the", "quiet", "garden", "letter"] if good else ["%%", "WIN!!", "$$$", "7777"]
+        text = " ".join(rng.choice(words, int(rng.integers(3, 30))))
+        rows.append((i, text, "en", "rare" if i % 100 == 7 else "hot", len(text)))
+    rows += [rows[20]] * 3 + [(None, "%% $$$ 7777", None, None, 0), (None, None, "en", "hot", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return rows, docs
+
+
+def test_exchange_matches_brute_force(spark, monkeypatch):
+    """One round over all unlabelled documents: the surest of each source first."""
+    monkeypatch.setattr(quality, "PER_ROUND", 40)
+    rows, docs = exchange_rows(spark)
+    names = quality.Names(("hot",), ("en",))
+    rng = np.random.default_rng(1)
+    labelled = set(range(0, 700, 3))
+    texts = {r.row_key: r for r in quality._keyed(docs).collect()}
+    features = quality._feature_frame(quality._keyed(docs).dropDuplicates(["row_key"]), names)
+    widths = [len(x) for x in next(iter(features.values()))]
+    models = [quality.Logistic((rng.standard_normal(w) * 2).astype(np.float32)) for w in widths]
+    frame = spark.createDataFrame([(i,) for i in labelled], "doc_id long")
+    found = quality.confident_documents(docs, frame, names)(models, 0.6)
+    for view, handed in enumerate(found):
+        wanted = []
+        for value, most in quality.quotas(0.6).items():
+            by_source = {}
+            for key, row in texts.items():
+                p = float(quality._sigmoid(models[view].score(features[key][view][None]))[0])
+                sure = max(p, 1 - p)
+                if row.doc_id not in labelled and sure >= quality.SURE and (p >= 0.5) == bool(value):
+                    by_source.setdefault(row.source, []).append((-sure, key))
+            ranked = [(place, *item) for own in by_source.values()
+                      for place, item in enumerate(sorted(own))]
+            wanted += [(key, value) for _, _, key in sorted(ranked)[:most]]
+        got = list(zip(handed.keys, handed.values.tolist(), strict=True))
+        # features travel as halves, so documents at the edge of the quota may trade places
+        assert len(got) == len(wanted) and len(set(got) ^ set(wanted)) <= 4
+        rare = {k for k, _ in wanted if texts[k].source in ("rare", None)}
+        assert rare and rare <= set(handed.keys) | {k for k, _ in got}
+
+
+def test_quality_of_a_rare_source(spark):
+    """A source that no labelled document has still gives pseudo-labels and fair scores."""
+    rows, docs = exchange_rows(spark)
+    labels = spark.createDataFrame(
+        [(i, int("garden" in r[1] or "letter" in r[1] or "quiet" in r[1] or "the" in r[1]))
+         for i, r in enumerate(rows[:700]) if i % 4 == 0 and r[3] == "hot"], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    for i, r in enumerate(rows[:700]):
+        assert (found[i] > 0.5) == ("%%" not in r[1] and "WIN" not in r[1] and "$" not in r[1] and "7777" not in r[1])
+
+
 def test_pipeline_stages(spark):
     docs = read_table(spark, FOLDER, "documents")
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "SentencePiece encoding"
@@ -104,8 +173,7 @@ def test_pipeline_stages(spark):
     once = stages.exact(spark, docs, FOLDER)
     assert once.count() == once.select("text").distinct().count() == docs.select("text").distinct().count()
     near = stages.near(spark, once, FOLDER)
-    groups = registry.simhash.simhash_groups(once).select("component_id").distinct().count()
-    assert near.count() == groups
+    assert near.count() == registry.simhash.component_heads(once).count()
     mixed = stages.mix(spark, near, FOLDER)
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     out = stages.encode(spark, mixed, FOLDER)
