@@ -18,7 +18,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, flat_text, prepare, stored, text_blocks
@@ -155,8 +155,9 @@ def links(prints: DataFrame, bits: int = 4, members: int = MEMBERS) -> DataFrame
         F.struct(F.lit(i).alias("block"), F.col("print").bitwiseAND(F.lit(m)).alias("key"))
         for i, m in enumerate(masks)]))
     keyed = prints.select("print", table.alias("at")).select("print", "at.*")
-    size = F.count("*").over(Window.partitionBy("block", "key"))
-    shared = keyed.withColumn("n", size).filter("n > 1")
+    # counted with partial sums and joined back: a hot key's members spread like any skewed join
+    sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(sizes, ["block", "key"])
     parts = F.ceil(F.col("n") / F.lit(members)).cast("int")
     part = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
     dealt = (shared.withColumn("parts", parts).withColumn("part", part)
@@ -176,14 +177,21 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def rooted(rows: DataFrame, first: Column, bits: int = 4, members: int = MEMBERS) -> DataFrame:
-    """One row per distinct fingerprint of ``rows``: print, its least ``first``, root.
+    """One row per distinct fingerprint of ``rows``: print, root (first, print) of its component.
 
-    ``root`` is a fingerprint that names the component, whatever ids its rows have.
+    ``first`` ranks the rows of a fingerprint. Fingerprints are numbered by their least
+    ``first`` before the contraction, so the root is the one that holds the least of the whole
+    component, and no component has to be gathered to find it.
     """
     distinct = stored(rows.groupBy("print").agg(F.min(first).alias("first")))
-    roots = components(links(distinct.select("print"), bits, members))
-    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root"))
+    node = distinct.select(F.struct("first", "print").alias("node"), "print")
+    edges = links(distinct.select("print"), bits, members)
+    for end in ("a", "b"):
+        named = node.select(F.col("node").alias(f"{end}_node"), F.col("print").alias(end))
+        edges = edges.join(named, end)
+    roots = components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    return node.join(roots.select(F.col("node.print").alias("print"), "root"), "print", "left").select(
+        "print", F.coalesce("root", "node").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, bits: int = 4,
@@ -199,9 +207,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, bits: int = 4,
     """
     prepare(docs.sparkSession)
     rows = fingerprints(docs, shingle)
-    grouped = rooted(rows, F.col("doc_id"), bits, members)
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("print", "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")  # null last
+    named = rooted(rows, first, bits, members).select(
+        "print", F.col("root.first.doc_id").alias("component_id"))
     return rows.join(named, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id", "text_sha256")
@@ -216,5 +224,5 @@ def component_heads(docs: DataFrame, shingle: int = 4, bits: int = 4,
     prepare(docs.sparkSession)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
     return (rooted(fingerprints(docs, shingle), first, bits, members)
-            .groupBy("root").agg(F.min("first").alias("first"))
-            .select("first.doc_id", "first.text_sha256"))
+            .filter(F.col("print") == F.col("root.print"))
+            .select("root.first.doc_id", "root.first.text_sha256"))
