@@ -9,7 +9,7 @@ from ..functions.tails import chi2_tail, f_tail, normal_two_sided, t_two_sided
 from .ranks import histogram, mean_rank, prefix_sums
 
 
-def _corr_p(r: Column, n: Column) -> Column:
+def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation by the t distribution with n - 2 degrees."""
     dof = n.cast("double") - 2
     t = r * F.sqrt(dof / F.nullif(1 - r * r, F.lit(0.0)))
@@ -53,7 +53,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = (),
         "_x", mean_rank() - (F.col("n_total") + 1) / F.lit(2.0))
     rho = _centred_correlation()
     out = ranked.groupBy(*by).agg(F.sum("n").alias("n"), rho.alias("rho"))
-    return out.withColumn("p", _corr_p(F.col("rho"), F.col("n"))) if p_value else out
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n"))) if p_value else out
 
 
 def _centred_correlation() -> Column:
@@ -68,7 +68,7 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     out = both.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
-    return out.withColumn("p", _corr_p(F.col("r"), F.col("n")))
+    return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:

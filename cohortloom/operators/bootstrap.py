@@ -55,7 +55,7 @@ def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndar
     """Poisson(1) weights, rows by replicates.
 
     A pseudo-random integer in [0, PRIME) comes from modular multiplying and squaring and is
-    looked up in the limits.
+    looked up in the limits. Replicate 0 is the sample itself: every row weighs 1.
     """
     ids = ids.astype(np.int64)
     a = np.mod(ids + (ids >> 31) * 40692, PRIME)[:, None]
@@ -65,7 +65,9 @@ def weight_matrix(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndar
     x = (x * 16807 + b * 39373) % PRIME
     x = (x * x + b) % PRIME
     x = (x * 48271 + 11) % PRIME
-    return np.searchsorted(np.asarray(LIMITS), x, side="right").astype(np.float64)
+    w = np.searchsorted(np.asarray(LIMITS), x, side="right").astype(np.float64)
+    w[:, replicates == 0] = 1.0
+    return w
 
 
 def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid: int = 50,
@@ -74,18 +76,38 @@ def interval(replicates: DataFrame, metric: str, by: list[str] = (), min_valid:
 
     Fewer than ``min_valid`` give NULL limits, or an error if ``strict``.
     """
-    tail = (1 - level) / 2
-    value = F.col(metric).cast("double")
-    n = F.count(value)
+    low, high, n = _limits(F.col(metric).cast("double"), min_valid, strict, level)
+    return replicates.groupBy(*by).agg(
+        low.alias("ci_low"), high.alias("ci_high"), n.alias("n_valid"))
+
+
+def _limits(value: Column, min_valid: int = 50, strict: bool = False, level: float = 0.95
+            ) -> tuple[Column, Column, Column]:
+    tail, n = (1 - level) / 2, F.count(value)
 
     def limit(q: float) -> Column:
         few = (F.raise_error(F.lit("too few valid resamples")).cast("double") if strict
                else F.lit(None).cast("double"))
         return F.when(n < min_valid, few).otherwise(F.percentile(value, F.lit(q)))
 
-    return replicates.groupBy(*by).agg(
-        limit(tail).alias("ci_low"), limit(1 - tail).alias("ci_high"),
-        n.alias("n_valid"))
+    return limit(tail), limit(1 - tail), n
+
+
+def estimates(replicates: DataFrame, metrics: dict[str, str], by: list[str] = (),
+              counts: list[str] = ("n",)) -> DataFrame:
+    """One row per group: each metric's value in the sample (replicate 0) and its interval.
+
+    ``metrics`` maps result names to columns; ``counts`` are taken from the sample too.
+    """
+    def sample(column: str) -> Column:
+        return F.max(F.when(F.col("b") == 0, F.col(column)))
+
+    found = [sample(c).cast("bigint").alias(c) for c in counts]
+    for name, column in metrics.items():
+        low, high, _ = _limits(F.when(F.col("b") > 0, F.col(column)))
+        found += [sample(column).alias(name), low.alias(f"{name}_ci_low"),
+                  high.alias(f"{name}_ci_high")]
+    return replicates.groupBy(*by).agg(*found)
 
 
 # --- mergeable states ----------------------------------------------------------------
@@ -123,12 +145,13 @@ def _area(cells: dict[str, np.ndarray], states: np.ndarray) -> dict[str, np.ndar
         area = (p * (np.cumsum(q, axis=0) - q / 2)).sum(axis=0) / (positives * negatives)
         precision = np.where(flagged > 0, p * hits / flagged, 0.0).sum(axis=0) / positives
     both = (positives > 0) & (negatives > 0)
-    return {"auroc": np.where(both, area, np.nan), "auprc": np.where(both, precision, np.nan)}
+    return {"n": positives + negatives, "events": positives,
+            "auroc": np.where(both, area, np.nan), "auprc": np.where(both, precision, np.nan)}
 
 
 #: AUROC and AUPRC of a score with few levels: weight per (score, event) cell.
 DISCRIMINATION = Metric((), 1, lambda columns, w: w.sum(axis=0)[None], _area,
-                        outputs=("auroc", "auprc"), cells=("_score", "_event"))
+                        outputs=("n", "events", "auroc", "auprc"), cells=("_score", "_event"))
 
 
 def _moments(columns: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
@@ -152,13 +175,14 @@ def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _correlation(cells: dict[str, np.ndarray], states: np.ndarray) -> dict[str, np.ndarray]:
-    _, _, _, xx, xy, yy = states[0]
+    n, _, _, xx, xy, yy = states[0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        return {"pearson": np.where(xx * yy > 0, xy / np.sqrt(xx * yy), np.nan)}
+        return {"n": n, "pearson": np.where(xx * yy > 0, xy / np.sqrt(xx * yy), np.nan)}
 
 
 #: Pearson correlation from moments about the running means.
-PEARSON = Metric(("_x", "_y"), 6, _moments, _correlation, _merge_moments, ("pearson",))
+PEARSON = Metric(("_x", "_y"), 6, _moments, _correlation, _merge_moments,
+                 ("n", "pearson"))
 
 
 def _key_schema(rows: DataFrame, keys: list[str]) -> str:
@@ -174,9 +198,12 @@ def _by_group(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, np.nd
         yield (key if isinstance(key, tuple) else (key,)), rows
 
 
-def _updates(metric: Metric, keys: list[str], resamples: int, seed: int):
+def _numbers(resamples: int, sample: bool) -> np.ndarray:
+    return np.arange(0 if sample else 1, resamples + 1)
+
+
+def _updates(metric: Metric, keys: list[str], numbers: np.ndarray, seed: int):
     """Rows to one state per group and task; open states are bounded, the rest goes out early."""
-    numbers = np.arange(1, resamples + 1)
 
     def out(states: dict) -> pd.DataFrame:
         frame = pd.DataFrame(list(states), columns=keys) if keys else pd.DataFrame(index=range(1))
@@ -185,7 +212,7 @@ def _updates(metric: Metric, keys: list[str], resamples: int, seed: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple, np.ndarray] = {}
-        step = max(1, WEIGHTS // resamples)
+        step = max(1, WEIGHTS // numbers.size)
         for whole in frames:
             for at in range(0, len(whole), step):
                 pdf = whole.iloc[at:at + step]
@@ -195,7 +222,7 @@ def _updates(metric: Metric, keys: list[str], resamples: int, seed: int):
                 for key, rows in _by_group(pdf, keys):
                     new = metric.update({c: v[rows] for c, v in columns.items()}, w[place[rows]])
                     states[key] = metric.merge(states[key], new) if key in states else new
-                if len(states) * metric.size * resamples * 8 > STATE_BYTES:
+                if len(states) * metric.size * numbers.size * 8 > STATE_BYTES:
                     yield out(states)
                     states = {}
         if states:
@@ -204,14 +231,14 @@ def _updates(metric: Metric, keys: list[str], resamples: int, seed: int):
     return run
 
 
-def _finishes(metric: Metric, by: list[str], resamples: int):
+def _finishes(metric: Metric, by: list[str], numbers: np.ndarray):
     """States sorted by group and cell to one row per group and replicate."""
     cells = list(metric.cells)
 
     def out(key: tuple, found: dict) -> pd.DataFrame:
         names = {c: np.array([k[i] for k in found]) for i, c in enumerate(cells)}
         values = metric.finish(names, np.stack(list(found.values())))
-        frame = pd.DataFrame({"b": np.arange(1, resamples + 1, dtype=np.int32)})
+        frame = pd.DataFrame({"b": numbers.astype(np.int32)})
         for c, v in zip(by, key, strict=True):
             frame[c] = v
         for name in metric.outputs:
@@ -227,7 +254,7 @@ def _finishes(metric: Metric, by: list[str], resamples: int):
                 if found and key != now:
                     yield out(now, found)
                     found = {}
-                now, state = key, np.frombuffer(raw).reshape(metric.size, resamples)
+                now, state = key, np.frombuffer(raw).reshape(metric.size, numbers.size)
                 found[cell] = metric.merge(found[cell], state) if cell in found else state
         if found:
             yield out(now, found)
@@ -240,22 +267,22 @@ def _tasks(df: DataFrame) -> int:
 
 
 def replicates(df: DataFrame, metric: Metric, row_id: str, resamples: int, seed: int,
-               by: list[str] = ()) -> DataFrame:
+               by: list[str] = (), sample: bool = False) -> DataFrame:
     """by, b and the metric's outputs: one row per group and replicate, NULL without a value.
 
-    ``df`` must hold the metric's columns and cells. The narrow rows are dealt by id, so the
+    With ``sample`` the sample itself comes along as replicate 0. ``df`` must hold the metric's columns and cells. The narrow rows are dealt by id, so the
     thousandfold work does not hang on a few files and a row that belongs to many groups
     draws its weights once.
     """
-    by = list(by)
+    by, numbers = list(by), _numbers(resamples, sample)
     keys = [*by, *metric.cells]
     rows = df.select(F.col(row_id).cast("bigint").alias("_id"), *keys, *metric.columns).dropna()
     schema = _key_schema(rows, keys)
     states = (rows.repartition(_tasks(df), "_id").sortWithinPartitions("_id").mapInPandas(
-        _updates(metric, keys, resamples, seed), f"{schema}state binary"))
+        _updates(metric, keys, numbers, seed), f"{schema}state binary"))
     met = states.repartition(*by) if by else states.repartition(1)
     found = (met.sortWithinPartitions(*keys) if keys else met).mapInPandas(
-        _finishes(metric, by, resamples), f"{_key_schema(rows, by)}b int, "
+        _finishes(metric, by, numbers), f"{_key_schema(rows, by)}b int, "
         + ", ".join(f"{c} double" for c in metric.outputs))
     # pandas has no NULL for doubles
     return found.select(*by, "b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in metric.outputs])
@@ -269,19 +296,20 @@ def bootstrap(df: DataFrame, metric: Metric, row_id: str, resamples: int, seed:
 
 
 def discrimination_replicates(df: DataFrame, score: str, event: str, resamples: int, seed: int,
-                              by: list[str] = (), row_id: str = "stay_id") -> DataFrame:
-    """by, b, auroc, auprc; replicates lacking a class have NULL.
+                              by: list[str] = (), row_id: str = "stay_id", sample: bool = False
+                              ) -> DataFrame:
+    """by, b, n, events, auroc, auprc; replicates lacking a class have NULL areas.
 
     For a score of few levels: a group's state is a vector per score value and class.
     """
     rows = df.withColumns({"_score": F.col(score).cast("double"), "_event": F.col(event).cast("int")})
-    return replicates(rows, DISCRIMINATION, row_id, resamples, seed, by)
+    return replicates(rows, DISCRIMINATION, row_id, resamples, seed, by, sample)
 
 
 def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
-                       by: list[str] = ()) -> DataFrame:
+                       by: list[str] = (), sample: bool = False) -> DataFrame:
     rows = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
-    return replicates(rows, PEARSON, row_id, resamples, seed, by)
+    return replicates(rows, PEARSON, row_id, resamples, seed, by, sample)
 
 
 # --- ranks ---------------------------------------------------------------------------
@@ -344,14 +372,14 @@ def _as_rows(key: tuple, group: _Group, y: float, tied: bool, resamples: int) ->
             for x, sums in group.levels.items() for at in range(0, resamples, BLOCK)]
 
 
-def _ranges(by: list[str], resamples: int, seed: int, concordance: bool):
+def _ranges(by: list[str], numbers: np.ndarray, seed: int, concordance: bool):
     """Rows of one range, sorted by outcome, to the parts of each group.
 
     A group's first and last tied value go out as parts of their own, since they may go on
     in the neighbouring ranges; the last one is held as totals while rows still come in.
     """
     names = [*by, "_block", "_place", "_tied", "_x", "state"]
-    numbers = np.arange(1, resamples + 1)
+    resamples = numbers.size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner: dict[tuple, _Group] = {}
@@ -420,7 +448,7 @@ def _add_totals(group: _Group, x: np.ndarray, w: np.ndarray) -> None:
         group.level(name)[0] += w[x == name].sum(axis=0)
 
 
-def _rank_metrics(pdf: pd.DataFrame, by: list[str], concordance: bool) -> pd.DataFrame:
+def _rank_metrics(pdf: pd.DataFrame, by: list[str], start: int, concordance: bool) -> pd.DataFrame:
     """All parts of a group and block of replicates to the metrics of each replicate."""
     levels, x = np.unique(pdf["_x"].to_numpy(), return_inverse=True)
     # parts in order of outcome; equal tied values are one part
@@ -449,7 +477,8 @@ def _rank_metrics(pdf: pd.DataFrame, by: list[str], concordance: bool) -> pd.Dat
     with np.errstate(divide="ignore", invalid="ignore"):
         spread = (size * rank * rank).sum(axis=0) * d_square
         rho = np.where(spread > 0, (rank * d_sum).sum(axis=0) / np.sqrt(spread), np.nan)
-        out = {"b": int(pdf["_block"].iloc[0]) * BLOCK + np.arange(1, width + 1), "spearman": rho}
+        out = {"b": int(pdf["_block"].iloc[0]) * BLOCK + np.arange(start, start + width), "n": n,
+               "spearman": rho}
         if concordance:
             below = np.cumsum(w, axis=0) - w  # per part and level: weight in earlier parts
             higher = below.sum(axis=1, keepdims=True) - np.cumsum(below, axis=1)
@@ -464,24 +493,25 @@ def _rank_metrics(pdf: pd.DataFrame, by: list[str], concordance: bool) -> pd.Dat
 
 
 def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
-                    by: list[str] = (), concordance: bool = False) -> DataFrame:
-    """by, b, spearman (and c_index, high ``x`` with low ``y``): rank metrics of every replicate.
+                    by: list[str] = (), concordance: bool = False, sample: bool = False) -> DataFrame:
+    """by, b, n, spearman (and c_index, high ``x`` with low ``y``): rank metrics of every replicate.
 
     ``x`` is a score with a bounded number of levels. The rows of all groups are ranged by
     outcome together, equal outcomes by row id, so a value that a third of the rows share is
     spread too; a row that belongs to many groups meets its weights once.
     """
-    by = list(by)
+    by, numbers = list(by), _numbers(resamples, sample)
     rows = df.dropna(subset=[*by, x, y]).select(
         *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"))
     keys = _key_schema(rows, by)
     dealt = rows.repartitionByRange(_tasks(df), "_y", "_id").sortWithinPartitions("_y", "_id")
     parts = dealt.mapInPandas(
-        _ranges(by, resamples, seed, concordance),
+        _ranges(by, numbers, seed, concordance),
         f"{keys}_block int, _place double, _tied boolean, _x double, state binary")
-    metrics = ["spearman", "c_index"] if concordance else ["spearman"]
+    metrics = ["n", "spearman", "c_index"] if concordance else ["n", "spearman"]
+    start = int(numbers[0])
     found = parts.groupBy(*by, "_block").applyInPandas(
-        lambda pdf: _rank_metrics(pdf, by, concordance),
+        lambda pdf: _rank_metrics(pdf, by, start, concordance),
         f"{keys}b int, " + ", ".join(f"{m} double" for m in metrics))
     return found.select(*by, "b", *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics])

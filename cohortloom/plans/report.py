@@ -1,8 +1,7 @@
 """The validation report: every panel's numbers as one long table.
 
-All correlations and areas of all panels come from three stored tables: the (score, event)
-cells, the areas, and the rank correlations, each with the panel and its groups as grouping
-columns. So the thousandfold work of the intervals runs once for the whole report, however
+All correlations and areas of all panels come from two stored tables, the areas and the rank
+correlations, each with the panel and its groups as grouping columns. So the thousandfold work of the intervals runs once for the whole report, however
 many panels a stay belongs to, and every panel is planned once.
 """
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.ranks import histogram, union
+from ..operators.ranks import union
 from ..session import TableStore
 from . import validation as val
 
@@ -63,10 +62,8 @@ class StoredMetrics(val.Metrics):
 
     def __init__(self, df: DataFrame, store: TableStore, resamples: int):
         super().__init__(resamples)
-        events = store.save(event_rows(df), "report_events")
-        cells = store.save(histogram(events, [*KEYS, val.SCORE, "value"]), "report_cells")
         self.area_table = store.save(
-            val.areas_with_ci(events, "value", KEYS, resamples, cells), "report_areas")
+            val.areas_with_ci(event_rows(df), "value", KEYS, resamples), "report_areas")
         self.rank_table = store.save(
             val.spearman_with_ci(rank_rows(df), "value", KEYS, resamples), "report_ranks")
 

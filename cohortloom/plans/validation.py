@@ -74,26 +74,16 @@ AREAS = ["auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "aup
 
 
 def spearman_with_ci(df: DataFrame, outcome: str, by: list[str], resamples: int = B) -> DataFrame:
-    point = spearman(df, SCORE, outcome, by)
-    reps = boot.rank_replicates(df, ID, SCORE, outcome, resamples, SEED, by)
-    ci = boot.interval(reps, "spearman", by).select(
-        *by, F.col("ci_low").alias("rho_ci_low"), F.col("ci_high").alias("rho_ci_high"))
-    return point.join(ci, by, "left")
-
-
-def areas_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B,
-                  cells: DataFrame | None = None) -> DataFrame:
-    """n, events and both areas with intervals; ``cells`` (score, event, n) save a pass."""
-    point = (discrimination(df, SCORE, event, by) if cells is None
-             else discrimination(cells, SCORE, event, by, weight="n"))
-    reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by)
-    # both areas of a group share their replicates, read once
-    long = unpivot(reps, [*by, "b"], ["auroc", "auprc"], "double", "area", "value")
-    limits = boot.interval(long, "value", [*by, "area"])
-    wide = limits.groupBy(*by).agg(*[
-        F.max(F.when(F.col("area") == area, F.col(f"ci_{end}"))).alias(f"{area}_ci_{end}")
-        for area in ("auroc", "auprc") for end in ("low", "high")])
-    return point.join(wide, by, "left").select(*by, "n", "events", *AREAS)
+    """n, rho, p and interval per group, the sample being one more replicate."""
+    reps = boot.rank_replicates(df, ID, SCORE, outcome, resamples, SEED, by, sample=True)
+    found = boot.estimates(reps, {"rho": "spearman"}, by)
+    return found.withColumn("p", assoc.correlation_p(F.col("rho"), F.col("n")))
+
+
+def areas_with_ci(df: DataFrame, event: str, by: list[str], resamples: int = B) -> DataFrame:
+    """n, events and both areas with intervals per group."""
+    reps = boot.discrimination_replicates(df, SCORE, event, resamples, SEED, by, sample=True)
+    return boot.estimates(reps, {"auroc": "auroc", "auprc": "auprc"}, by, ["n", "events"])
 
 
 class Metrics:
@@ -130,8 +120,7 @@ def efficiency_rows(df: DataFrame, hours: list[int]) -> DataFrame:
 def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B) -> DataFrame:
     """cohort, metric, n, estimate, ci_low, ci_high, p of the efficiency outcomes.
 
-    All horizons run together; replicates of all metrics meet in one long frame that is
-    cut into intervals once.
+    All horizons run together; the sample is one more replicate of each metric.
     """
     rows, by = efficiency_rows(df, list(hours)), ["cohort"]
     keys, none = [*by, "metric"], F.lit(None).cast("double")
@@ -139,27 +128,30 @@ def primary_metrics(df: DataFrame, hours: list[int] = (24,), resamples: int = B)
                      "metric", "event")
     events = events.withColumn("metric", F.concat(F.lit("auroc_"), F.substring("metric", 5, 3)))
 
-    def point(frame: DataFrame, name: Column, value: str, p: Column) -> DataFrame:
-        return frame.select("cohort", name.alias("metric"), "n",
-                            F.col(value).alias("estimate"), p.alias("p"))
-
-    points = union([
-        point(spearman(rows, SCORE, "y", by), F.lit("spearman"), "rho", F.col("p")),
-        point(assoc.pearson(rows, SCORE, "y", by), F.lit("pearson"), "r", F.col("p")),
-        point(assoc.c_index(rows, SCORE, "y", config.SCORE_BITS, by), F.lit("c_index"),
-              "c_index", none),
-        point(discrimination(events, SCORE, "event", keys), F.col("metric"), "auroc", none),
-    ])
-    ranks = boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True)
-    replicates = union([
-        unpivot(ranks, by, ["spearman", "c_index"], "double", "metric"),
-        unpivot(boot.pearson_replicates(rows, ID, SCORE, "y", resamples, SEED, by), by,
-                ["pearson"], "double", "metric"),
-        boot.discrimination_replicates(events, SCORE, "event", resamples, SEED, keys)
-        .select(*keys, F.col("auroc").alias("value"))])
-    limits = boot.interval(replicates, "value", keys).drop("n_valid")
-    return points.join(limits, keys).select(
-        "cohort", "metric", "n", "estimate", "ci_low", "ci_high", "p")
+    def long(frame: DataFrame, name: Column, **values: Column) -> DataFrame:
+        """The estimates of a frame as rows; ``values`` are the p-values by column."""
+        # SQL functions cannot stand in a generator: the p-values come first
+        known = frame.withColumns({f"_p_{c}": p for c, p in values.items()})
+        return known.select("cohort", F.inline(F.array(*[
+            F.struct(F.coalesce(name, F.lit(c)).alias("metric"), F.col("n"),
+                     F.col(c).alias("estimate"), F.col(f"{c}_ci_low").alias("ci_low"),
+                     F.col(f"{c}_ci_high").alias("ci_high"), F.col(f"_p_{c}").alias("p"))
+            for c in values])))
+
+    ranks = boot.estimates(
+        boot.rank_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True, True),
+        {"spearman": "spearman", "c_index": "c_index"}, by)
+    linear = boot.estimates(
+        boot.pearson_replicates(rows, ID, SCORE, "y", resamples, SEED, by, True),
+        {"pearson": "pearson"}, by)
+    areas = boot.estimates(
+        boot.discrimination_replicates(events, SCORE, "event", resamples, SEED, keys, sample=True),
+        {"auroc": "auroc"}, keys)
+    same = F.lit(None).cast("string")
+    return union([
+        long(ranks, same, spearman=assoc.correlation_p(F.col("spearman"), F.col("n")), c_index=none),
+        long(linear, same, pearson=assoc.correlation_p(F.col("pearson"), F.col("n"))),
+        long(areas, F.col("metric"), auroc=none)])
 
 
 # --- subgroups ---------------------------------------------------------------------

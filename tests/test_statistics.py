@@ -183,6 +183,25 @@ def test_states_equal_brute_force(spark, df, data):
             assert areas.loc[(g, b)].auprc == pytest.approx(precision, abs=1e-12)
 
 
+def test_the_sample_is_replicate_zero(df, data):
+    ranks = boot.estimates(boot.rank_replicates(df, "id", "s", "y", 60, 42, [], True, True),
+                           {"rho": "spearman", "c": "c_index"}).first()
+    areas = boot.estimates(boot.discrimination_replicates(df, "s", "e", 60, 42, [], "id", True),
+                           {"auroc": "auroc", "auprc": "auprc"}, counts=["n", "events"]).first()
+    linear = boot.estimates(boot.pearson_replicates(df, "id", "s", "y", 60, 42, [], True),
+                            {"r": "pearson"}).first()
+    area, precision = brute_area(data)
+    assert (ranks.n, areas.n, areas.events, linear.n) == (500, 500, data.e.sum(), 500)
+    assert ranks.rho == pytest.approx(data.s.rank().corr(data.y.rank()), abs=1e-12)
+    assert ranks.c == pytest.approx(pairs(data), abs=1e-12)
+    assert (areas.auroc, areas.auprc) == pytest.approx((area, precision), abs=1e-12)
+    assert linear.r == pytest.approx(data.s.corr(data.y), abs=1e-12)
+    w = boot.weight_matrix(data.id.to_numpy(), np.arange(1, 61), 42).astype(int)
+    drawn = [data.loc[data.index.repeat(w[:, b])] for b in range(60)]
+    limits = np.percentile([p.s.corr(p.y) for p in drawn], [2.5, 97.5])
+    assert [linear.r_ci_low, linear.r_ci_high] == pytest.approx(limits, abs=1e-12)
+
+
 def test_states_go_out_early_and_meet_again(spark, df, monkeypatch):
     rows = df.select("id", F.col("s").cast("double").alias("_x"), F.col("y").alias("_y"), "s")
     whole = boot.replicates(rows, boot.PEARSON, "id", 20, 42, ["s"]).toPandas()
