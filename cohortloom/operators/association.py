@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, f_tail, normal_two_sided, t_two_sided
+from .rank_scan import concordance, level_sums
 from .ranks import histogram, mean_rank, prefix_sums
 
 
@@ -34,9 +35,7 @@ def rank_sums(df: DataFrame, group: str, value: str, by: list[str] = (),
         F.sum("n").alias("n"),
         F.sum(n * d).alias("d_sum"),
         F.sum(n * d * d).alias("d_square"),
-        F.sum(n * (at * at - 1)).alias("tie_term"),
-        F.sum(n * at).alias("same_value"),
-        F.sum(n * n).alias("same_both"))
+        F.sum(n * (at * at - 1)).alias("tie_term"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (),
@@ -48,7 +47,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = (),
     levels.
     """
     by = list(by)
-    levels = rank_sums(df, x, y, by, weight)
+    levels = (level_sums if bounded_x else rank_sums)(df, x, y, by, weight)
     ranked = prefix_sums(levels, x, ["n"], by, bounded_x).withColumn(
         "_x", mean_rank() - (F.col("n_total") + 1) / F.lit(2.0))
     rho = _centred_correlation()
@@ -77,55 +76,19 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
                                F.regr_intercept(ys, xs).alias("intercept"))
 
 
-def ordered_pairs(cells: DataFrame, index: str, bits: int, y: str,
-                  by: list[str] = ()) -> DataFrame:
-    """Weighted pairs with a higher index and a lower ``y``, per group.
-
-    ``cells`` holds distinct (by, index, y) with weight n; the index is an integer in
-    [0, 2**bits). Two indexes differ first at exactly one binary digit, so the pairs
-    split by that digit: within equal leading digits, rows with digit 1 must lie below
-    rows with digit 0. Each digit is an ordinary prefix sum; no pair is ever formed.
-    """
-    by = list(by)
-    inside = (F.col(index) >= 0) & (F.col(index) < 2 ** bits) & (
-        F.floor(F.col(index)) == F.col(index))
-    outside = F.raise_error(F.lit(f"index is not an integer in [0, 2**{bits})"))
-    i = F.when(inside, F.col(index).cast("int")).otherwise(outside.cast("int"))
-    digits = F.sequence(F.lit(0), F.lit(bits - 1))
-    split = (cells.select(*by, y, "n", i.alias("_i"), F.explode(digits).alias("_digit"))
-             .withColumn("_head", F.expr("shiftright(_i, _digit + 1)"))
-             .withColumn("_one", F.expr("shiftright(_i, _digit) & 1")))
-    n = F.col("n").cast("double")
-    hist = split.groupBy(*by, "_digit", "_head", y).agg(
-        F.sum(n * F.col("_one")).alias("ones"),
-        F.sum(n * (1 - F.col("_one"))).alias("zeros"))
-    summed = prefix_sums(hist, y, ["ones"], [*by, "_digit", "_head"])
-    return summed.groupBy(*by).agg(
-        F.sum(F.col("zeros") * F.col("ones_below")).alias("pairs"))
-
-
 def c_index(df: DataFrame, score: str, outcome: str, bits: int, by: list[str] = (),
             weight: str | None = None) -> DataFrame:
     """P(higher score goes with lower outcome): n, permissible, c_index.
 
     Pairs with equal outcome do not count; pairs with equal score count one half. The
-    score must be an integer in [0, 2**bits); give other scores a dense index first
-    (:func:`dense_index`).
+    score must be an integer in [0, 2**bits), so it has few levels; give other scores a dense
+    index first (:func:`dense_index`).
     """
-    by = list(by)
-    cells = histogram(df, [*by, score, outcome], weight)
-    concordant = ordered_pairs(cells, score, bits, outcome, by)
-    n = F.col("n").cast("double")
-    sizes = rank_sums(df, score, outcome, by, weight).groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum(n).alias("_n"), F.sum(n * n).alias("_s"),
-        F.sum("same_value").alias("_y"), F.sum("same_both").alias("_both"))
-    out = (sizes.join(concordant, by, "left") if by
-           else sizes.withColumn("pairs", concordant.scalar()))
-    permissible = (F.col("_n") * F.col("_n") - F.col("_y")) / 2
-    ties = (F.col("_s") - F.col("_both")) / 2
-    value = (F.coalesce(F.col("pairs"), F.lit(0.0)) + ties / 2) / permissible
-    return out.select(*by, "n", permissible.alias("permissible"),
-                      F.when(permissible > 0, value).alias("c_index"))
+    inside = (F.col(score) >= 0) & (F.col(score) < 2 ** bits) & (
+        F.floor(F.col(score)) == F.col(score))
+    outside = F.raise_error(F.lit(f"index is not an integer in [0, 2**{bits})")).cast("int")
+    index = F.when(inside | F.col(score).isNull(), F.col(score).cast("int")).otherwise(outside)
+    return concordance(df.withColumn(score, index), score, outcome, by, weight)
 
 
 def dense_index(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
@@ -139,7 +102,7 @@ def dense_index(df: DataFrame, value: str, out: str, by: list[str] = ()) -> Data
 
 def kruskal_wallis(df: DataFrame, group: str, value: str, by: list[str] = ()) -> DataFrame:
     """Tie-corrected rank test over groups: n, groups, h, p."""
-    return kruskal_from_sums(rank_sums(df, group, value, by), by)
+    return kruskal_from_sums(level_sums(df, group, value, by), by)
 
 
 def kruskal_from_sums(sums: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -156,7 +119,7 @@ def kruskal_from_sums(sums: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def mann_whitney(df: DataFrame, group: str, value: str, first, by: list[str] = ()) -> DataFrame:
     """Two-group rank test: u of the ``first`` group, z with tie correction, p."""
-    sums = rank_sums(df, group, value, by)
+    sums = level_sums(df, group, value, by)
     n = F.sum("n").cast("double")
     n1 = F.sum(F.when(F.col(group) == first, F.col("n")).otherwise(0)).cast("double")
     d1 = F.sum(F.when(F.col(group) == first, F.col("d_sum")).otherwise(0.0))

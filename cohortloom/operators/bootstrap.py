@@ -11,28 +11,26 @@ the same group merge in one exchange. A metric is a way to update, merge and fin
 (:class:`Metric`): class counts per score value for AUROC and AUPRC, moments for Pearson, or
 whatever a caller hands in.
 
-Metrics on ranks of a continuous outcome (Spearman, concordance) range the rows once by
-outcome. A task streams its range and keeps running totals, so its state holds ranks counted
-from the range's start; what lies before it is added when the ranges' states meet. A value
-tied across ranges is handed on by itself, as totals only.
+Metrics on ranks of a continuous outcome (Spearman, concordance) are the plain ones of
+:mod:`rank_scan`, with a weight per replicate in place of a count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank_scan import BLOCK, Levels, by_group, key_schema, scan
+
 PRIME = 2147483647
 #: Weights that are held at a time (rows times replicates), and bytes of open states.
 WEIGHTS, STATE_BYTES = 4_000_000, 96 << 20
-#: Rows of a range that are worked on together, and replicates that are finished together.
-RANGE_ROWS, BLOCK = 4096, 50
 
 
 def _poisson_limits(count: int = 12) -> list[int]:
@@ -185,19 +183,6 @@ PEARSON = Metric(("_x", "_y"), 6, _moments, _correlation, _merge_moments,
                  ("n", "pearson"))
 
 
-def _key_schema(rows: DataFrame, keys: list[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return "".join(f"`{k}` {types[k]}, " for k in keys)
-
-
-def _by_group(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
-    if not keys:
-        yield (), np.arange(len(pdf))
-        return
-    for key, rows in pdf.groupby(keys, sort=False, dropna=False).indices.items():
-        yield (key if isinstance(key, tuple) else (key,)), rows
-
-
 def _numbers(resamples: int, sample: bool) -> np.ndarray:
     return np.arange(0 if sample else 1, resamples + 1)
 
@@ -219,7 +204,7 @@ def _updates(metric: Metric, keys: list[str], numbers: np.ndarray, seed: int):
                 ids, place = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
                 w = weight_matrix(ids, numbers, seed)
                 columns = {c: pdf[c].to_numpy() for c in metric.columns}
-                for key, rows in _by_group(pdf, keys):
+                for key, rows in by_group(pdf, keys):
                     new = metric.update({c: v[rows] for c, v in columns.items()}, w[place[rows]])
                     states[key] = metric.merge(states[key], new) if key in states else new
                 if len(states) * metric.size * numbers.size * 8 > STATE_BYTES:
@@ -277,12 +262,12 @@ def replicates(df: DataFrame, metric: Metric, row_id: str, resamples: int, seed:
     by, numbers = list(by), _numbers(resamples, sample)
     keys = [*by, *metric.cells]
     rows = df.select(F.col(row_id).cast("bigint").alias("_id"), *keys, *metric.columns).dropna()
-    schema = _key_schema(rows, keys)
+    schema = key_schema(rows, keys)
     states = (rows.repartition(_tasks(df), "_id").sortWithinPartitions("_id").mapInPandas(
         _updates(metric, keys, numbers, seed), f"{schema}state binary"))
     met = states.repartition(*by) if by else states.repartition(1)
     found = (met.sortWithinPartitions(*keys) if keys else met).mapInPandas(
-        _finishes(metric, by, numbers), f"{_key_schema(rows, by)}b int, "
+        _finishes(metric, by, numbers), f"{key_schema(rows, by)}b int, "
         + ", ".join(f"{c} double" for c in metric.outputs))
     # pandas has no NULL for doubles
     return found.select(*by, "b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in metric.outputs])
@@ -314,184 +299,6 @@ def pearson_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: in
 
 # --- ranks ---------------------------------------------------------------------------
 
-#: Vectors of a part: weight, rank sum, rank square sum, pairs, and squared weights of ties
-#: within a level and (on the first level only) over all levels.
-_SUMS = ("w", "first", "second", "pairs", "same_both", "same_y")
-
-
-@dataclass
-class _Group:
-    """Running state of one group in a range: totals so far and sums from the range's start."""
-
-    resamples: int
-    low: float | None = None
-    levels: dict[float, np.ndarray] = field(default_factory=dict)
-
-    def level(self, x: float) -> np.ndarray:
-        if x not in self.levels:
-            self.levels[x] = np.zeros((len(_SUMS), self.resamples))
-        return self.levels[x]
-
-    def totals(self) -> np.ndarray:
-        return sum((v[0] for v in self.levels.values()), np.zeros(self.resamples))
-
-    def add(self, x: np.ndarray, tie: np.ndarray, y: np.ndarray, w: np.ndarray,
-            concordance: bool) -> None:
-        """Rows of whole tied values (``tie`` numbers them), ascending, after all rows so far."""
-        if self.low is None:
-            self.low = float(y[0])
-        starts = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
-        at = np.cumsum(np.r_[True, tie[1:] != tie[:-1]]) - 1
-        tied = np.add.reduceat(w, starts, axis=0)
-        rank = (self.totals() + np.cumsum(tied, axis=0) - (tied - 1) / 2)[at]
-        names, place = np.unique(x, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        first_rows = np.searchsorted(place[order], np.arange(names.size))
-        own = w[order]
-        ranked = own * rank[order]
-        total = np.add.reduceat(own, first_rows, axis=0)
-        first = np.add.reduceat(ranked, first_rows, axis=0)
-        second = np.add.reduceat(ranked * rank[order], first_rows, axis=0)
-        higher_rows = np.zeros_like(tied)
-        for i in range(names.size - 1, -1, -1):
-            sums = self.level(names[i])
-            if concordance:
-                before = sum((v[0] for z, v in self.levels.items() if z > names[i]),
-                             np.zeros(self.resamples))
-                mine = np.add.reduceat(np.where((place == i)[:, None], w, 0.0), starts, axis=0)
-                sums[3] += (mine * (before + np.cumsum(higher_rows, axis=0) - higher_rows)).sum(axis=0)
-                sums[4] += (mine * mine).sum(axis=0)
-                higher_rows += mine
-        for i, name in enumerate(names):
-            self.level(name)[:3] += (total[i], first[i], second[i])
-        self.level(names[0])[5] += (tied * tied).sum(axis=0)
-
-
-def _as_rows(key: tuple, group: _Group, y: float, tied: bool, resamples: int) -> list[tuple]:
-    return [(*key, int(at // BLOCK), y, tied, float(x), sums[:, at:at + BLOCK].tobytes())
-            for x, sums in group.levels.items() for at in range(0, resamples, BLOCK)]
-
-
-def _ranges(by: list[str], numbers: np.ndarray, seed: int, concordance: bool):
-    """Rows of one range, sorted by outcome, to the parts of each group.
-
-    A group's first and last tied value go out as parts of their own, since they may go on
-    in the neighbouring ranges; the last one is held as totals while rows still come in.
-    """
-    names = [*by, "_block", "_place", "_tied", "_x", "state"]
-    resamples = numbers.size
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inner: dict[tuple, _Group] = {}
-        open_ties: dict[tuple, tuple[float, _Group, bool]] = {}
-
-        def close(key: tuple) -> list[tuple]:
-            """A tied value has ended: a part of its own if it was the first, else an inner one."""
-            y, totals, was_first = open_ties.pop(key)
-            if was_first:
-                return _as_rows(key, totals, y, True, resamples)
-            group = inner.setdefault(key, _Group(resamples))
-            xs = np.array(sorted(totals.levels))
-            w = np.stack([totals.levels[x][0] for x in xs])
-            group.add(xs, np.zeros(xs.size, int), np.full(xs.size, y), w, concordance)
-            return []
-
-        for whole in frames:
-            for lo in range(0, len(whole), RANGE_ROWS):
-                pdf = whole.iloc[lo:lo + RANGE_ROWS]
-                ids, place = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
-                xs, ys = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
-                out: list[tuple] = []
-                weights = weight_matrix(ids, numbers, seed)
-                for key, rows in _by_group(pdf, by):
-                    rows = np.sort(rows)  # ascending by outcome, as they came
-                    x, y, w = xs[rows], ys[rows], weights[place[rows]]
-                    values, tie = np.unique(y, return_inverse=True)
-                    ends = np.searchsorted(tie, np.arange(values.size), "right")
-                    begin, done = 0, 0
-                    fresh = key not in open_ties and key not in inner
-                    if key in open_ties and open_ties[key][0] == values[0]:
-                        begin, done = ends[0], 1
-                        _add_totals(open_ties[key][1], x[:begin], w[:begin])
-                    if done == values.size:
-                        continue
-                    if key in open_ties:
-                        out += close(key)
-                    if fresh and values.size > 1:
-                        totals = _Group(resamples)
-                        _add_totals(totals, x[:ends[0]], w[:ends[0]])
-                        out += _as_rows(key, totals, float(values[0]), True, resamples)
-                        begin, done = ends[0], 1
-                    last = ends[-2] if values.size > 1 else 0
-                    if last > begin:
-                        group = inner.setdefault(key, _Group(resamples))
-                        group.add(x[begin:last], tie[begin:last], y[begin:last], w[begin:last],
-                                  concordance)
-                    totals = _Group(resamples)
-                    _add_totals(totals, x[last:], w[last:])
-                    open_ties[key] = float(values[-1]), totals, fresh and values.size == 1
-                if out:
-                    yield pd.DataFrame(out, columns=names)
-        out = []
-        for key, (y, totals, _) in open_ties.items():
-            out += _as_rows(key, totals, y, True, resamples)
-        for key, group in inner.items():
-            out += _as_rows(key, group, group.low, False, resamples)
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return run
-
-
-def _add_totals(group: _Group, x: np.ndarray, w: np.ndarray) -> None:
-    for name in np.unique(x):
-        group.level(name)[0] += w[x == name].sum(axis=0)
-
-
-def _rank_metrics(pdf: pd.DataFrame, by: list[str], start: int, concordance: bool) -> pd.DataFrame:
-    """All parts of a group and block of replicates to the metrics of each replicate."""
-    levels, x = np.unique(pdf["_x"].to_numpy(), return_inverse=True)
-    # parts in order of outcome; equal tied values are one part
-    keys = list(zip(pdf["_place"], ~pdf["_tied"], strict=True))
-    names = sorted(set(keys))
-    part = np.array([{k: i for i, k in enumerate(names)}[k] for k in keys])
-    vectors = np.stack([np.frombuffer(s).reshape(len(_SUMS), -1) for s in pdf["state"]])
-    width = vectors.shape[2]
-    sums = np.zeros((len(_SUMS), len(names), levels.size, width))
-    for k in range(len(_SUMS)):
-        np.add.at(sums[k], (part, x), vectors[:, k])
-    w, first, second, pairs, same_both, same_y = sums
-    whole = w.sum(axis=1)
-    tied = np.array([not inner for _, inner in names])[:, None, None]
-    middle = (whole[:, None] + 1) / 2  # every row of a tied value has its mean rank
-    first = np.where(tied, w * middle, first)
-    second = np.where(tied, w * middle * middle, second)
-    tied_y = np.where(tied[:, 0], whole * whole, same_y.sum(axis=1)).sum(axis=0)
-    tied_both = np.where(tied, w * w, same_both).sum(axis=(0, 1))
-    n = whole.sum(axis=0)
-    shift = (np.cumsum(whole, axis=0) - whole - (n + 1) / 2)[:, None]
-    d_sum = (first + w * shift).sum(axis=0)
-    d_square = (second + 2 * shift * first + w * shift * shift).sum(axis=(0, 1))
-    size = w.sum(axis=0)
-    rank = np.cumsum(size, axis=0) - (size - 1) / 2 - (n + 1) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = (size * rank * rank).sum(axis=0) * d_square
-        rho = np.where(spread > 0, (rank * d_sum).sum(axis=0) / np.sqrt(spread), np.nan)
-        out = {"b": int(pdf["_block"].iloc[0]) * BLOCK + np.arange(start, start + width), "n": n,
-               "spearman": rho}
-        if concordance:
-            below = np.cumsum(w, axis=0) - w  # per part and level: weight in earlier parts
-            higher = below.sum(axis=1, keepdims=True) - np.cumsum(below, axis=1)
-            ordered = pairs.sum(axis=(0, 1)) + (w * higher).sum(axis=(0, 1))
-            permissible = (n * n - tied_y) / 2
-            ties = ((size * size).sum(axis=0) - tied_both) / 2
-            out["c_index"] = np.where(permissible > 0, (ordered + ties / 2) / permissible, np.nan)
-    frame = pd.DataFrame(out)
-    for c in by:
-        frame[c] = pdf[c].iloc[0]
-    return frame[[*by, *out]]
-
-
 def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int, seed: int,
                     by: list[str] = (), concordance: bool = False, sample: bool = False) -> DataFrame:
     """by, b, n, spearman (and c_index, high ``x`` with low ``y``): rank metrics of every replicate.
@@ -504,14 +311,26 @@ def rank_replicates(df: DataFrame, row_id: str, x: str, y: str, resamples: int,
     rows = df.dropna(subset=[*by, x, y]).select(
         *by, F.col(row_id).cast("bigint").alias("_id"), F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"))
-    keys = _key_schema(rows, by)
-    dealt = rows.repartitionByRange(_tasks(df), "_y", "_id").sortWithinPartitions("_y", "_id")
-    parts = dealt.mapInPandas(
-        _ranges(by, numbers, seed, concordance),
-        f"{keys}_block int, _place double, _tied boolean, _x double, state binary")
+
+    def weigh(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, place = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
+        return place, weight_matrix(ids, numbers, seed)
+
     metrics = ["n", "spearman", "c_index"] if concordance else ["n", "spearman"]
     start = int(numbers[0])
-    found = parts.groupBy(*by, "_block").applyInPandas(
-        lambda pdf: _rank_metrics(pdf, by, start, concordance),
-        f"{keys}b int, " + ", ".join(f"{m} double" for m in metrics))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = Levels.of(pdf)
+        at = int(pdf["_block"].iloc[0]) * BLOCK + start
+        out = pd.DataFrame({"b": np.arange(at, at + levels.n.size), "n": levels.n,
+                            "spearman": levels.spearman()})
+        if concordance:
+            out["c_index"] = levels.c_index()
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "b", *metrics]]
+
+    found = scan(rows, by, "_id", weigh, numbers.size, concordance).groupBy(
+        *by, "_block").applyInPandas(
+        finish, f"{key_schema(rows, by)}b int, " + ", ".join(f"{m} double" for m in metrics))
     return found.select(*by, "b", *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in metrics])

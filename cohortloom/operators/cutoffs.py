@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .association import chi_square_cells, kruskal_from_sums, rank_sums
+from .association import chi_square_cells, kruskal_from_sums
+from .rank_scan import level_sums
 from .ranks import quantiles
 from .roc import score_histogram
 
@@ -58,7 +59,7 @@ def chi2_candidates(df: DataFrame, score: str, event: str,
 def kruskal_candidates(df: DataFrame, score: str, outcome: str,
                        grid: list[tuple[int, int]], min_group: int = 10) -> DataFrame:
     """Rank statistic of every candidate whose three groups exceed ``min_group``."""
-    levels = rank_sums(df, score, outcome)
+    levels = level_sums(df, score, outcome)
     bands = with_candidates(levels, score, grid).groupBy("low", "high", "band").agg(
         F.sum("n").alias("n"), F.sum("d_sum").alias("d_sum"),
         F.sum("tie_term").alias("tie_term"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import tails
 from cohortloom.operators import association as assoc
 from cohortloom.operators import bootstrap as boot
-from cohortloom.operators import cutoffs, ranks, roc
+from cohortloom.operators import cutoffs, rank_scan, ranks, roc
 from cohortloom.operators.ranks import histogram, prefix_sums
 
 
@@ -138,7 +138,7 @@ def test_weights_are_poisson():
 @pytest.mark.parametrize("tasks", ["1", "5"])
 def test_rank_replicates_equal_brute_force(spark, df, data, monkeypatch, rows, tasks):
     """Also with pieces far smaller than the tied third of all rows, in one range or many."""
-    monkeypatch.setattr(boot, "RANGE_ROWS", rows)
+    monkeypatch.setattr(rank_scan, "RANGE_ROWS", rows)
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", tasks)
     try:
