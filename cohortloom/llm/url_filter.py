@@ -3,16 +3,15 @@
 A model of accepted and one of rejected URLs are exact counts of all contexts up to
 ``ORDER`` bytes, kept as a table that grows with the input: the bytes themselves are the key.
 A character's score depends on the ``ORDER + 1`` bytes up to it alone, so distinct windows of
-that width are scored once and joined with the URLs that have them. Each order's estimate is smoothed towards the next lower one, so a
-context that was never seen leaves the shorter one in force. Counts cover every URL that a
-rule decides, apart from a fifth by hash; on that fifth the threshold of the mean
-log-likelihood difference per character is calibrated.
+that width are scored once and joined with the URLs that have them. Each order's estimate is
+smoothed towards the next lower one, so a context that was never seen leaves the shorter one in
+force. Counts cover every URL that a rule decides, apart from a fifth by hash; on that fifth the
+threshold of the mean log-likelihood difference per character is calibrated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,6 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"),
 ORDER = 5
 #: A window in more than one in this many places is hot.
 HOT = 2000
-#: Hashed counters per class of ``Markov``, the small in-memory form of the models.
-SLOTS_LOG2 = 18
 #: Strength of the next lower order, and the alphabet of the lowest.
 PRIOR, ALPHABET = 2.0, 256.0
 #: Calibration bins over the log-likelihood difference per character.
@@ -58,54 +55,6 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def grams(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counter slots of every character: contexts (ORDER + 1, n), with character, owner."""
-    flat, offsets = flat_text(urls)
-    n = len(offsets) - 1
-    sizes = np.diff(offsets)
-    width = ORDER + 1
-    owner = np.repeat(np.arange(n), sizes + width)
-    ends = np.cumsum(sizes + width)
-    data = np.full(owner.size, _START, np.uint8)
-    data[ends - 1] = _END
-    inside = np.arange(flat.size) + np.repeat(np.arange(n) * width + ORDER, sizes)
-    data[inside] = flat
-    scored = np.arange(owner.size) - (ends - sizes - width)[owner] >= ORDER
-    at = np.flatnonzero(scored)
-    contexts, joined = [], []
-    state = np.zeros(at.size, np.uint64)
-    for order in range(width):
-        if order:
-            state = state * np.uint64(257) + data[at - order] + np.uint64(1)
-        for out, key in ((contexts, state), (joined, state * np.uint64(257) + data[at] + np.uint64(7))):
-            mixed = (key * np.uint64(2) + np.uint64(out is joined)) * np.uint64(16) + np.uint64(order)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                        >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64))
-    return np.stack(contexts), np.stack(joined), owner[at]
-
-
-@dataclass
-class Markov:
-    """Counts (2, slots): rejected, accepted. For few URLs; the query does not use it."""
-
-    counts: np.ndarray
-
-    def score(self, urls: pa.Array) -> np.ndarray:
-        """Mean log-likelihood difference per character, accepted minus rejected."""
-        contexts, joined, owner = grams(urls)
-        logs = []
-        for table in self.counts:
-            p = np.full(owner.size, 1 / ALPHABET)
-            for context, gram in zip(contexts, joined, strict=True):
-                total = table[context]
-                p = (np.minimum(table[gram], total) + PRIOR * p) / (total + PRIOR)
-            logs.append(np.log(p))
-        n = len(urls)
-        lengths = np.bincount(owner, minlength=n)
-        return np.bincount(owner, logs[1] - logs[0], n) / np.maximum(lengths, 1)
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(url_no, window, times): the ``ORDER + 1`` bytes up to every character, as one number."""
     width = ORDER + 1
@@ -167,7 +116,9 @@ def score_urls(urls: DataFrame) -> DataFrame:
     more than one in ``HOT`` of all places, of which there are fewer than ``HOT``, are broadcast;
     the others are joined by key.
     """
-    places = stored(urls.select("url_no", "url").mapInArrow(
+    # a small checkpoint may be one partition: deal the URLs out before the heavy step
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = stored(urls.select("url_no", "url").repartition(tasks, "url_no").mapInArrow(
         _windows, "url_no long, window long, times long"))
     weights = urls.select("url_no", *[
         F.when(F.col("counted") & (F.col("verdict") == verdict), F.col("times")).otherwise(0)
@@ -215,8 +166,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 
     The longest rule that fits decides; without one, ``llr`` (mean log-likelihood difference
     per character) is held against ``threshold``, from which on a URL is allowed. A null URL
-    or one without ``://`` has empty host and path, no rule, and a null one scores 0. Repeated
-    rows give repeated rows, an empty table gives an empty result, further columns are ignored.
+    or one without ``://`` has empty host and path, no rule, and a null one scores 0; rules of
+    equal length do not fit the same URL. Very long URLs are read whole. Repeated rows give
+    repeated rows, an empty table gives an empty result, further columns are ignored.
     """
     prepare(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
@@ -231,7 +183,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     scored = stored(urls.join(score_urls(urls), "url_no").select(
         "url", "llr", "verdict", "times", fifth.alias("held")))
     cut = threshold(scored.filter("held and verdict is not null"))
-    judged = rows.join(scored.select("url", "llr"), "url", "left").withColumn(
+    # null URLs meet nothing; a salt keeps them from meeting in one task
+    salt = F.when(F.col("url").isNull(), F.monotonically_increasing_id() % 4096).otherwise(0)
+    found = scored.select("url", "llr", F.lit(0).cast("long").alias("salt"))
+    judged = rows.withColumn("salt", salt.cast("long")).join(found, ["url", "salt"], "left").withColumn(
         "llr", F.coalesce("llr", F.lit(0.0)))
     return judged.select(
         "page_id", "host", "path", "rule",

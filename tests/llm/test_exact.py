@@ -564,42 +564,9 @@ def test_url_scores_are_exact_with_many_contexts(spark):
         assert r.llr == pytest.approx(total / (len(data) - width), abs=1e-9)
 
 
-def test_markov_scores_match_plain_counts(monkeypatch):
-    good = ["http://good.org/a/b", "http://good.org/c", "http://fine.org/a"] * 4
-    bad = ["http://bad.biz/z/z", "http://worse.biz/qq"] * 4
-    counts = np.zeros((2, 1 << url_filter.SLOTS_LOG2), np.float32)
-    plain = [defaultdict(int), defaultdict(int)]
-    width = url_filter.ORDER
-
-    def pad(url):
-        return [2] * width + list(url.encode()) + [3]
-
-    for kind, urls in enumerate((bad, good)):
-        contexts, joined, _ = url_filter.grams(pa.array(urls))
-        for slots in (*contexts, *joined):
-            np.add.at(counts[kind], slots, 1)
-        for url in urls:
-            data = pad(url)
-            for i in range(width, len(data)):
-                for order in range(width + 1):
-                    plain[kind][tuple(data[i - order:i])] += 1
-                    plain[kind][tuple(data[i - order:i]), data[i]] += 1
-    model = url_filter.Markov(counts)
-    queries = ["http://good.org/x", "http://bad.biz/z", "", "ü"]
-    for url, got in zip(queries, model.score(pa.array(queries)), strict=True):
-        data, total = pad(url), 0.0
-        for i in range(width, len(data)):
-            logs = []
-            for table in plain:
-                p = 1 / url_filter.ALPHABET
-                for order in range(width + 1):
-                    seen = table[tuple(data[i - order:i])]
-                    p = (table[tuple(data[i - order:i]), data[i]] + url_filter.PRIOR * p) / (
-                        seen + url_filter.PRIOR)
-                logs.append(np.log(p))
-            total += logs[1] - logs[0]
-        assert got == pytest.approx(total / (len(data) - width), abs=1e-3)
-    assert model.score(pa.array(["http://good.org/a", "http://bad.biz/q"])).tolist()[0] > 0
+def test_set_of_repeated_digests_grows_with_them():
+    assert [exact_dedup.bitmap_bits(n) for n in (0, 1000, 10**6, 10**7)] == [15, 15, 24, 28]
+    assert exact_dedup.bitmap_bits(10**9) == exact_dedup.MOST_BITS
 
 
 def test_segment_totals_skip_what_they_do_not_read():
