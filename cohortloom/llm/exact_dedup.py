@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import flat_text, prepare, stored, text_blocks
 
-#: Bits of the set of repeated digests that tasks get (4 MB whatever the input).
-BITMAP_BITS = 25
+#: Places of the set of repeated digests per digest in it, and its largest size (log 2 of bits:
+#: 64 MB). Beyond that more chunks are moved than needed; the result stays the same.
+PLACES, MOST_BITS = 16, 29
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,14 @@ def _contents(how: Chunking, bitmap: np.ndarray, keyed: bool):
     return run
 
 
-def _bitmap(digests: DataFrame, bits: int) -> np.ndarray:
-    """Bit set of digests modulo 2**bits; its size depends on ``bits`` alone."""
+def bitmap_bits(count: int) -> int:
+    """Size (log 2 of bits) of the set for ``count`` digests."""
+    return min(MOST_BITS, max(15, (PLACES * count).bit_length()))
+
+
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """Bit set of stored digests modulo its size, which grows with their number."""
+    bits = bitmap_bits(digests.count())
     parts = (digests.select(F.expr(f"(digest & {(1 << bits) - 1}) + 1").alias("place"))
              .groupBy(F.expr("bitmap_bucket_number(place)").alias("part"))
              .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("set")))
@@ -147,9 +154,9 @@ def chunk_recipes(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
     rows = stored(
         texts.mapInArrow(_recipes(how), "doc_id long, text_sha256 string, recipe array<long>")
         .withColumn("row_no", F.monotonically_increasing_id()))
-    repeated = (rows.select(F.explode("recipe").alias("digest")).groupBy("digest")
-                .count().filter("count > 1"))
-    contents = (texts.mapInArrow(_contents(how, _bitmap(repeated, BITMAP_BITS), False),
+    repeated = stored(rows.select(F.explode("recipe").alias("digest")).groupBy("digest")
+                      .count().filter("count > 1").select("digest"))
+    contents = (texts.mapInArrow(_contents(how, _bitmap(repeated), False),
                                  "digest long, chunk binary")
                 .groupBy("digest", "chunk").agg(F.lit(1).alias("one")))
     shared = stored(contents.groupBy("digest").count().filter("count > 1").select("digest"))
@@ -157,7 +164,7 @@ def chunk_recipes(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
     if shared.isEmpty():  # every identifier stands for one content
         return rows.withColumn("variants", none)
     again = texts.mapInArrow(
-        _contents(how, _bitmap(shared, BITMAP_BITS), True),
+        _contents(how, _bitmap(shared), True),
         "digest long, chunk binary, doc_id long, text_sha256 string, place int")
     again = again.join(shared, "digest", "left_semi")
     order = Window.partitionBy("digest").orderBy("chunk")
@@ -178,8 +185,8 @@ def exact_groups(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
 
     Null text counts as empty and empty texts are one group. Of equal texts the row with the
     largest doc_id stays (null ids are smallest); of repeated rows with that id exactly one
-    is ``kept``. An empty table gives an empty result; further columns are ignored, whatever
-    their names.
+    is ``kept``. Very long texts are cut into chunks like any other and read whole. An empty
+    table gives an empty result; further columns are ignored, whatever their names.
     """
     rows = chunk_recipes(docs, how)
     rows = rows.withColumn("key", F.xxhash64("recipe", "variants"))
