@@ -280,8 +280,8 @@ def confident_documents(docs: DataFrame, labelled: DataFrame, names: Names
             "row_key long, doc_id long, source string, view int, value int, sure double"))
         free = sure.join(labelled, "doc_id", "left_anti").dropDuplicates(["row_key", "view"])
         source = Window.partitionBy("view", "value", "source").orderBy(F.desc("sure"), "row_key")
-        ranked = free.withColumn("place", F.row_number().over(source)).filter(
-            F.col("place") <= PER_ROUND)
+        ranked = stored(free.withColumn("place", F.row_number().over(source)).filter(
+            F.col("place") <= PER_ROUND))
         picks = [ranked.filter((F.col("view") == view) & (F.col("value") == value)).orderBy(
             "place", F.desc("sure"), "row_key").limit(most[value])
             for view in (0, 1) for value in (0, 1)]
