@@ -295,8 +295,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     The network learns from text and non-null lang of rows that are not held out. A null
     text, or one without a letter, is ``und`` with score 0; so is every text if there is
-    nothing to learn from. Rows stay in place; repeated rows give repeated rows, an empty
-    table gives an empty result, further columns are ignored.
+    nothing to learn from. Very long texts are labelled at every position, window by window;
+    of equally probable languages the first by name is predicted. Rows stay in place; repeated
+    rows give repeated rows, an empty table gives an empty result, further columns are ignored.
     """
     prepare(docs.sparkSession)
     rows = docs.select(

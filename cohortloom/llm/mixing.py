@@ -92,8 +92,9 @@ def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int =
     reruns agree and repeated rows are interchangeable. Every document is taken as often as
     the target holds whole rounds of its source, and once more while the last, partial round
     has not yet reached its middle; the source's sum misses the target by half a document at
-    most. A source without words takes nothing. An empty table gives an empty result; further
-    columns are ignored.
+    most. A source without words takes nothing; null sources are one source, the last. Very
+    long texts count all their words. An empty table gives an empty result; further columns
+    are ignored.
     """
     prepare(docs.sparkSession)
     digest = text_sha()

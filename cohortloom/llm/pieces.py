@@ -349,7 +349,8 @@ def encode_documents(docs: DataFrame, model: bytes, full: bool = False) -> DataF
 
     ``full`` adds the ids and the decoded text. Null text is empty and has no ids. Rows stay
     in place (no shuffle); repeated rows give repeated rows, null ids stay null, an empty
-    table gives an empty result, further columns are ignored.
+    table gives an empty result, further columns are ignored. Very long texts are encoded
+    whole; of merges of equal rank the leftmost goes first.
     """
     prepare(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

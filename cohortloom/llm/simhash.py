@@ -202,8 +202,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, bits: int = 4,
     Null and wordless texts have fingerprint zero, which links like any other. Null ids never
     are component ids unless a component has no other (then it is null). Components that share
     a smallest doc_id, or have none, share the component id; ``component_heads`` tells them
-    apart. Repeated rows share a fingerprint. An empty table gives an empty result; further
-    columns are ignored.
+    apart. Repeated rows share a fingerprint; a bit set in exactly half the shingles is 0. Very
+    long texts are read whole. An empty table gives an empty result; further columns are
+    ignored.
     """
     prepare(docs.sparkSession)
     rows = fingerprints(docs, shingle)

@@ -236,7 +236,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
     first as many (or all) of the next document in ascending doc_id order; after the last
     document comes the first. Null text is empty, null ids come first, equal ids are ordered
     by text. Documents are dealt into id ranges once; each range ends with a copy of the row
-    after it. An empty table gives an empty result; further columns are ignored.
+    after it. Very long texts are read whole. An empty table gives an empty result; repeated
+    rows stay, equal hashes count once; further columns are ignored.
     """
     prepare(docs.sparkSession)
     return by_id_range(docs, closing=True).mapInArrow(_edited_rows(k, shingle), _RESULT)

@@ -409,8 +409,8 @@ def token_files(docs: DataFrame, model: bytes, end_id: int = 2) -> DataFrame:
     """Write every text's ids, read the files back, one row per row of ``docs``.
 
     Null text is empty and has the end id alone; null ids come first; equal ids are in text
-    order. An empty table writes no segment and gives an empty result; further columns are
-    ignored.
+    order, repeated rows one after the other. A very long text makes a long segment. An empty
+    table writes no segment and gives an empty result; further columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortloom.llm import (exact_dedup, language_id, licenses, mixing, pieces, quality, registry,
                             simhash, sketches, stages, token_files, url_filter)
 
@@ -112,3 +113,29 @@ def test_stages_keep_the_columns(spark, stage):
 def test_lone_mixture_takes_everything(spark):
     found = OPERATORS["op9"](spark, frame(spark, ROWS[:1])).first()
     assert (found.size, found.taken, found.target, found.position) == (13, 13, 13.0, 0.0)
+
+
+def test_quality_and_encode_stages(spark, tmp_path):
+    """Odd rows, no rows and clashing names; the labels too have columns of their own."""
+    clashing = labels(spark).select("*", *[F.lit(1).alias(c) for c in ("row_key", "text", "label", "view")])
+    clashing.write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (ROWS, []):
+        found = stages.quality(spark, frame(spark, rows), str(tmp_path))
+        assert tuple(found.columns) == stages.COLUMNS
+        kept = [r.doc_id for r in found.collect()]
+        assert set(kept) <= {r[0] for r in rows} and (kept.count(2) in (0, 2))
+        encoded = stages.encode(spark, frame(spark, rows), "").collect()
+        assert sorted(str(r.doc_id) for r in encoded) == sorted(str(r[0]) for r in rows)
+    empty = [r for r in stages.encode(spark, frame(spark, ROWS), "").collect() if r.doc_id in (3, 4)]
+    assert {r.n_tokens for r in empty} == {0}
+
+
+@pytest.mark.parametrize("rows", [ROWS, ROWS[3:5], []])
+def test_whole_pipeline_on_odd_tables(spark, tmp_path, rows):
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark).select("*", F.lit("clash").alias("text")).write.parquet(str(tmp_path / "labels.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} <= {r[0] for r in rows}
+    texts = {r[1] for r in rows if r[1] and r[1].split()}
+    assert bool(found) == bool(texts)
+    assert all(r.n_tokens > 0 for r in found)
