@@ -608,19 +608,24 @@ def reference_values(spark) -> DataFrame:
         "auroc_q25 double, auroc_dr double")
 
 
-def literature_delta(df: DataFrame) -> DataFrame:
-    """Published values against this cohort's, difference in percent of magnitude."""
+def cohort_comparators(df: DataFrame) -> DataFrame:
+    """metric, here: this cohort's value of every published metric."""
     cohort = labelled_efficiency(df)
     stays = df.filter(F.col("icu_stay_ge_24h") == 1)
 
     def one(frame: DataFrame, column: str, metric: str) -> DataFrame:
         return frame.select(F.lit(metric).alias("metric"), F.col(column).alias("here"))
 
-    here = union([
+    return union([
         one(assoc.pearson(cohort, SCORE, EFF24), "r", "pearson_r"),
         one(discrimination(cohort, SCORE, "low_q20"), "auroc", "auroc_q20"),
         one(discrimination(cohort, SCORE, "low_q25"), "auroc", "auroc_q25"),
         one(discrimination(stays, SCORE, "diuretic_resistance"), "auroc", "auroc_dr")])
+
+
+def literature_delta(df: DataFrame) -> DataFrame:
+    """Published values against this cohort's, difference in percent of magnitude."""
+    here = cohort_comparators(df)
     published = unpivot(reference_values(df.sparkSession), ["population"],
                         ["pearson_r", "auroc_q20", "auroc_q25", "auroc_dr"], "double",
                         "metric", "published").dropna()

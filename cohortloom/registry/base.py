@@ -14,7 +14,7 @@ from ..plans.cutoffs import add_efficiency_labels
 from ..plans.funnel import Funnel, cohort_funnel
 from ..plans.outcomes import add_risk_category, enrich_outcomes
 from ..session import TableStore, tune
-from ..sources.overlay import VIEWS, overlay_sources, with_clause
+from ..sources.overlay import BASE_TABLES, VIEWS, overlay_sources, with_clause
 from .oracle_views import COHORT_VIEWS
 
 DIGITS = 6
@@ -26,8 +26,8 @@ P_COLUMNS = {"p", "normal", "chi2_1", "chi2_2", "chi2_3", "t_100", "f_2_60"}
 class Data:
     """Lazy access to the source tables and the stored study tables of one folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = tune(spark), sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, key: str = "0"):
+        self.spark, self.sf_dir, self.key = tune(spark), sf_dir, key
         self.src = overlay_sources(spark, sf_dir)
 
     def table(self, name: str, *columns: str) -> DataFrame:
@@ -91,11 +91,22 @@ class Data:
 _DATA: dict[tuple[str, str], Data] = {}
 
 
+def sources_key(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the source files' names, sizes and times; their content is not read."""
+    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in BASE_TABLES]
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+             .select(F.xxhash64("path", "length", "modificationTime").alias("h")))
+    row = files.agg(F.count("h").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    return f"{row.n}_{int(row.s or 0) % 2**64:016x}"
+
+
 def data_for(spark: SparkSession, sf_dir: str) -> Data:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DATA:
-        _DATA[key] = Data(spark, sf_dir)
-    return _DATA[key]
+    """The data of a folder. Stored study tables are kept while its source files stay the same;
+    files that have changed give new tables, and those of before expire."""
+    place, key = (spark.sparkContext.applicationId, sf_dir), sources_key(spark, sf_dir)
+    if place not in _DATA or _DATA[place].key != key:
+        _DATA[place] = Data(spark, sf_dir, key)
+    return _DATA[place]
 
 
 def is_probability(name: str) -> bool:

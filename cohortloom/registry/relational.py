@@ -59,8 +59,11 @@ def materialize_step(d: Data) -> DataFrame:
 
 @query("replace_columns", f"SELECT stay_id, {sql_columns(config.OUTCOME_COLUMNS)} FROM final")
 def replace_columns(d: Data) -> DataFrame:
-    new = outcomes.outcome_columns(d.src, d.wide)
-    return sinks.replace_columns(d.wide, new, "stay_id").select(
+    """The stored table is replaced by a query that reads it, and read back."""
+    table = sinks.Versions(d.spark, f"enriched_{d.key}")
+    table.write(d.wide)
+    new = outcomes.outcome_columns(d.src, table.read())
+    return table.write(sinks.replace_columns(table.read(), new, "stay_id")).select(
         "stay_id", *config.OUTCOME_COLUMNS)
 
 
@@ -488,9 +491,14 @@ def funnel_counts(d: Data) -> DataFrame:
     return funnel.funnel_counts(d.steps)
 
 
-@query("ordered_report", FUNNEL_SQL)
+@query("ordered_report", f"SELECT *, row_number() OVER (ORDER BY n_remaining DESC, step_no) AS position "
+       f"FROM ({FUNNEL_SQL})")
 def ordered_report(d: Data) -> DataFrame:
-    return funnel.funnel_counts(funnel.cohort_funnel(d.src))
+    """The report in its order, which is compared as a column: the place each row comes out at."""
+    report = funnel.funnel_counts(funnel.cohort_funnel(d.src))
+    # one task reads the seven ordered rows one after the other
+    return report.coalesce(1).select(
+        "*", (F.monotonically_increasing_id() + 1).cast("bigint").alias("position"))
 
 
 @query("cohort_overview", f"""SELECT count(*) AS rows, count(DISTINCT subject_id) AS subjects,

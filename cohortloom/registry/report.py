@@ -111,12 +111,21 @@ _REFERENCE = " UNION ALL ".join(
     for name, n, *values in config.COMPARATORS)
 
 
-@query("reference_values", f"SELECT r.*, m.n AS n_here FROM ({_REFERENCE}) r CROSS JOIN "
-       "(SELECT count(*) AS n FROM final) m")
+_METRICS = ("pearson_r", "auroc_q20", "auroc_q25", "auroc_dr")
+_HERE_WIDE = ", ".join(f"max(here) FILTER (WHERE metric = '{m}') AS {m}_here" for m in _METRICS)
+
+
+@query("reference_values", f"SELECT r.*, m.n AS n_here, {', '.join(r6(f'{m}_here', f'{m}_here') for m in _METRICS)} "
+       f"FROM ({_REFERENCE}) r CROSS JOIN (SELECT count(*) AS n FROM final) m "
+       f"CROSS JOIN (SELECT {_HERE_WIDE} FROM ({stats._HERE})) h")
 def reference_values(d: Data) -> DataFrame:
-    """Published comparators beside the size of this cohort."""
+    """Published comparators beside the size and the metrics of this cohort."""
     here = d.analysis.agg(F.count("*").alias("n"))
-    return val.reference_values(d.spark).withColumn("n_here", here.scalar())
+    metrics = val.cohort_comparators(d.analysis).agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("here"))).alias(f"{m}_here") for m in _METRICS])
+    packed = metrics.select(F.struct("*").alias("m")).scalar()
+    return val.reference_values(d.spark).withColumn("n_here", here.scalar()).withColumn(
+        "_m", packed).select("*", "_m.*").drop("_m")
 
 
 @query("plot_feed_distribution", "SELECT total_score, risk_category, hospital_expire_flag FROM final")

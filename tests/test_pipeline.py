@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom import config
 from cohortloom.operators import joins
 from cohortloom.plans import admission_features, funnel
+from cohortloom.registry import base, relational, report  # noqa: F401
 from cohortloom.registry.base import data_for
 from cohortloom.session import TableStore, shared_dir
 from cohortloom.sources import sinks
@@ -179,3 +180,44 @@ def test_event_scan_is_pruned_and_filtered(spark, tmp_path):
     plan = funnel.step6(stays, src)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "ReadSchema" in line)
     assert "In(itemid" in scan and "extra" not in scan and "amount" not in scan
+
+
+def test_versions_replace_a_table_that_is_read(spark):
+    table = sinks.Versions(spark, "kept")
+    for number in list(table.numbers()):
+        spark.sql(f"DROP TABLE {table.database}.{table.numbers()[number]}")
+    first = table.write(spark.range(3).selectExpr("id", "id * 2 AS a"))
+    start = table.current()
+    second = table.write(table.read().selectExpr("id", "a + 1 AS a", "id AS b"))
+    assert [tuple(r) for r in second.orderBy("id").collect()] == [(0, 1, 0), (1, 3, 1), (2, 5, 2)]
+    assert [tuple(r) for r in first.orderBy("id").collect()] == [(0, 0), (1, 2), (2, 4)]
+    broken = table.read().withColumn("a", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        table.write(broken)
+    assert table.current() == start + 1 and table.read().count() == 3
+    for _ in range(3):
+        table.write(table.read().withColumn("a", F.col("a") + 1))
+    assert len(table.numbers()) == 2 and table.current() == max(table.numbers())
+    assert table.read().agg(F.sum("a")).first()[0] == 1 + 3 + 5 + 9
+    assert table.read(min(table.numbers())).agg(F.sum("a")).first()[0] == 1 + 3 + 5 + 6
+
+
+def test_changed_sources_are_read_again(spark, tmp_path):
+    import shutil
+
+    from cohortloom.sources.overlay import BASE_TABLES
+
+    folder = str(tmp_path / "tables")
+    os.mkdir(folder)
+    for name in BASE_TABLES:
+        shutil.copy(f"{FOLDER}/{name}.parquet", folder)
+    before = base.data_for(spark, folder)
+    assert base.data_for(spark, folder) is before
+    rows = base.QUERIES["load_cohort"](spark, folder).count()
+    name = "events" if "events" in BASE_TABLES else BASE_TABLES[0]
+    less = spark.read.parquet(f"{FOLDER}/{name}.parquet").toPandas().head(40)
+    less.to_parquet(f"{folder}/{name}.parquet")
+    after = base.data_for(spark, folder)
+    assert after is not before and after.key != before.key
+    assert after.table is not None and base.QUERIES["load_cohort"](spark, folder).count() <= rows
+    assert list(k for k in base._DATA if k[1] == folder) == [(spark.sparkContext.applicationId, folder)]
