@@ -26,13 +26,19 @@ STIRLING_FROM = 50.0
 
 def _steps(size: str) -> str:
     """Iterations: convergence takes on the order of the square root of the size."""
-    return f"sequence(1, cast(ceil(60 + 6 * sqrt({size})) AS INT))"
+    return f"sequence(1, cast(ceil(60 + 6 * sqrt(greatest(nanvl({size}, 0D), 0D))) AS INT))"
 
 
 def _guard(x: str) -> str:
     return f"if(abs({x}) < {TINY}, {TINY}, {x})"
 
 
+def _positive(x: str) -> str:
+    """``x``, or NULL where it is no size: arguments are worked out even where a caller's
+    condition then takes another branch, and must not fail there."""
+    return f"if({x} > 0, {x}, NULL)"
+
+
 def _bind(body: str, name: str, **values: str) -> str:
     """``body`` of ``name``'s fields, each evaluated once (a one-element transform)."""
     fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
@@ -69,7 +75,8 @@ FUNCTIONS = {
         f"if(large >= {STIRLING_FROM}D, (large - 0.5D) * log1p(small / large) + small * ln(large + small) "
         f"- small + {_stirling('(large + small)')} - {_stirling('large')}, "
         "loom_log_gamma(large + small) - loom_log_gamma(large)) - loom_log_gamma(small)"),
-    "loom_gamma_quotient": ("a, b", "loom_sorted_quotient(greatest(a, b), least(a, b))"),
+    "loom_gamma_quotient": ("a, b", f"loom_sorted_quotient({_positive('greatest(a, b)')}, "
+                                    f"{_positive('least(a, b)')})"),
     # regularized upper incomplete gamma: a series for small x, a continued fraction for large
     "loom_gamma_part": (
         "a, x, front",
@@ -77,7 +84,8 @@ FUNCTIONS = {
         "named_struct('s', 1 / a, 't', 1 / a), (s, k) -> named_struct("
         "'s', s.s + s.t * x / (a + k), 't', s.t * x / (a + k))).s "
         f"ELSE front / {_lentz(_guard('(x + 1 - a)'), 'a', '-k * (k - a)', 'x + 2 * k + 1 - a')} END"),
-    "loom_upper_gamma": ("a, x", "loom_gamma_part(a, x, exp(a * ln(x) - x - loom_log_gamma(a)))"),
+    "loom_upper_gamma": ("a, x", "loom_gamma_part(a, x, exp(a * ln(x) - x "
+                                 f"- loom_log_gamma({_positive('a')})))"),
     "loom_beta_part": ("front, p, q, u", "front / p / " + _lentz(
         "1D", "greatest(p, q)", f"if(k % 2 = 0, {_EVEN}, {_ODD})", "1D")),
     # regularized incomplete beta; y is 1 - x, exact where x is near 1. The fraction converges
@@ -93,12 +101,12 @@ FUNCTIONS = {
     "loom_chi2_tail": ("stat, df", "loom_upper_gamma(df / 2, stat / 2)"),
     "loom_normal_two_sided": ("z", "if(z IS NOT NULL, loom_upper_gamma(0.5D, z * z / 2), NULL)"),
     "loom_t_two_sided": (
-        "t, df", "if(t IS NOT NULL AND df IS NOT NULL, loom_lower_beta(df / 2, 0.5D, df / (df + t * t), "
-                 "t * t / (df + t * t)), NULL)"),
+        "t, df", "if(t IS NOT NULL AND df IS NOT NULL, loom_lower_beta(df / 2, 0.5D, df / nullif(df + t * t, 0D), "
+                 "t * t / nullif(df + t * t, 0D)), NULL)"),
     "loom_f_tail": (
         "stat, df1, df2",
-        "if(stat IS NOT NULL, loom_lower_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * stat), "
-        "df1 * stat / (df2 + df1 * stat)), NULL)"),
+        "if(stat IS NOT NULL, loom_lower_beta(df2 / 2, df1 / 2, df2 / nullif(df2 + df1 * stat, 0D), "
+        "df1 * stat / nullif(df2 + df1 * stat, 0D)), NULL)"),
 }
 _MARK = "cohortloom.tails"
 

@@ -260,6 +260,20 @@ def test_tails_agree_at_any_size(spark):
         assert row[f"t{i}"] == pytest.approx(row[f"f{i}"], abs=1e-10)
 
 
+def test_tails_of_degenerate_tests_do_not_fail(spark):
+    """Behind a condition that is not met, arguments of any size are worked out all the same."""
+    values = [0.0, -1.0, 1.0, float("nan"), None, -2.0, 1e308]
+    rows = spark.createDataFrame([(a, b, c) for a in values for b in values for c in (0.0, -1.0, 2.0)],
+                                 "a double, b double, c double")
+    out = rows.select(*[F.when(F.col("c") > 5, tail).alias(name) for name, tail in (
+        ("chi", tails.chi2_tail(F.col("a"), F.col("b"))), ("n", tails.normal_two_sided(F.col("a"))),
+        ("t", tails.t_two_sided(F.col("a"), F.col("b"))),
+        ("f", tails.f_tail(F.col("a"), F.col("b"), F.col("c"))))])
+    assert all(v is None for r in out.collect() for v in r)
+    two = spark.createDataFrame([(1, 2.0, "g"), (2, 3.0, "g"), (1, 1.0, "h")], "s int, y double, g string")
+    assert [r.p for r in assoc.spearman(two, "s", "y", ["g"], bounded_x=True).collect()] == [None, None]
+
+
 def test_interval_guard(spark):
     few = spark.createDataFrame([(float(i),) for i in range(10)], "m double")
     assert boot.interval(few, "m").first().ci_low is None
