@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import flat_text, id_key, prepare, stored, text_blocks
 
 #: Labelled documents that the classifier is fitted on at most; the unlabelled are all scored.
-LABELLED = 4000
+LABELLED = 3000
 #: Rounds of exchange, certainty of a pseudo-label, and pseudo-labels a view gives in a round.
 ROUNDS, SURE, PER_ROUND = 3, 0.95, 300
 #: Probability of good quality from which a document is accepted: only clear cases go.
@@ -100,7 +100,7 @@ class Logistic:
     bias: float = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> Logistic:
-        step = 4.0 / (float((x**2).sum(axis=1).mean()) + 1.0)
+        step = 4.0 / (float(np.einsum("ij,ij->", x, x)) / max(1, len(x)) + 1.0)
         w, b, last_w, last_b = self.weights, self.bias, self.weights, self.bias
         for i in range(1, steps + 1):
             push = (i - 1) / (i + 2)
@@ -250,10 +250,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _feature_frame(texts: DataFrame, names: Names) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Features of a bounded number of rows by key."""
+    """Features of a bounded number of rows by key, the content view in half precision."""
     found = texts.mapInArrow(_feature_rows(names), "row_key long, content binary, metadata binary")
-    return {r.row_key: (np.frombuffer(r.content, np.float16).astype(np.float32),
-                        np.frombuffer(r.metadata, np.float32)) for r in found.collect()}
+    out = {}
+    for batch in found.toArrow().to_batches():
+        columns = [batch.column(c) for c in ("row_key", "content", "metadata")]
+        for key, content, metadata in zip(*[c.to_pylist() for c in columns], strict=True):
+            out[key] = np.frombuffer(content, np.float16), np.frombuffer(metadata, np.float32)
+    return out
 
 
 def _one_each(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -323,7 +327,9 @@ def fit_views(docs: DataFrame, labels: DataFrame) -> tuple[Views, Names] | None:
     names = Names(tuple(sorted({r[3] for r in found if r[3] is not None})),
                   tuple(sorted({r[4] for r in found if r[4] is not None})))
     features = _feature_frame(rows.select("row_key", "text", "source", "lang"), names)
-    content, metadata = (np.stack([features[r[0]][k] for r in found]) for k in (0, 1))
+    content, metadata = (np.stack([features[r[0]][k] for r in found]).astype(np.float32)
+                         for k in (0, 1))
+    del features
     views = co_train(content, metadata, np.array([r[1] for r in found]),
                      np.array([r[2] for r in found]),
                      confident_documents(docs, clean.select("doc_id"), names))

@@ -137,7 +137,7 @@ def test_exchange_matches_brute_force(spark, monkeypatch):
         for value, most in quality.quotas(0.6).items():
             by_source = {}
             for key, row in texts.items():
-                p = float(quality._sigmoid(models[view].score(features[key][view][None]))[0])
+                p = float(quality._sigmoid(models[view].score(features[key][view][None].astype(np.float32)))[0])
                 sure = max(p, 1 - p)
                 if row.doc_id not in labelled and sure >= quality.SURE and (p >= 0.5) == bool(value):
                     by_source.setdefault(row.source, []).append((-sure, key))
