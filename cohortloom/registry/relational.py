@@ -62,7 +62,7 @@ def replace_columns(d: Data) -> DataFrame:
     """The stored table is replaced by a query that reads it, and read back."""
     table = sinks.Versions(d.spark, f"enriched_{d.key}")
     table.write(d.wide)
-    new = outcomes.outcome_columns(d.src, table.read())
+    new = outcomes.outcome_columns(d.near, table.read())
     return table.write(sinks.replace_columns(table.read(), new, "stay_id")).select(
         "stay_id", *config.OUTCOME_COLUMNS)
 
@@ -747,9 +747,9 @@ def cohort_funnel(d: Data) -> DataFrame:
 
 @query("feature_table", f"SELECT {sql_columns(WIDE_COLUMNS)} FROM wide")
 def feature_table(d: Data) -> DataFrame:
-    return wide_plan.admission_table(d.src, d.steps["step7"], d.steps.notes)
+    return wide_plan.admission_table(d.src, d.steps["step7"], d.steps.notes, d.near)
 
 
 @query("outcome_enrichment", FINAL_SQL)
 def outcome_enrichment(d: Data) -> DataFrame:
-    return outcomes.add_risk_category(outcomes.enrich_outcomes(d.src, d.wide))
+    return outcomes.add_risk_category(outcomes.enrich_outcomes(d.near, d.wide))

@@ -221,3 +221,45 @@ def test_changed_sources_are_read_again(spark, tmp_path):
     assert after is not before and after.key != before.key
     assert after.table is not None and base.QUERIES["load_cohort"](spark, folder).count() <= rows
     assert list(k for k in base._DATA if k[1] == folder) == [(spark.sparkContext.applicationId, folder)]
+
+
+def test_sources_of_admissions_keep_their_rows(spark, tmp_path):
+    from cohortloom.sources.overlay import overlay_sources
+    from cohortloom.sources.tables import SCHEMAS
+
+    folder = str(tmp_path)
+    order_days = [(k if k % 11 else None, k % 7, f"1996-01-{k % 28 + 1:02d} 00:00:00") for k in range(1, 60)]
+    orders = spark.createDataFrame(order_days + order_days[:5], "o_orderkey bigint, o_custkey bigint, d string")
+    orders.selectExpr("o_orderkey", "o_custkey", "CAST(d AS TIMESTAMP_NTZ) AS o_orderdate", "1 AS o_unused"
+                      ).write.parquet(f"{folder}/orders.parquet")
+    lines = [(k if k % 13 else None, 7 * k + n, k % 5, n, float(k % 50)) for k in range(1, 60) for n in range(1, 5)]
+    spark.createDataFrame(
+        lines + lines[:9], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, f"text {k}") for k in range(9)], "doc_id bigint, text string"
+                          ).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k,) for k in range(7)], "c_custkey bigint").write.parquet(f"{folder}/customer.parquet")
+
+    src = overlay_sources(spark, folder)
+    keys = spark.createDataFrame([(k,) for k in (2, 3, 3, 5, 22, 40, None)], "hadm_id bigint")
+    near = src.of_admissions(keys, TableStore(spark, f"{folder}/kept").save)
+    stays = src.table("icustays").join(keys.distinct(), "hadm_id", "left_semi").select("stay_id").distinct()
+    ed = src.table("edstays").join(keys.distinct(), "hadm_id", "left_semi").select("stay_id").distinct()
+
+    def rows(of, name):
+        frame = of.table(name)
+        if name in ("discharge", "patients"):
+            pass
+        elif "hadm_id" in SCHEMAS[name]:
+            frame = frame.join(keys.distinct(), "hadm_id", "left_semi")
+        else:
+            frame = frame.join(ed if name in ("triage", "ed_vitalsign") else stays, "stay_id", "left_semi")
+        return sorted(map(str, frame.collect()))
+
+    for name in SCHEMAS:
+        assert rows(near, name) == rows(src, name), name
+    assert rows(near, "chemistry") and rows(near, "inputevents")
+    for name in ("chemistry", "inputevents", "vitalsign", "charlson"):
+        assert near.table(name).count() < src.table(name).count()
+        assert not any(f.endswith("/lineitem.parquet") or "/lineitem.parquet/" in f
+                       for f in near.table(name).inputFiles())
