@@ -311,3 +311,38 @@ def test_best_candidate_prefers_smallest_of_equals(spark):
                                  "low int, high int, h double")
     best = cutoffs.best_candidate(rows, "h").first()
     assert (best.low, best.high) == (4, 8)
+
+
+def test_weights_equal_the_plain_arithmetic_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from cohortloom.operators import bootstrap as boot
+
+    def plain(ids, replicates, seed):
+        out = []
+        for i in map(int, ids):
+            a = (i + (i >> 31) * 40692) % boot.PRIME
+            row = []
+            for b in map(int, replicates):
+                x = (a * 48271 + b * 69621 + seed) % boot.PRIME
+                x = (x * x + a) % boot.PRIME
+                x = (x * 16807 + b * 39373) % boot.PRIME
+                x = (x * x + b) % boot.PRIME
+                x = (x * 48271 + 11) % boot.PRIME
+                row.append(1 if b == 0 else sum(x >= limit for limit in boot.LIMITS))
+            out.append(row)
+        return np.array(out, dtype=float)
+
+    ids = np.array([0, 1, -1, 10, 2**31 - 2, 2**31 - 1, 2**31, -2**62, 2**62 + 12345, *range(1000, 1090)])
+    for seed in (42, -7, 2**40):
+        for replicates in (np.arange(0, 301), np.arange(1, 4)):
+            assert np.array_equal(boot.weight_matrix(ids, replicates, seed), plain(ids, replicates, seed))
+
+    step = max(1, boot.WEIGHTS // 1001)
+    tracemalloc.start()
+    boot.weight_matrix(np.arange(step), np.arange(1001), 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
