@@ -36,8 +36,9 @@ def sql_columns(columns: list[str]) -> str:
     f"SELECT '{t}' AS table_name, count(*) AS n_rows, count({list(c)[-1]}) AS n_last "
     f"FROM {t}" for t, c in SCHEMAS.items()))
 def scan_sources(d: Data) -> DataFrame:
+    src = d.dealt
     return ranks.union([
-        d.table(t, list(c)[-1]).agg(F.count("*").alias("n_rows"),
+        src.table(t, list(c)[-1]).agg(F.count("*").alias("n_rows"),
                                     F.count(list(c)[-1]).alias("n_last"))
         .select(F.lit(t).alias("table_name"), "n_rows", "n_last")
         for t, c in SCHEMAS.items()])

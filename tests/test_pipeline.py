@@ -263,3 +263,49 @@ def test_sources_of_admissions_keep_their_rows(spark, tmp_path):
         assert near.table(name).count() < src.table(name).count()
         assert not any(f.endswith("/lineitem.parquet") or "/lineitem.parquet/" in f
                        for f in near.table(name).inputFiles())
+
+
+def exchange_keys(df):
+    """The columns that the plan's exchanges deal rows by, without their numbers."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scan_deals_no_table_by_admission_again(data, no_broadcast):
+    """The views over orders and lineitem share one exchange of each, made when they were stored."""
+    keys = exchange_keys(relational.scan_sources(data))
+    assert "stay_id" in keys
+    # the one left deals the documents that notes are made of
+    assert [k for k in keys if k in ("l_orderkey", "o_orderkey", "hadm_id")] == ["hadm_id"]
+
+
+def test_dealt_tables_hold_the_same_rows(spark, tmp_path, no_broadcast):
+    """Null keys and repeated rows too, in every view, with more parts than keys in some."""
+    from cohortloom.sources.overlay import overlay_sources
+    from cohortloom.sources.tables import SCHEMAS
+
+    folder = str(tmp_path)
+    order_days = [(k if k % 11 else None, k % 7, f"1996-01-{k % 28 + 1:02d} 00:00:00") for k in range(1, 40)]
+    spark.createDataFrame(order_days + order_days[:5], "o_orderkey bigint, o_custkey bigint, d string").selectExpr(
+        "o_orderkey", "o_custkey", "CAST(d AS TIMESTAMP_NTZ) AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    lines = [(k if k % 13 else None, 7 * k + n, k % 5, n, float(k % 50)) for k in range(1, 40) for n in range(1, 5)]
+    spark.createDataFrame(
+        lines + lines[:9], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, f"text {k}") for k in range(9)], "doc_id bigint, text string"
+                          ).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k,) for k in range(7)], "c_custkey bigint").write.parquet(f"{folder}/customer.parquet")
+    src = overlay_sources(spark, folder)
+    dealt = src.by_admission(TableStore(spark, f"{folder}/kept", 50).save)
+    for name in SCHEMAS:
+        assert sorted(map(str, dealt.table(name).collect())) == sorted(map(str, src.table(name).collect())), name
+    assert exchange_keys(src.table("inputevents")) and not exchange_keys(dealt.table("inputevents"))
