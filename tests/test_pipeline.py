@@ -309,3 +309,12 @@ def test_dealt_tables_hold_the_same_rows(spark, tmp_path, no_broadcast):
     for name in SCHEMAS:
         assert sorted(map(str, dealt.table(name).collect())) == sorted(map(str, src.table(name).collect())), name
     assert exchange_keys(src.table("inputevents")) and not exchange_keys(dealt.table("inputevents"))
+
+
+def test_steps_and_features_meet_without_exchange(data, no_broadcast):
+    """Stored steps lie by admission like the tables they meet, before the reduction and after it."""
+    step1, step7 = data.steps["step1"], data.steps["step7"]
+    assert not exchange_keys(funnel.step3(step1, data.dealt))
+    labs = admission_features.first_labs(data.near, step7.select("hadm_id").distinct())
+    assert not exchange_keys(labs) and labs.count() == step7.count()
+    assert exchange_keys(funnel.step3(step1, data.src))
