@@ -11,15 +11,16 @@ GRID_STEP = 1 << 16
 
 
 def describe(df: DataFrame, value: str, by: list[str] = (), bounded: bool = False,
-             qs: dict[str, float] | None = None) -> DataFrame:
+             qs: dict[str, float] | None = None, weight: str | None = None) -> DataFrame:
     """n, mean, sd, median, q1, q3, min, max (and adjusted skew) per group, exactly.
 
     One histogram serves everything; the mean is carried through the same prefix sums,
-    so the spread is taken about the exact mean in a single further aggregation.
+    so the spread is taken about the exact mean in a single further aggregation. ``weight``
+    is a column that says how many rows a row stands for.
     """
     by = list(by)
     qs = qs or {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    hist = histogram(df, [*by, value]).withColumn(
+    hist = histogram(df, [*by, value], weight).withColumn(
         "s", F.col("n") * F.col(value).cast("double"))
     summed = prefix_sums(hist, value, ["n", "s"], by, bounded)
     n, v = F.col("n").cast("double"), F.col(value).cast("double")
